@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import language, licenses, mixing, piece_codec, token_files, url_lists
+from gleaner.llm import collision_search, language, licenses, mixing, piece_codec, rabitq, simhash, suffixes, token_files, url_lists
 from gleaner.llm.common import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_duplicates(read(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,11 +43,28 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, PIECES).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_token_files, op4_url_list, op5_licenses, op6_language, op9_pieces)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), "^ | $", "")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_embedding_near_dedup, op2_mixing, op3_token_files, op4_url_list, op5_licenses, op6_language, op7_nearest, op8_simhash, op9_pieces, op10_substring_dedup,
+)}
 
 _LIST = ", ".join(f"('{d}', '{a}', date '{t}')" for d, a, t in url_lists.LIST)
 _TEMPLATES = ", ".join(

@@ -23,7 +23,6 @@ def _table(base: int) -> np.ndarray:
 
 
 _POWER, _BACK = _table(_BASE), _table(_INVERSE)
-_POWER_STEP, _BACK_STEP = pow(_BASE, _STEP, 2**64), pow(_INVERSE, _STEP, 2**64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,27 +47,22 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64 bits for each word: a polynomial in its bytes, mixed with its length."""
+        # Sums of powers restart at each step of the buffer, so memory follows the step; a word that crosses steps adds up its parts.
+        out = np.zeros(len(self.start), dtype=np.uint64)
         with np.errstate(over="ignore"):
-            out = np.zeros(len(self.start), dtype=np.uint64)
-            size = len(self.buffer)
-            if not len(out):
-                return out
-            # Powers restart at each step; a word that crosses into later steps is put together from its parts.
-            sums = np.empty(size + 1, dtype=np.uint64)
-            sums[0] = 0
-            carry = np.uint64(0)
-            scale, steps = 1, []
-            for at in range(0, size, _STEP):
+            for k, at in enumerate(range(0, len(self.buffer), _STEP)):
                 part = self.buffer[at : at + _STEP]
-                terms = (part.astype(np.uint64) + np.uint64(1)) * _POWER[: len(part)]
-                terms *= np.uint64(scale)
-                np.cumsum(terms, out=sums[at + 1 : at + 1 + len(part)])
-                sums[at + 1 : at + 1 + len(part)] += carry
-                carry = sums[at + len(part)]
-                scale = scale * _POWER_STEP % 2**64
-                steps.append(pow(_BACK_STEP, at // _STEP, 2**64))
-            back = np.array(steps, dtype=np.uint64)[self.start // _STEP] * _BACK[self.start % _STEP]
-            out = (sums[self.end] - sums[self.start]) * back
+                a, b = np.searchsorted(self.end, at, "right"), np.searchsorted(self.start, at + len(part))
+                if a == b:
+                    continue
+                sums = np.zeros(len(part) + 1, dtype=np.uint64)
+                np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _POWER[: len(part)], out=sums[1:])
+                low = np.maximum(self.start[a:b] - at, 0)
+                high = np.minimum(self.end[a:b] - at, len(part))
+                value = (sums[high] - sums[low]) * _BACK[low]
+                if self.start[a] < at:  # its bytes before this step
+                    value[0] *= np.uint64(pow(_BASE, int(at - self.start[a]), 2**64))
+                out[a:b] += value
             return mix(out + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def word(self, i: int) -> bytes:
