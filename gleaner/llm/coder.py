@@ -10,6 +10,8 @@ from gleaner.llm.words import Words, ragged
 
 #: Distinct units that a worker keeps; beyond that it starts anew.
 MOST_UNITS = 2_000_000
+#: Units encoded at once: what a tokenizer returns for each is large until its ids are taken.
+AT_ONCE = 16_384
 
 
 class UnitCoder:
@@ -25,6 +27,11 @@ class UnitCoder:
         self.lengths = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
+    def _encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.encode(units)
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return lengths, np.fromiter((i for f in found for i in f), dtype=np.uint32, count=int(lengths.sum()))
+
     def __call__(self, units: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         keys, one, back = np.unique(units.hashes(), return_index=True, return_inverse=True)
@@ -36,9 +43,8 @@ class UnitCoder:
             known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
         if not known.all():
             fresh = [units.word(i).decode("utf-8", "replace") for i in one[~known]]
-            found = self.encode(fresh)
-            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            ids = np.fromiter((i for f in found for i in f), dtype=np.uint32, count=int(lengths.sum()))
+            parts = [self._encoded(fresh[i : i + AT_ONCE]) for i in range(0, len(fresh), AT_ONCE)]
+            lengths, ids = (np.concatenate(x) for x in zip(*parts))
             starts = len(self.ids) + np.r_[0, np.cumsum(lengths)[:-1]]
             self.keys = np.insert(self.keys, at[~known], keys[~known])
             self.starts = np.insert(self.starts, at[~known], starts)

@@ -12,13 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.llm.coder import UnitCoder
 from gleaner.llm.common import text_bytes
 from gleaner.llm.piece_model import BPE, BYTE, NORMAL, SPACE, UNIGRAM, UNKNOWN, USER_DEFINED, PieceModel, load
-from gleaner.llm.words import Words, slices
+from gleaner.llm.words import Words, ragged, slices
 
 
 def build(model: PieceModel):
@@ -134,8 +136,6 @@ class Codec:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The texts of runs of ids, as SentencePiece gives them for pieces and bytes, without the dummy space."""
-        from gleaner.llm.words import ragged
-
         sizes = self.piece_sizes[ids]
         flat = self.piece_bytes[ragged(sizes, self.piece_starts[ids])].tobytes()
         sums = np.r_[0, np.cumsum(sizes)]
@@ -145,6 +145,7 @@ class Codec:
         return [flat[a + (skip and flat[a : a + 1] == b" ") : b] for a, b in cuts]
 
 
+_CODED = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())]
 SPACE_BYTES, MARK = b" ", SPACE.encode()
 _CODECS: dict[tuple[str, bool], Codec] = {}
 
@@ -162,21 +163,21 @@ def encode(docs: DataFrame, path: str, verify: bool = True) -> DataFrame:
     rows stay. verify: every new unit or text must have the ids that the sentencepiece library gives it, else the task fails.
     """
     kept = [c for c in docs.columns if c not in ("text", "piece_ids", "n_pieces", "round_trip")]
+    rows = docs.select(*kept, text_bytes().alias("text"))
+    schema = T.StructType([*docs.select(*kept).schema.fields, *_CODED])
 
-    def run(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, verify)
-        for series in column:
-            texts = series.tolist()
-            ids, sizes, same = [], [], []
+        for batch in batches:
+            texts = batch.column(len(kept)).to_pylist()
             for s in slices(texts, 4 << 20):
                 flat, n = own.encode(texts[s])
-                same += [a == b for a, b in zip(own.decode(flat, n), texts[s])]
-                ids += np.split(flat.astype(np.int32), np.cumsum(n)[:-1])
-                sizes.append(n)
-            yield pd.DataFrame({"piece_ids": pd.Series(ids, dtype=object), "n_pieces": np.concatenate(sizes) if sizes else np.zeros(0, dtype=np.int64), "round_trip": np.array(same, dtype=bool)})
+                same = [a == b for a, b in zip(own.decode(flat, n), texts[s])]
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(flat.astype(np.int32)))
+                own_rows = batch.slice(s.start, s.stop - s.start).columns[: len(kept)]
+                yield pa.RecordBatch.from_arrays([*own_rows, ids, pa.array(n, pa.int64()), pa.array(same, pa.bool_())], schema.fieldNames())
 
-    coded = F.pandas_udf(run, "piece_ids array<int>, n_pieces long, round_trip boolean")(text_bytes())
-    return docs.select(*kept, coded.alias("_coded")).select(*kept, "_coded.*")
+    return rows.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
