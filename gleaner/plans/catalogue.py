@@ -1,10 +1,272 @@
-"""Queries over the test tables, and the same in DuckDB SQL."""
+"""Queries over the test tables, and the same in DuckDB SQL.
 
-from __future__ import annotations
+The tables hold no places, photos or reviews; other columns stand in for them: a document's source for a place, its text for a review,
+lineitem rows for photos (upright where l_tax > l_discount), part names for a model's answers and a brand's names for a menu.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.functions import numbers, text
+from gleaner.operators import labels, matching, phrases, places, ranking
+from gleaner.operators.lexicon import Lexicon
+from gleaner.streaming import sessions
+
+#: Words that the documents do have, in the roles of the food lexicon.
+STAND_IN = Lexicon(
+    triggers=("of the ", "in the ", "and the ", "was the "),
+    parts=("on", "er", "th", "ing"),
+    stops=("the", "and", "it", "was", "i", "very", "of"),
+    known=("a an", "be a"),
+    praise=("of", "the", "and"),
+)
+PHOTO_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select(F.col("source").alias("place"), F.col("doc_id").alias("ord"), "text")
+
+
+def phrase_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrase_weights(_reviews(spark, sf_dir), STAND_IN).select("place", "phrase", "weight", F.col("first.ord").alias("first_ord"), F.col("first.way").alias("first_way"))
+
+
+def popular_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.popular_phrases(_reviews(spark, sf_dir), STAND_IN)
+    return found.select("place", F.posexplode("names").alias("pos", "name"))
+
+
+def phrase_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _read(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("phrase"))
+    lexicon = Lexicon(triggers=(), parts=("blue", "green", "ring"), stops=("red", "large"), known=("small gear",))
+    return names.select("p_partkey", "phrase", phrases.is_valid(F.col("phrase"), lexicon).alias("valid"))
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")
+    return _read(spark, sf_dir, "documents").select("doc_id", words).where("word <> ''")
+
+
+def lexicon_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.in_lexicon(_tokens(spark, sf_dir), "word", STAND_IN.stops).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def lexicon_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.in_lexicon(_tokens(spark, sf_dir), "word", STAND_IN.stops, keep=False).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def candidates_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem").select(*PHOTO_ORDER, (F.col("l_tax") > F.col("l_discount")).alias("portrait"))
+    return ranking.candidates(rows, "l_suppkey", F.col("portrait"), PHOTO_ORDER).withColumn("l_shipdate", F.col("l_shipdate").cast("date").cast("string"))
+
+
+def _menus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's names, odd ones spelled otherwise, in order."""
+    spelled = F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit(" "), F.upper("p_name"), F.lit(" "))).otherwise(F.col("p_name"))
+    rows = _read(spark, sf_dir, "part").where("p_partkey % 5 < 2").groupBy("p_brand", "p_name").agg(F.min_by(F.struct("p_partkey", spelled.alias("item")), "p_partkey").alias("s"))
+    return rows.select("p_brand", F.col("s.p_partkey").alias("ord"), F.col("s.item").alias("item"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with names, matches and scores: popular are the five most frequent names of a supplier's candidates."""
+    part = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
+    rows = candidates_top20(spark, sf_dir).join(part, "l_partkey")
+    raw = F.when(F.col("l_partkey") % 7 == 0, "null").when(F.col("l_partkey") % 11 == 0, "").otherwise(F.col("p_name"))
+    rows = matching.match_table(rows.withColumn("text", text.answer_text(raw)), _menus(spark, sf_dir), "p_brand")
+    counts = rows.where("name is not null").groupBy("l_suppkey", F.lower(F.trim("name")).alias("phrase")).agg(F.count("*").alias("n"))
+    top = F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "phrase"))), lambda s: s["phrase"]), 1, 5)
+    popular = counts.groupBy("l_suppkey").agg(top.alias("popular"))
+    rows = rows.join(popular, "l_suppkey", "left").withColumn("is_food", F.col("l_partkey") % 7 != 0)
+    score = ranking.priority(F.col("name"), F.col("is_match"), F.col("is_food"), F.coalesce("popular", F.array().cast("array<string>")))
+    return rows.withColumn("score", score)
+
+
+def photo_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ranking.rank(_scored(spark, sf_dir), "l_suppkey", "photo")
+    return out.select("l_suppkey", "id", "position", "l_orderkey", "l_linenumber", "l_partkey", "name", "is_match", "score")
+
+
+def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = photo_ranking(spark, sf_dir).withColumn("bucket", ranking.bucket(F.col("is_match"), F.col("name")))
+    n = lambda b: F.count_if(F.col("bucket") == b)
+    out = rows.groupBy("l_suppkey").agg(n(0).alias("matched"), n(1).alias("named"), n(2).alias("unnamed"), F.count("*").alias("total"))
+    return out.withColumn("label", F.concat(F.col("total").cast("string"), F.when(F.col("total") == 1, " dish").otherwise(" dishes")))
+
+
+def bucket_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three buckets one after the other: what was ranked by score is in that order already."""
+    rows = photo_ranking(spark, sf_dir).withColumn("bucket", ranking.bucket(F.col("is_match"), F.col("name")))
+    parts = [rows.where(F.col("bucket") == b) for b in (0, 1, 2)]
+    flat = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return flat.groupBy("l_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "position"))), lambda s: s["position"].cast("string")), ",").alias("positions"))
+
+
+def reference_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda s: s["p_name"]).alias("names"))
+    menu = F.when(F.col("p_brand").endswith("1"), F.array().cast("array<string>")).otherwise(F.col("names"))
+    listed = matching.reference_list(menu, F.col("names"))
+    return rows.select("p_brand", F.size(listed).alias("n"), text.numbered(listed).alias("lines"))
+
+
+def menu_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.upper("p_name").alias("text"))
+    return matching.match_table(rows, _menus(spark, sf_dir), "p_brand").select("p_partkey", "name", "is_match")
+
+
+def popular_theta_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    popular = F.array(*map(F.lit, ("Red", "blue", "large", "old steel", "re")))
+    names = _read(spark, sf_dir, "part").select("p_partkey", "p_name", matching.first_index(F.col("p_name"), popular).alias("idx"))
+    return names
+
+
+def caption_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("caption"))
+    some = _read(spark, sf_dir, "part").select((-F.col("p_partkey")).alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.element_at(F.array(
+        F.concat(F.lit("The "), "p_name"), F.concat(F.lit("We tried the "), "p_name", F.lit(", and it was good.")), F.concat(F.lit('They had "'), "p_name", F.lit('" there.')), F.lit("x"),
+    ), (F.col("p_partkey") % 4 + 1).cast("int")).alias("caption"))
+    return rows.unionByName(some).select("conv_id", "turn", text.caption_name(F.col("caption")).alias("name"))
+
+
+def answer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    raw = F.when(F.col("turn") == 1, " NULL \nx").when(F.col("turn") == 2, F.lit(None)).otherwise(F.concat(F.lit("  "), F.col("text")))
+    return rows.select("conv_id", "turn", text.answer_text(raw).alias("answer"), text.answer_text(raw).isNotNull().alias("is_food"))
+
+
+def attribution_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    link = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://maps.google.com/maps/contrib/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
+    links = F.when(F.col("page_id") % 5 == 0, F.array().cast("array<string>")).when(F.col("page_id") % 9 == 0, F.array(link, F.lit("Downer"))).otherwise(F.array(link))
+    return _read(spark, sf_dir, "pages").select("page_id", ranking.attribution(links).alias("attribution"))
+
+
+def url_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return _read(spark, sf_dir, "pages").select("page_id", text.query_param(url, "page").alias("page"), text.query_param(url, "ref").alias("ref"), text.query_param(url, "utm_source").alias("utm_source"), text.uri_component(F.concat(F.lit("a b"), url)).alias("encoded"))
+
+
+def display_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reference = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    urls = [ranking.display_url("https://media.example.com/photo", reference, w).alias(f"url_{w}") for w in (400, 800)]
+    return _read(spark, sf_dir, "part").select("p_partkey", *urls, text.mime_type(F.concat(F.lower("p_type"), F.lit("; q=1"))).alias("mime_type"), F.base64(F.col("p_name").cast("binary")).alias("data"))
+
+
+def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.from_json("props", "k int")["k"]
+    return _read(spark, sf_dir, "events").select("event_id", k.alias("k"), F.coalesce(k, F.lit(0)).alias("k_or_zero"), F.to_json(F.struct(F.col("event_id").alias("id"), k.alias("k"))).alias("json"))
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as nested places; their account balance stands for a rating."""
+    rows = _read(spark, sf_dir, "supplier").join(_read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    at = F.struct((F.col("s_suppkey") % 90).cast("double").alias("lat"), (F.col("s_nationkey") * 7).cast("double").alias("lng"))
+    return rows.select(
+        F.col("s_suppkey").cast("string").alias("place_id"), F.when(F.col("s_suppkey") % 6 != 0, F.col("s_name")).otherwise(F.lit("")).alias("name"),
+        F.when(F.col("s_suppkey") % 4 != 0, F.col("n_name")).alias("vicinity"), F.col("n_name").alias("formatted_address"),
+        F.when(F.col("s_suppkey") % 10 != 0, F.struct(at.alias("location"))).alias("geometry"), (F.col("s_acctbal") / 1000).alias("rating"),
+        F.col("s_suppkey").alias("user_ratings_total"), (F.col("s_suppkey") % 5).cast("int").alias("price_level"),
+        F.struct(F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey") % 3 == 1).alias("open_now")).alias("opening_hours"),
+    )
+
+
+def place_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = places.flatten(_places(spark, sf_dir))
+    flat = flat.withColumn("visible", ranking.stats_visible(F.col("rating"), F.col("priceLevel"), F.col("isOpen")))
+    return flat.withColumn("isOpen", F.col("isOpen").cast("string"))
+
+
+def place_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places.pin(_places(spark, sf_dir))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coordinate = lambda i: F.col("embedding")[i].cast("double")
+    return _read(spark, sf_dir, "embeddings").select("vec_id", (coordinate(0) * 90).alias("lat"), (coordinate(1) * 180).alias("lng"))
+
+
+def nearest_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places.nearest(_points(spark, sf_dir), 10.0, 20.0, "vec_id").select("vec_id", F.round("distance", 3).alias("distance"))
+
+
+def nearest_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _points(spark, sf_dir)
+    asked = points.where("vec_id % 10 = 0").select(F.col("vec_id").alias("request"), (F.col("lat") + 0.25).alias("lat"), (F.col("lng") - 0.25).alias("lng"))
+    return places.nearest_each(asked, points, "vec_id").select("request", "vec_id", F.round("distance", 3).alias("distance"))
+
+
+def within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places.within(_points(spark, sf_dir), 10.0, 20.0, 1_000_000.0, "vec_id").select("vec_id", F.round("distance", 3).alias("distance"))
+
+
+def zoom_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zoom = F.when(F.col("p_size") != 14, F.col("p_size") % 22)
+    return _read(spark, sf_dir, "part").select("p_partkey", numbers.radius(zoom).alias("radius"))
+
+
+def bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places.bounding_box(_points(spark, sf_dir))
+
+
+def lateral_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    businesses = _read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_nationkey").alias("s_nationkey"), F.col("c_acctbal").alias("bal"), "c_custkey")
+    rows = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    return places.best_business(rows, businesses, "c_custkey", ["s_nationkey"], ["bal", "c_custkey"]).select("s_suppkey", "business_id")
+
+
+def zip_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    name = F.when(F.length("text") % 3 != 0, F.substring("text", 1, 12)).otherwise(F.lit(""))
+    lists = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("url"), name.alias("name")))).alias("s"))
+    zipped = ranking.zip_names(F.transform("s", lambda x: x["url"]), F.transform("s", lambda x: x["name"]))
+    return lists.select("conv_id", F.explode(zipped).alias("z")).select("conv_id", "z.*")
+
+
+def compact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.floor(F.col("o_totalprice") / 5).cast("long")
+    return _read(spark, sf_dir, "orders").select("o_orderkey", numbers.count_header(n).alias("header"), numbers.count_sheet(n).alias("sheet"), numbers.count_header(F.col("o_orderkey") * 125).alias("ties"))
+
+
+def price_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    on, off = numbers.price_marks(F.col("p_size") % 5)
+    return _read(spark, sf_dir, "part").select("p_partkey", on.alias("marks"), off.alias("missing"), numbers.rating_text((F.col("p_size") % 21) / F.lit(4.0)).alias("rating"))
+
+
+def clamp_prev_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, n = (F.col("event_id") % 20).cast("int"), F.lit(12)
+    swipe = numbers.gesture(F.col("value") * 3 - 150, F.col("event_id") % 300 - 100)
+    return _read(spark, sf_dir, "events").select("event_id", numbers.clamp(i - 1, n).alias("prev"), numbers.clamp(i + 1, n).alias("next"), swipe.alias("gesture"), numbers.parse_float(F.concat(F.col("event_id").cast("string"), F.lit("px"))).alias("parsed"))
+
+
+def first_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.first_events(_read(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"]).select("user_id", "event_id")
+
+
+def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = sessions.debounced(_read(spark, sf_dir, "events").select("user_id", "ts"), "user_id", "ts", "10 minutes")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return runs.select("user_id", micros("first_at").alias("first_at"), micros("fires_at").alias("fires_at"), "n")
+
+
+def label_fail_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade over recorded answers, made of part keys."""
+    status = lambda k: F.element_at(F.array(*map(F.lit, (200, 429, 403, 500))), (F.floor(F.col("p_partkey") / k) % 4 + 1).cast("int"))
+    raw = lambda k: F.when(F.col("p_partkey") % k == 0, "null").otherwise(F.upper("p_name"))
+    answers = F.array(*[F.struct(status(k).alias("status"), raw(k + 2).alias("text")) for k in (1, 4)])
+    rows = _read(spark, sf_dir, "part").select("p_partkey", answers.alias("answers"), F.array(F.col("p_name"), F.lit("Other")).alias("items"), (F.col("p_partkey") % 13 != 0).alias("fetched"))
+    return labels.interpret(rows).select("p_partkey", "name", "is_match", "is_food")
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        popular_phrases, phrase_weights, phrase_validity, lexicon_semi, lexicon_anti, candidates_top20, photo_ranking, bucket_counts, bucket_order, reference_prefix,
+        menu_first_match, popular_theta_match, caption_names, answer_parse, attribution_class, url_params, display_urls, json_extract, place_flatten, place_pins,
+        nearest_place, nearest_each, within_radius, zoom_radius, bounding_box, lateral_top1, zip_positional, compact_counts, price_marks, clamp_prev_next, first_event,
+        debounce_sessions, label_fail_open,
+    )
+}
