@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 #: ECMAScript's white space, as the inside of a character class.
 JS_SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 S = f"[{JS_SPACE}]"
+_OTHER_SPACES = "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+
+
+def plain_spaces(x: Column) -> Column:
+    """With a plain space for each white space that the JVM's regular expressions do not count as such; one for one."""
+    return F.translate(x, _OTHER_SPACES, " " * len(_OTHER_SPACES))
 
 
 def js_trim(x: Column) -> Column:

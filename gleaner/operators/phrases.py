@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import JS_SPACE, S, clean_phrase, title_case
+from gleaner.functions.text import clean_phrase, plain_spaces, title_case
 from gleaner.operators.lexicon import FOOD, Lexicon
 
 #: Characters after a trigger that may hold a name; weights of the three ways to find one.
@@ -20,7 +20,7 @@ AT_ONCE = 512
 
 def is_valid(phrase: Column, lexicon: Lexicon = FOOD) -> Column:
     """1 to 5 words, 3 to 40 characters, no digit first, no stop word; and a known name, or one that contains a part."""
-    words = F.split(phrase, f"{S}+")
+    words = F.split(phrase, " ")  # a cleaned phrase has no other white space
     accepted = F.exists(F.array(*map(F.lit, lexicon.parts)), lambda p: F.contains(phrase, p)) if lexicon.parts else F.lit(False)
     if lexicon.known:
         accepted = phrase.isin(*lexicon.known) | accepted
@@ -34,10 +34,15 @@ def _found(matches: Column, way: int, order: int, weight: int, name=lambda m: m)
     return F.transform(matches, lambda m, i: F.struct(F.lit(way).alias("way"), F.lit(order).alias("trigger"), i.alias("occurrence"), F.lit(weight).alias("weight"), clean_phrase(name(m)).alias("phrase")))
 
 
+#: A word never gives letters back: what must follow a word is no letter, so that would be in vain.
+_WORD = "[a-z]++"
+
+
 def _after_trigger(window: Column) -> Column:
     """Up to four words that end where a clause does; only if there are none such, up to three words."""
-    ended = F.regexp_extract(window, rf"\A([a-z]+(?:{S}+[a-z]+){{0,3}})(?=[.,!?;:\n]|\z|{S}{{2}})", 1)
-    return F.coalesce(F.nullif(ended, F.lit("")), F.regexp_extract(window, rf"\A([a-z]+(?:{S}+[a-z]+){{0,2}})", 1))
+    window = plain_spaces(window)
+    ended = F.regexp_extract(window, rf"\A({_WORD}(?:\s+{_WORD}){{0,3}})(?=[.,!?;:\n]|\z|\s{{2}})", 1)
+    return F.coalesce(F.nullif(ended, F.lit("")), F.regexp_extract(window, rf"\A({_WORD}(?:\s+{_WORD}){{0,2}})", 1))
 
 
 def mentions(reviews: DataFrame, lexicon: Lexicon = FOOD) -> DataFrame:
@@ -48,11 +53,13 @@ def mentions(reviews: DataFrame, lexicon: Lexicon = FOOD) -> DataFrame:
         _found(F.regexp_extract_all("_text", F.lit(rf"(?s)\Q{t}\E(?=(.{{0,{AFTER_TRIGGER}}}))"), F.lit(1)), 1, i, TRIGGERED, _after_trigger)
         for i, t in enumerate(lexicon.triggers)
     ]
-    ways.append(_found(F.regexp_extract_all("_text", F.lit(rf"[\"']([a-z][a-z{JS_SPACE}]{{2,30}})[\"']"), F.lit(1)), 2, 0, QUOTED))
+    ways.append(_found(F.regexp_extract_all("_plain", F.lit(r"[\"']([a-z][a-z\s]{2,30})[\"']"), F.lit(1)), 2, 0, QUOTED))
     if lexicon.praise:
-        praise = rf"([a-z]+(?:{S}+[a-z]+){{0,3}}){S}+(?:is|was|are|were){S}+(?:{'|'.join(map(re.escape, lexicon.praise))})"
-        ways.append(_found(F.regexp_extract_all("_text", F.lit(praise), F.lit(1)), 3, 0, PRAISED))
-    rows = reviews.select("place", "ord", text.alias("_text")).select("place", "ord", F.explode(F.concat(*ways)).alias("m"))
+        # Tried at the start of a word only, or where the last match ended: from within a word it finds no more.
+        praise = rf"(?:\G|(?<![a-z]))({_WORD}(?:\s++{_WORD}){{0,3}})\s++(?:is|was|are|were)\s++(?:{'|'.join(map(re.escape, lexicon.praise))})"
+        ways.append(_found(F.regexp_extract_all("_plain", F.lit(praise), F.lit(1)), 3, 0, PRAISED))
+    rows = reviews.select("place", "ord", text.alias("_text")).select("place", "ord", "_text", plain_spaces(F.col("_text")).alias("_plain"))
+    rows = rows.select("place", "ord", F.explode(F.concat(*ways)).alias("m"))
     return rows.select("place", "ord", "m.*").where(is_valid(F.col("phrase"), lexicon))
 
 
