@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import clean_phrase, plain_spaces, title_case
 from gleaner.operators.lexicon import FOOD, Lexicon
+from gleaner.sources.scratch import materialize
 
 #: Characters after a trigger that may hold a name; weights of the three ways to find one.
 AFTER_TRIGGER = 60
@@ -87,7 +88,7 @@ def popular_phrases(reviews: DataFrame, lexicon: Lexicon = FOOD, most: int = MOS
     than at_once of them into a row. If these leave names wanting, the phrases that no kept name touches are ranked in another round.
     """
     rank = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("weight"), "first"))
-    left = phrase_weights(reviews, lexicon).persist()
+    left = materialize(phrase_weights(reviews, lexicon), "phrases")
     done = None
     while True:
         top = left.select("place", "phrase", rank.alias("rank")).where(F.col("rank") <= at_once)
@@ -99,8 +100,8 @@ def popular_phrases(reviews: DataFrame, lexicon: Lexicon = FOOD, most: int = MOS
         crowded = left.groupBy("place").count().where(F.col("count") > at_once).select("place")
         if crowded.isEmpty():
             break
-        done = kept.persist()
+        done = materialize(kept, "kept")
         wanting = done.where(F.size("kept") < most).join(crowded, "place")
         free = ~F.exists("kept", lambda k: F.contains(k, F.col("phrase")) | F.contains(F.col("phrase"), k))
-        left = left.join(wanting, "place").where(free).drop("kept").persist()
+        left = materialize(left.join(wanting, "place").where(free).drop("kept"), "phrases")
     return kept.select("place", F.transform("kept", title_case).alias("names"))
