@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word of every operator here: a run of bytes other than space and \t \n \v \f \r.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from gleaner.sources.scratch import materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where that is unset and Spark runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+__all__ = ["WORD", "materialize", "partitions", "read", "shared_dir", "text_bytes"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends here, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/gleaner/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A word of every operator here: a run of bytes other than space and \t \n \v \f \r.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def partitions(spark: SparkSession) -> int:
