@@ -252,8 +252,8 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, vocabulary
             yield pd.DataFrame({"lang_pred": np.where(none, UNDETERMINED, np.array(languages, dtype=object)[best]), "score": np.where(none, 0.0, share[np.arange(len(best)), best])})
 
     run = F.pandas_udf(score, "lang_pred string, score double")
-    with_model = docs.select(*rest, run(text_bytes()).alias("_language"))
-    return with_model.select(*rest, "_language.lang_pred", "_language.score")
+    with_model = docs.select(*rest, run(text_bytes()).alias("__gleaner_language"))
+    return with_model.select(*rest, "__gleaner_language.lang_pred", "__gleaner_language.score")
 
 
 def held_out() -> Column:

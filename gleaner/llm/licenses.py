@@ -67,7 +67,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         return F.struct(best.alias("dice"), label.alias("license"))
 
     hits = F.filter(F.transform(grams, score), lambda s: s["dice"] >= threshold)
-    found = docs.select(*kept, hits.alias("_hits"))
-    best = F.array_max(F.transform("_hits", lambda s: s["dice"]))
-    label = F.array_min(F.transform(F.filter("_hits", lambda s: s["dice"] >= best), lambda s: s["license"]))
-    return found.select(*kept, label.alias("license"), best.alias("dice"), F.size("_hits").alias("license_lines"))
+    found = docs.select(*kept, hits.alias("__gleaner_hits"))
+    best = F.array_max(F.transform("__gleaner_hits", lambda s: s["dice"]))
+    label = F.array_min(F.transform(F.filter("__gleaner_hits", lambda s: s["dice"] >= best), lambda s: s["license"]))
+    return found.select(*kept, label.alias("license"), best.alias("dice"), F.size("__gleaner_hits").alias("license_lines"))
