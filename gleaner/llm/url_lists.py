@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import materialize
+
 #: A production list: domain, what happened, when. A domain covers its subdomains.
 LIST = (
     ("cheap-pills.example.com", "add", "2023-02-01"),
@@ -60,7 +62,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     rows = captures.select(*kept, host_of(F.col("url")).alias("host"))
     names = rows.where("host is not null").select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("domain"))
     spans = F.sort_array(F.collect_list(F.struct(F.length("domain").alias("n"), "domain", "valid_from", "valid_to")), asc=False)
-    by_host = names.join(intervals(entries), "domain").groupBy("host").agg(spans.alias("spans"))
+    by_host = names.join(intervals(entries), "domain").groupBy("host").agg(spans.alias("__gleaner_spans"))
+    by_host = materialize(by_host, "listed-hosts")  # read anew, so that Spark can split a common host's captures in the join
     active = lambda s: (s["valid_from"] <= F.col("fetched")) & (s["valid_to"].isNull() | (F.col("fetched") < s["valid_to"]))
-    joined = rows.join(by_host, "host", "left").withColumn("_hit", F.get(F.filter("spans", active), F.lit(0)))
-    return joined.select(*kept, "host", F.col("_hit").isNotNull().alias("listed"), F.col("_hit.domain").alias("list_domain"), F.col("_hit.valid_from").alias("listed_since"))
+    joined = rows.join(by_host, "host", "left").withColumn("__gleaner_hit", F.get(F.filter("__gleaner_spans", active), F.lit(0)))
+    return joined.select(*kept, "host", F.col("__gleaner_hit").isNotNull().alias("listed"), F.col("__gleaner_hit.domain").alias("list_domain"), F.col("__gleaner_hit.valid_from").alias("listed_since"))
