@@ -18,7 +18,8 @@ def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataF
             held.append(pdf)
             continue
         cut = int(pdf[key].searchsorted(last))
-        yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+        if held or cut:
+            yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
         held = [pdf.iloc[cut:]]
     if held:
         yield pd.concat(held, ignore_index=True)
