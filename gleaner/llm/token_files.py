@@ -178,5 +178,5 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pd.array(shard.doc_ids, dtype="Int64"), "start": start + at[:-1], "n_tokens": np.diff(at), "ids_crc32": np.array(crc, dtype=np.int64)})
 
     base_rows = spark.createDataFrame(bases, "part int, base long")
-    rows = shards.join(base_rows, "part").select((F.col("base") + F.col("part_start")).alias("start"), "payload")
+    rows = shards.join(F.broadcast(base_rows), "part").select((F.col("base") + F.col("part_start")).alias("start"), "payload")
     return rows.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
