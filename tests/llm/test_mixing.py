@@ -1,0 +1,72 @@
+import random
+
+import pytest
+
+from gleaner.llm import mixing
+
+SCHEMA = "doc_id long, source string, text string, size string, taken string, shard string"
+
+
+def seat_by_seat(weights, most, seats):
+    out = [0] * len(weights)
+    for _ in range(seats):
+        free = [i for i in range(len(weights)) if out[i] < most[i] and weights[i] > 0]
+        if not free:
+            break
+        i = max(free, key=lambda k: (weights[k] / (2 * out[k] + 1), -k))
+        out[i] += 1
+    return out
+
+
+def test_apportion_equals_seat_by_seat():
+    draw = random.Random(2)
+    for _ in range(400):
+        n = draw.randint(1, 7)
+        weights = [draw.choice([0, draw.randint(1, 50), draw.random()]) for _ in range(n)]
+        most = [draw.randint(0, 40) for _ in range(n)]
+        seats = draw.randint(0, 150)
+        assert mixing.apportion(weights, most, seats) == seat_by_seat(weights, most, seats)
+    assert mixing.apportion([], [], 5) == [] and mixing.apportion([0.0], [5], 3) == [0]
+    assert sum(mixing.apportion([3.0, 1.0], [10**9, 10**9], 10**9)) == 10**9
+
+
+def test_targets_stop_at_twice_the_size():
+    assert mixing.targets([100, 10, 1000], [5, 2, 1], 1665) == [200, 20, 1445]
+    assert mixing.targets([0, 0], [5, 2], 0) == [0, 0] and mixing.targets([], [], 0) == []
+    assert sum(mixing.targets([50, 60, 70], [5, 2, 1], 270)) == pytest.approx(270)
+
+
+def rows(n=600):
+    draw = random.Random(3)
+    out = [(i, draw.choice(["a", "a", "b", "c", "é", None]), " ".join(["w"] * draw.choice([0, 1, 5, 200, 900])), "x", "y", "z") for i in range(n)]
+    return [*out, (n, "a", None, "", "", ""), (n + 1, "b", "w w\tw " * 20_000, "", "", ""), (5, "c", "again again", "", "", ""), (None, "a", "no id here", "", "", ""), (None, "", None, "", "", "")]
+
+
+@pytest.mark.parametrize("shard_words", [200_000, 3000])
+def test_mix_comes_near_its_targets_and_reruns_agree(spark, shard_words):
+    data = rows()
+    table = spark.createDataFrame(data, SCHEMA)
+    got = mixing.mix(table.repartition(3), shard_words=shard_words).collect()
+    assert len(got) == len(data)
+    sizes = {}
+    for _, s, t, *_ in data:
+        sizes[s] = sizes.get(s, 0) + len((t or "").encode().split())
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = dict(zip(names, mixing.targets([sizes[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()))))
+    took = {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
+        took[r["source"]] = took.get(r["source"], 0) + r["taken"]
+    for s in names:
+        shards = -(-sizes[s] // shard_words)
+        assert abs(took[s] - want[s]) <= mixing.BLOCK * (2 + shards), s
+    again = mixing.mix(table.repartition(7), shard_words=shard_words).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, again)) == sorted(map(key, got))
+
+
+def test_no_rows_and_no_words(spark):
+    assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
+    got = mixing.mix(spark.createDataFrame([(1, "a", "", "", "", ""), (2, None, None, "", "", "")], SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["size"], r["target"], r["taken"]) for r in got) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
