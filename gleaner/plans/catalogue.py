@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import numbers, text
+from gleaner.functions import display, numbers, text
 from gleaner.operators import labels, matching, phrases, places, ranking
 from gleaner.operators.lexicon import Lexicon
 from gleaner.streaming import sessions
@@ -96,7 +96,7 @@ def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = photo_ranking(spark, sf_dir).withColumn("bucket", ranking.bucket(F.col("is_match"), F.col("name")))
     n = lambda b: F.count_if(F.col("bucket") == b)
     out = rows.groupBy("l_suppkey").agg(n(0).alias("matched"), n(1).alias("named"), n(2).alias("unnamed"), F.count("*").alias("total"))
-    return out.withColumn("label", F.concat(F.col("total").cast("string"), F.when(F.col("total") == 1, " dish").otherwise(" dishes")))
+    return out.withColumn("label", display.dish_count(F.col("total"))).withColumn("title", display.section_title(F.lit(1), F.col("matched"))).withColumn("counts", display.section_counts(F.lit(1), F.col("matched"), F.col("named"), F.col("total")))
 
 
 def bucket_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +150,10 @@ def url_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", text.query_param(url, "page").alias("page"), text.query_param(url, "ref").alias("ref"), text.query_param(url, "utm_source").alias("utm_source"), text.uri_component(F.concat(F.lit("a b"), url)).alias("encoded"))
 
 
+def place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places.search(places.flatten(_places(spark, sf_dir)), "tion_1", "id").select("id", "name", "address")
+
+
 def display_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
     urls = [ranking.display_url("https://media.example.com/photo", reference, w).alias(f"url_{w}") for w in (400, 800)]
@@ -267,6 +271,6 @@ QUERIES = {
         popular_phrases, phrase_weights, phrase_validity, lexicon_semi, lexicon_anti, candidates_top20, photo_ranking, bucket_counts, bucket_order, reference_prefix,
         menu_first_match, popular_theta_match, caption_names, answer_parse, attribution_class, url_params, display_urls, json_extract, place_flatten, place_pins,
         nearest_place, nearest_each, within_radius, zoom_radius, bounding_box, lateral_top1, zip_positional, compact_counts, price_marks, clamp_prev_next, first_event,
-        debounce_sessions, label_fail_open,
+        debounce_sessions, label_fail_open, place_search,
     )
 }

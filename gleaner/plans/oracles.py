@@ -108,7 +108,10 @@ ORACLES = {
     "photo_ranking": f"""with {_SCORED} select l_suppkey, 'photo-' || l_suppkey || '-' || position id, position, l_orderkey, l_linenumber, l_partkey, name, is_match, score from ranked""",
     "bucket_counts": f"""with {_SCORED}, b as (select l_suppkey, case when is_match then 0 when name is not null then 1 else 2 end bucket from ranked)
         select l_suppkey, count(*) filter (bucket = 0) matched, count(*) filter (bucket = 1) named, count(*) filter (bucket = 2) unnamed, count(*) total,
-        count(*) || case when count(*) = 1 then ' dish' else ' dishes' end as label from b group by all""",
+        count(*) || case when count(*) = 1 then ' dish' else ' dishes' end as label,
+        case when count(*) filter (bucket = 0) > 0 then 'More Dishes' else 'Identified Dishes' end title,
+        count(*) filter (bucket < 2) || ' identified · ' || count(*) || ' total' counts from b group by all""",
+    "place_search": f"""with {_PLACES} select place_id id, name, vicinity address from places where contains(lower(name), 'tion_1') or contains(lower(vicinity), 'tion_1')""",
     "bucket_order": f"""with {_SCORED} select l_suppkey, string_agg(cast(position as varchar), ',' order by case when is_match then 0 when name is not null then 1 else 2 end, position) positions
         from ranked group by all""",
     "reference_prefix": """with names as (select p_brand, list(p_name order by p_partkey) names from part group by all),
