@@ -21,7 +21,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, at most three bits apart."""
+    """One document of each group of near-duplicates stays: sets of five-word shingles with a similarity of 0.8 or more."""
     return simhash.keep_one(docs)
 
 

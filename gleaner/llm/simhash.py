@@ -6,10 +6,13 @@ are computed once; two fingerprints can be within RADIUS only if no coordinate d
 coordinate, so only a window of it is looked at, the other coordinates discard nearly all that is left, and survivors are verified.
 A bucket of more than HOT fingerprints is dealt out further by its other bits: twenty times, by three of six smaller blocks each time.
 Of each bucket only a spanning forest of its links leaves the task.
+
+That radius means nearly equal texts. similar() and keep_one() find texts by the similarity of their shingle sets instead: see there.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,12 +25,18 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import materialize, partitions, text_bytes
 from gleaner.llm.components import components, local_roots
 from gleaner.llm.grouping import whole_groups
+from gleaner.llm.held import release
 from gleaner.llm.words import lowered, ragged, slices, words_of
 
 SHINGLE = 5
 RADIUS = 3
 SEED = 42
 HOT = 1000
+#: For links by exact similarity: the least Jaccard similarity, the share of links that keys may miss a little beyond the expected
+#: distance, and the rows of a bucket and of a block of a component that a task takes together.
+SIMILARITY = 0.8
+MISS = 0.02
+CROWD, BLOCK = 20_000, 1000
 #: Reference fingerprints, from a seed: random ones tell near pairs from others best.
 PIVOTS = np.random.default_rng(7).integers(0, 2**64, 16, dtype=np.uint64)
 _STEP = 1 << 17
@@ -38,11 +47,13 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """The fingerprint of each text: XXH64 of its lower-case word shingles, bit by bit set where over half the shingles have it."""
     out = []
     for s in slices(texts, 4 << 20):
-        out.append(_fingerprints(texts[s], shingle))
+        hashes, many, _ = _shingles(texts[s], shingle)
+        out.append(_fingerprints(hashes, many))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def _fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
+def _shingles(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all shingles, how many each text has, and a hash of all words of each text."""
     w = words_of(texts)
     sizes = w.end - w.start
     # The words with one space after each.
@@ -54,13 +65,21 @@ def _fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
     shingles = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
     first = ragged(shingles, w.first[:-1])
     last = np.minimum(first + shingle - 1, np.repeat(w.first[1:], shingles) - 1)
-    owner = np.repeat(np.arange(len(texts)), shingles)
-    counts = np.zeros((len(texts), 64), dtype=np.int64)
     digest = xxhash.xxh64_intdigest
+    hashes = np.empty(len(first), dtype=np.uint64)
     for k in range(0, len(first), _STEP):
         a, b = at[first[k : k + _STEP]].tolist(), (at[last[k : k + _STEP] + 1] - 1).tolist()
-        hashes = np.fromiter((digest(data[x:y], SEED) for x, y in zip(a, b)), dtype=np.uint64, count=len(a))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        hashes[k : k + _STEP] = np.fromiter((digest(data[x:y], SEED) for x, y in zip(a, b)), dtype=np.uint64, count=len(a))
+    ends = at[w.first]
+    whole = np.fromiter((digest(data[x:y], SEED + 1) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())), dtype=np.uint64, count=len(texts))
+    return hashes, shingles, whole
+
+
+def _fingerprints(hashes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    owner = np.repeat(np.arange(len(shingles)), shingles)
+    counts = np.zeros((len(shingles), 64), dtype=np.int64)
+    for k in range(0, len(hashes), _STEP):
+        bits = np.unpackbits(hashes[k : k + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         own = owner[k : k + _STEP]
         starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         counts[own[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
@@ -85,7 +104,9 @@ FINE = [_masks([h for block in BLOCKS if block not in two for h in _halves(*bloc
 
 def pairs_within(groups: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Indices of all pairs of a group whose fingerprints differ in at most radius bits. Pairs that the pivots discard are not weighed."""
-    table = np.bitwise_count(prints[:, None] ^ PIVOTS[None, :]).astype(np.int16)
+    # At a wide radius hardly a pair is discarded, so further coordinates would cost more than the weighing that they spare.
+    pivots = PIVOTS if radius <= 8 else PIVOTS[:1]
+    table = np.bitwise_count(prints[:, None] ^ pivots[None, :]).astype(np.int16)
     place = groups.astype(np.int64) * 128 + table[:, 0]
     order = np.argsort(place, kind="stable")
     place, table, prints = place[order], table[order], prints[order]
@@ -97,7 +118,7 @@ def pairs_within(groups: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, "right")))
         a = np.repeat(np.arange(at, stop), many[at:stop])
         b = ragged(many[at:stop], np.arange(at, stop) + 1)
-        for p in range(1, len(PIVOTS)):
+        for p in range(1, len(pivots)):
             near = np.abs(table[a, p] - table[b, p]) <= radius
             a, b = a[near], b[near]
         near = np.bitwise_count(prints[a] ^ prints[b]) <= radius
@@ -114,10 +135,7 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         groups = np.cumsum(np.r_[0, pdf["bucket"].to_numpy()[1:] != pdf["bucket"].to_numpy()[:-1]])
         a, b = pairs_within(groups, pdf["fp"].to_numpy().view(np.uint64))
         if len(a):
-            nodes, flat = np.unique(np.r_[pdf["id"].to_numpy()[a], pdf["id"].to_numpy()[b]], return_inverse=True)
-            root = local_roots(len(nodes), flat[: len(a)], flat[len(a) :])
-            far = root != np.arange(len(nodes))
-            yield pd.DataFrame({"a": nodes[far], "b": nodes[root[far]]})
+            yield _forest(pdf["id"].to_numpy(), a, b)
 
 
 def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
@@ -146,6 +164,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in column:
             yield pd.Series(fingerprints(series.tolist(), shingle).view(np.int64))
+        release()
 
     rows = materialize(docs.select("doc_id", F.pandas_udf(run, "long")(text_bytes()).alias("fp")), "fingerprints")
     # Each fingerprint stands for its rows; its node in the graph is the fingerprint itself.
@@ -164,8 +183,133 @@ def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs, one document of each group of near-duplicates: that with the smallest doc_id. A document is a doc_id: rows that
+def wide_shape(n: int, similarity: float) -> tuple[int, int, int]:
+    """For fingerprints of texts whose shingle sets have a Jaccard similarity: most bits apart, bits of a key, and number of keys.
+
+    Two sets of one size differ in a share acos(2s / (1 + s)) / pi of the bits, give or take a binomial spread.
+    """
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    spread = math.sqrt(64 * apart * (1 - apart))
+    bits = min(40, max(6, round(math.log2(max(n, 2))) - 4))
+    same = (1 - (64 * apart + 0.7 * spread) / 64) ** bits
+    return int(64 * apart + 2.3 * spread), bits, math.ceil(math.log(MISS) / math.log(1 - same)) if same < 1 else 1
+
+
+def _near(radius: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, "bucket"):
+            if len(pdf) > 1:
+                key = pdf["bucket"].to_numpy()
+                a, b = pairs_within(np.cumsum(np.r_[0, key[1:] != key[:-1]]), pdf["fp"].to_numpy().view(np.uint64), radius)
+                yield _forest(pdf["node"].to_numpy(), a, b)
+
+    return run
+
+
+def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    nodes, flat = np.unique(np.r_[ids[a], ids[b]], return_inverse=True)
+    root = local_roots(len(nodes), flat[: len(a)], flat[len(a) :])
+    far = root != np.arange(len(nodes))
+    return pd.DataFrame({"a": nodes[far], "b": nodes[root[far]]})
+
+
+def _alike(radius: int, similarity: float):
+    """In blocks of a component: a spanning forest of the pairs whose shingle sets are similar enough, each held against the other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, "bucket"):
+            key, node, block, cross = (pdf[c].to_numpy() for c in ("bucket", "node", "block", "cross"))
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["shingles"]]
+            sizes = np.array([len(x) for x in sets])
+            a, b = pairs_within(np.cumsum(np.r_[0, key[1:] != key[:-1]]), pdf["fp"].to_numpy().view(np.uint64), radius)
+            may = (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])) & (node[a] != node[b]) & (~cross[a] | (block[a] != block[b]))
+            root = list(range(len(pdf)))
+            out = []
+            for x, y in zip(a[may].tolist(), b[may].tolist()):
+                p, q = x, y
+                while root[p] != p:
+                    root[p] = p = root[root[p]]
+                while root[q] != q:
+                    root[q] = q = root[root[q]]
+                if p == q:
+                    continue  # linked already, over others
+                shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if shared >= similarity * (sizes[x] + sizes[y] - shared):
+                    root[max(p, q)] = min(p, q)
+                    out.append((node[x], node[y]))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id, as near_duplicates has them, where texts link if their sets of shingles have at least that Jaccard similarity.
+
+    Fingerprints only find candidates here, by keys of random bits and a wide radius: see wide_shape for what these may miss. Candidates
+    are then held against each other exactly, each component in blocks, so a link that is given is always one.
+    """
+    n = partitions(docs.sparkSession)
+
+    def run(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in column:
+            texts, parts = series.tolist(), []
+            for s in slices(texts):
+                hashes, many, whole = _shingles(texts[s], shingle)
+                parts.append((_fingerprints(hashes, many), whole))
+            fp, node = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64),) * 2
+            yield pd.DataFrame({"fp": fp.view(np.int64), "node": node.view(np.int64)})
+        release()
+
+    def sets(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in column:
+            texts, out, nodes = series.tolist(), [], []
+            for s in slices(texts):
+                hashes, many, whole = _shingles(texts[s], shingle)
+                out += [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(many)[:-1])]
+                nodes.append(whole.view(np.int64))
+            yield pd.DataFrame({"own": np.concatenate(nodes) if nodes else np.zeros(0, np.int64), "shingles": out})
+        release()
+
+    rows = docs.select("doc_id", F.pandas_udf(run, "fp long, node long")(text_bytes()).alias("v")).select("doc_id", "v.*")
+    rows = materialize(rows, "fingerprints")
+    prints = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "distinct-texts")
+    radius, bits, tables = wide_shape(prints.count(), similarity)
+    draw = np.random.default_rng(SEED)
+    masks = [int(sum(1 << int(b) for b in draw.choice(64, bits, replace=False))) for _ in range(tables)]
+    choices = F.posexplode(F.array(*[F.lit(m - (m >> 63 << 64)) for m in masks])).alias("choice", "mask")
+    keyed = prints.select("node", "fp", choices).select("node", "fp", F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    # Few buckets are crowded; only those are dealt out as pairs of blocks.
+    crowded = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD), "crowded-buckets")
+    dealt = keyed.join(crowded, "key", "left").select("node", "fp", F.when(F.col("n").isNull(), F.array(F.col("key"))).otherwise(_blocks_of("key", F.col("n"), CROWD)["bucket"]).alias("b"))
+    dealt = dealt.select("node", "fp", F.explode("b").alias("bucket")).repartition(2 * n, "bucket").sortWithinPartitions("bucket")
+    found = materialize(components(dealt.mapInPandas(_near(radius), "a long, b long")), "candidates")
+    sized = found.join(found.groupBy("component").agg(F.count("*").alias("n")), "component")
+    members = prints.join(sized, "node").where("doc_id is not null").select("doc_id", "node", "fp", "component", "n")
+    texts = docs.select("doc_id", "text").join(members, "doc_id").select("node", "fp", "component", "n", F.pandas_udf(sets, "own long, shingles binary")(text_bytes()).alias("s"))
+    texts = materialize(texts.where("s.own = node").select("node", "fp", "component", "n", "s.shingles"), "shingles")
+    blocks = texts.select("node", "fp", "shingles", F.explode(_blocks_of("component", F.col("n"), BLOCK)).alias("d")).select("node", "fp", "shingles", "d.*")
+    alike = blocks.repartition(2 * n, "bucket").sortWithinPartitions("bucket").mapInPandas(_alike(radius, similarity), "a long, b long")
+    named = components(alike).withColumnRenamed("component", "group")
+    groups = materialize(prints.join(named, "node", "left").select("node", "doc_id", F.coalesce("group", "node").alias("group")), "groups")
+    smallest = groups.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    by_node = materialize(groups.join(smallest, "group").select("node", "component_id"), "texts")
+    return rows.join(by_node, "node").select("doc_id", "component_id")
+
+
+def _blocks_of(key: str, n: Column, block: int) -> Column:
+    """For a row of a key with n rows: the pairs of blocks, as bucket, in which its own block is; also that block, and whether the two differ."""
+    count = F.greatest(F.ceil(n / block), F.least(F.lit(8), F.ceil(n / 128))).cast("int")
+    own = F.pmod(F.xxhash64("node"), count.cast("long")).cast("int")
+
+    def deal(other: Column) -> Column:
+        low, high = F.least(own, other), F.greatest(own, other)
+        return F.struct(F.xxhash64(F.lit(1), key, low, high).alias("bucket"), own.alias("block"), (low != high).alias("cross"))
+
+    return F.transform(F.sequence(F.lit(0), count - 1), deal)
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, one document of each group of similar ones: that with the smallest doc_id. A document is a doc_id: rows that
     repeat a kept one all stay, as do rows without one."""
-    found = near_duplicates(docs, shingle).where("doc_id = component_id").select("doc_id").distinct()
+    found = similar(docs, shingle, similarity).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
