@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.sources.scratch import materialize, shared_dir
 
-__all__ = ["WORD", "materialize", "partitions", "read", "shared_dir", "text_bytes"]
+__all__ = ["WORD", "materialize", "partitions", "read", "shared_dir", "small_batches", "text_bytes"]
 
 #: A word of every operator here: a run of bytes other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +17,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of an Arrow batch of texts, where the session has Spark's own larger bound.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches for Python workers, two of which may share a small executor; a bound that was set lower stays."""
+    if not spark.conf.isModifiable(_BATCH):
+        return
+    digits = "".join(c for c in spark.conf.get(_BATCH) if c.isdigit() or c == "-")
+    if not 0 < int(digits or 0) <= BATCH_BYTES or spark.conf.get(_BATCH).rstrip("bB") != digits:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def text_bytes(name: str = "text") -> Column:
     """The text as UTF-8 bytes; null becomes empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

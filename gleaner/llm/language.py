@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize, text_bytes
+from gleaner.llm.common import materialize, small_batches, text_bytes
+from gleaner.llm.held import held, release
 from gleaner.llm.piece_model import NORMAL, SPACE, load
 from gleaner.llm.words import slices, words_of
 
@@ -146,13 +147,8 @@ def units(word: str) -> list[str]:
     return out
 
 
-_PIECES: dict[str, Pieces] = {}
-
-
 def _pieces(path: str) -> Pieces:
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
+    return held(("language", path), lambda: Pieces(path))
 
 
 def train(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE_PER_LANGUAGE, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -162,6 +158,7 @@ def train(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE_PER_LANGUAG
     driver takes a count for each language and a number for each piece and language, both bounded by the vocabulary and MOST_LANGUAGES.
     """
     spark = labelled.sparkSession
+    small_batches(spark)
     rows = labelled.where(F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
@@ -209,8 +206,9 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, vocabulary
     texts do not all score 1. The model sent along is bounded by the vocabulary and MOST_LANGUAGES.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(np.vstack([table, np.full((1, len(languages)), UNKNOWN)]))
-    most = 8_000_000 // max(1, len(languages))
+    most = 4_000_000 // max(1, len(languages))
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def score(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -250,6 +248,8 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, vocabulary
             best = share.argmax(1)
             none = count == 0
             yield pd.DataFrame({"lang_pred": np.where(none, UNDETERMINED, np.array(languages, dtype=object)[best]), "score": np.where(none, 0.0, share[np.arange(len(best)), best])})
+        del known, values
+        release()
 
     run = F.pandas_udf(score, "lang_pred string, score double")
     with_model = docs.select(*rest, run(text_bytes()).alias("__gleaner_language"))

@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm.coder import UnitCoder
-from gleaner.llm.common import text_bytes
+from gleaner.llm.common import small_batches, text_bytes
+from gleaner.llm.held import held, release
 from gleaner.llm.piece_model import BPE, BYTE, NORMAL, SPACE, UNIGRAM, UNKNOWN, USER_DEFINED, PieceModel, load
 from gleaner.llm.words import Words, ragged, slices
 
 
-def build(model: PieceModel):
-    """A tokenizers.Tokenizer for a unigram or BPE model."""
+def build(model: PieceModel, whole: bool = True):
+    """A tokenizers.Tokenizer for a unigram or BPE model: of whole texts, or of units, which have no dummy prefix to come."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     if not model.escape_whitespaces:
@@ -46,7 +47,7 @@ def build(model: PieceModel):
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.remove_extra_whitespaces:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
-    steps += [normalizers.Prepend(SPACE)] if model.add_dummy_prefix else []
+    steps += [normalizers.Prepend(SPACE)] if model.add_dummy_prefix and whole else []
     tokenizer.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", SPACE)])
     if splits(model):
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"), "isolated")
@@ -90,16 +91,10 @@ class Codec:
         import sentencepiece
 
         self.model = load(path)
-        self.tokenizer = build(self.model)
+        self.cut = plain(self.model)
+        self.tokenizer = build(self.model, whole=not self.cut)
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path) if verify else None
-        self.cut = None
-        if plain(self.model):
-            from tokenizers import Tokenizer
-
-            self.cut = Tokenizer.from_str(self.tokenizer.to_str())
-            from tokenizers import normalizers
-
-            self.cut.normalizer = normalizers.Replace(" ", SPACE)
+        if self.cut:
             self.units = UnitCoder(self._encode_units)
         self.pieces = [SPACE_BYTES.join(p.encode().split(MARK)) for p, _, _ in self.model.pieces]
         for i, (p, _, kind) in enumerate(self.model.pieces):
@@ -114,7 +109,7 @@ class Codec:
         self.piece_bytes = np.frombuffer(b"".join(self.pieces), dtype=np.uint8)
 
     def _encode_units(self, units: list[str]) -> list[list[int]]:
-        ids = [e.ids for e in self.cut.encode_batch_fast(units, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         if self.reference is not None:
             # A unit is a text's start without its dummy space.
             theirs = self.reference.encode([u[1:] for u in units], num_threads=1)
@@ -125,7 +120,7 @@ class Codec:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        if self.cut is not None:
+        if self.cut:
             return self.units(units_of(texts))
         whole = [t.decode("utf-8", "replace") for t in texts]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
@@ -147,13 +142,10 @@ class Codec:
 
 _CODED = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())]
 SPACE_BYTES, MARK = b" ", SPACE.encode()
-_CODECS: dict[tuple[str, bool], Codec] = {}
 
 
 def codec(path: str, verify: bool = True) -> Codec:
-    if (path, verify) not in _CODECS:
-        _CODECS[path, verify] = Codec(path, verify)
-    return _CODECS[path, verify]
+    return held(("piece codec", path, verify), lambda: Codec(path, verify))
 
 
 def encode(docs: DataFrame, path: str, verify: bool = True) -> DataFrame:
@@ -162,6 +154,7 @@ def encode(docs: DataFrame, path: str, verify: bool = True) -> DataFrame:
     A null or empty text has no ids, and decodes to the empty text. Columns of those three names are replaced; all others and all
     rows stay. verify: every new unit or text must have the ids that the sentencepiece library gives it, else the task fails.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("text", "piece_ids", "n_pieces", "round_trip")]
     rows = docs.select(*kept, text_bytes().alias("text"))
     schema = T.StructType([*docs.select(*kept).schema.fields, *_CODED])
@@ -176,6 +169,7 @@ def encode(docs: DataFrame, path: str, verify: bool = True) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(flat.astype(np.int32)))
                 own_rows = batch.slice(s.start, s.stop - s.start).columns[: len(kept)]
                 yield pa.RecordBatch.from_arrays([*own_rows, ids, pa.array(n, pa.int64()), pa.array(same, pa.bool_())], schema.fieldNames())
+        release()
 
     return rows.mapInArrow(run, schema)
 

@@ -35,6 +35,8 @@ MISS = 0.01
 SPREADS = 4.0
 #: Rows of a block: larger buckets and components are dealt out as pairs of blocks.
 BLOCK = 1000
+#: Already groups of more rows than this are dealt out, to so many blocks at most, as one task would do what several can.
+SMALL, SPREAD = 128, 8
 _PAIRS = 1 << 17
 
 
@@ -213,7 +215,8 @@ def near_duplicates(vectors: DataFrame, threshold: float, miss: float = MISS, bl
 
 def _dealt(key, block: int):
     """Copies of a row for the pairs of blocks of its key that its own block (by vec_id) is in; n is the number of rows of the key."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    n = F.col("n")
+    blocks = F.greatest(F.ceil(n / block), F.least(F.lit(SPREAD), F.ceil(n / SMALL))).cast("int")
     own = F.pmod(F.xxhash64("vec_id"), blocks.cast("long")).cast("int")
 
     def deal(other):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize, partitions, text_bytes
+from gleaner.llm.common import materialize, partitions, small_batches, text_bytes
 from gleaner.llm.components import components, local_roots
 from gleaner.llm.grouping import whole_groups
 from gleaner.llm.held import release
@@ -161,6 +161,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     empty table gives no rows. Other columns are not read.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in column:
             yield pd.Series(fingerprints(series.tolist(), shingle).view(np.int64))
@@ -249,6 +251,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     are then held against each other exactly, each component in blocks, so a link that is given is always one.
     """
     n = partitions(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in column:

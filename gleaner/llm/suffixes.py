@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import materialize
+from gleaner.llm.common import materialize, small_batches
+from gleaner.llm.held import release
 from gleaner.llm.words import mix, windows, words_of
 
 DEPTH = 13
@@ -135,6 +136,7 @@ def _pack(docs: DataFrame, depth: int) -> DataFrame:
                     yield close()
         if held:
             yield close()
+        release()
 
     return materialize(docs.mapInArrow(run, "chunk long, data binary, counts binary"), "chunks")
 
@@ -197,6 +199,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, group_suffixes: int = GR
     null doc_id counts as the largest. Null texts stay null and have no words. All rows and other columns stay as they are, but for columns
     named n_words and n_removed, which are replaced.
     """
+    small_batches(docs.sparkSession)
     kept = docs.select([c for c in docs.columns if c not in ("n_words", "n_removed")])
     chunks = _pack(kept, depth)
     base, ways = _plan(chunks, group_suffixes)
@@ -214,6 +217,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, group_suffixes: int = GR
                 starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
                 ends = np.r_[starts[1:], len(order)]
                 yield pd.DataFrame({"chunk": chunk, "group": group[order][starts], "payload": [_pack_labels(labels[a:b], docs_[a:b]) for a, b in zip(starts, ends)]})
+        release()
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []

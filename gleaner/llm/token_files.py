@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.coder import UnitCoder
-from gleaner.llm.common import materialize, partitions, text_bytes
+from gleaner.llm.common import materialize, partitions, small_batches, text_bytes
+from gleaner.llm.held import held, release
 from gleaner.llm.words import slices, words_of
 
 #: Bits of each level: together the 32 of any id.
@@ -31,7 +32,6 @@ WIDTHS = (8, 8, 16)
 BLOCK = 512
 SHARD_IDS = 1 << 20
 END_ID = 1
-_CODERS: dict[str, UnitCoder] = {}
 
 
 def pack(ids: np.ndarray, doc_ids: list[int | None], first: np.ndarray) -> bytes:
@@ -104,12 +104,14 @@ class Shard:
 
 def _coder(path: str) -> UnitCoder:
     """Words are encoded apart: this vocabulary's tokenizer never joins what white space parts."""
-    if path not in _CODERS:
+
+    def make() -> UnitCoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _CODERS[path] = UnitCoder(lambda units: [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)])
-    return _CODERS[path]
+        return UnitCoder(lambda units: [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)])
+
+    return held(("token files", path), make)
 
 
 def encode_texts(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -125,6 +127,8 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Data
     docs are not read.
     """
 
+    small_batches(docs.sparkSession)
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, shard, done = TaskContext.get().partitionId(), 0, 0
         ids, lengths, names = [], [], []
@@ -149,6 +153,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Data
                     yield close()
         if names:
             yield close()
+        release()
 
     rows = docs.select("doc_id", text_bytes().alias("text"))
     tie = F.xxhash64("text")
