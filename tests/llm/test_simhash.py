@@ -120,3 +120,66 @@ def test_odd_ids_and_empty_table(spark):
     assert kept == sorted([None, None, 5, 5, 6], key=str) and simhash.keep_one(rows).columns == rows.columns
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_one(empty).collect() == []
+
+
+def jaccard_groups(texts, shingle, similarity):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split()
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else {()})
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def edited(seed, n=60):
+    draw = random.Random(seed)
+    words = ["".join(draw.choices("abcdefgh", k=draw.randint(2, 6))) for _ in range(400)]
+    out = []
+    for k in range(n):
+        base = draw.choices(words, k=draw.randint(80, 300))
+        out.append(" ".join(base))
+        for _ in range(draw.randint(0, 3)):
+            w = list(base)
+            for _ in range(draw.randint(1, 1 + len(w) // 60)):
+                w[draw.randrange(len(w))] = draw.choice(words)
+            out.append("\n".join(w))
+        if k == 0:  # a crowd of near copies
+            out += [" ".join([*base[:i], "Odd", *base[i + 1 :]]) for i in range(min(len(base), 80))]
+    return [*out, *out[:3], "", None, "one", "ONE", "a b c d e f"]
+
+
+@pytest.mark.parametrize(("block", "crowd"), [(1000, 20_000), (16, 8)])
+def test_similar_texts_equal_brute_force(spark, monkeypatch, block, crowd):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rows = edited(9)
+    table = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], SCHEMA).repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(table).collect()}
+    want = jaccard_groups(rows, 5, 0.8)
+    assert len(got) == len(rows)
+    wrong = [i for i, r in enumerate(want) if got[i] != r]
+    split = [i for i in wrong if want[got[i]] == want[i]]
+    assert wrong == split, "texts that are not alike were linked"
+    assert len(split) <= 0.02 * len(rows), "links were missed"
+    if not wrong:
+        kept = sorted(r["doc_id"] for r in simhash.keep_one(table).collect())
+        assert kept == sorted(set(want))
+
+
+def test_similar_with_odd_ids(spark):
+    rows = spark.createDataFrame([(None, "a b c d", ""), (5, "a b c d", ""), (5, "a b c d", ""), (None, "q r s t u", ""), (7, None, ""), (6, "", "")], SCHEMA)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.similar(rows).collect()), key=str)
+    assert got == sorted([(None, 5), (5, 5), (5, 5), (None, None), (7, 6), (6, 6)], key=str)
+    assert simhash.similar(spark.createDataFrame([], SCHEMA)).collect() == []
