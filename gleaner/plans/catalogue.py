@@ -6,7 +6,7 @@ lineitem rows for photos (upright where l_tax > l_discount), part names for a mo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import display, numbers, text
@@ -108,7 +108,9 @@ def bucket_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda s: s["p_name"]).alias("names"))
+    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    first = _read(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", rank.alias("rank")).where(F.col("rank") <= matching.MOST_MENU)
+    rows = first.groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda s: s["p_name"]).alias("names"))
     menu = F.when(F.col("p_brand").endswith("1"), F.array().cast("array<string>")).otherwise(F.col("names"))
     listed = matching.reference_list(menu, F.col("names"))
     return rows.select("p_brand", F.size(listed).alias("n"), text.numbered(listed).alias("lines"))
