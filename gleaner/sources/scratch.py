@@ -23,4 +23,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends here, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/gleaner/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._gleaner_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of materialize that no later job reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._gleaner_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
