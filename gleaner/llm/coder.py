@@ -11,7 +11,7 @@ from gleaner.llm.words import Words, ragged
 #: Distinct units that a worker keeps; beyond that it starts anew.
 MOST_UNITS = 1_500_000
 #: Units encoded at once: what a tokenizer returns for each is large until its ids are taken.
-AT_ONCE = 16_384
+AT_ONCE = 4096
 
 
 class UnitCoder:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.sources.scratch import materialize, shared_dir
+from gleaner.sources.scratch import drop, materialize, shared_dir
 
-__all__ = ["WORD", "materialize", "partitions", "read", "shared_dir", "small_batches", "text_bytes"]
+__all__ = ["WORD", "drop", "materialize", "partitions", "read", "shared_dir", "small_batches", "text_bytes"]
 
 #: A word of every operator here: a run of bytes other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,7 +18,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 #: Bytes of an Arrow batch of texts, where the session has Spark's own larger bound.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize, partitions, small_batches, text_bytes
+from gleaner.llm.common import drop, materialize, partitions, small_batches, text_bytes
 from gleaner.llm.components import components, local_roots
 from gleaner.llm.grouping import whole_groups
 from gleaner.llm.held import release
-from gleaner.llm.words import lowered, ragged, slices, words_of
+from gleaner.llm.words import lowered, mix, ragged, slices, words_of
 
 SHINGLE = 5
 RADIUS = 3
@@ -36,7 +36,9 @@ HOT = 1000
 #: distance, and the rows of a bucket and of a block of a component that a task takes together.
 SIMILARITY = 0.8
 MISS = 0.02
-CROWD, BLOCK = 20_000, 1000
+CROWD, BLOCK = 8192, 1000
+#: Bits of the wide fingerprints that tell such texts from others, and one in how many rows is counted to find crowded buckets.
+WIDE, SAMPLE = 128, 16
 #: Reference fingerprints, from a seed: random ones tell near pairs from others best.
 PIVOTS = np.random.default_rng(7).integers(0, 2**64, 16, dtype=np.uint64)
 _STEP = 1 << 17
@@ -46,7 +48,7 @@ _PAIRS = 1 << 20
 def fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """The fingerprint of each text: XXH64 of its lower-case word shingles, bit by bit set where over half the shingles have it."""
     out = []
-    for s in slices(texts, 4 << 20):
+    for s in slices(texts):
         hashes, many, _ = _shingles(texts[s], shingle)
         out.append(_fingerprints(hashes, many))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
@@ -104,9 +106,7 @@ FINE = [_masks([h for block in BLOCKS if block not in two for h in _halves(*bloc
 
 def pairs_within(groups: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Indices of all pairs of a group whose fingerprints differ in at most radius bits. Pairs that the pivots discard are not weighed."""
-    # At a wide radius hardly a pair is discarded, so further coordinates would cost more than the weighing that they spare.
-    pivots = PIVOTS if radius <= 8 else PIVOTS[:1]
-    table = np.bitwise_count(prints[:, None] ^ pivots[None, :]).astype(np.int16)
+    table = np.bitwise_count(prints[:, None] ^ PIVOTS[None, :]).astype(np.int16)
     place = groups.astype(np.int64) * 128 + table[:, 0]
     order = np.argsort(place, kind="stable")
     place, table, prints = place[order], table[order], prints[order]
@@ -118,7 +118,7 @@ def pairs_within(groups: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, "right")))
         a = np.repeat(np.arange(at, stop), many[at:stop])
         b = ragged(many[at:stop], np.arange(at, stop) + 1)
-        for p in range(1, len(pivots)):
+        for p in range(1, len(PIVOTS)):
             near = np.abs(table[a, p] - table[b, p]) <= radius
             a, b = a[near], b[near]
         near = np.bitwise_count(prints[a] ^ prints[b]) <= radius
@@ -186,23 +186,52 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def wide_shape(n: int, similarity: float) -> tuple[int, int, int]:
-    """For fingerprints of texts whose shingle sets have a Jaccard similarity: most bits apart, bits of a key, and number of keys.
+    """For WIDE-bit fingerprints of texts whose shingle sets have a Jaccard similarity: most bits apart, bits of a key, and keys.
 
     Two sets of one size differ in a share acos(2s / (1 + s)) / pi of the bits, give or take a binomial spread.
     """
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    spread = math.sqrt(64 * apart * (1 - apart))
-    bits = min(40, max(6, round(math.log2(max(n, 2))) - 4))
-    same = (1 - (64 * apart + 0.7 * spread) / 64) ** bits
-    return int(64 * apart + 2.3 * spread), bits, math.ceil(math.log(MISS) / math.log(1 - same)) if same < 1 else 1
+    spread = math.sqrt(WIDE * apart * (1 - apart))
+    bits = min(40, max(6, round(math.log2(max(n, 2))) - 6))
+    same = (1 - (WIDE * apart + 0.7 * spread) / WIDE) ** bits
+    return int(WIDE * apart + 2.3 * spread), bits, math.ceil(math.log(MISS) / math.log(1 - same)) if same < 1 else 1
+
+
+def pairs_wide(groups: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs of a group (in runs) whose two words differ in at most radius bits together, as long as radius is wide.
+
+    Of distances to pivots only those of the first word to one pivot are used, as a window: at such a radius hardly a pair is discarded,
+    and further coordinates would cost more than the weighing that they spare.
+    """
+    place = groups.astype(np.int64) * 256 + np.bitwise_count(low ^ PIVOTS[0])
+    order = np.argsort(place, kind="stable")
+    place, low, high = place[order], low[order], high[order]
+    many = np.searchsorted(place, place + radius, "right") - np.arange(len(place)) - 1
+    ends = np.cumsum(many)
+    out_a, out_b, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while at < len(many):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, "right")))
+        a, b = np.repeat(np.arange(at, stop), many[at:stop]), ragged(many[at:stop], np.arange(at, stop) + 1)
+        first = np.bitwise_count(low[a] ^ low[b])
+        near = first <= radius
+        a, b, first = a[near], b[near], first[near]
+        near = first + np.bitwise_count(high[a] ^ high[b]) <= radius
+        out_a.append(order[a[near]])
+        out_b.append(order[b[near]])
+        at = stop
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _words(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key = pdf["bucket"].to_numpy()
+    return np.cumsum(np.r_[0, key[1:] != key[:-1]]), pdf["fp"].to_numpy().view(np.uint64), pdf["fp2"].to_numpy().view(np.uint64)
 
 
 def _near(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, "bucket"):
             if len(pdf) > 1:
-                key = pdf["bucket"].to_numpy()
-                a, b = pairs_within(np.cumsum(np.r_[0, key[1:] != key[:-1]]), pdf["fp"].to_numpy().view(np.uint64), radius)
+                a, b = pairs_wide(*_words(pdf), radius)
                 yield _forest(pdf["node"].to_numpy(), a, b)
 
     return run
@@ -220,10 +249,10 @@ def _alike(radius: int, similarity: float):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, "bucket"):
-            key, node, block, cross = (pdf[c].to_numpy() for c in ("bucket", "node", "block", "cross"))
+            node, block, cross = (pdf[c].to_numpy() for c in ("node", "block", "cross"))
             sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["shingles"]]
             sizes = np.array([len(x) for x in sets])
-            a, b = pairs_within(np.cumsum(np.r_[0, key[1:] != key[:-1]]), pdf["fp"].to_numpy().view(np.uint64), radius)
+            a, b = pairs_wide(*_words(pdf), radius)
             may = (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])) & (node[a] != node[b]) & (~cross[a] | (block[a] != block[b]))
             root = list(range(len(pdf)))
             out = []
@@ -258,9 +287,11 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
             texts, parts = series.tolist(), []
             for s in slices(texts):
                 hashes, many, whole = _shingles(texts[s], shingle)
-                parts.append((_fingerprints(hashes, many), whole))
-            fp, node = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64),) * 2
-            yield pd.DataFrame({"fp": fp.view(np.int64), "node": node.view(np.int64)})
+                with np.errstate(over="ignore"):
+                    other = mix(hashes + np.uint64(0x9E3779B97F4A7C15))
+                parts.append((_fingerprints(hashes, many), _fingerprints(other, many), whole))
+            columns = [np.concatenate(x).view(np.int64) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 3
+            yield pd.DataFrame(dict(zip(("fp", "fp2", "node"), columns)))
         release()
 
     def sets(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -273,26 +304,31 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
             yield pd.DataFrame({"own": np.concatenate(nodes) if nodes else np.zeros(0, np.int64), "shingles": out})
         release()
 
-    rows = docs.select("doc_id", F.pandas_udf(run, "fp long, node long")(text_bytes()).alias("v")).select("doc_id", "v.*")
+    rows = docs.select("doc_id", F.pandas_udf(run, "fp long, fp2 long, node long")(text_bytes()).alias("v")).select("doc_id", "v.*")
     rows = materialize(rows, "fingerprints")
-    prints = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "distinct-texts")
+    prints = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2")), "distinct-texts")
     radius, bits, tables = wide_shape(prints.count(), similarity)
     draw = np.random.default_rng(SEED)
-    masks = [int(sum(1 << int(b) for b in draw.choice(64, bits, replace=False))) for _ in range(tables)]
-    choices = F.posexplode(F.array(*[F.lit(m - (m >> 63 << 64)) for m in masks])).alias("choice", "mask")
-    keyed = prints.select("node", "fp", choices).select("node", "fp", F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    # Few buckets are crowded; only those are dealt out as pairs of blocks.
-    crowded = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD), "crowded-buckets")
-    dealt = keyed.join(crowded, "key", "left").select("node", "fp", F.when(F.col("n").isNull(), F.array(F.col("key"))).otherwise(_blocks_of("key", F.col("n"), CROWD)["bucket"]).alias("b"))
-    dealt = dealt.select("node", "fp", F.explode("b").alias("bucket")).repartition(2 * n, "bucket").sortWithinPartitions("bucket")
+    wide = [sum(1 << int(b) for b in draw.choice(WIDE, bits, replace=False)) for _ in range(tables)]
+    halves = [[x - (x >> 63 << 64) for x in (m & (1 << 64) - 1, m >> 64)] for m in wide]
+    choices = F.posexplode(F.array(*[F.struct(F.lit(a).alias("m"), F.lit(b).alias("m2")) for a, b in halves])).alias("choice", "mask")
+    bits_of = F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask.m")), F.col("fp2").bitwiseAND(F.col("mask.m2")))
+    keyed = prints.select("node", "fp", "fp2", choices).select("node", "fp", "fp2", bits_of.alias("key"))
+    # Few buckets are crowded, which a sixteenth of the rows tells; only those are dealt out as pairs of blocks.
+    counts = keyed.where(F.pmod("node", F.lit(SAMPLE)) == 0).groupBy("key").agg((F.count("*") * SAMPLE).alias("n"))
+    crowded = materialize(counts.where(F.col("n") > CROWD), "crowded-buckets")
+    spread = F.when(F.col("n").isNull(), F.array("key")).otherwise(_blocks_of("key", F.col("n"), CROWD)["bucket"])
+    dealt = keyed.join(crowded, "key", "left").select("node", "fp", "fp2", F.explode(spread).alias("bucket"))
+    dealt = dealt.repartition(2 * n, "bucket").sortWithinPartitions("bucket")
     found = materialize(components(dealt.mapInPandas(_near(radius), "a long, b long")), "candidates")
     sized = found.join(found.groupBy("component").agg(F.count("*").alias("n")), "component")
-    members = prints.join(sized, "node").where("doc_id is not null").select("doc_id", "node", "fp", "component", "n")
-    texts = docs.select("doc_id", "text").join(members, "doc_id").select("node", "fp", "component", "n", F.pandas_udf(sets, "own long, shingles binary")(text_bytes()).alias("s"))
-    texts = materialize(texts.where("s.own = node").select("node", "fp", "component", "n", "s.shingles"), "shingles")
-    blocks = texts.select("node", "fp", "shingles", F.explode(_blocks_of("component", F.col("n"), BLOCK)).alias("d")).select("node", "fp", "shingles", "d.*")
+    members = prints.join(sized, "node").where("doc_id is not null").select("doc_id", "node", "fp", "fp2", "component", "n")
+    texts = docs.select("doc_id", "text").join(members, "doc_id").select("node", "fp", "fp2", "component", "n", F.pandas_udf(sets, "own long, shingles binary")(text_bytes()).alias("s"))
+    texts = materialize(texts.where("s.own = node").select("node", "fp", "fp2", "component", "n", "s.shingles"), "shingles")
+    blocks = texts.select("node", "fp", "fp2", "shingles", F.explode(_blocks_of("component", F.col("n"), BLOCK)).alias("d")).select("node", "fp", "fp2", "shingles", "d.*")
     alike = blocks.repartition(2 * n, "bucket").sortWithinPartitions("bucket").mapInPandas(_alike(radius, similarity), "a long, b long")
     named = components(alike).withColumnRenamed("component", "group")
+    drop(crowded, found, texts)
     groups = materialize(prints.join(named, "node", "left").select("node", "doc_id", F.coalesce("group", "node").alias("group")), "groups")
     smallest = groups.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     by_node = materialize(groups.join(smallest, "group").select("node", "component_id"), "texts")

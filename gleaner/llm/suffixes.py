@@ -31,8 +31,8 @@ from gleaner.llm.words import mix, windows, words_of
 
 DEPTH = 13
 #: Bytes of text in a chunk, and suffixes in a group, which bound what a task holds.
-CHUNK_BYTES = 8 << 20
-GROUP_SUFFIXES = 200_000
+CHUNK_BYTES = 4 << 20
+GROUP_SUFFIXES = 800_000
 FEWEST_GROUPS = 96
 _LONG = 3  # words of the longer prefix
 _FIRST_BITS, _NEXT_BITS = 11, 4

@@ -101,7 +101,7 @@ def windows(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarr
         return mix(out[at]), at
 
 
-def slices(texts: list[bytes], most: int = 4 << 20) -> Iterator[slice]:
+def slices(texts: list[bytes], most: int = 2 << 20) -> Iterator[slice]:
     """Ranges of texts of about most bytes, so that a batch of long texts takes bounded memory."""
     at, size = 0, 0
     for i, t in enumerate(texts):

@@ -164,6 +164,7 @@ def edited(seed, n=60):
 def test_similar_texts_equal_brute_force(spark, monkeypatch, block, crowd):
     monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "SAMPLE", 1 if crowd < 100 else 16)
     rows = edited(9)
     table = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], SCHEMA).repartition(4)
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar(table).collect()}
