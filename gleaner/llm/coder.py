@@ -9,9 +9,9 @@ import numpy as np
 from gleaner.llm.words import Words, ragged
 
 #: Distinct units that a worker keeps; beyond that it starts anew.
-MOST_UNITS = 1_500_000
+MOST_UNITS = 2_000_000
 #: Units encoded at once: what a tokenizer returns for each is large until its ids are taken.
-AT_ONCE = 4096
+AT_ONCE = 16_384
 
 
 class UnitCoder:
