@@ -34,12 +34,9 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: once for each whole time its words are taken, and once more where more than half of them are. Rows without a doc_id go together."""
-    taken = mixing.mix(docs).select("doc_id", "size", "taken")
-    times = F.floor((2 * F.col("taken") + F.col("size") - 1) / (2 * F.col("size"))).cast("int")
-    often = taken.where("taken > 0").groupBy("doc_id").agg(F.max(times).alias("__gleaner_times")).where("__gleaner_times > 0")
-    often = often.withColumnRenamed("doc_id", "__gleaner_id")
-    joined = docs.join(often, docs["doc_id"].eqNullSafe(often["__gleaner_id"]))
+    """Each document as often as the mix takes it, in whole copies drawn without bias: see mixing.copies. Rows of a source without a doc_id go together."""
+    often = mixing.copies(mixing.mix(docs)).select(F.col("doc_id").alias("__gleaner_id"), F.col("source").alias("__gleaner_source"), F.col("times").alias("__gleaner_times"))
+    joined = docs.join(often, docs["doc_id"].eqNullSafe(often["__gleaner_id"]) & docs["source"].eqNullSafe(often["__gleaner_source"]))
     return joined.withColumn("__gleaner_time", F.explode(F.sequence(F.lit(1), F.col("__gleaner_times")))).select(docs.columns)
 
 

@@ -130,3 +130,22 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     full = some.select(*columns, "source", taken.cast("long").alias("taken"))
     none = dealt.where("size = 0").select(*columns, "source", F.lit(0).cast("long").alias("taken"))
     return full.unionByName(none)
+
+
+def copies(taken: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, source and times, how many whole copies stand for the words that mix took; ids with none are left out.
+
+    Rows of a source that share a doc_id, or have none, go together. Each source is dealt into shards by doc_id; in a shard, by size, the
+    running sum of taken / size is cut at the whole numbers after a seeded start. So a document's mean number of copies is taken / size,
+    and a shard's copies have its taken words within the words of its largest document.
+    """
+    whole = taken.groupBy("doc_id", "source").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.max("source_size").alias("source_size")).where("taken > 0")
+    shards = F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / shard_words)).cast("long")
+    draw = F.xxhash64(F.lit(seed), "doc_id")
+    # In units of a 2^30th, so that sums are exact.
+    whole = whole.select("doc_id", "source", "size", draw.alias("draw"), F.pmod(F.xxhash64(draw), shards).alias("shard"), F.expr("taken * 1073741824L div size").alias("share"))
+    start = F.pmod(F.xxhash64(F.lit(seed + 1), "source", "shard"), F.lit(1 << 30))
+    stream = Window.partitionBy("source", "shard").orderBy("size", "draw", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.sum("share").over(stream) + start
+    times = F.shiftright(upto, 30) - F.shiftright(upto - F.col("share"), 30)
+    return whole.select("doc_id", "source", times.cast("int").alias("times")).where("times > 0")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from gleaner.llm import mixing
 
 SCHEMA = "doc_id long, source string, text string, size string, taken string, shard string"
@@ -70,3 +71,53 @@ def test_no_rows_and_no_words(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     got = mixing.mix(spark.createDataFrame([(1, "a", "", "", "", ""), (2, None, None, "", "", "")], SCHEMA)).collect()
     assert sorted((r["doc_id"], r["size"], r["target"], r["taken"]) for r in got) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+
+
+def documents(shares, words=400_000):
+    draw = random.Random(5)
+    out = []
+    for source, share in shares.items():
+        left = int(share * words)
+        while left > 0:
+            n = min(left, draw.choice([3, 40, 200, 900, 2500]))
+            out.append((len(out), source, "w " * n, "x", "y", "z"))
+            left -= n
+    return out
+
+
+def emitted(rows):
+    out = {}
+    for s, n in rows:
+        out[s] = out.get(s, 0) + n
+    return out
+
+
+@pytest.mark.parametrize("ratio", [0.3, 0.5, 0.8, 1.6])
+def test_whole_copies_of_a_hot_source_have_its_words(spark, ratio):
+    data = documents({"hot": 0.8, "other": 0.2})
+    table = spark.createDataFrame(data, SCHEMA)
+    size = {(i, s): len(t.split()) for i, s, t, *_ in data}
+    got = mixing.copies(mixing.mix(table, weights=(0.8, 0.2), share=ratio, shard_words=100_000), shard_words=100_000).collect()
+    words = emitted((r["source"], r["times"] * size[r["doc_id"], r["source"]]) for r in got)
+    for s, shards in (("hot", 4), ("other", 1)):
+        want = ratio * sum(n for (_, t), n in size.items() if t == s)
+        assert abs(words[s] - want) <= shards * (2500 + mixing.BLOCK) + 2 * mixing.BLOCK, (s, words[s], want)
+    long = sum(r["times"] * size[r["doc_id"], r["source"]] for r in got if size[r["doc_id"], r["source"]] >= 192)
+    assert long == pytest.approx(ratio * sum(n for n in size.values() if n >= 192), rel=0.1)
+    assert max(r["times"] for r in got) <= 2
+
+
+def test_the_stage_gives_each_source_its_target(spark):
+    data = documents({"a": 0.46, "b": 0.19, "hot": 0.35})
+    sizes = emitted((s, len(t.split())) for _, s, t, *_ in data)
+    want = dict(zip(sorted(sizes), mixing.targets([sizes[s] for s in sorted(sizes)], mixing.WEIGHTS, 1.5 * sum(sizes.values()))))
+    assert want["hot"] / sizes["hot"] == pytest.approx(0.57, abs=0.01)
+    got = emitted((r["source"], len(r["text"].split())) for r in corpus_pipeline.mixed(spark, spark.createDataFrame(data, SCHEMA), "").collect())
+    assert all(abs(got[s] - want[s]) <= 2 * 2500 + 4 * mixing.BLOCK for s in want), (got, want)
+
+
+def test_copies_of_rows_that_share_an_id(spark):
+    rows = [(1, "a", 10, 100, 10), (1, "a", 20, 100, 20), (1, "b", 7, 7, 14), (None, "a", 5, 100, 10), (None, None, 4, 4, 4), (3, "a", 0, 100, 0), (4, "a", 9, 100, 0)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, size long, source_size long, taken long")
+    got = {(r["doc_id"], r["source"]): r["times"] for r in mixing.copies(table).collect()}
+    assert got == {(1, "a"): 1, (1, "b"): 2, (None, "a"): 2, (None, None): 1}
