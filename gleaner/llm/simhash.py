@@ -39,6 +39,8 @@ MISS = 0.02
 CROWD, BLOCK = 8192, 1000
 #: Bits of the wide fingerprints that tell such texts from others, and one in how many rows is counted to find crowded buckets.
 WIDE, SAMPLE = 128, 16
+#: Texts of so few shingles that a link within SIMILARITY drops at most so many of either's are linked exactly, through what is left of them.
+DROPS, MOST_FEW = 2, 64
 #: Reference fingerprints, from a seed: random ones tell near pairs from others best.
 PIVOTS = np.random.default_rng(7).integers(0, 2**64, 16, dtype=np.uint64)
 _STEP = 1 << 17
@@ -88,6 +90,11 @@ def _fingerprints(hashes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > shingles[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
+def _sets(hashes: np.ndarray, shingles: np.ndarray) -> list[np.ndarray]:
+    """Each text's distinct shingles, sorted."""
+    return [np.unique(x) for x in np.split(hashes, np.cumsum(shingles)[:-1])]
+
+
 def _masks(parts: list[int], together: int) -> list[int]:
     """Each choice of together of the parts (masks), as one mask; signed, as a long."""
     return [m - (m >> 63 << 64) for m in (sum(c) for c in combinations(parts, together))]
@@ -273,25 +280,73 @@ def _alike(radius: int, similarity: float):
     return run
 
 
+def few_shingles(similarity: float) -> int:
+    """The most distinct shingles of a text that is linked through its cores: a similar text lacks at most DROPS of them."""
+    n = DROPS
+    while n < MOST_FEW and not n + 1 - (DROPS + 1) >= similarity * (n + 1):
+        n += 1
+    return n
+
+
+def _cores(similarity: float, few: int):
+    """key, core, level, node: the sum of each text's shingles, and for texts of few also without any choice of level of them, as long as the core that is left can be similar."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            node, size = pdf["node"].to_numpy(), pdf["size"].to_numpy()
+            for n in np.unique(size).tolist():
+                own = np.flatnonzero(size == n)
+                parts = np.frombuffer(b"".join(pdf["few"].iloc[own]), dtype=np.uint64).reshape(len(own), -1)
+                total = parts.sum(axis=1, dtype=np.uint64)
+                for level in range(n + 1 if n <= few else 1):
+                    if n - level < similarity * n:
+                        break
+                    for out in combinations(range(n), level) if level else [()]:
+                        key = total - parts[:, list(out)].sum(axis=1, dtype=np.uint64)
+                        yield pd.DataFrame({"key": key.view(np.int64), "core": np.int32(n - level), "level": np.int32(level), "node": node[own]})
+
+    return run
+
+
+def links_of_few(prints: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that connect all texts of few_shingles or fewer that are similar, and all texts with equal sets, from prints' node, size and few.
+
+    Two sets are similar if both have a core whose share in their union is large enough. Of the texts of a core the one that drops least
+    is linked with each other one that is similar to it; two that are similar to each other both are, since it drops no more than either.
+    """
+    cores = materialize(prints.select("node", "size", "few").mapInPandas(_cores(similarity, few_shingles(similarity)), "key long, core int, level int, node long"), "cores")
+    hubs = cores.groupBy("key", "core").agg(F.min(F.struct("level", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "core", "hub")
+    hubs = materialize(hubs, "core-hubs")  # read anew, so that Spark can split a common core in the join
+    near = F.col("core") >= F.lit(float(similarity)) * (F.col("core") + F.col("level") + F.col("hub.level"))
+    return cores.join(hubs, ["key", "core"]).where(near & (F.col("node") != F.col("hub.node"))).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+
+
 def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id, as near_duplicates has them, where texts link if their sets of shingles have at least that Jaccard similarity.
 
-    Fingerprints only find candidates here, by keys of random bits and a wide radius: see wide_shape for what these may miss. Candidates
-    are then held against each other exactly, each component in blocks, so a link that is given is always one.
+    Fingerprints, of the distinct shingles, only find candidates here, by keys of random bits and a wide radius: see wide_shape for what
+    these may miss. Candidates are then held against each other exactly, each component in blocks, so a link that is given is always one.
+    Texts with equal sets and those of few shingles, whose fingerprints say little, are linked exactly without: see links_of_few.
     """
     n = partitions(docs.sparkSession)
     small_batches(docs.sparkSession)
+    few = few_shingles(similarity)
 
     def run(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in column:
-            texts, parts = series.tolist(), []
+            texts, parts, sizes, left = series.tolist(), [], [], []
             for s in slices(texts):
                 hashes, many, whole = _shingles(texts[s], shingle)
+                own = _sets(hashes, many)
+                hashes, many = np.concatenate(own), np.array([len(x) for x in own])
                 with np.errstate(over="ignore"):
                     other = mix(hashes + np.uint64(0x9E3779B97F4A7C15))
+                    sums = np.split(mix(other), np.cumsum(many)[:-1])
                 parts.append((_fingerprints(hashes, many), _fingerprints(other, many), whole))
+                sizes += many.tolist()
+                left += [x.tobytes() if len(x) <= few else x.sum(dtype=np.uint64).tobytes() for x in sums]
             columns = [np.concatenate(x).view(np.int64) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 3
-            yield pd.DataFrame(dict(zip(("fp", "fp2", "node"), columns)))
+            yield pd.DataFrame(dict(zip(("fp", "fp2", "node"), columns)) | {"size": np.array(sizes, dtype=np.int32), "few": left})
         release()
 
     def sets(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -299,14 +354,14 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
             texts, out, nodes = series.tolist(), [], []
             for s in slices(texts):
                 hashes, many, whole = _shingles(texts[s], shingle)
-                out += [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(many)[:-1])]
+                out += [x.tobytes() for x in _sets(hashes, many)]
                 nodes.append(whole.view(np.int64))
             yield pd.DataFrame({"own": np.concatenate(nodes) if nodes else np.zeros(0, np.int64), "shingles": out})
         release()
 
-    rows = docs.select("doc_id", F.pandas_udf(run, "fp long, fp2 long, node long")(text_bytes()).alias("v")).select("doc_id", "v.*")
+    rows = docs.select("doc_id", F.pandas_udf(run, "fp long, fp2 long, node long, size int, few binary")(text_bytes()).alias("v")).select("doc_id", "v.*")
     rows = materialize(rows, "fingerprints")
-    prints = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2")), "distinct-texts")
+    prints = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("size").alias("size"), F.min("few").alias("few")), "distinct-texts")
     radius, bits, tables = wide_shape(prints.count(), similarity)
     draw = np.random.default_rng(SEED)
     wide = [sum(1 << int(b) for b in draw.choice(WIDE, bits, replace=False)) for _ in range(tables)]
@@ -327,7 +382,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     texts = materialize(texts.where("s.own = node").select("node", "fp", "fp2", "component", "n", "s.shingles"), "shingles")
     blocks = texts.select("node", "fp", "fp2", "shingles", F.explode(_blocks_of("component", F.col("n"), BLOCK)).alias("d")).select("node", "fp", "fp2", "shingles", "d.*")
     alike = blocks.repartition(2 * n, "bucket").sortWithinPartitions("bucket").mapInPandas(_alike(radius, similarity), "a long, b long")
-    named = components(alike).withColumnRenamed("component", "group")
+    named = components(alike.unionByName(links_of_few(prints, similarity))).withColumnRenamed("component", "group")
     drop(crowded, found, texts)
     groups = materialize(prints.join(named, "node", "left").select("node", "doc_id", F.coalesce("group", "node").alias("group")), "groups")
     smallest = groups.groupBy("group").agg(F.min("doc_id").alias("component_id"))

@@ -184,3 +184,46 @@ def test_similar_with_odd_ids(spark):
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.similar(rows).collect()), key=str)
     assert got == sorted([(None, 5), (5, 5), (5, 5), (None, None), (7, 6), (6, 6)], key=str)
     assert simhash.similar(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_texts_that_differ_only_in_repeats_are_linked(spark):
+    draw = random.Random(4)
+    rows = []
+    for k in range(60):
+        w = [f"{k}x{draw.random()}" for _ in range(104)]
+        line = w[30:60]
+        rows += [" ".join(w), " ".join([*w[:60], *line * 20, *w[60:]])]
+    table = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(table).collect()}
+    want = jaccard_groups(rows, 5, 0.8)
+    assert sum(want[i] != i for i in range(len(rows))) == 60
+    missed = sum(got[i] != want[i] for i in range(len(rows)))
+    assert missed <= 3, missed
+    # Equal sets: no link may be missed.
+    rows = [t for k in range(40) for w in [[f"{k}y{j}" for j in range(100)]] for t in (" ".join([*w, *w]), " ".join([*w, *w, *w, *w[:30]]))]
+    table = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(table).collect()}
+    assert [got[i] for i in range(len(rows))] == [i - i % 2 for i in range(len(rows))]
+
+
+def test_fingerprints_of_similar_texts_come_from_distinct_shingles():
+    hashes = np.array([3, 1, 3, 3, 2, 7, 7], dtype=np.uint64)
+    assert [x.tolist() for x in simhash._sets(hashes, np.array([5, 0, 2]))] == [[1, 2, 3], [], [7]]
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_texts_of_few_shingles_equal_brute_force(spark, similarity):
+    few = simhash.few_shingles(similarity)
+    assert simhash.few_shingles(0.8) == 14
+    draw = random.Random(6)
+    rows = ["", "a", "A"]
+    for k in range(150):
+        base = [f"{k}z{j}" for j in range(draw.randint(2, few + 4))]
+        rows.append(" ".join(base))
+        for _ in range(3):
+            a, b = draw.randint(0, 1), len(base) - draw.randint(0, 2)
+            rows.append(" ".join([*base[a:b], *[f"new{draw.random()}"] * draw.randint(0, 1)]))
+    rows = [t for t in rows if len(t.split()) <= few + 4] + ["common one two three four five six seven eight nine " + x for x in ("", "p", "p q", "p q r", "s")]
+    table = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(table, similarity=similarity).collect()}
+    assert [got[i] for i in range(len(rows))] == jaccard_groups(rows, 5, similarity)
