@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 import pandas as pd
 import pytest
@@ -100,3 +102,17 @@ def test_nearest_each_equals_brute_force(spark):
 def test_coordinates_of_zero_are_missing(spark):
     row = spark.range(1).select(places.coordinate(F.lit(0.0), 5.0).alias("a"), places.coordinate(F.lit(1.0), 5.0).alias("b"), places.place_key(F.lit(""), F.lit("k")).alias("c")).first()
     assert tuple(row) == (5.0, 1.0, "k")
+
+
+def test_nearest_each_equals_brute_force(spark):
+    draw = random.Random(8)
+    spots = [(i, draw.uniform(-60, 60), draw.uniform(-40, 40)) for i in range(60)] + [(100, 80.0, 10.0), (101, 80.9, 13.5), (102, 5.0, 179.9), (103, 89.5, -100.0), (104, None, 1.0)]
+    asked = [(i, draw.uniform(-90, 90), draw.uniform(-180, 180)) for i in range(80)] + [(200, 80.0, 14.9), (201, 5.0, -179.9), (202, 89.9, 80.0), (203, -90.0, 0.0), (204, 90.2, 0.0), (205, None, 0.0)]
+
+    def metres(a, b, lat, lng):
+        h = math.sin(math.radians(lat - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(lat)) * math.sin(math.radians(lng - b) / 2) ** 2
+        return 2 * 6371008.8 * math.asin(math.sqrt(min(1.0, h)))
+
+    got = places.nearest_each(spark.createDataFrame(asked, "request int, lat double, lng double"), spark.createDataFrame(spots, "id int, lat double, lng double"), "id").collect()
+    want = {r: None if a is None else min((metres(a, b, y, x), i) for i, y, x in spots if y is not None)[1] for r, a, b in asked}
+    assert len(got) == len(asked) and {r["request"]: r["id"] for r in got} == want
