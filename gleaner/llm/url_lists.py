@@ -18,8 +18,6 @@ LIST = (
     ("example.net", "add", "2024-11-01"),
     ("example.net", "remove", "2024-11-08"),
 )
-#: Labels of a host that an entry can have at most: longer suffixes name hosts, which count whole.
-MOST_LABELS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -30,11 +28,9 @@ def host_of(url: Column) -> Column:
 
 
 def suffixes(host: Column) -> Column:
-    """The host and each domain above it, up to MOST_LABELS labels, and the whole host."""
+    """The host and each domain above it."""
     labels = F.split(host, r"\.")
-    longest = F.least(F.size(labels), F.lit(MOST_LABELS))
-    domains = F.transform(F.sequence(F.lit(1), longest), lambda n: F.array_join(F.slice(labels, -n, n), "."))
-    return F.array_distinct(F.concat(domains, F.array(host)))
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
 
 
 def intervals(entries: DataFrame) -> DataFrame:

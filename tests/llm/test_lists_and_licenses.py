@@ -38,6 +38,13 @@ def test_captures_see_the_list_of_their_day(spark):
     assert all(r["listed"] == (r["want"] is not None) and r["domain"] == "own" for r in got)
 
 
+def test_a_listed_domain_of_many_labels_covers_its_subdomains(spark):
+    domain = "a.b.c.d.e.f.g.h.i.org"
+    captures = spark.createDataFrame([(f"http://{x}{domain}/", D("2023-01-02")) for x in ("", "x.", "y.x.", "not")], "url string, fetched date")
+    got = url_lists.filter_captures(captures, entries(spark, [(domain, "add", "2023-01-01")])).collect()
+    assert {r["host"].removesuffix(domain): r["list_domain"] for r in got} == {"": domain, "x.": domain, "y.x.": domain, "not": None}
+
+
 def test_no_list_and_no_captures(spark):
     captures = spark.createDataFrame([("http://a.b/", D("2023-01-01"))], "url string, fetched date")
     assert [r["listed"] for r in url_lists.filter_captures(captures, entries(spark, [])).collect()] == [False]
