@@ -1,29 +1,31 @@
 """Language identification by unigrams of pieces, summed over all segmentations.
 
-A word is a run of letters, lower-cased, with the vocabulary's word mark before it. Each language has a probability for every piece
-of a fixed public vocabulary; a word's probability is the sum over all ways to cut it into pieces, found by the forward algorithm,
-and a text's is the product over its words. Training is expectation maximisation with the forward and backward sums.
+A word is a run of letters and their marks (Unicode categories L and M, a letter first), lower-cased, in composed form (NFC), with the
+vocabulary's word mark before it. Each language has a probability for every piece of a fixed public vocabulary; a word's probability is
+the sum over all ways to cut it into pieces, found by the forward algorithm, and a text's is the product over its words. Training is
+expectation maximisation with the forward and backward sums, over distinct words that Spark has counted.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize, small_batches, text_bytes
+from gleaner.llm.common import drop, materialize, small_batches, text_bytes
 from gleaner.llm.held import held, release
 from gleaner.llm.piece_model import NORMAL, SPACE, load
 from gleaner.llm.words import slices, words_of
 
-LETTERS = re.compile(r"[^\W\d_]+")
-LONGEST_PIECE = 16
-#: Longer words are cut, so that products of probabilities stay within a double.
-LONGEST_WORD = 40
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Longer words go one by one, in logarithms, as products of their probabilities may leave a double.
+LONG = 40
 #: What a character outside the vocabulary counts for, in every language.
 UNKNOWN = 1e-7
 #: Training texts of each language, as expected: a hash of the row selects them.
@@ -32,14 +34,16 @@ ROUNDS = 2
 MOST_LANGUAGES = 1000
 UNDETERMINED = "und"
 _BITS = 18
+_BASE = np.uint64(0x100000001B3)
 
 
 class Pieces:
     """The vocabulary's pieces of letters, found by a hash of their characters."""
 
     def __init__(self, path: str):
-        texts = {p.lower() for p, _, kind in load(path).pieces if kind == NORMAL and (p.lstrip(SPACE).isalpha() or p == SPACE) and len(p) <= LONGEST_PIECE}
+        texts = {p.lower() for p, _, kind in load(path).pieces if kind == NORMAL and (p == SPACE or LETTERS.fullmatch(p.lstrip(SPACE)))}
         self.texts = sorted(texts)
+        self.longest = max(map(len, texts))
         with np.errstate(over="ignore"):
             keys = np.array([self._hash([ord(c) for c in t]) for t in self.texts], dtype=np.uint64)
             assert len(set(keys.tolist())) == len(keys)
@@ -77,23 +81,57 @@ class Pieces:
 
 
 def _lattices(words: list[str], pieces: Pieces) -> Iterator[tuple[np.ndarray, int, list[list[np.ndarray]]]]:
-    """Words of one length at a time: their indices, the length, and for each end and piece length (from 1) the pieces there."""
+    """Words of one length, LONG at most, at a time: their indices, the length, and for each end and piece length (from 1) the pieces there."""
     by: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        by.setdefault(len(w), []).append(i)
-    base = np.uint64(0x100000001B3)
+        if len(w) <= LONG:
+            by.setdefault(len(w), []).append(i)
     for n, at in by.items():
-        codes = np.frombuffer("".join(words[i] for i in at).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(at), n).astype(np.uint64)
+        codes = _codes("".join(words[i] for i in at)).reshape(len(at), n)
         with np.errstate(over="ignore"):
             ends = []
             hashes: list[np.ndarray] = []
             for j in range(n):
                 # The hash of each substring that ends at j, from those that ended at j - 1.
-                hashes = [codes[:, j] + np.uint64(1), *(h * base + codes[:, j] + np.uint64(1) for h in hashes[: LONGEST_PIECE - 1])]
+                hashes = [codes[:, j], *(h * _BASE + codes[:, j] for h in hashes[: pieces.longest - 1])]
                 ends.append([pieces.find(h) for h in hashes])
         yield np.array(at), n, ends
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+
+
+def _long_lattice(word: str, pieces: Pieces) -> np.ndarray:
+    """For each end and piece length (from 1) the piece there, or -1."""
+    codes = _codes(word)
+    out = np.full((len(codes), pieces.longest), -1, dtype=np.int32)
+    hashes = codes
+    with np.errstate(over="ignore"):
+        for k in range(min(pieces.longest, len(codes))):
+            out[k:, k] = pieces.find(hashes)
+            hashes = hashes[:-1] * _BASE + codes[k + 1 :] if k + 1 < len(codes) else hashes[:0]
+    return out
+
+
+def _long_steps(found: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """The log probability of each piece of a lattice in each language; logs has the unknown's at the end, which stands for one character."""
+    at = np.where(found >= 0, found, len(logs) - 1)
+    steps = logs[at]
+    steps[:, 1:][found[:, 1:] < 0] = -np.inf
+    return steps
+
+
+def _long_forward(steps: np.ndarray) -> np.ndarray:
+    """The log of the sum over segmentations up to each place."""
+    n, longest, languages = steps.shape
+    out = np.full((n + 1 + longest, languages), -np.inf)  # shifted by longest - 1, so that what lies before the word is -inf
+    out[longest - 1] = 0.0
+    for j in range(n):
+        out[j + longest] = np.logaddexp.reduce(out[j : j + longest][::-1] + steps[j], axis=0)
+    return out[longest - 1 : n + longest]
+
+
 def _forward(n: int, ends: list[list[np.ndarray]], table: np.ndarray) -> list[np.ndarray]:
     """table: a row for each piece, one more for the unknown at the end. Returns the sum over segmentations up to each place."""
     size = len(ends[0][0])
@@ -116,6 +154,11 @@ def word_scores(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarr
     out = np.zeros((len(words), table.shape[1]))
     for at, n, ends in _lattices(words, pieces):
         out[at] = np.log(np.maximum(_forward(n, ends, table)[-1], 1e-300))
+    long = [i for i, w in enumerate(words) if len(w) > LONG]
+    if long:
+        logs = np.log(table)
+        for i in long:
+            out[i] = _long_forward(_long_steps(_long_lattice(words[i], pieces), logs))[-1]
     return out
 
 
@@ -136,15 +179,31 @@ def piece_counts(words: list[str], times: np.ndarray, pieces: Pieces, probabilit
                 has = found >= 0
                 weight = forward[j - k][has, 0] * table[found[has], 0] * backward[j + 1][has, 0] * scale[has]
                 out += np.bincount(found[has], weights=weight, minlength=len(out))
+    for i, w in enumerate(words):
+        if len(w) > LONG:
+            found = _long_lattice(w, pieces)
+            steps = _long_steps(found, np.log(table))
+            # Backwards as forwards: the lattice of pieces by where they start.
+            turned = np.full_like(steps, -np.inf)
+            for k in range(min(pieces.longest, len(w))):
+                turned[: len(w) - k, k] = steps[k:, k]
+            forward, backward = _long_forward(steps)[:, 0], _long_forward(turned[::-1])[::-1, 0]
+            for k in range(min(pieces.longest, len(w))):
+                at = np.flatnonzero(found[:, k] >= 0)
+                if len(at):
+                    weight = times[i] * np.exp(forward[at - k] + steps[at, k, 0] + backward[at + 1] - forward[-1])
+                    out += np.bincount(found[at, k], weights=weight, minlength=len(out))
     return out
 
 
 def units(word: str) -> list[str]:
-    """The runs of letters in a word, lower-cased and marked, long ones cut."""
-    out = []
-    for run in LETTERS.findall(word.lower()):
-        out += [SPACE + run[i : i + LONGEST_WORD] if i == 0 else run[i : i + LONGEST_WORD] for i in range(0, len(run), LONGEST_WORD)]
-    return out
+    """The runs of letters and marks in a word, lower-cased, composed, and marked."""
+    low = word.lower()
+    if not low.isascii():
+        low = unicodedata.normalize("NFC", low)
+    if low.isalpha():
+        return [SPACE + low]
+    return [SPACE + run for run in LETTERS.findall(low)]
 
 
 def _pieces(path: str) -> Pieces:
@@ -169,7 +228,20 @@ def train(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE_PER_LANGUAG
         return [], np.zeros((n, 0))
     share = spark.createDataFrame([(k, min(1.0, sample / sizes[k])) for k in languages], "lang string, share double")
     picked = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    picked = materialize(picked.select("lang", text_bytes().alias("text")), "language-sample")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lang, texts in pdf.groupby("lang")["text"]:
+                texts = texts.tolist()
+                for s in slices(texts):
+                    w = words_of(texts[s])
+                    _, one, times = np.unique(w.hashes(), return_index=True, return_counts=True)
+                    flat = [(u, t) for i, t in zip(one, times) for u in units(w.word(i).decode("utf-8", "replace"))]
+                    yield pd.DataFrame(flat, columns=["word", "n"]).assign(lang=lang)
+        release()
+
+    counted = picked.select("lang", text_bytes().alias("text")).mapInPandas(count, "word string, n long, lang string")
+    words = materialize(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     table = np.full((n, len(languages)), 1.0 / n)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(table)
@@ -178,30 +250,26 @@ def train(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE_PER_LANGUAG
             own, now = _pieces(vocabulary), sent.value
             total = np.zeros((n, len(languages)))
             for pdf in batches:
-                for lang, texts in pdf.groupby("lang")["text"]:
-                    k, texts = languages.index(lang), texts.tolist()
-                    for s in slices(texts):
-                        w = words_of(texts[s])
-                        _, one, times = np.unique(w.hashes(), return_index=True, return_counts=True)
-                        flat = [(u, t) for i, t in zip(one, times) for u in units(w.word(i).decode("utf-8", "replace"))]
-                        if flat:
-                            total[:, k] += piece_counts([u for u, _ in flat], np.array([t for _, t in flat], dtype=float), own, now[:, k])
+                for lang, part in pdf.groupby("lang"):
+                    k = languages.index(lang)
+                    total[:, k] += piece_counts(part["word"].tolist(), part["n"].to_numpy(dtype=float), own, now[:, k])
             at, lang = np.nonzero(total)
             yield pd.DataFrame({"piece": at, "lang": lang, "n": total[at, lang]})
 
-        found = picked.mapInPandas(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "piece"])
+        found = words.mapInPandas(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "piece"])
         counts = np.zeros((n, len(languages)))
         counts[found["piece"], found["lang"]] = found["n"].round(6)
         # Each language leans on all of them together, and those on evenness, for pieces it has rarely seen.
         everywhere = (counts.sum(1) + 0.01) / (counts.sum() + 0.01 * n)
         table = (counts + 200 * everywhere[:, None]) / (counts.sum(0) + 200)
+    drop(words)
     return languages, table
 
 
 def predict(docs: DataFrame, languages: list[str], table: np.ndarray, vocabulary: str) -> DataFrame:
     """docs with lang_pred and score, both replaced where docs has them.
 
-    A null text, one without a letter, or a model without languages gives und and 0. Ties go to the language that sorts first. The
+    A null text, one without a letter, or a model without languages gives und and 0. Bytes that are no UTF-8 are no letters. Ties go to the language that sorts first. The
     score is the winner's share of the likelihoods after each is raised to one over the root of the number of words, so that long
     texts do not all score 1. The model sent along is bounded by the vocabulary and MOST_LANGUAGES.
     """
@@ -210,10 +278,12 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, vocabulary
     sent = spark.sparkContext.broadcast(np.vstack([table, np.full((1, len(languages)), UNKNOWN)]))
     most = 4_000_000 // max(1, len(languages))
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    model = uuid.uuid4().hex
 
     def score(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = _pieces(vocabulary)
-        known, values = np.zeros(0, dtype=np.uint64), np.zeros((0, len(languages) + 1))
+        # The words that a worker has scored stay for its next tasks with this model.
+        own, kept = held(("language scores", model), lambda: (Pieces(vocabulary), {"known": np.zeros(0, dtype=np.uint64), "values": np.zeros((0, len(languages) + 1))}))
+        known, values = kept["known"], kept["values"]
         for series in column:
             texts, parts = series.tolist(), []
             for s in slices(texts):
@@ -248,7 +318,7 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, vocabulary
             best = share.argmax(1)
             none = count == 0
             yield pd.DataFrame({"lang_pred": np.where(none, UNDETERMINED, np.array(languages, dtype=object)[best]), "score": np.where(none, 0.0, share[np.arange(len(best)), best])})
-        del known, values
+        kept["known"], kept["values"] = known, values
         release()
 
     run = F.pandas_udf(score, "lang_pred string, score double")
@@ -262,6 +332,7 @@ def held_out() -> Column:
 
 
 def identify(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """docs with held_out, lang_pred and score; learns from the rows that are not held out. No columns but doc_id, text and lang are read."""
+    """docs with held_out, lang_pred and score (replaced where docs has them); learns from the rows that are not held out. No columns but
+    doc_id, text and lang are read."""
     languages, table = train(docs.where(~held_out()).select("doc_id", "text", "lang"), vocabulary)
     return predict(docs.withColumn("held_out", held_out()), languages, table, vocabulary)
