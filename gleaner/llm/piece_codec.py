@@ -1,9 +1,12 @@
 """SentencePiece encoding and decoding by the tokenizers library.
 
 The model file is parsed here; from its settings a tokenizer is built again: normaliser, word mark, unigram scores or merges in the
-order of their scores, and byte fallback. Where no piece has the mark after another character, a text is the sequence of its units (marks
-and what follows up to the next mark), and each distinct unit is encoded once for a worker, in batches over several threads. Each
-new unit's ids are held against the sentencepiece library's.
+order of their scores, byte fallback, and the decoder. Where no piece has the mark after another character, a text is the sequence of its
+units (spaces and what follows up to the next one), and each distinct unit is encoded once for a worker, in batches over several threads.
+A text that holds the mark itself is encoded whole, as the mark counts for a space there. Decoding is the library's, text by text.
+
+Parity: each new unit's ids, and those of each text that is encoded whole, are held against the sentencepiece library's; the texts that
+differ are told by a column.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import types as T
 from gleaner.llm.coder import UnitCoder
 from gleaner.llm.common import small_batches, text_bytes
 from gleaner.llm.held import held, release
-from gleaner.llm.piece_model import BPE, BYTE, NORMAL, SPACE, UNIGRAM, UNKNOWN, USER_DEFINED, PieceModel, load
-from gleaner.llm.words import Words, ragged, slices
+from gleaner.llm.piece_model import BPE, NORMAL, SPACE, UNIGRAM, UNKNOWN, USER_DEFINED, PieceModel, load
+from gleaner.llm.words import Words, slices
 
 
 def build(model: PieceModel, whole: bool = True):
@@ -85,77 +88,91 @@ def units_of(texts: list[bytes]) -> Words:
 
 
 class Codec:
-    """Encodes and decodes whole texts with a model file."""
+    """Encodes and decodes whole texts with a model file. verify: "units" holds each new unit, and each text that is encoded whole,
+    against the sentencepiece library; "texts" every whole text; None nothing."""
 
-    def __init__(self, path: str, verify: bool = True):
+    def __init__(self, path: str, verify: str | None = "units"):
         import sentencepiece
 
-        self.model = load(path)
-        self.cut = plain(self.model)
-        self.tokenizer = build(self.model, whole=not self.cut)
+        if verify not in ("units", "texts", None):
+            raise ValueError(f"verify: {verify!r}")
+        self.model, self.verify = load(path), verify
+        self.whole = build(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path) if verify else None
+        self.cut = plain(self.model)
         if self.cut:
+            self.own = build(self.model, whole=False)
             self.units = UnitCoder(self._encode_units)
-        self.pieces = [SPACE_BYTES.join(p.encode().split(MARK)) for p, _, _ in self.model.pieces]
-        for i, (p, _, kind) in enumerate(self.model.pieces):
-            if kind == BYTE:
-                self.pieces[i] = bytes([int(p[3:-1], 16)])
-            elif kind == UNKNOWN:
-                self.pieces[i] = " ⁇ ".encode()
-            elif kind not in (NORMAL, USER_DEFINED):
-                self.pieces[i] = b""
-        self.piece_sizes = np.array([len(p) for p in self.pieces], dtype=np.int64)
-        self.piece_starts = np.r_[0, np.cumsum(self.piece_sizes)[:-1]]
-        self.piece_bytes = np.frombuffer(b"".join(self.pieces), dtype=np.uint8)
+            self.differ: set[str] = set()
 
     def _encode_units(self, units: list[str]) -> list[list[int]]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        if self.reference is not None:
-            # A unit is a text's start without its dummy space.
+        ids = [e.ids for e in self.own.encode_batch_fast(units, add_special_tokens=False)]
+        if self.verify == "units":
+            # A unit is a text's start without its dummy space; a lone space is one that no text starts with.
             theirs = self.reference.encode([u[1:] for u in units], num_threads=1)
-            for u, a, b in zip(units, ids, theirs):
-                if a != b and u != " ":
-                    raise AssertionError(f"parity: {u!r} has {a}, sentencepiece has {b}")
+            self.differ.update(u for u, a, b in zip(units, ids, theirs) if a != b and u != " ")
         return ids
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each text has."""
+    def _encode_whole(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        return ids, self._same(texts, ids) if self.verify else [True] * len(texts)
+
+    def _same(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
+        return [a == b for a, b in zip(ids, self.reference.encode(texts, num_threads=1))]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, how many each text has, and whether they are those of the sentencepiece library."""
+        by_hand = [i for i, t in enumerate(texts) if not self.cut or MARK in t]
+        parity = np.ones(len(texts), dtype=bool)
         if self.cut:
-            return self.units(units_of(texts))
-        whole = [t.decode("utf-8", "replace") for t in texts]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-        if self.reference is not None and (theirs := self.reference.encode(whole, num_threads=1)) != ids:
-            at = next(i for i, (a, b) in enumerate(zip(ids, theirs)) if a != b)
-            raise AssertionError(f"parity: {whole[at][:200]!r}")
-        return np.array([i for x in ids for i in x], dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
-
-    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        """The texts of runs of ids, as SentencePiece gives them for pieces and bytes, without the dummy space."""
-        sizes = self.piece_sizes[ids]
-        flat = self.piece_bytes[ragged(sizes, self.piece_starts[ids])].tobytes()
-        sums = np.r_[0, np.cumsum(sizes)]
+            rest = list(texts)
+            for i in by_hand:
+                rest[i] = b""
+            found = units_of(rest)
+            flat, n = self.units(found)
+            if self.differ:
+                odd = np.fromiter((found.word(i).decode("utf-8", "replace") in self.differ for i in range(len(found.start))), dtype=bool, count=len(found.start))
+                sums = np.r_[0, np.cumsum(odd)]
+                parity &= sums[found.first[1:]] == sums[found.first[:-1]]
+            if self.verify == "texts":
+                parity &= self._same([t.decode("utf-8", "replace") for t in rest], [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]) if len(rest) else parity
+        else:
+            flat, n = np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
+        if by_hand:
+            ids, same = self._encode_whole([texts[i].decode("utf-8", "replace") for i in by_hand])
+            parity[by_hand] = same
+            at = (np.cumsum(n) - n)[by_hand]
+            flat = np.insert(flat, np.repeat(at, [len(x) for x in ids]), np.array([i for x in ids for i in x], dtype=np.uint32))
+            n = n.copy()
+            n[by_hand] = [len(x) for x in ids]
+        return flat, n, parity
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The text of each run of ids, by the tokenizers library."""
         ends = np.cumsum(counts)
-        cuts = zip(sums[ends - counts], sums[ends])
-        skip = self.model.add_dummy_prefix
-        return [flat[a + (skip and flat[a : a + 1] == b" ") : b] for a, b in cuts]
+        flat = ids.tolist()
+        return self.whole.decode_batch([flat[a:b] for a, b in zip((ends - counts).tolist(), ends.tolist())], skip_special_tokens=False)
 
 
-_CODED = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())]
-SPACE_BYTES, MARK = b" ", SPACE.encode()
+_CODED = [T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType()), T.StructField("parity", T.BooleanType())]
+MARK = SPACE.encode()
 
 
-def codec(path: str, verify: bool = True) -> Codec:
+def codec(path: str, verify: str | None = "units") -> Codec:
     return held(("piece codec", path, verify), lambda: Codec(path, verify))
 
 
-def encode(docs: DataFrame, path: str, verify: bool = True) -> DataFrame:
-    """docs without text, with piece_ids, n_pieces and round_trip (whether the ids decode to exactly the text).
+def encode(docs: DataFrame, path: str, verify: str | None = "units", strict: bool = False) -> DataFrame:
+    """docs without text, with piece_ids, n_pieces, round_trip (whether the ids decode to exactly the text) and parity (whether they are
+    those of the sentencepiece library; see Codec for verify).
 
-    A null or empty text has no ids, and decodes to the empty text. Columns of those three names are replaced; all others and all
-    rows stay. verify: every new unit or text must have the ids that the sentencepiece library gives it, else the task fails.
+    A null or empty text has no ids, and decodes to the empty text. Bytes that are no UTF-8 are encoded as U+FFFD, a literal word mark as
+    a space: such texts have no round trip. Columns of those four names are replaced; all others and all rows stay. strict: a text
+    without parity fails the task.
     """
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("text", "piece_ids", "n_pieces", "round_trip")]
+    coded = [f.name for f in _CODED]
+    kept = [c for c in docs.columns if c != "text" and c not in coded]
     rows = docs.select(*kept, text_bytes().alias("text"))
     schema = T.StructType([*docs.select(*kept).schema.fields, *_CODED])
 
@@ -164,11 +181,13 @@ def encode(docs: DataFrame, path: str, verify: bool = True) -> DataFrame:
         for batch in batches:
             texts = batch.column(len(kept)).to_pylist()
             for s in slices(texts):
-                flat, n = own.encode(texts[s])
-                same = [a == b for a, b in zip(own.decode(flat, n), texts[s])]
+                flat, n, parity = own.encode(texts[s])
+                if strict and not parity.all():
+                    raise AssertionError(f"parity: {texts[s][int(np.flatnonzero(~parity)[0])][:200]!r}")
+                same = [a.encode("utf-8", "surrogatepass") == b for a, b in zip(own.decode(flat, n), texts[s])]
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(flat.astype(np.int32)))
                 own_rows = batch.slice(s.start, s.stop - s.start).columns[: len(kept)]
-                yield pa.RecordBatch.from_arrays([*own_rows, ids, pa.array(n, pa.int64()), pa.array(same, pa.bool_())], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([*own_rows, ids, pa.array(n, pa.int64()), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())], schema.fieldNames())
         release()
 
     return rows.mapInArrow(run, schema)
@@ -178,11 +197,10 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     """rows with text from their piece_ids; null ids give a null text. All other columns and rows stay."""
 
     def run(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(path, False)
+        own = codec(path, None)
         for series in column:
             counts = np.array([0 if x is None else len(x) for x in series], dtype=np.int64)
             flat = np.array([i for x in series if x is not None for i in x], dtype=np.int64)
-            texts = own.decode(flat, counts)
-            yield pd.Series([None if x is None else t.decode("utf-8", "replace") for x, t in zip(series, texts)], dtype=object)
+            yield pd.Series([None if x is None else t for x, t in zip(series, own.decode(flat, counts))], dtype=object)
 
     return rows.withColumn("text", F.pandas_udf(run, "string")("piece_ids"))
