@@ -32,6 +32,8 @@ WIDTHS = (8, 8, 16)
 BLOCK = 512
 SHARD_IDS = 1 << 20
 END_ID = 1
+#: Ids that a reader asks for together.
+AT_ONCE = 1 << 16
 
 
 def pack(ids: np.ndarray, doc_ids: list[int | None], first: np.ndarray) -> bytes:
@@ -59,25 +61,51 @@ class Shard:
     def __init__(self, data: bytes):
         assert data[:4] == b"DAC1", "not a shard"
         self.n_docs, self.n_ids, levels = struct.unpack_from("<III", data, 4)
-        self.at = 16
+        self.offset = 16
 
         def take(kind: str, n: int) -> np.ndarray:
-            found = np.frombuffer(data, dtype=kind, count=n, offset=self.at)
-            self.at += found.nbytes
+            found = np.frombuffer(data, dtype=kind, count=n, offset=self.offset)
+            self.offset += found.nbytes
             return found
 
         ids, absent = take("<i8", self.n_docs), take("u1", self.n_docs)
         self.doc_ids = [None if a else int(d) for d, a in zip(ids, absent)]
         self.first = take("<u4", self.n_docs + 1).astype(np.int64)
-        self.levels = []
+        self.levels: list[tuple] = []
+        self.inside: dict[int, np.ndarray] = {}
         for level in range(levels):
             n = int(take("<u4", 1)[0])
             chunks = take(f"<u{WIDTHS[level] // 8}", n)
             last = level == levels - 1
             self.levels.append((chunks, None, None) if last else (chunks, take("u1", -(-n // 8)), take("<u4", n // BLOCK + 1)))
 
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The ids at any places, each by one rank a level: the directory's count, and the set bits of the block before the place."""
+        i = np.asarray(places, dtype=np.int64)
+        out = np.zeros(len(i), dtype=np.uint32)
+        left, shift = np.arange(len(i)), 0
+        for level, (chunks, bits, directory) in enumerate(self.levels):
+            out[left] |= chunks[i].astype(np.uint32) << np.uint32(shift)
+            shift += WIDTHS[level]
+            if bits is None:
+                break
+            more = bits[i >> 3] >> (i & 7).astype(np.uint8) & 1 > 0
+            left, i = left[more], i[more]
+            i = directory[i // BLOCK] + self._inside(level)[i >> 3] + np.bitwise_count(bits[i >> 3] & ((1 << (i & 7)) - 1).astype(np.uint8))
+        return out
+
+    def _inside(self, level: int) -> np.ndarray:
+        """For each byte of a bitmap the set bits of its block before it."""
+        if level not in self.inside:
+            bits = self.levels[level][1]
+            blocks = np.zeros(-(-len(bits) // (BLOCK // 8)) * (BLOCK // 8), dtype=np.uint16)
+            blocks[: len(bits)] = np.bitwise_count(bits)
+            blocks = blocks.reshape(-1, BLOCK // 8)
+            self.inside[level] = (np.cumsum(blocks, axis=1, dtype=np.uint16) - blocks).ravel().astype(np.int64)
+        return self.inside[level]
+
     def token(self, i: int) -> int:
-        """The i-th id, by one rank a level."""
+        """The i-th id: of its levels one chunk each is read, and the bits of its block before it."""
         out = shift = 0
         for level, (chunks, bits, directory) in enumerate(self.levels):
             out |= int(chunks[i]) << shift
@@ -160,7 +188,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Data
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of each document, from the shards' payloads.
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of each document, from the shards' payloads, read by rank.
 
     The driver takes one number for each part, as many as the writer had tasks.
     """
@@ -175,11 +203,48 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for pdf in batches:
             for start, payload in zip(pdf["start"], pdf["payload"]):
                 shard = Shard(payload)
-                ids = memoryview(shard.tokens().astype("<u4")).cast("B")
                 at = shard.first
+                ids = memoryview(np.concatenate([shard.at(np.arange(a, min(a + AT_ONCE, shard.n_ids))) for a in range(0, shard.n_ids, AT_ONCE)]).astype("<u4")).cast("B")
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(at, at[1:])]
                 yield pd.DataFrame({"doc_id": pd.array(shard.doc_ids, dtype="Int64"), "start": start + at[:-1], "n_tokens": np.diff(at), "ids_crc32": np.array(crc, dtype=np.int64)})
 
     base_rows = spark.createDataFrame(bases, "part int, base long")
     rows = shards.join(F.broadcast(base_rows), "part").select((F.col("base") + F.col("part_start")).alias("start"), "payload")
     return rows.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def lookup(shards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (doc_id, position) with token, the id at that position (from 0) of the document; null where there is none.
+
+    Ids that repeat in the shards give a row for each of their documents. A null doc_id or position finds nothing. Rows of wanted that
+    repeat are answered once each; its other columns are not read. Only shards that are asked for are opened, and there only what ranks
+    lead to. A document that is asked for very often is no hot group: its requests stream past its shard.
+    """
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part, number, payload in zip(pdf["part"], pdf["shard"], pdf["payload"]):
+                shard = Shard(payload)
+                yield pd.DataFrame({"doc_id": pd.array(shard.doc_ids, dtype="Int64"), "part": part, "shard": number, "first": shard.first[:-1], "n": np.diff(shard.first)})
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard = key = None
+        for pdf in batches:
+            for own, rows in pdf.groupby(["part", "shard"], sort=False):
+                given = rows["payload"].notna().to_numpy()
+                if given.any():  # the shard's own row comes before its requests
+                    shard, key = Shard(rows["payload"].iloc[int(given.argmax())]), own
+                assert key == own
+                asked = rows[~given]
+                if len(asked):
+                    yield pd.DataFrame({"doc_id": asked["doc_id"], "position": asked["position"], "token": shard.at((asked["first"] + asked["position"]).to_numpy()).astype(np.int64)})
+
+    index = shards.select("part", "shard", "payload").mapInPandas(names, "doc_id long, part int, shard int, first long, n long")
+    found = wanted.select("doc_id", "position").join(index, "doc_id").where("position >= 0 and position < n")
+    asked = found.select("part", "shard", F.lit(1).alias("side"), "doc_id", "position", "first", F.lit(None).cast("binary").alias("payload"))
+    none = F.lit(0).cast("long")
+    opened = shards.join(found.select("part", "shard").distinct(), ["part", "shard"]).select("part", "shard", F.lit(0).alias("side"), none.alias("doc_id"), none.alias("position"), none.alias("first"), "payload")
+    dealt = opened.unionByName(asked).repartition("part", "shard").sortWithinPartitions("part", "shard", "side")
+    got = dealt.mapInPandas(answer, "doc_id long, position long, token long").withColumnsRenamed({"doc_id": "_doc_id", "position": "_position"})
+    missed = wanted.select("doc_id", "position").join(found.select(F.col("doc_id").alias("_doc_id"), F.col("position").alias("_position")).distinct(), (F.col("doc_id") == F.col("_doc_id")) & (F.col("position") == F.col("_position")), "left_anti")
+    return got.select(F.col("_doc_id").alias("doc_id"), F.col("_position").alias("position"), "token").unionByName(missed.withColumn("token", F.lit(None).cast("long")))

@@ -28,6 +28,8 @@ def test_any_id_is_read_without_the_others():
     shard = token_files.Shard(token_files.pack(ids, [1, None], np.array([0, 5, len(ids)])))
     assert (shard.tokens() == ids).all() and shard.doc_ids == [1, None]
     assert [shard.token(i) for i in range(len(ids))] == ids.tolist()
+    some = draw.integers(0, len(ids), 5000)
+    assert (shard.at(some) == ids[some]).all() and len(shard.at(np.zeros(0, np.int64))) == 0
     empty = token_files.Shard(token_files.pack(np.zeros(0, np.uint32), [7], np.array([0, 0])))
     assert len(empty.tokens()) == 0
 
@@ -48,3 +50,19 @@ def test_files_hold_documents_in_order(spark):
 def test_empty_table(spark):
     rows = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.read_shards(token_files.write_shards(rows, PATH)).collect() == []
+
+
+def test_lookup_equals_bulk_reads(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_IDS", 40_000)
+    rows = spark.createDataFrame([(10 * i, t) for i, t in enumerate(TEXTS)] + [(30, "once more"), (None, "no id")], "doc_id long, text string").repartition(3)
+    shards = token_files.write_shards(rows, PATH)
+    by = {10 * i: [whole(t) + [1]] for i, t in enumerate(TEXTS)}
+    by[30].append(whole("once more") + [1])
+    draw = np.random.default_rng(2)
+    asked = [(int(d), int(p)) for d in [*by, 999] for p in [0, 1, 29_999, 60_000, *draw.integers(0, 40_000, 20)]] + [(0, -1), (0, None), (None, 0), (0, 0), (0, 0)]
+    got = token_files.lookup(shards, spark.createDataFrame([(*a, "x") for a in asked], "doc_id long, position long, token string").repartition(4)).collect()
+    want = []
+    for d, p in asked:
+        found = [x[p] for x in by.get(d, []) if p is not None and 0 <= p < len(x)]
+        want += [(d, p, t) for t in found or [None]]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
