@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,14 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """a, b: each node of the links ids[a[i]]-ids[b[i]] with the smallest that it reaches, where that is another."""
+    nodes, flat = np.unique(np.r_[ids[a], ids[b]], return_inverse=True)
+    root = local_roots(len(nodes), flat[: len(a)], flat[len(a) :])
+    far = root != np.arange(len(nodes))
+    return pd.DataFrame({"a": nodes[far], "b": nodes[root[far]]})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component, the smallest node that it reaches, for each node of an edge. edges: a, b, both long; nulls are left out.
 

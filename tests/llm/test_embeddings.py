@@ -46,6 +46,23 @@ ODD = [
 ]
 
 
+@pytest.mark.parametrize("miss", [rabitq.MISS, 0])
+def test_thousands_of_links(spark, miss):
+    """Chains and crowds of near copies, exact copies among them; with miss=0 not one link is left out."""
+    draw = np.random.default_rng(15)
+    x = draw.standard_normal((40, 64))[draw.integers(0, 40, 1500)] + draw.choice([0.05, 0.3, 0.36], (1500, 1)) * draw.standard_normal((1500, 64))
+    x = np.r_[x, x[draw.integers(0, 1500, 200)], np.repeat(x[:1], 300, 0)].astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], SCHEMA).repartition(5)
+    got = {r["vec_id"]: r for r in rabitq.near_duplicates(rows, 0.9, miss=miss, block=300).collect()}
+    n, root = links(x, 0.9)
+    assert sum(n) > 20_000
+    if not miss:
+        assert [got[i]["n_links"] for i in range(len(x))] == n
+        assert [got[i]["component_id"] for i in range(len(x))] == root
+    else:
+        assert all(got[i]["n_links"] <= n[i] for i in range(len(x))) and sum(r["n_links"] for r in got.values()) >= 0.99 * sum(n)
+
+
 def test_vectors_that_link_with_nothing(spark):
     got = rabitq.near_duplicates(spark.createDataFrame(ODD, SCHEMA), 0.9).collect()
     by = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got}
@@ -54,9 +71,9 @@ def test_vectors_that_link_with_nothing(spark):
 
 
 def test_repeated_rows_and_empty_table(spark):
-    rows = spark.createDataFrame([(1, [1.0, 0.0], ""), (1, [1.0, 0.0], ""), (2, [1.0, 0.0], "")], SCHEMA)
+    rows = spark.createDataFrame([(1, [1.0, 0.0], ""), (1, [1.0, 0.0], ""), (2, [1.0, 0.0], ""), (2, [0.0, 1.0], "")], SCHEMA)
     got = rabitq.near_duplicates(rows, 0.9).collect()
-    assert sorted((r["vec_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1)]
+    assert sorted((r["vec_id"], r["component_id"], r["n_links"], r["kept"]) for r in got) == [(1, 1, 2, True), (1, 1, 2, True), (2, 1, 2, False), (2, 2, 0, True)]
     assert rabitq.near_duplicates(spark.createDataFrame([], SCHEMA), 0.9).collect() == []
 
 
