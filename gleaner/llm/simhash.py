@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from itertools import combinations
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import drop, materialize, partitions, small_batches, text_bytes
-from gleaner.llm.components import components, local_roots
+from gleaner.llm.components import components, forest
 from gleaner.llm.grouping import whole_groups
 from gleaner.llm.held import release
 from gleaner.llm.words import lowered, mix, ragged, slices, words_of
@@ -37,6 +38,8 @@ HOT = 1000
 SIMILARITY = 0.8
 MISS = 0.02
 CROWD, BLOCK = 8192, 1000
+#: Bytes of shingle sets in a block, as its component has them on average.
+BLOCK_BYTES = 16 << 20
 #: Bits of the wide fingerprints that tell such texts from others, and one in how many rows is counted to find crowded buckets.
 WIDE, SAMPLE = 128, 16
 #: Texts of so few shingles that a link within SIMILARITY drops at most so many of either's are linked exactly, through what is left of them.
@@ -111,9 +114,14 @@ COARSE = _masks([(1 << n) - 1 << start for start, n in BLOCKS], 2)
 FINE = [_masks([h for block in BLOCKS if block not in two for h in _halves(*block)], 3) for two in combinations(BLOCKS, 2)]
 
 
-def pairs_within(groups: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of all pairs of a group whose fingerprints differ in at most radius bits. Pairs that the pivots discard are not weighed."""
-    table = np.bitwise_count(prints[:, None] ^ PIVOTS[None, :]).astype(np.int16)
+def pivot_table(prints: np.ndarray) -> np.ndarray:
+    """A row for each fingerprint: its distances to the pivots, a byte each."""
+    return np.bitwise_count(prints[:, None] ^ PIVOTS[None, :])
+
+
+def pairs_within(groups: np.ndarray, prints: np.ndarray, table: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs of a group whose fingerprints differ in at most radius bits, with their pivot_table. Pairs that the pivots discard are not weighed."""
+    table = table.astype(np.int16)
     place = groups.astype(np.int64) * 128 + table[:, 0]
     order = np.argsort(place, kind="stable")
     place, table, prints = place[order], table[order], prints[order]
@@ -140,22 +148,29 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(pdf) < 2:
             continue
         groups = np.cumsum(np.r_[0, pdf["bucket"].to_numpy()[1:] != pdf["bucket"].to_numpy()[:-1]])
-        a, b = pairs_within(groups, pdf["fp"].to_numpy().view(np.uint64))
+        table = np.frombuffer(b"".join(pdf["pivots"]), dtype=np.uint8).reshape(len(pdf), -1)
+        a, b = pairs_within(groups, pdf["fp"].to_numpy().view(np.uint64), table)
         if len(a):
-            yield _forest(pdf["id"].to_numpy(), a, b)
+            yield forest(pdf["id"].to_numpy(), a, b)
 
 
 def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
-    """a, b: a spanning forest of the links among distinct fingerprints (fp, id)."""
+    """a, b: a spanning forest of the links among distinct fingerprints (fp, id). Each one's distances to the pivots are computed once and go with it."""
     n = partitions(prints.sparkSession)
+
+    def measure(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in column:
+            yield pd.Series([x.tobytes() for x in pivot_table(series.to_numpy().view(np.uint64))], dtype=object)
+
+    prints = materialize(prints.select("fp", "id", F.pandas_udf(measure, "binary")("fp").alias("pivots")), "pivots")
     coarse = F.posexplode(F.array(*map(F.lit, COARSE))).alias("choice", "mask")
-    rows = prints.select("fp", "id", coarse).select("fp", "id", "choice", F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    rows = prints.select("fp", "id", "pivots", coarse).select("fp", "id", "pivots", "choice", F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = materialize(rows.join(shared, "key"), "buckets")
-    cold = rows.where(F.col("n") <= hot).select("fp", "id", F.col("key").alias("bucket"))
+    cold = rows.where(F.col("n") <= hot).select("fp", "id", "pivots", F.col("key").alias("bucket"))
     fine = F.posexplode(F.get(F.array(*[F.array(*map(F.lit, masks)) for masks in FINE]), F.col("choice"))).alias("finer", "mask")
-    warm = rows.where(F.col("n") > hot).select("fp", "id", "key", fine)
-    warm = warm.select("fp", "id", F.xxhash64("key", "finer", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
+    warm = rows.where(F.col("n") > hot).select("fp", "id", "pivots", "key", fine)
+    warm = warm.select("fp", "id", "pivots", F.xxhash64("key", "finer", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
     dealt = cold.unionByName(warm).repartition(n, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInPandas(_links, "a long, b long")
 
@@ -192,16 +207,18 @@ def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def wide_shape(n: int, similarity: float) -> tuple[int, int, int]:
+def wide_shape(n: int, similarity: float, miss: float = MISS) -> tuple[int, int, int]:
     """For WIDE-bit fingerprints of texts whose shingle sets have a Jaccard similarity: most bits apart, bits of a key, and keys.
 
-    Two sets of one size differ in a share acos(2s / (1 + s)) / pi of the bits, give or take a binomial spread.
+    Two sets of one size differ in a share acos(2s / (1 + s)) / pi of the bits, give or take a binomial spread. As many spreads are
+    allowed for as leave out half of miss, and as many keys are made as leave out miss of what is 0.7 spreads beyond the expected distance.
     """
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
     spread = math.sqrt(WIDE * apart * (1 - apart))
     bits = min(40, max(6, round(math.log2(max(n, 2))) - 6))
     same = (1 - (WIDE * apart + 0.7 * spread) / WIDE) ** bits
-    return int(WIDE * apart + 2.3 * spread), bits, math.ceil(math.log(MISS) / math.log(1 - same)) if same < 1 else 1
+    allowed = NormalDist().inv_cdf(1 - miss / 2)
+    return min(WIDE, int(WIDE * apart + allowed * spread)), bits, math.ceil(math.log(miss) / math.log(1 - same)) if same < 1 else 1
 
 
 def pairs_wide(groups: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,18 +256,11 @@ def _near(radius: int):
         for pdf in whole_groups(batches, "bucket"):
             if len(pdf) > 1:
                 a, b = pairs_wide(*_words(pdf), radius)
-                yield _forest(pdf["node"].to_numpy(), a, b)
+                yield forest(pdf["node"].to_numpy(), a, b)
 
     return run
 
 
-def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    nodes, flat = np.unique(np.r_[ids[a], ids[b]], return_inverse=True)
-    root = local_roots(len(nodes), flat[: len(a)], flat[len(a) :])
-    far = root != np.arange(len(nodes))
-    return pd.DataFrame({"a": nodes[far], "b": nodes[root[far]]})
-
-
 def _alike(radius: int, similarity: float):
     """In blocks of a component: a spanning forest of the pairs whose shingle sets are similar enough, each held against the other."""
 
@@ -321,11 +331,12 @@ def links_of_few(prints: DataFrame, similarity: float) -> DataFrame:
     return cores.join(hubs, ["key", "core"]).where(near & (F.col("node") != F.col("hub.node"))).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
 
 
-def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, miss: float = MISS) -> DataFrame:
     """doc_id and component_id, as near_duplicates has them, where texts link if their sets of shingles have at least that Jaccard similarity.
 
     Fingerprints, of the distinct shingles, only find candidates here, by keys of random bits and a wide radius: see wide_shape for what
-    these may miss. Candidates are then held against each other exactly, each component in blocks, so a link that is given is always one.
+    these may miss; miss can be made as small as is asked for (not 0), at the price of more keys: their number follows its logarithm.
+    At this radius distances to pivots hardly discard a pair; only one is used, as a window. Candidates are then held against each other exactly, each component in blocks, so a link that is given is always one.
     Texts with equal sets and those of few shingles, whose fingerprints say little, are linked exactly without: see links_of_few.
     """
     n = partitions(docs.sparkSession)
@@ -362,7 +373,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     rows = docs.select("doc_id", F.pandas_udf(run, "fp long, fp2 long, node long, size int, few binary")(text_bytes()).alias("v")).select("doc_id", "v.*")
     rows = materialize(rows, "fingerprints")
     prints = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("size").alias("size"), F.min("few").alias("few")), "distinct-texts")
-    radius, bits, tables = wide_shape(prints.count(), similarity)
+    radius, bits, tables = wide_shape(prints.count(), similarity, miss)
     draw = np.random.default_rng(SEED)
     wide = [sum(1 << int(b) for b in draw.choice(WIDE, bits, replace=False)) for _ in range(tables)]
     halves = [[x - (x >> 63 << 64) for x in (m & (1 << 64) - 1, m >> 64)] for m in wide]
@@ -376,10 +387,17 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     dealt = keyed.join(crowded, "key", "left").select("node", "fp", "fp2", F.explode(spread).alias("bucket"))
     dealt = dealt.repartition(2 * n, "bucket").sortWithinPartitions("bucket")
     found = materialize(components(dealt.mapInPandas(_near(radius), "a long, b long")), "candidates")
-    sized = found.join(found.groupBy("component").agg(F.count("*").alias("n")), "component")
-    members = prints.join(sized, "node").where("doc_id is not null").select("doc_id", "node", "fp", "fp2", "component", "n")
-    texts = docs.select("doc_id", "text").join(members, "doc_id").select("node", "fp", "fp2", "component", "n", F.pandas_udf(sets, "own long, shingles binary")(text_bytes()).alias("s"))
-    texts = materialize(texts.where("s.own = node").select("node", "fp", "fp2", "component", "n", "s.shingles"), "shingles")
+    members = materialize(prints.join(found, "node").select("doc_id", "node", "fp", "fp2", "size", "component"), "members")
+    # As many blocks as bound both the rows and the bytes of a pair of them.
+    heavy = F.ceil(F.sum(F.col("size").cast("long")) * 8 / BLOCK_BYTES) * BLOCK
+    members = members.join(members.groupBy("component").agg(F.greatest(F.count("*"), heavy).alias("n")), "component").drop("size")
+    own_sets = F.pandas_udf(sets, "own long, shingles binary")(text_bytes()).alias("s")
+    texts = docs.select("doc_id", "text").join(members.where("doc_id is not null"), "doc_id").select("node", "fp", "fp2", "component", "n", own_sets)
+    texts = texts.where("s.own = node").select("node", "fp", "fp2", "component", "n", "s.shingles")
+    # Texts that only rows without a doc_id have are found by their hash.
+    nameless = docs.where("doc_id is null").select(own_sets).select(F.col("s.own").alias("node"), "s.shingles").join(members.where("doc_id is null").drop("doc_id"), "node")
+    texts = texts.unionByName(nameless.dropDuplicates(["node"]).select(texts.columns))
+    texts = materialize(texts, "shingles")
     blocks = texts.select("node", "fp", "fp2", "shingles", F.explode(_blocks_of("component", F.col("n"), BLOCK)).alias("d")).select("node", "fp", "fp2", "shingles", "d.*")
     alike = blocks.repartition(2 * n, "bucket").sortWithinPartitions("bucket").mapInPandas(_alike(radius, similarity), "a long, b long")
     named = components(alike.unionByName(links_of_few(prints, similarity))).withColumnRenamed("component", "group")
@@ -402,8 +420,9 @@ def _blocks_of(key: str, n: Column, block: int) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), deal)
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, miss: float = MISS) -> DataFrame:
     """The rows of docs, one document of each group of similar ones: that with the smallest doc_id. A document is a doc_id: rows that
-    repeat a kept one all stay, as do rows without one."""
-    found = similar(docs, shingle, similarity).where("doc_id = component_id").select("doc_id").distinct()
+    repeat a kept one all stay, as do rows without one, though texts link through them. Null and empty texts are alike. An empty table
+    has no rows; other columns stay as they are."""
+    found = similar(docs, shingle, similarity, miss).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

@@ -104,11 +104,11 @@ def test_pivots_discard_no_near_pair():
     prints = draw.integers(0, 2**64, 3000, dtype=np.uint64)
     for i in range(500):
         prints[i + 500] = prints[i] ^ np.uint64(sum(1 << int(b) for b in draw.choice(64, i % 6, replace=False)))
-    a, b = simhash.pairs_within(np.zeros(3000, np.int64), prints)
+    a, b = simhash.pairs_within(np.zeros(3000, np.int64), prints, simhash.pivot_table(prints))
     found = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
     want = {(i, j) for i in range(3000) for j in (np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= 3) + i + 1).tolist()}
     assert found == want and len(a) == len(found)
-    a, b = simhash.pairs_within(np.arange(3000), prints)
+    a, b = simhash.pairs_within(np.arange(3000), prints, simhash.pivot_table(prints))
     assert len(a) == 0
 
 
@@ -227,3 +227,20 @@ def test_texts_of_few_shingles_equal_brute_force(spark, similarity):
     table = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], SCHEMA)
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar(table, similarity=similarity).collect()}
     assert [got[i] for i in range(len(rows))] == jaccard_groups(rows, 5, similarity)
+
+
+def test_texts_without_ids_link_and_link_others(spark):
+    """a - b - c are alike in a chain, of which only the middle has no id; d and e have none."""
+    draw = random.Random(8)
+    base = [f"w{draw.random()}" for _ in range(200)]
+    a, b, c = (" ".join([*["new" + str(i) for i in range(k)], *base[k:]]) for k in (0, 16, 32))
+    other = [f"v{i}" for i in range(120)]
+    rows = [(1, a, ""), (None, b, ""), (9, c, ""), (None, " ".join(other), ""), (None, " ".join([*other, "end"]), "")]
+    got = [(r["doc_id"], r["component_id"]) for r in simhash.similar(spark.createDataFrame(rows, SCHEMA), miss=1e-6).collect()]
+    assert jaccard_groups([r[1] for r in rows], 5, 0.8) == [0, 0, 0, 3, 3]
+    assert sorted(got, key=str) == sorted([(1, 1), (None, 1), (9, 1), (None, None), (None, None)], key=str)
+
+
+def test_a_small_miss_asks_for_more_keys():
+    shapes = [simhash.wide_shape(100_000, 0.8, miss) for miss in (0.02, 1e-4, 1e-8)]
+    assert [s[0] for s in shapes] == sorted(s[0] for s in shapes) and shapes[0][2] < shapes[1][2] < shapes[2][2] and shapes[0][0] == 28
