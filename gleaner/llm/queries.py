@@ -29,7 +29,7 @@ def op4_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages have no time of fetching: it is set from page_id, within three years."""
     day = F.date_add(F.lit("2022-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(1096)).cast("int"))
     captures = read(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
-    entries = spark.createDataFrame(list(url_lists.LIST), "domain string, action string, day string").withColumn("day", F.col("day").cast("date"))
+    entries = spark.sql(f"select domain, action, cast(day as date) as day from values {url_lists.values(url_lists.LIST)} as list(domain, action, day)")
     found = url_lists.filter_captures(captures, entries)
     return found.select("page_id", "host", F.col("fetched").cast("string").alias("fetched"), "listed", "list_domain", F.col("listed_since").cast("string").alias("listed_since"))
 
@@ -57,8 +57,9 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a text that is no UTF-8 the hash takes U+FFFD for what is not."""
     found = suffixes.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    words = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), "^ | $", "")
+    words = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), r"\A | \z", "")
     return found.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
 
 

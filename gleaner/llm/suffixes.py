@@ -1,45 +1,56 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
-Suffixes are word positions; a tree is cut at DEPTH words, below which nothing is asked of it. Prefixes of variable length part the
-suffixes into groups that fit in memory: one word where few suffixes begin with it, three where more do, and the whole DEPTH words where
-even those are too many. A count over all suffixes plans this. In its group a suffix is the 64-bit hash of its DEPTH words; sorted, equal labels
-are one internal node of the subtree at that depth. A node with suffixes of several documents is a repeat, and repeats at
-consecutive words grow into maximal ones when they are put back on their texts.
-
-Rows are packed into chunks once, whole, so that what the trees say can find its way back: each chunk sends each group the sorted labels
-of its distinct suffixes with the smallest document of each, and gets one bit a label back. Texts are not sent with suffixes.
-Labels are hashes: two different windows are taken for one with a chance of about windows in a group / 2**64 for each window.
+Suffixes are word positions; trees are cut at DEPTH words, below which nothing is asked of them. A suffix whose first DEPTH words begin no
+other is a leaf that hangs above that depth: a count of short signatures of those words, over all suffixes, finds these first, and they
+are not sent on. The others are parted by prefixes of variable length, one word where few suffixes begin with it, three where more do,
+and all DEPTH words where even those are too many, so that each group fits in memory; a count over them plans this. In its group every suffix
+has its words; they are put in order word by word, and where neighbours share DEPTH words there is an internal node at that depth, with
+the smallest document below it. Nodes at consecutive words of a text grow together into its maximal repeats: see spans.
+
+Rows are packed into chunks once, whole, so that what the trees say can find its way back: each chunk sends each group its distinct
+suffixes in order, with the smallest document of each, and gets one bit a suffix back. Chunks are dealt into sets of FAN_IN; where there
+are several, each set is merged first, so that a passage that every chunk has reaches its group once a set, not once a chunk.
+Signatures only spare work: two suffixes are one node only if their words are equal.
 """
 
 from __future__ import annotations
 
+import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import materialize, small_batches
+from gleaner.llm.common import drop, materialize, small_batches
 from gleaner.llm.held import release
-from gleaner.llm.words import mix, windows, words_of
+from gleaner.llm.words import Words, mix, ragged, windows, words_of
 
 DEPTH = 13
-#: Bytes of text in a chunk, and suffixes in a group, which bound what a task holds.
+#: Bytes of text in a chunk, and suffixes in a group, which bound what a task holds; and chunks that are merged before their group.
 CHUNK_BYTES = 4 << 20
 GROUP_SUFFIXES = 800_000
+FAN_IN = 4096
 FEWEST_GROUPS = 96
+#: Bits of a signature beyond those that number the suffixes: one in 2 ** SPARE of the leaves is sent on in vain.
+SPARE = 8
 _LONG = 3  # words of the longer prefix
 _FIRST_BITS, _NEXT_BITS = 11, 4
 _NO_ID = np.iinfo(np.int64).max
 
 
+# Numbers and words as bytes.
+
+
 def _planes(x: np.ndarray) -> bytes:
+    """Byte by byte, so that what is small compresses away."""
     return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
@@ -47,66 +58,165 @@ def _unplanes(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, n).T).view("<u8").ravel()
 
 
-def _pack_labels(labels: np.ndarray, docs: np.ndarray) -> bytes:
-    """Sorted labels as differences, documents from the smallest; byte by byte, so that both compress to their information."""
-    low = int(docs.min())
-    away = (docs.view(np.uint64) - np.uint64(low % 2**64)).astype(np.uint64)
-    return struct.pack("<Iq", len(labels), low) + zstandard.compress(_planes(np.diff(labels, prepend=np.uint64(0))) + _planes(away), 1)
+def _pack_sorted(values: np.ndarray) -> bytes:
+    return struct.pack("<I", len(values)) + zstandard.compress(_planes(np.diff(values, prepend=np.uint64(0))), 1)
 
 
-def _unpack_labels(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, low = struct.unpack_from("<Iq", data)
-    raw = zstandard.decompress(data[12:])
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    n = struct.unpack_from("<I", data)[0]
     with np.errstate(over="ignore"):
-        return np.cumsum(_unplanes(raw[: 8 * n], n), dtype=np.uint64), (_unplanes(raw[8 * n :], n) + np.uint64(low % 2**64)).view(np.int64)
+        return np.cumsum(_unplanes(zstandard.decompress(data[4:]), n), dtype=np.uint64)
+
+
+class Suffixes:
+    """Suffixes by their words: a row of numbers each, in a list of the words (ascending bytes), and a document for each."""
+
+    def __init__(self, words: pa.Array, rows: np.ndarray, docs: np.ndarray):
+        self.words, self.rows, self.docs = words, rows, docs
+
+    def pack(self) -> bytes:
+        """Only the words that occur; numbers column by column, documents from the smallest."""
+        used, flat = np.unique(self.rows, return_inverse=True)
+        words = self.words.take(pa.array(used)).cast(pa.binary()).combine_chunks() if isinstance(self.words, pa.ChunkedArray) else self.words.take(pa.array(used))
+        kind = "<u2" if len(used) <= 1 << 16 else "<u4"
+        numbers = np.ascontiguousarray(flat.reshape(self.rows.shape).astype(kind).T).view(np.uint8).reshape(self.rows.shape[1], -1, int(kind[-1]))
+        low = int(self.docs.min())
+        away = (self.docs.view(np.uint64) - np.uint64(low % 2**64)).astype(np.uint64)
+        sizes = np.diff(np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]).astype("<u4")
+        data = b"".join(words.to_pylist())
+        body = sizes.tobytes() + data + np.ascontiguousarray(numbers.transpose(0, 2, 1)).tobytes() + _planes(away)
+        return struct.pack("<IIIIq", len(self.rows), self.rows.shape[1], len(words), len(data), low) + zstandard.compress(body, 1)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Suffixes:
+        n, depth, n_words, size, low = struct.unpack_from("<IIIIq", data)
+        raw = zstandard.decompress(data[24:])
+        offsets = np.r_[0, np.cumsum(np.frombuffer(raw, dtype="<u4", count=n_words))].astype(np.int32)
+        at = 4 * n_words
+        words = pa.Array.from_buffers(pa.binary(), n_words, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[at : at + size])])
+        at += size
+        kind = "<u2" if n_words <= 1 << 16 else "<u4"
+        width = int(kind[-1])
+        numbers = np.frombuffer(raw, dtype=np.uint8, count=n * depth * width, offset=at).reshape(depth, width, n)
+        rows = np.ascontiguousarray(numbers.transpose(0, 2, 1)).view(kind)[:, :, 0].T.astype(np.int64)
+        docs = (_unplanes(raw[at + n * depth * width :], n) + np.uint64(low % 2**64)).view(np.int64)
+        return cls(words, rows, docs)
+
+    @classmethod
+    def union(cls, parts: list[Suffixes]) -> Suffixes:
+        """All suffixes of the parts, one part after the other, by one list of words."""
+        every = pa.concat_arrays([p.words for p in parts])
+        coded = every.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.arange(len(order))
+        number = number[coded.indices.to_numpy()] if len(every) else number
+        starts = np.cumsum([0, *(len(p.words) for p in parts)])
+        rows = np.concatenate([number[p.rows + s] for p, s in zip(parts, starts)])
+        return cls(coded.dictionary.take(pa.array(order)), rows, np.concatenate([p.docs for p in parts]))
+
+    def tree(self) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the suffixes, word by word, and where in it each node at full depth starts."""
+        bits = max(1, math.ceil(math.log2(max(2, len(self.words)))))
+        per = max(1, 64 // bits)
+        keys = []
+        for k in range(0, self.rows.shape[1], per):
+            key = np.zeros(len(self.rows), dtype=np.uint64)
+            for j in range(k, min(k + per, self.rows.shape[1])):
+                key = key << np.uint64(bits) | self.rows[:, j].astype(np.uint64)
+            keys.append(key)
+        order = np.lexsort(keys[::-1])
+        new = np.zeros(max(0, len(order) - 1), dtype=bool)
+        for key in keys:
+            new |= key[order][1:] != key[order][:-1]
+        return order, np.flatnonzero(np.r_[True, new]) if len(order) else order
+
+
+# Chunks of rows.
 
 
 def _table(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
 
-def _texts(table: pa.Table) -> list[bytes]:
-    return [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
-
-
-def _ids(table: pa.Table) -> np.ndarray:
-    return table.column("doc_id").cast(pa.int64()).fill_null(_NO_ID).to_numpy()
-
-
-class _Suffixes:
-    """The suffixes of a chunk that have DEPTH words, in the order of their labels."""
+class _Chunk:
+    """The suffixes of a chunk that have DEPTH words."""
 
     def __init__(self, table: pa.Table, depth: int):
-        ids = _ids(table)
-        self.order = np.argsort(ids, kind="stable")  # so that of equal labels the smallest document comes first
-        texts = _texts(table)
-        self.words = words_of([texts[i] for i in self.order])
+        self.table, self.depth = table, depth
+        ids = table.column("doc_id").cast(pa.int64()).fill_null(_NO_ID).to_numpy()
+        self.order = np.argsort(ids, kind="stable")  # so that of equal suffixes the smallest document comes first
+        texts = [t or b"" for t in table.column("text").to_pylist()]
+        self.texts = [texts[i] for i in self.order]
+        self.words: Words = words_of(self.texts)
         self.hashes = self.words.hashes()
-        counts = self.words.counts
-        self.labels, self.at = windows(self.hashes, counts, depth)
-        owner = np.repeat(np.arange(len(counts)), counts)[self.at] if len(self.at) else self.at
-        self.docs = ids[self.order][owner] if len(self.at) else np.zeros(0, np.int64)
+        labels, at = windows(self.hashes, self.words.counts, depth)
+        self.doc = np.repeat(ids[self.order], self.words.counts)  # of each word
+        by_label = np.argsort(labels, kind="stable")
+        label, self.at = labels[by_label], at[by_label]  # where the suffixes start, by label and then by document
+        self.first = np.flatnonzero(np.r_[True, label[1:] != label[:-1]]) if len(label) else np.zeros(0, np.int64)
+        self.many = np.diff(np.r_[self.first, len(label)])
+        self.labels = label[self.first]
+
+    def signatures(self, bits: int) -> np.ndarray:
+        """Of each distinct label, in order."""
+        return self.labels >> np.uint64(64 - bits)
 
     def bins(self, at: np.ndarray) -> np.ndarray:
         """The counting bin of the suffixes that start at some words: by the first word, then by the longer prefix."""
+        h = self.hashes
+        longer = h[at]
         with np.errstate(over="ignore"):
-            h = self.hashes
-            longer = mix(h[at] * np.uint64(3) + h[at + 1] * np.uint64(5) + h[at + _LONG - 1] * np.uint64(7))
-            return ((h[at] >> np.uint64(64 - _FIRST_BITS)) << np.uint64(_NEXT_BITS) | longer >> np.uint64(64 - _NEXT_BITS)).astype(np.int64)
+            for k in range(1, min(_LONG, self.depth)):
+                longer = mix(longer * np.uint64(3) + h[at + k])
+        return ((h[at] >> np.uint64(64 - _FIRST_BITS)) << np.uint64(_NEXT_BITS) | longer >> np.uint64(64 - _NEXT_BITS)).astype(np.int64)
+
+    def deep(self, bits: int, elsewhere: np.ndarray) -> np.ndarray:
+        """Which distinct labels may be a node at full depth: those whose signature (of the distinct ones, in order) another chunk has, or that several documents have here."""
+        if not len(self.first):
+            return np.zeros(0, dtype=bool)
+        _, number = np.unique(self.signatures(bits), return_inverse=True)
+        last = self.first + self.many - 1
+        return elsewhere[number] | (self.doc[self.at[self.first]] != self.doc[self.at[last]])
+
+    def ask(self, deep: np.ndarray, base: np.ndarray, ways: np.ndarray) -> None:
+        """Sets places (all suffixes under the deep labels), own (for each of them its representative), representatives, and groups."""
+        data = self.words.buffer[ragged(self.words.end - self.words.start, self.words.start)]
+        offsets = np.r_[0, np.cumsum(self.words.end - self.words.start)].astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).dictionary_encode()
+        self.dictionary, number = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        places = self.at[ragged(self.many[deep], self.first[deep])]
+        head = np.repeat(self.at[self.first[deep]], self.many[deep])
+        same = np.ones(len(places), dtype=bool)
+        for j in range(self.depth):
+            same &= number[places + j] == number[head + j]
+        # Equal labels nearly always are equal words; suffixes that differ from the first of their label stand for themselves.
+        found, own = np.unique(np.where(same, head, places), return_inverse=True)
+        bins = self.bins(found)
+        # The last resort parts a bin by a hash of all words.
+        part = np.zeros(len(found), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(self.depth):
+                part = mix(part * np.uint64(5) + self.hashes[found + j])
+        group = base[bins] + (part % ways[bins].astype(np.uint64)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        self.places, self.own, self.representatives, self.groups, self.number = places, back[own], found[order], group[order], number
 
-    def nodes(self, base: np.ndarray, ways: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """order, starts and group of distinct labels: self.labels[order] sorted by group and label, and where each new one starts."""
-        by_label = np.argsort(self.labels, kind="stable")
-        label = self.labels[by_label]
-        first = np.flatnonzero(np.r_[True, label[1:] != label[:-1]]) if len(label) else np.zeros(0, np.int64)
-        bins = self.bins(self.at[by_label[first]]) if len(first) else np.zeros(0, np.int64)
-        # Equal labels have equal words, so one bin; the last resort parts a bin by the label itself.
-        group = base[bins] + (label[first] % ways[bins].astype(np.uint64)).astype(np.int64) if len(first) else np.zeros(0, np.int64)
-        return by_label, first, group
+    def runs(self) -> Iterator[tuple[int, int, int]]:
+        """group, start and end of the representatives of each group."""
+        starts = np.flatnonzero(np.r_[True, np.diff(self.groups) != 0]) if len(self.groups) else np.zeros(0, np.int64)
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(self.groups)]):
+            yield int(self.groups[a]), a, b
 
+    def suffixes(self, a: int, b: int) -> Suffixes:
+        at = self.representatives[a:b]
+        return Suffixes(self.dictionary, self.number[at[:, None] + np.arange(self.depth)], self.doc[at])
 
-def _pack(docs: DataFrame, depth: int) -> DataFrame:
-    """chunk, data (whole rows) and counts (suffixes in each bin)."""
+
+def _pack(docs: DataFrame) -> DataFrame:
+    """chunk, data (whole rows) and size (bytes of text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -117,14 +227,12 @@ def _pack(docs: DataFrame, depth: int) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table.combine_chunks())
-            s = _Suffixes(table, depth)
-            counts = np.bincount(s.bins(s.at), minlength=1 << (_FIRST_BITS + _NEXT_BITS)).astype("<u4")
-            row = {"chunk": [(part << 32) + number], "data": [sink.getvalue().to_pybytes()], "counts": [zstandard.compress(counts.tobytes())]}
+            row = {"chunk": [(part << 32) + number], "data": [sink.getvalue().to_pybytes()], "size": [size]}
             number, held, size = number + 1, [], 0
-            return pa.RecordBatch.from_pydict(row, pa.schema([("chunk", pa.int64()), ("data", pa.binary()), ("counts", pa.binary())]))
+            return pa.RecordBatch.from_pydict(row, pa.schema([("chunk", pa.int64()), ("data", pa.binary()), ("size", pa.int64())]))
 
         for batch in batches:
-            sizes = np.cumsum(batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).fill_null(b"").to_pandas().map(len).to_numpy() + 1) if batch.num_rows else []
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False) + 1) if batch.num_rows else []
             at = 0
             while at < batch.num_rows:
                 before = sizes[at - 1] if at else 0
@@ -138,25 +246,73 @@ def _pack(docs: DataFrame, depth: int) -> DataFrame:
             yield close()
         release()
 
-    return materialize(docs.mapInArrow(run, "chunk long, data binary, counts binary"), "chunks")
+    return materialize(docs.mapInArrow(run, "chunk long, data binary, size long"), "chunks")
 
 
-def _plan(chunks: DataFrame, group_suffixes: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each bin its first group, and over how many it goes. The driver takes one count for each bin, of which the number is fixed."""
-    size = 1 << (_FIRST_BITS + _NEXT_BITS)
+# Groups: what is sent, what comes back.
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size, dtype=np.int64)
-        for pdf in batches:
-            for data in pdf["counts"]:
-                total += np.frombuffer(zstandard.decompress(data), dtype="<u4")
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bin": at, "n": total[at]})
-
-    found = chunks.select("counts").mapInPandas(add, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(size, dtype=np.int64)
-    counts[found["bin"]] = found["n"]
-    limit = max(1, min(group_suffixes, counts.sum() // FEWEST_GROUPS))
+_SENT = "chunk long, set long, group long, payload binary"
+_BITS = "chunk long, group long, bits binary"
+_PARTS = 16  # sums of counts that go to the driver
+#: Of payloads: how many entries each has, a node for each entry, a bit for each entry, and the nodes as one payload.
+_Read = Callable[[list[bytes]], tuple[list[int], np.ndarray, np.ndarray, Callable[[], bytes]]]
+
+
+def _signatures(payloads: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray, Callable[[], bytes]]:
+    """An entry's bit: another payload has that signature."""
+    parts = [_unpack_sorted(p) for p in payloads]
+    values, node, many = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    return [len(p) for p in parts], node, many[node] > 1, lambda: _pack_sorted(values)
+
+
+def _subtree(payloads: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray, Callable[[], bytes]]:
+    """One group's subtree. An entry's bit: its node has a smaller document."""
+    parts = [Suffixes.unpack(p) for p in payloads]
+    every = Suffixes.union(parts)
+    order, starts = every.tree()
+    node = np.empty(len(order), dtype=np.int64)
+    node[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
+    low = np.minimum.reduceat(every.docs[order], starts)
+    return [len(p.docs) for p in parts], node, low[node] < every.docs, lambda: Suffixes(every.words, every.rows[order[starts]], low).pack()
+
+
+def _told(pdf: pd.DataFrame, sizes: list[int], bits: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"chunk": pdf["chunk"], "group": pdf["group"], "bits": [np.packbits(x).tobytes() for x in np.split(bits, np.cumsum(sizes)[:-1])]})
+
+
+def _asked(sent: DataFrame, sets: int, read: _Read, name: str) -> DataFrame:
+    """What the groups say to each chunk. With several sets, each is merged before its group is, and hears the group's answer for its nodes."""
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["group"].iloc[0] < 0:  # counts
+            total = sum(np.frombuffer(zstandard.decompress(p), dtype="<u8") for p in pdf["payload"])
+            return pd.DataFrame({"chunk": [-1], "group": pdf["group"].iloc[:1], "bits": [zstandard.compress(total.tobytes())]})
+        sizes, _, bits, _ = read(pdf["payload"].tolist())
+        return _told(pdf, sizes, bits)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": pdf["set"].iloc[:1], "group": pdf["group"].iloc[:1], "payload": [read(pdf["payload"].tolist())[3]()]})
+
+    def hear(pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        sizes, node, bits, _ = read(pdf["payload"].tolist())
+        said = np.unpackbits(np.frombuffer(above["bits"].iloc[0], dtype=np.uint8))[: int(node.max()) + 1].astype(bool)
+        return _told(pdf, sizes, bits | said[node])
+
+    if sets == 1:
+        return materialize(sent.groupBy("group").applyInPandas(answer, _BITS), name)
+    sent = materialize(sent, f"{name}-sent")
+    merged = sent.where("group >= 0").groupBy("group", "set").applyInPandas(merge, "chunk long, group long, payload binary")
+    above = merged.groupBy("group").applyInPandas(answer, _BITS)
+    heard = sent.where("group >= 0").groupBy("group", "set").cogroup(above.groupBy("group", "chunk")).applyInPandas(hear, _BITS)
+    out = materialize(heard.unionByName(sent.where("group < 0").groupBy("group").applyInPandas(answer, _BITS)), name)
+    drop(sent)
+    return out
+
+
+def _plan(counts: np.ndarray, group_suffixes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each bin its first group, and over how many it goes."""
+    size = len(counts)
+    limit = max(1, min(group_suffixes, int(counts.sum()) // FEWEST_GROUPS))
     base, ways = np.zeros(size, dtype=np.int64), np.ones(size, dtype=np.int64)
     group, filled = 0, 0
     per = 1 << _NEXT_BITS
@@ -176,91 +332,102 @@ def _plan(chunks: DataFrame, group_suffixes: int) -> tuple[np.ndarray, np.ndarra
     return base, ways
 
 
-def _subtree(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One group's subtree: for each chunk a bit for each of its labels, set where a smaller document has it too."""
-    parts = [_unpack_labels(p) for p in pdf["payload"]]
-    label, doc = np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
-    order = np.argsort(label, kind="stable")
-    label = label[order]
-    node = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])  # with the leaves below each
-    smallest = np.minimum.reduceat(doc[order], node)
-    earlier = np.zeros(len(label), dtype=bool)
-    earlier[order] = np.repeat(smallest, np.diff(np.r_[node, len(label)])) < doc[order]
-    cuts = np.cumsum([len(a) for a, _ in parts])[:-1]
-    bits = [np.packbits(x).tobytes() for x in np.split(earlier, cuts)]
-    return pd.DataFrame({"chunk": pdf["chunk"], "group": pdf["group"], "bits": bits})
-
-
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, group_suffixes: int = GROUP_SUFFIXES, fan_in: int = FAN_IN, spans: bool = False) -> DataFrame:
     """docs with repeated passages cut out of text, and n_words and n_removed, for each row.
 
     A word goes if a window of depth words over it also starts in a document with a smaller doc_id; windows are judged on the whole
-    input. With a word goes the white space after it; other white space stays. Rows with equal doc_ids do not touch each other, and a
-    null doc_id counts as the largest. Null texts stay null and have no words. All rows and other columns stay as they are, but for columns
-    named n_words and n_removed, which are replaced.
+    input. With a word goes the white space after it; other white space stays. Words are bytes, whether these are UTF-8 or not. Rows with
+    equal doc_ids do not touch each other, and a null doc_id counts as the largest. Null texts stay null and have no words. All rows and
+    other columns stay as they are, but for columns named n_words, n_removed and, with spans, spans, which are replaced. spans: also
+    the passages that went, each as its first word (from 0) and its number of words. An empty table has no rows. A row larger than a
+    chunk is a chunk of its own. Each chunk sends a row to each group: for inputs of many terabytes take larger chunks and groups.
     """
     small_batches(docs.sparkSession)
-    kept = docs.select([c for c in docs.columns if c not in ("n_words", "n_removed")])
-    chunks = _pack(kept, depth)
-    base, ways = _plan(chunks, group_suffixes)
-    plan = docs.sparkSession.sparkContext.broadcast((base, ways))  # two numbers for each bin
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    new = ["n_words", "n_removed", *(["spans"] if spans else [])]
+    kept = docs.select([F.col(c).cast("binary").alias(c) if c == "text" else c for c in docs.columns if c not in new])
+    chunks = _pack(kept)
+    n_chunks, size = chunks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    sets = max(1, -(-n_chunks // fan_in))
+    bits = min(64, math.ceil(math.log2(max(2, size / 4))) + SPARE)
+    ranges = max(1, -(-size // (6 * group_suffixes)), min(FEWEST_GROUPS, n_chunks))
+    edges = np.array([-(-(r << bits) // ranges) for r in range(1, ranges)], dtype=np.uint64)
+
+    def send_signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for chunk, data in zip(pdf["chunk"], pdf["data"]):
-                s = _Suffixes(_table(data), depth)
-                by_label, first, group = s.nodes(*plan.value)
-                if not len(first):
+                c = _Chunk(_table(data), depth)
+                if not len(c.first):
                     continue
-                order = np.argsort(group, kind="stable")
-                labels, docs_ = s.labels[by_label[first]][order], s.docs[by_label[first]][order]
-                starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
-                ends = np.r_[starts[1:], len(order)]
-                yield pd.DataFrame({"chunk": chunk, "group": group[order][starts], "payload": [_pack_labels(labels[a:b], docs_[a:b]) for a, b in zip(starts, ends)]})
+                counts = np.bincount(c.bins(c.at), minlength=1 << (_FIRST_BITS + _NEXT_BITS)).astype("<u8")
+                own = np.unique(c.signatures(bits))
+                cuts = np.r_[0, np.searchsorted(own, edges), len(own)]
+                some = np.flatnonzero(np.diff(cuts))
+                payloads = [_pack_sorted(own[cuts[g] : cuts[g + 1]]) for g in some]
+                yield pd.DataFrame({"chunk": chunk, "set": _set(chunk, sets), "group": [*some.tolist(), -1 - chunk % _PARTS], "payload": [*payloads, zstandard.compress(counts.tobytes(), 1)]})
         release()
 
+    elsewhere = _asked(chunks.select("chunk", "data").mapInPandas(send_signatures, _SENT), sets, _signatures, "signatures")
+    # One number for each bin, of which there is a fixed number.
+    found = [np.frombuffer(zstandard.decompress(r["bits"]), dtype="<u8") for r in elsewhere.where("group < 0").select("bits").collect()]
+    counts = np.sum(found, axis=0, dtype=np.int64) if found else np.zeros(1 << (_FIRST_BITS + _NEXT_BITS), dtype=np.int64)
+    plan = docs.sparkSession.sparkContext.broadcast(_plan(counts, group_suffixes))
+
+    def reread(data: bytes, said: dict[int, bytes]) -> _Chunk:
+        c = _Chunk(_table(data), depth)
+        own = np.unique(c.signatures(bits)) if len(c.first) else np.zeros(0, np.uint64)
+        cuts = np.r_[0, np.searchsorted(own, edges), len(own)]
+        there = [np.unpackbits(np.frombuffer(said[int(g)], dtype=np.uint8), count=int(cuts[g + 1] - cuts[g])) for g in np.flatnonzero(np.diff(cuts))]
+        c.ask(c.deep(bits, np.concatenate(there).astype(bool) if there else np.zeros(0, bool)), *plan.value)
+        return c
+
+    def send_suffixes(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for chunk, data in zip(left["chunk"], left["data"]):
+            c = reread(data, dict(zip(right["group"], right["bits"])))
+            rows += [(chunk, _set(chunk, sets), group, c.suffixes(a, b).pack()) for group, a, b in c.runs()]
+        return pd.DataFrame(rows, columns=["chunk", "set", "group", "payload"])
+
+    said = elsewhere.where("group >= 0")
+    sent = chunks.select("chunk", "data").groupBy("chunk").cogroup(said.groupBy("chunk")).applyInPandas(send_suffixes, _SENT)
+    repeats = _asked(sent, sets, _subtree, "repeats")
+
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = []
-        found = dict(zip(right.column("group").to_pylist(), right.column("bits").to_pylist()))
-        for data in left.column("data").to_pylist():
-            parts.append(_cut(_table(data), found, plan.value, depth))
-        return pa.concat_tables(parts)
-
-    bits = chunks.select("chunk", "data").mapInPandas(send, "chunk long, group long, payload binary").groupBy("group").applyInPandas(_subtree, "chunk long, group long, bits binary")
-    bits = materialize(bits, "repeats")
+        answers: tuple[dict, dict] = ({}, {})
+        for tree, group, own in zip(right.column("tree").to_pylist(), right.column("group").to_pylist(), right.column("bits").to_pylist()):
+            answers[tree][group] = own
+        return pa.concat_tables([_cut(reread(data, answers[0]), answers[1], spans) for data in left.column("data").to_pylist()])
+
+    both = said.withColumn("tree", F.lit(0)).unionByName(repeats.withColumn("tree", F.lit(1)))
     schema = T.StructType([*kept.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return chunks.select("chunk", "data").groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(cut, schema)
+    if spans:
+        schema = schema.add("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("words", T.LongType())])))
+    out = chunks.select("chunk", "data").groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(cut, schema)
+    return out.withColumn("text", F.col("text").cast("string")) if docs.schema["text"].dataType == T.StringType() else out
 
 
-def _cut(table: pa.Table, found: dict[int, bytes], plan: tuple[np.ndarray, np.ndarray], depth: int) -> pa.Table:
-    s = _Suffixes(table, depth)
-    by_label, first, group = s.nodes(*plan)
-    gone = np.zeros(len(s.hashes), dtype=bool)
-    if len(first):
-        earlier = np.zeros(len(first), dtype=bool)
-        order = np.argsort(group, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
-        for a, b in zip(starts, np.r_[starts[1:], len(order)]):
-            earlier[order[a:b]] = np.unpackbits(np.frombuffer(found[int(group[order[a]])], dtype=np.uint8), count=b - a).astype(bool)
-        runs = np.diff(np.r_[first, len(by_label)])
-        docs = s.docs[by_label]
-        repeat = np.repeat(earlier, runs) | (docs > np.repeat(docs[first], runs))
+def _set(chunk: int, sets: int) -> int:
+    return int(mix(np.array([chunk], dtype=np.uint64))[0] % np.uint64(sets))
+
+
+def _cut(c: _Chunk, said: dict[int, bytes], spans: bool) -> pa.Table:
+    table, w = c.table, c.words
+    smaller = [np.unpackbits(np.frombuffer(said[group], dtype=np.uint8), count=b - a) for group, a, b in c.runs()]
+    gone = np.zeros(len(c.hashes), dtype=bool)
+    if smaller:
+        repeat = np.concatenate(smaller).astype(bool)[c.own] | (c.doc[c.places] > c.doc[c.representatives[c.own]])
         # The words under a repeated window: one more at its start, one less after its end.
-        edge = np.zeros(len(s.hashes) + 1, dtype=np.int64)
-        at = s.at[by_label[repeat]]
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + depth, -1)
+        at = c.places[repeat]
+        edge = np.bincount(at, minlength=len(gone) + 1) - np.bincount(at + c.depth, minlength=len(gone) + 1)
         gone = np.cumsum(edge[:-1]) > 0
-    w = s.words
     sums = np.r_[0, np.cumsum(gone)]
     removed = sums[w.first[1:]] - sums[w.first[:-1]]
     # Bytes of removed words, up to the next word or the end of the text.
-    all_texts = _texts(table)
-    texts = [all_texts[i] for i in s.order]
-    text_start = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    text_start = np.cumsum([0, *(len(t) + 1 for t in c.texts)])
     out: list[bytes | None] = []
-    nulls = table.column("text").is_null().to_numpy()[s.order] if len(texts) else []
-    for k, text in enumerate(texts):
+    passages: list[list[dict]] = []
+    nulls = table.column("text").is_null().to_numpy()[c.order] if len(c.texts) else []
+    for k, text in enumerate(c.texts):
+        passages.append([])
         if nulls[k]:
             out.append(None)
         elif not removed[k]:
@@ -274,8 +441,13 @@ def _cut(table: pa.Table, found: dict[int, bytes], plan: tuple[np.ndarray, np.nd
             pieces = [text[: start[0]]] if stay[0] and start[0] else []
             pieces += [text[start[x] : stops[y]] for x, y in zip(edges[0::2], edges[1::2])]
             out.append(b"".join(pieces))
-    back = np.argsort(s.order, kind="stable")
+            if spans:
+                ends = np.flatnonzero(np.diff(np.r_[False, ~stay, False].astype(np.int8)))
+                passages[-1] = [{"first": int(x), "words": int(y - x)} for x, y in zip(ends[0::2], ends[1::2])]
+    back = np.argsort(c.order, kind="stable")
     at = table.schema.get_field_index("text")
-    text = pa.array([out[i] for i in back], type=pa.binary()).cast(table.schema.field(at).type)
-    result = table.set_column(at, table.schema.field(at), text)
-    return result.append_column("n_words", pa.array(w.counts[back], pa.int64())).append_column("n_removed", pa.array(removed[back].astype(np.int64), pa.int64()))
+    result = table.set_column(at, table.schema.field(at), pa.array([out[i] for i in back], type=table.schema.field(at).type))
+    result = result.append_column("n_words", pa.array(w.counts[back], pa.int64())).append_column("n_removed", pa.array(removed[back].astype(np.int64), pa.int64()))
+    if spans:
+        result = result.append_column("spans", pa.array([passages[i] for i in back], pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))))
+    return result

@@ -20,8 +20,15 @@ LIST = (
 )
 
 
+def values(entries: tuple[tuple[str, str, str], ...]) -> str:
+    """Entries as rows of SQL VALUES."""
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return ", ".join(f"({', '.join(map(text, e))})" for e in entries)
+
+
 def host_of(url: Column) -> Column:
-    """The lower-case host of an http or https URL without user, port and a last dot; null if there is none."""
+    """The lower-case host of an http or https URL without user, port and a last dot; null if there is none. Hosts stay as they are written: a
+    name in its Unicode form and the same in its ASCII form (xn--) are two."""
     authority = F.regexp_extract(url, r"^[hH][tT][tT][pP][sS]?://([^/?#]*)", 1)
     host = F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":[0-9]*$", "")
     return F.nullif(F.lower(F.regexp_replace(host, r"\.$", "")), F.lit(""))
