@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.sources.scratch import drop, materialize, shared_dir
 
-__all__ = ["WORD", "drop", "materialize", "partitions", "read", "shared_dir", "small_batches", "text_bytes"]
+__all__ = ["WORD", "drop", "materialize", "partitions", "read", "set_aside", "shared_dir", "small_batches", "text_bytes"]
 
 #: A word of every operator here: a run of bytes other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,5 +38,11 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with the columns of those names (in any case) under others, and what selects df's columns from a result, by their own names again."""
+    own = {c: f"__gleaner_own_{c}" for c in df.columns if c.lower() in names}
+    return df.withColumnsRenamed(own), lambda out: out.select([F.col(own.get(c, c)).alias(c) for c in df.columns])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -36,7 +36,7 @@ def documents():
     for i in range(120):
         body = " ".join(draw.choices(vocabulary, k=draw.choice([0, 1, 5, 60, 200])))
         rows.append((f"{body} {passage} {draw.choice(vocabulary)}" if i % 3 == 0 else body, draw.choice(["hot", "hot", "b", "c", None])))
-    rows += [(rows[0][0], "hot"), (rows[3][0] + " x", "b"), ("w a  ", "b"), (" ", "b"), ("a\u0085", "b"), ("\x85 \x1c x", "b"), (None, "b"), ("", None), (" \n", "c"), ("x" * 70_000, "c"), ("w z " * 9000, "c")]
+    rows += [(rows[0][0], "hot"), (rows[3][0] + " x", "b"), ("w a \u2028", "b"), ("\u2029", "b"), ("a\u0085", "b"), ("\x85 \x1c x", "b"), (None, "b"), ("", None), (" \n", "c"), ("x" * 70_000, "c"), ("w z " * 9000, "c")]
     ids = draw.sample(range(10_000), len(rows))
     return [(i, t, draw.choice(["en", "de", None]), s, None if t is None else len(t)) for i, (t, s) in zip(ids, rows)]
 
