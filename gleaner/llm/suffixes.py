@@ -1,14 +1,17 @@
-"""Substring dedup by prefix-partitioned suffix trees over words.
+"""Substring dedup by suffix trees over words, in groups.
 
 Suffixes are word positions; trees are cut at DEPTH words, below which nothing is asked of them. A suffix whose first DEPTH words begin no
 other is a leaf that hangs above that depth: a count of short signatures of those words, over all suffixes, finds these first, and they
-are not sent on. The others are parted by prefixes of variable length, one word where few suffixes begin with it, three where more do,
-and all DEPTH words where even those are too many, so that each group fits in memory; a count over them plans this. In its group every suffix
-has its words; they are put in order word by word, and where neighbours share DEPTH words there is an internal node at that depth, with
-the smallest document below it. Nodes at consecutive words of a text grow together into its maximal repeats: see spans.
+are not sent on. The others go to groups that fit in memory, which a count over all suffixes plans. In its group every suffix has its
+words; they are put in order word by word, and where neighbours share DEPTH words there is an internal node at that depth, with the
+smallest document below it. Nodes at consecutive words of a text grow together into its repeated passages: see spans.
+
+What parts the suffixes is told by their first DEPTH words: the least hash of the RUN-word runs among them, not how they begin. Neighbours
+in a text mostly share it, so they go to one group as one stretch of text: about three words a suffix, where by their beginnings each would
+need all its DEPTH. Where one such run is too common, all DEPTH words part its suffixes further.
 
 Rows are packed into chunks once, whole, so that what the trees say can find its way back: each chunk sends each group its distinct
-suffixes in order, with the smallest document of each, and gets one bit a suffix back. Chunks are dealt into sets of FAN_IN; where there
+suffixes, with the smallest document of each, and gets one bit a suffix back. Chunks are dealt into sets of FAN_IN; where there
 are several, each set is merged first, so that a passage that every chunk has reaches its group once a set, not once a chunk.
 Signatures only spare work: two suffixes are one node only if their words are equal.
 """
@@ -41,8 +44,8 @@ FAN_IN = 4096
 FEWEST_GROUPS = 96
 #: Bits of a signature beyond those that number the suffixes: one in 2 ** SPARE of the leaves is sent on in vain.
 SPARE = 8
-_LONG = 3  # words of the longer prefix
-_FIRST_BITS, _NEXT_BITS = 11, 4
+RUN = 3
+_BINS = 1 << 15
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -74,33 +77,46 @@ class Suffixes:
     def __init__(self, words: pa.Array, rows: np.ndarray, docs: np.ndarray):
         self.words, self.rows, self.docs = words, rows, docs
 
-    def pack(self) -> bytes:
-        """Only the words that occur; numbers column by column, documents from the smallest."""
-        used, flat = np.unique(self.rows, return_inverse=True)
-        words = self.words.take(pa.array(used)).cast(pa.binary()).combine_chunks() if isinstance(self.words, pa.ChunkedArray) else self.words.take(pa.array(used))
+    def pack(self, follows: np.ndarray | None = None) -> bytes:
+        """follows: which suffixes start a word after the one before them, in the same document. Stretches of such have their words once;
+        numbers of the words that occur go by planes of bytes, documents from the smallest."""
+        n, depth = self.rows.shape
+        first = np.ones(n, dtype=bool) if follows is None else ~follows
+        starts = np.flatnonzero(first)
+        many = np.diff(np.r_[starts, n])
+        text = np.empty(n + len(starts) * (depth - 1), dtype=np.int64)
+        at = np.arange(n) + (np.cumsum(first) - 1) * (depth - 1)  # where in text each suffix starts
+        text[at] = self.rows[:, 0]
+        ends = at[starts + many - 1]
+        text[ends[:, None] + np.arange(1, depth)] = self.rows[starts + many - 1, 1:]
+        used, flat = np.unique(text, return_inverse=True)
+        words = self.words.take(pa.array(used))
         kind = "<u2" if len(used) <= 1 << 16 else "<u4"
-        numbers = np.ascontiguousarray(flat.reshape(self.rows.shape).astype(kind).T).view(np.uint8).reshape(self.rows.shape[1], -1, int(kind[-1]))
-        low = int(self.docs.min())
-        away = (self.docs.view(np.uint64) - np.uint64(low % 2**64)).astype(np.uint64)
-        sizes = np.diff(np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]).astype("<u4")
-        data = b"".join(words.to_pylist())
-        body = sizes.tobytes() + data + np.ascontiguousarray(numbers.transpose(0, 2, 1)).tobytes() + _planes(away)
-        return struct.pack("<IIIIq", len(self.rows), self.rows.shape[1], len(words), len(data), low) + zstandard.compress(body, 1)
+        numbers = flat.astype(kind).view(np.uint8).reshape(len(text), -1).T
+        docs = self.docs[starts]
+        low = int(docs.min())
+        away = (docs.view(np.uint64) - np.uint64(low % 2**64)).astype(np.uint64)
+        pieces = words.to_pylist()
+        sizes = np.fromiter(map(len, pieces), dtype="<u4", count=len(pieces))
+        body = sizes.tobytes() + b"".join(pieces) + many.astype("<u4").tobytes() + np.ascontiguousarray(numbers).tobytes() + _planes(away)
+        return struct.pack("<IIIIIq", len(starts), len(text), depth, len(pieces), int(sizes.sum()), low) + zstandard.compress(body, 1)
 
     @classmethod
     def unpack(cls, data: bytes) -> Suffixes:
-        n, depth, n_words, size, low = struct.unpack_from("<IIIIq", data)
-        raw = zstandard.decompress(data[24:])
+        n, n_text, depth, n_words, size, low = struct.unpack_from("<IIIIIq", data)
+        raw = zstandard.decompress(data[28:])
         offsets = np.r_[0, np.cumsum(np.frombuffer(raw, dtype="<u4", count=n_words))].astype(np.int32)
         at = 4 * n_words
         words = pa.Array.from_buffers(pa.binary(), n_words, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[at : at + size])])
         at += size
+        many = np.frombuffer(raw, dtype="<u4", count=n, offset=at).astype(np.int64)
+        at += 4 * n
         kind = "<u2" if n_words <= 1 << 16 else "<u4"
-        width = int(kind[-1])
-        numbers = np.frombuffer(raw, dtype=np.uint8, count=n * depth * width, offset=at).reshape(depth, width, n)
-        rows = np.ascontiguousarray(numbers.transpose(0, 2, 1)).view(kind)[:, :, 0].T.astype(np.int64)
-        docs = (_unplanes(raw[at + n * depth * width :], n) + np.uint64(low % 2**64)).view(np.int64)
-        return cls(words, rows, docs)
+        numbers = np.frombuffer(raw, dtype=np.uint8, count=n_text * int(kind[-1]), offset=at).reshape(-1, n_text)
+        text = np.ascontiguousarray(numbers.T).view(kind).ravel().astype(np.int64)
+        docs = (_unplanes(raw[at + n_text * int(kind[-1]) :], n) + np.uint64(low % 2**64)).view(np.int64)
+        starts = ragged(many, np.cumsum(many + depth - 1) - (many + depth - 1))
+        return cls(words, text[starts[:, None] + np.arange(depth)], np.repeat(docs, many))
 
     @classmethod
     def union(cls, parts: list[Suffixes]) -> Suffixes:
@@ -151,7 +167,8 @@ class _Chunk:
         self.words: Words = words_of(self.texts)
         self.hashes = self.words.hashes()
         labels, at = windows(self.hashes, self.words.counts, depth)
-        self.doc = np.repeat(ids[self.order], self.words.counts)  # of each word
+        self.text = np.repeat(np.arange(len(ids)), self.words.counts)  # of each word
+        self.doc = ids[self.order][self.text]
         by_label = np.argsort(labels, kind="stable")
         label, self.at = labels[by_label], at[by_label]  # where the suffixes start, by label and then by document
         self.first = np.flatnonzero(np.r_[True, label[1:] != label[:-1]]) if len(label) else np.zeros(0, np.int64)
@@ -163,13 +180,18 @@ class _Chunk:
         return self.labels >> np.uint64(64 - bits)
 
     def bins(self, at: np.ndarray) -> np.ndarray:
-        """The counting bin of the suffixes that start at some words: by the first word, then by the longer prefix."""
-        h = self.hashes
-        longer = h[at]
+        """The counting bin of the suffixes that start at some words: by the least hash of the runs in their first words."""
+        run = min(RUN, self.depth)
+        n = len(self.hashes) - run + 1
+        h = self.hashes[:n].copy()
+        with np.errstate(over="ignore"):
+            for k in range(1, run):
+                h = mix(h * np.uint64(3) + self.hashes[k : n + k])
+        least = h[: n - (self.depth - run)].copy()
+        for k in range(1, self.depth - run + 1):
+            np.minimum(least, h[k : len(least) + k], out=least)
         with np.errstate(over="ignore"):
-            for k in range(1, min(_LONG, self.depth)):
-                longer = mix(longer * np.uint64(3) + h[at + k])
-        return ((h[at] >> np.uint64(64 - _FIRST_BITS)) << np.uint64(_NEXT_BITS) | longer >> np.uint64(64 - _NEXT_BITS)).astype(np.int64)
+            return (mix(least[at] + np.uint64(1)) % np.uint64(_BINS)).astype(np.int64)
 
     def deep(self, bits: int, elsewhere: np.ndarray) -> np.ndarray:
         """Which distinct labels may be a node at full depth: those whose signature (of the distinct ones, in order) another chunk has, or that several documents have here."""
@@ -214,6 +236,10 @@ class _Chunk:
         at = self.representatives[a:b]
         return Suffixes(self.dictionary, self.number[at[:, None] + np.arange(self.depth)], self.doc[at])
 
+    def packed(self, a: int, b: int) -> bytes:
+        at = self.representatives[a:b]
+        return self.suffixes(a, b).pack(np.r_[False, (np.diff(at) == 1) & (self.text[at[1:]] == self.text[at[:-1]])])
+
 
 def _pack(docs: DataFrame) -> DataFrame:
     """chunk, data (whole rows) and size (bytes of text)."""
@@ -315,19 +341,15 @@ def _plan(counts: np.ndarray, group_suffixes: int) -> tuple[np.ndarray, np.ndarr
     limit = max(1, min(group_suffixes, int(counts.sum()) // FEWEST_GROUPS))
     base, ways = np.zeros(size, dtype=np.int64), np.ones(size, dtype=np.int64)
     group, filled = 0, 0
-    per = 1 << _NEXT_BITS
-    for cell in range(0, size, per):
-        n = int(counts[cell : cell + per].sum())
-        prefixes = [(slice(cell, cell + per), n)] if n <= limit else [(slice(k, k + 1), int(counts[k])) for k in range(cell, cell + per)]
-        for where, n in prefixes:
-            if n > limit:
-                group += filled > 0
-                base[where], ways[where] = group, -(-n // limit)
-                group, filled = group + int(-(-n // limit)), 0
-                continue
+    for k, n in enumerate(counts.tolist()):
+        if n > limit:
+            group += filled > 0
+            base[k], ways[k] = group, -(-n // limit)
+            group, filled = group + int(ways[k]), 0
+        else:
             if filled + n > limit:
                 group, filled = group + 1, 0
-            base[where] = group
+            base[k] = group
             filled += n
     return base, ways
 
@@ -358,7 +380,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, group_suffixes: int = GR
                 c = _Chunk(_table(data), depth)
                 if not len(c.first):
                     continue
-                counts = np.bincount(c.bins(c.at), minlength=1 << (_FIRST_BITS + _NEXT_BITS)).astype("<u8")
+                counts = np.bincount(c.bins(c.at), minlength=_BINS).astype("<u8")
                 own = np.unique(c.signatures(bits))
                 cuts = np.r_[0, np.searchsorted(own, edges), len(own)]
                 some = np.flatnonzero(np.diff(cuts))
@@ -369,7 +391,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, group_suffixes: int = GR
     elsewhere = _asked(chunks.select("chunk", "data").mapInPandas(send_signatures, _SENT), sets, _signatures, "signatures")
     # One number for each bin, of which there is a fixed number.
     found = [np.frombuffer(zstandard.decompress(r["bits"]), dtype="<u8") for r in elsewhere.where("group < 0").select("bits").collect()]
-    counts = np.sum(found, axis=0, dtype=np.int64) if found else np.zeros(1 << (_FIRST_BITS + _NEXT_BITS), dtype=np.int64)
+    counts = np.sum(found, axis=0, dtype=np.int64) if found else np.zeros(_BINS, dtype=np.int64)
     plan = docs.sparkSession.sparkContext.broadcast(_plan(counts, group_suffixes))
 
     def reread(data: bytes, said: dict[int, bytes]) -> _Chunk:
@@ -384,7 +406,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, group_suffixes: int = GR
         rows = []
         for chunk, data in zip(left["chunk"], left["data"]):
             c = reread(data, dict(zip(right["group"], right["bits"])))
-            rows += [(chunk, _set(chunk, sets), group, c.suffixes(a, b).pack()) for group, a, b in c.runs()]
+            rows += [(chunk, _set(chunk, sets), group, c.packed(a, b)) for group, a, b in c.runs()]
         return pd.DataFrame(rows, columns=["chunk", "set", "group", "payload"])
 
     said = elsewhere.where("group >= 0")

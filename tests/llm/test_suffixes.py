@@ -69,9 +69,15 @@ def test_payloads_pack_and_unpack():
     assert (suffixes._unpack_sorted(suffixes._pack_sorted(values)) == values).all()
     for words in (50, 70_000):
         names = pa.array([b"w%d" % i for i in range(words)] + [b"", b"\xff"], pa.binary())
-        rows = np.r_[draw.integers(0, words + 2, (words, 5)), np.arange(5)[None]]
-        for docs in (draw.integers(-(2**63), 2**63, words + 1), np.full(words + 1, 2**63 - 1)):
+        rows = np.r_[draw.integers(0, words + 2, (words, 5)), np.arange(101)[:, None] % 50 + np.arange(5)]
+        rows[words + 50] = rows[words + 49] + 1
+        rows[words + 51 :] = rows[words + 50] + np.arange(1, 51)[:, None]
+        rows %= words + 2
+        for docs in (draw.integers(-(2**63), 2**63, words + 101), np.full(words + 101, 2**63 - 1)):
             got = suffixes.Suffixes.unpack(suffixes.Suffixes(names, rows, docs).pack())
+            follows = np.r_[False, (rows[1:, :-1] == rows[:-1, 1:]).all(1) & (docs[1:] == docs[:-1])]
+            again = suffixes.Suffixes.unpack(suffixes.Suffixes(names, rows, docs).pack(follows))
+            assert (again.rows == got.rows).all() and (again.docs == docs).all() and follows.sum() == (100 if (docs == docs[0]).all() else 0)
             assert (got.docs == docs).all() and [[got.words[int(i)].as_py() for i in r] for r in got.rows[-20:]] == [[names[int(i)].as_py() for i in r] for r in rows[-20:]]
 
 
@@ -96,7 +102,7 @@ def test_equal_hashes_are_no_repeats(spark, monkeypatch):
     rows = corpus(5)
     chunks = [pa.table({"doc_id": pa.array([d for d, _ in part], pa.int64()), "text": pa.array([None if t is None else t.encode() for _, t in part], pa.binary())}) for part in (rows[:40], rows[40:])]
     read = [suffixes._Chunk(t, 13) for t in chunks]
-    base, ways = np.zeros(1 << 15, np.int64), np.ones(1 << 15, np.int64)
+    base, ways = np.zeros(suffixes._BINS, np.int64), np.ones(suffixes._BINS, np.int64)
     for c in read:
         assert len(c.labels) <= 4
         c.ask(np.ones(len(c.labels), bool), base, ways)
