@@ -89,17 +89,18 @@ class Suffixes:
         text[at] = self.rows[:, 0]
         ends = at[starts + many - 1]
         text[ends[:, None] + np.arange(1, depth)] = self.rows[starts + many - 1, 1:]
-        used, flat = np.unique(text, return_inverse=True)
-        words = self.words.take(pa.array(used))
-        kind = "<u2" if len(used) <= 1 << 16 else "<u4"
-        numbers = flat.astype(kind).view(np.uint8).reshape(len(text), -1).T
+        occurs = np.zeros(len(self.words), dtype=bool)
+        occurs[text] = True
+        words = self.words.take(pa.array(np.flatnonzero(occurs)))
+        kind = "<u2" if len(words) <= 1 << 16 else "<u4"
+        numbers = (np.cumsum(occurs) - 1).astype(kind)[text].view(np.uint8).reshape(len(text), -1).T
         docs = self.docs[starts]
         low = int(docs.min())
         away = (docs.view(np.uint64) - np.uint64(low % 2**64)).astype(np.uint64)
-        pieces = words.to_pylist()
-        sizes = np.fromiter(map(len, pieces), dtype="<u4", count=len(pieces))
-        body = sizes.tobytes() + b"".join(pieces) + many.astype("<u4").tobytes() + np.ascontiguousarray(numbers).tobytes() + _planes(away)
-        return struct.pack("<IIIIIq", len(starts), len(text), depth, len(pieces), int(sizes.sum()), low) + zstandard.compress(body, 1)
+        offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+        sizes = np.diff(offsets).astype("<u4")
+        body = sizes.tobytes() + words.buffers()[2].slice(int(offsets[0]), int(sizes.sum())).to_pybytes() + many.astype("<u4").tobytes() + np.ascontiguousarray(numbers).tobytes() + _planes(away)
+        return struct.pack("<IIIIIq", len(starts), len(text), depth, len(words), int(sizes.sum()), low) + zstandard.compress(body, 1)
 
     @classmethod
     def unpack(cls, data: bytes) -> Suffixes:
@@ -175,12 +176,16 @@ class _Chunk:
         self.many = np.diff(np.r_[self.first, len(label)])
         self.labels = label[self.first]
 
-    def signatures(self, bits: int) -> np.ndarray:
-        """Of each distinct label, in order."""
-        return self.labels >> np.uint64(64 - bits)
+    def signatures(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct ones, in order, and for each distinct label its signature's number."""
+        own = self.labels >> np.uint64(64 - bits)
+        new = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, dtype=bool)
+        return own[new], np.cumsum(new) - 1
 
     def bins(self, at: np.ndarray) -> np.ndarray:
         """The counting bin of the suffixes that start at some words: by the least hash of the runs in their first words."""
+        if not len(at):
+            return np.zeros(0, dtype=np.int64)
         run = min(RUN, self.depth)
         n = len(self.hashes) - run + 1
         h = self.hashes[:n].copy()
@@ -197,7 +202,7 @@ class _Chunk:
         """Which distinct labels may be a node at full depth: those whose signature (of the distinct ones, in order) another chunk has, or that several documents have here."""
         if not len(self.first):
             return np.zeros(0, dtype=bool)
-        _, number = np.unique(self.signatures(bits), return_inverse=True)
+        _, number = self.signatures(bits)
         last = self.first + self.many - 1
         return elsewhere[number] | (self.doc[self.at[self.first]] != self.doc[self.at[last]])
 
@@ -209,18 +214,24 @@ class _Chunk:
         self.dictionary, number = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         places = self.at[ragged(self.many[deep], self.first[deep])]
         head = np.repeat(self.at[self.first[deep]], self.many[deep])
-        same = np.ones(len(places), dtype=bool)
+        rest = np.flatnonzero(places != head)
         for j in range(self.depth):
-            same &= number[places + j] == number[head + j]
+            differ = number[places[rest] + j] != number[head[rest] + j]
+            head[rest[differ]] = places[rest[differ]]
         # Equal labels nearly always are equal words; suffixes that differ from the first of their label stand for themselves.
-        found, own = np.unique(np.where(same, head, places), return_inverse=True)
+        stands = np.zeros(len(self.hashes), dtype=bool)
+        stands[head] = True
+        found, own = np.flatnonzero(stands), (np.cumsum(stands) - 1)[head]
         bins = self.bins(found)
-        # The last resort parts a bin by a hash of all words.
-        part = np.zeros(len(found), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(self.depth):
-                part = mix(part * np.uint64(5) + self.hashes[found + j])
-        group = base[bins] + (part % ways[bins].astype(np.uint64)).astype(np.int64)
+        group = base[bins]
+        split = np.flatnonzero(ways[bins] > 1)
+        if len(split):
+            # The last resort parts a bin by a hash of all words.
+            part = np.zeros(len(split), dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                for j in range(self.depth):
+                    part = mix(part * np.uint64(5) + self.hashes[found[split] + j])
+            group[split] += (part % ways[bins[split]].astype(np.uint64)).astype(np.int64)
         order = np.argsort(group, kind="stable")
         back = np.empty(len(order), dtype=np.int64)
         back[order] = np.arange(len(order))
@@ -381,7 +392,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, group_suffixes: int = GR
                 if not len(c.first):
                     continue
                 counts = np.bincount(c.bins(c.at), minlength=_BINS).astype("<u8")
-                own = np.unique(c.signatures(bits))
+                own, _ = c.signatures(bits)
                 cuts = np.r_[0, np.searchsorted(own, edges), len(own)]
                 some = np.flatnonzero(np.diff(cuts))
                 payloads = [_pack_sorted(own[cuts[g] : cuts[g + 1]]) for g in some]
@@ -396,7 +407,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, group_suffixes: int = GR
 
     def reread(data: bytes, said: dict[int, bytes]) -> _Chunk:
         c = _Chunk(_table(data), depth)
-        own = np.unique(c.signatures(bits)) if len(c.first) else np.zeros(0, np.uint64)
+        own, _ = c.signatures(bits)
         cuts = np.r_[0, np.searchsorted(own, edges), len(own)]
         there = [np.unpackbits(np.frombuffer(said[int(g)], dtype=np.uint8), count=int(cuts[g + 1] - cuts[g])) for g in np.flatnonzero(np.diff(cuts))]
         c.ask(c.deep(bits, np.concatenate(there).astype(bool) if there else np.zeros(0, bool)), *plan.value)
