@@ -35,7 +35,7 @@ def op4_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license", "dice", "license_lines")
+    return licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license", "dice", "license_passages")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,14 +91,14 @@ ORACLES = {
         from captures c left join hits h on c.page_id = h.page_id and n = 1""",
     "op5_licenses": f"""
         with templates(license, n, grams) as (values {_TEMPLATES}),
-        lines as (select doc_id, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) line,
-                         row_number() over () pos
-                  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line from documents)),
-        words as (select doc_id, pos, string_split(line, ' ') w from lines),
-        grams as (select doc_id, pos, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] g from words where len(w) between 2 and 100),
-        scores as (select doc_id, pos, license, 2.0::double * len(list_intersect(list_distinct(g), grams.grams)) / (len(g) + n) dice
-                   from (select * from grams, templates) grams),
-        best as (select doc_id, pos, max(dice) dice, arg_min(license, (-dice, license)) license from scores where dice >= {_T} group by all),
+        passages as (select doc_id, unnest(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '{licenses.SENTENCES}'), regexp_split_to_array(t, '{licenses.PARAGRAPHS}'))) p
+                     from (select doc_id, coalesce(text, '') t from documents)),
+        normal as (select distinct doc_id, trim(regexp_replace(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) p from passages),
+        words as (select doc_id, p, string_split(p, ' ') w from normal where length(p) < 4000),
+        grams as (select doc_id, p, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] g from words where len(w) between 2 and 400),
+        scores as (select doc_id, p, license, 2.0::double * len(list_intersect(list_distinct(g), t.grams)) / (len(g) + n) dice
+                   from grams join templates t on len(g) between n::double * {_T / (2 - _T)} and n::double * {(2 - _T) / _T}),
+        best as (select doc_id, p, max(dice) dice, arg_min(license, (-dice, license)) license from scores where dice >= {_T} group by all),
         found as (select doc_id, count(*) n, max(dice) dice, min(struct_pack(d := -dice, l := license)).l license from best group by doc_id)
-        select documents.doc_id, license, dice, cast(coalesce(n, 0) as int) license_lines from documents left join found using (doc_id)""",
+        select documents.doc_id, license, dice, cast(coalesce(n, 0) as int) license_passages from documents left join found using (doc_id)""",
 }

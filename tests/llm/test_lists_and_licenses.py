@@ -51,28 +51,39 @@ def test_no_list_and_no_captures(spark):
     assert url_lists.filter_captures(captures.limit(0), entries(spark, LIST)).collect() == []
 
 
-def dice(line, template):
+def normal(passage):
     import re
 
-    grams = lambda t: [tuple(p) for w in [re.findall("[a-z0-9]+", t.lower())] for p in zip(w, w[1:])]
-    a, b = grams(line), grams(template)
-    return 2 * len(set(a) & set(b)) / (len(a) + len(b)) if a else 0.0
+    return re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), passage)).strip()
+
+
+def dice(passage, template):
+    grams = lambda t: [tuple(p) for w in [normal(t).split()] for p in zip(w, w[1:])]
+    a, b = grams(passage), set(grams(template))
+    return 2 * len(set(a) & b) / (len(a) + len(b)) if a else 0.0
+
+
+def passages(text):
+    import re
+
+    found = text.split("\n") + re.split(licenses.SENTENCES, text) + re.split(licenses.PARAGRAPHS, text)
+    return set(map(normal, found))
 
 
 def test_licences_equal_brute_force(spark):
     notices = list(licenses.TEMPLATES.values())
     texts = [f"First line.\n{n}\nLast one" for n in notices] + [n.upper().replace(" ", "  ").replace(".", " . ") for n in notices]
     texts += ["Licensed under the Apache License, Version 2.0 .", "licensed under the apache license version 3", "Released under the MIT License. Or not.", "", None, "MIT", "\n\n", "word " * 50_000]
-    texts += ["Released under the MIT License.\nReleased under the MIT License.\nLicensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0", "text Licensed under CC BY 4.0. text"]
+    texts += ["Released under the MIT License.\nReleased under the MIT License.\nLicensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0", "text Licensed under CC BY 4.0. text", "license software warranty " * 2000]
     rows = [(i if i else None, t, "own") for i, t in enumerate(texts)]
     for threshold in (0.9, 0.6):
         got = {r["doc_id"] or 0: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license string"), threshold=threshold).collect()}
         assert len(got) == len(rows)
         for i, t in enumerate(texts):
-            scores = [max((dice(line, v), [-ord(c) for c in k.split("#")[0]], k.split("#")[0]) for k, v in licenses.TEMPLATES.items()) for line in (t or "").split("\n")]
+            scores = [max((dice(p, v), [-ord(c) for c in k.split("#")[0]], k.split("#")[0]) for k, v in licenses.TEMPLATES.items()) for p in passages(t or "")]
             scores = [s for s in scores if s[0] >= threshold]
             r = got[i]
-            assert r["license_lines"] == len(scores), (i, t)
+            assert r["license_passages"] == len(scores), (i, t)
             if scores:
                 best = max(s[0] for s in scores)
                 assert r["dice"] == pytest.approx(best) and r["license"] == min(s[2] for s in scores if s[0] == best)
@@ -80,12 +91,44 @@ def test_licences_equal_brute_force(spark):
                 assert (r["license"], r["dice"]) == (None, None)
 
 
+def test_wrapped_and_embedded_licences_are_found(spark):
+    import textwrap
+
+    wrap = lambda key, mark, width=60: "\n".join(mark + x for x in textwrap.wrap(licenses.TEMPLATES[key], width))
+    code = "int main() {\n  return 0;\n}\n"
+    cases = [
+        (f"Copyright (c) 2020 Someone\n\n{wrap('MIT#3', '')}\n\n{wrap('MIT#4', '')}\n\n{wrap('MIT#5', '')}\n", "MIT", 3),
+        (f"/*\n * Copyright 2021\n *\n{wrap('Apache-2.0#3', ' * ')}\n *\n{wrap('Apache-2.0#4', ' * ')}\n */\n{code}", "Apache-2.0", 2),
+        (f"# Copyright\n#\n{wrap('BSD-2-Clause', '# ')}\n#\n{wrap('BSD-2-Clause#2', '# 1. ', 200)}\n#\n{wrap('BSD-2-Clause#4', '# ')}\n{code}", "BSD-2-Clause", 2),
+        (f"-- {licenses.TEMPLATES['ISC']}", "ISC", 1),
+        ("Some words come first. Released under the MIT License. And some follow it.", "MIT", 1),
+        (f"{wrap('GPL-3.0#2', '// ')}\n//\n{wrap('GPL-3.0#3', '// ')}\n{code}", "GPL-3.0", 1),
+        ("The software comes with a license, and its warranty is limited in some respects.", None, 0),
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(cases)], "doc_id long, text string")).collect()}
+    for i, (text, name, least) in enumerate(cases):
+        assert got[i]["license"] == name and got[i]["license_passages"] >= least, (text, got[i])
+
+
+def test_needles_are_in_every_passage_that_reaches_the_threshold():
+    import random
+
+    draw = random.Random(1)
+    found = licenses.needles([licenses.bigrams(t) for t in licenses.TEMPLATES.values()], 0.9)
+    for template in licenses.TEMPLATES.values():
+        words = normal(template).split()
+        for _ in range(50):
+            w = list(words)
+            for _ in range(draw.randint(0, max(1, len(w) // 12))):
+                w[draw.randrange(len(w))] = "other"
+            assert dice(" ".join(w), template) < 0.9 or any(n in x for n in found for x in w)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert licenses.scan(empty).collect() == []
-    assert licenses.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"), {}).first()["license_lines"] == 0
-    with pytest.raises(ValueError):
-        licenses.bigrams("a b a b")
+    assert licenses.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"), {}).first()["license_passages"] == 0
+    assert licenses.bigrams("a b a b") == ["a b", "b a"]
 
 
 def test_no_python_on_the_native_paths(spark):
