@@ -20,11 +20,23 @@ def held(key: tuple, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
+def forget() -> None:
+    """Drops what other operators have left in this worker."""
+    if _HELD:
+        _HELD.clear()
+        release()
+
+
 def release() -> None:
     """Gives free memory back to the system, which the allocators would keep."""
+    gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """The same without a search for cycles."""
     import pyarrow
 
-    gc.collect()
     pyarrow.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

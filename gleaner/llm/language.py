@@ -9,7 +9,6 @@ expectation maximisation with the forward and backward sums, over distinct words
 from __future__ import annotations
 
 import unicodedata
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -278,12 +277,10 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, vocabulary
     sent = spark.sparkContext.broadcast(np.vstack([table, np.full((1, len(languages)), UNKNOWN)]))
     most = 4_000_000 // max(1, len(languages))
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    model = uuid.uuid4().hex
 
     def score(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        # The words that a worker has scored stay for its next tasks with this model.
-        own, kept = held(("language scores", model), lambda: (Pieces(vocabulary), {"known": np.zeros(0, dtype=np.uint64), "values": np.zeros((0, len(languages) + 1))}))
-        known, values = kept["known"], kept["values"]
+        own = _pieces(vocabulary)
+        known, values = np.zeros(0, dtype=np.uint64), np.zeros((0, len(languages) + 1))
         for series in column:
             texts, parts = series.tolist(), []
             for s in slices(texts):
@@ -318,7 +315,7 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, vocabulary
             best = share.argmax(1)
             none = count == 0
             yield pd.DataFrame({"lang_pred": np.where(none, UNDETERMINED, np.array(languages, dtype=object)[best]), "score": np.where(none, 0.0, share[np.arange(len(best)), best])})
-        kept["known"], kept["values"] = known, values
+        del known, values
         release()
 
     run = F.pandas_udf(score, "lang_pred string, score double")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import drop, materialize, partitions, small_batches, text_bytes
 from gleaner.llm.components import components, forest
 from gleaner.llm.grouping import whole_groups
-from gleaner.llm.held import release
+from gleaner.llm.held import forget, release
 from gleaner.llm.words import lowered, mix, ragged, slices, words_of
 
 SHINGLE = 5
@@ -186,6 +186,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         for series in column:
             yield pd.Series(fingerprints(series.tolist(), shingle).view(np.int64))
         release()
@@ -344,6 +345,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     few = few_shingles(similarity)
 
     def run(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         for series in column:
             texts, parts, sizes, left = series.tolist(), [], [], []
             for s in slices(texts):
@@ -361,6 +363,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
         release()
 
     def sets(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         for series in column:
             texts, out, nodes = series.tolist(), [], []
             for s in slices(texts):
@@ -389,7 +392,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     found = materialize(components(dealt.mapInPandas(_near(radius), "a long, b long")), "candidates")
     members = materialize(prints.join(found, "node").select("doc_id", "node", "fp", "fp2", "size", "component"), "members")
     # As many blocks as bound both the rows and the bytes of a pair of them.
-    heavy = F.ceil(F.sum(F.col("size").cast("long")) * 8 / BLOCK_BYTES) * BLOCK
+    heavy = F.floor(F.sum(F.col("size").cast("long")) * 8 / BLOCK_BYTES) * BLOCK
     members = members.join(members.groupBy("component").agg(F.greatest(F.count("*"), heavy).alias("n")), "component").drop("size")
     own_sets = F.pandas_udf(sets, "own long, shingles binary")(text_bytes()).alias("s")
     texts = docs.select("doc_id", "text").join(members.where("doc_id is not null"), "doc_id").select("node", "fp", "fp2", "component", "n", own_sets)

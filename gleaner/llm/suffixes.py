@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm.common import drop, materialize, small_batches
-from gleaner.llm.held import release
+from gleaner.llm.held import forget, release, trim
 from gleaner.llm.words import Words, mix, ragged, windows, words_of
 
 DEPTH = 13
@@ -256,6 +256,7 @@ def _pack(docs: DataFrame) -> DataFrame:
     """chunk, data (whole rows) and size (bytes of text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def close() -> pa.RecordBatch:
@@ -386,6 +387,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, group_suffixes: int = GR
     edges = np.array([-(-(r << bits) // ranges) for r in range(1, ranges)], dtype=np.uint64)
 
     def send_signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for pdf in batches:
             for chunk, data in zip(pdf["chunk"], pdf["data"]):
                 c = _Chunk(_table(data), depth)
@@ -406,6 +408,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, group_suffixes: int = GR
     plan = docs.sparkSession.sparkContext.broadcast(_plan(counts, group_suffixes))
 
     def reread(data: bytes, said: dict[int, bytes]) -> _Chunk:
+        trim()  # of the chunk before
+        forget()
         c = _Chunk(_table(data), depth)
         own, _ = c.signatures(bits)
         cuts = np.r_[0, np.searchsorted(own, edges), len(own)]
