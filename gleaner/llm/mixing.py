@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import WORD, materialize
 
 BLOCK = 64
-#: Words of a shard, and most shards of a source, which bounds what the driver handles.
+#: Least words of a shard, and about how many shards all sources have together at most (one more each), which bounds what the driver handles.
 SHARD_WORDS = 200_000
-MOST_SHARDS = 1024
+MOST_SHARDS = 1 << 16
 MOST_SOURCES = 100_000
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = 20_240_601
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     size: words in the text (null: 0). weights repeat over the sources in code point order, a null source last. A document without
     words takes none. Rows that repeat a doc_id are taken one by one; equal rows may swap places, which changes no result. An empty
     table gives no rows. Other columns are not read. The driver handles a row for each source (MOST_SOURCES, else ValueError) and for
-    each shard (MOST_SHARDS a source).
+    each shard: shards have shard_words, or more where MOST_SHARDS of that size would not hold all words.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -104,7 +104,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     own = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], share * sum(sizes), most)
     bound = max(1, int(most))
     quotas = apportion(own, [bound * -(-n // block) for n in sizes], round(sum(own) / block))
-    plan = [(s, n, t, q, min(MOST_SHARDS, max(1, -(-n // shard_words)))) for (s, n), t, q in zip(sources, own, quotas)]
+    shard_words = max(shard_words, -(-sum(sizes) // MOST_SHARDS))
+    plan = [(s, n, t, q, max(1, -(-n // shard_words))) for (s, n), t, q in zip(sources, own, quotas)]
     source_rows = spark.createDataFrame(plan, "_source string, source_size long, target double, source_quota long, shards int")
     # One row for each source of a bounded number.
     dealt = sized.join(F.broadcast(source_rows), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -140,7 +141,7 @@ def copies(taken: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORDS) -
     and a shard's copies have its taken words within the words of its largest document.
     """
     whole = taken.groupBy("doc_id", "source").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.max("source_size").alias("source_size")).where("taken > 0")
-    shards = F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / shard_words)).cast("long")
+    shards = F.ceil(F.col("source_size") / shard_words).cast("long")
     draw = F.xxhash64(F.lit(seed), "doc_id")
     # In units of a 2^30th, so that sums are exact.
     whole = whole.select("doc_id", "source", "size", draw.alias("draw"), F.pmod(F.xxhash64(draw), shards).alias("shard"), F.expr("taken * 1073741824L div size").alias("share"))

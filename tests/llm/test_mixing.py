@@ -43,8 +43,9 @@ def rows(n=600):
     return [*out, (n, "a", None, "", "", ""), (n + 1, "b", "w w\tw " * 20_000, "", "", ""), (5, "c", "again again", "", "", ""), (None, "a", "no id here", "", "", ""), (None, "", None, "", "", "")]
 
 
-@pytest.mark.parametrize("shard_words", [200_000, 3000])
-def test_mix_comes_near_its_targets_and_reruns_agree(spark, shard_words):
+@pytest.mark.parametrize("shard_words, most_shards", [(200_000, 1 << 16), (3000, 1 << 16), (10, 25)])
+def test_mix_comes_near_its_targets_and_reruns_agree(spark, monkeypatch, shard_words, most_shards):
+    monkeypatch.setattr(mixing, "MOST_SHARDS", most_shards)
     data = rows()
     table = spark.createDataFrame(data, SCHEMA)
     got = mixing.mix(table.repartition(3), shard_words=shard_words).collect()
@@ -60,7 +61,7 @@ def test_mix_comes_near_its_targets_and_reruns_agree(spark, shard_words):
         assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
         took[r["source"]] = took.get(r["source"], 0) + r["taken"]
     for s in names:
-        shards = -(-sizes[s] // shard_words)
+        shards = -(-sizes[s] // max(shard_words, sum(sizes.values()) // most_shards))
         assert abs(took[s] - want[s]) <= mixing.BLOCK * (2 + shards), s
     again = mixing.mix(table.repartition(7), shard_words=shard_words).collect()
     key = lambda r: tuple(map(str, r))
