@@ -1,0 +1,29 @@
+import random
+
+from gleaner.operators.positions import positions, zip_tables
+
+
+def test_positions_equal_a_sort(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice(["hot", "hot", "hot", "b", None]), draw.choice([None, *range(500)]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v int, i int")
+    level = lambda x: (x is not None, x)
+    got = {r["i"]: r["pos"] for r in positions(df, ["v", "i"]).collect()}
+    assert got == {r[2]: p for p, r in enumerate(sorted(rows, key=lambda r: (level(r[1]), r[2])))}
+    got = {r["i"]: r["at"] for r in positions(df, ["v", "i"], ["k"], "at").collect()}
+    for k in ("hot", "b", None):
+        assert {r[2]: got[r[2]] for r in rows if r[0] == k} == {r[2]: p for p, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (level(r[1]), r[2])))}
+
+
+def test_positions_of_ties_and_nothing(spark):
+    assert sorted(r["pos"] for r in positions(spark.createDataFrame([(1,)] * 100, "v int"), ["v"]).collect()) == list(range(100))
+    assert positions(spark.createDataFrame([], "v int"), ["v"]).count() == 0
+    assert [tuple(r) for r in positions(spark.createDataFrame([(7, 5)], "v int, pos int"), ["v"]).collect()] == [(7, 0)]
+
+
+def test_lists_of_unequal_length_are_zipped(spark):
+    urls = spark.createDataFrame([("a", 1, "u1"), ("a", 2, "u2"), ("a", 5, "u3"), (None, 1, "u4")], "place string, ord int, url string")
+    names = spark.createDataFrame([("a", 9, "n1"), ("a", 10, "n2"), ("b", 1, "n3"), (None, 3, "n4")], "place string, at int, name string")
+    got = sorted(map(tuple, zip_tables(urls, names, ["ord"], ["at"], ["place"]).select("place", "pos", "url", "name").collect()), key=str)
+    assert got == sorted([("a", 0, "u1", "n1"), ("a", 1, "u2", "n2"), ("a", 2, "u3", None), (None, 0, "u4", "n4")], key=str)
+    assert zip_tables(urls, names, ["ord"], ["at"], ["place"], "full").where("place = 'b'").select("pos", "name").collect()[0] == (0, "n3")
