@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.sources.scratch import drop, materialize, shared_dir
 
-__all__ = ["WORD", "drop", "materialize", "partitions", "read", "set_aside", "shared_dir", "small_batches", "text_bytes"]
+__all__ = ["WORD", "drop", "materialize", "partitions", "pick", "read", "set_aside", "shared_dir", "small_batches", "text_bytes", "without"]
 
 #: A word of every operator here: a run of bytes other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,5 +44,21 @@ def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFram
     return df.withColumnsRenamed(own), lambda out: out.select([F.col(own.get(c, c)).alias(c) for c in df.columns])
 
 
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of those names: the one of that very name, else one that differs in case only, whatever other columns are called."""
+    at = {n: n if n in df.columns else next(c for c in df.columns if c.lower() == n.lower()) for n in names}
+    plain = df.toDF(*[f"__gleaner_at_{i}" for i in range(len(df.columns))])
+    return plain.select([F.col(f"__gleaner_at_{df.columns.index(at[n])}").alias(n) for n in names])
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns of those names, whatever their case: what an operator adds under a name replaces them."""
+    kept = [i for i, c in enumerate(df.columns) if c.lower() not in {n.lower() for n in names}]
+    if len(kept) == len(df.columns):
+        return df
+    plain = df.toDF(*[f"__gleaner_at_{i}" for i in range(len(df.columns))])
+    return plain.select([F.col(f"__gleaner_at_{i}").alias(df.columns[i]) for i in kept])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
