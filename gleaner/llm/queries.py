@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import collision_search, language, licenses, mixing, piece_codec, prefix_trie, rabitq, simhash, suffixes, token_files, url_lists
+from gleaner.llm import collision_search, collocations, language, licenses, mixing, piece_codec, prefix_trie, rabitq, simhash, suffixes, token_files, url_lists
 from gleaner.llm.common import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -63,13 +63,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(read(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_mixing, op3_token_files, op4_url_list, op5_licenses, op6_language, op7_nearest, op8_simhash, op9_pieces, op10_substring_dedup,
-    op12_prefix_trie,
+    op11_collocations, op12_prefix_trie,
 )}
 
 _LIST = ", ".join(f"('{d}', '{a}', date '{t}')" for d, a, t in url_lists.LIST)
@@ -106,4 +110,22 @@ ORACLES = {
         best as (select doc_id, p, max(dice) dice, arg_min(license, (-dice, license)) license from scores where dice >= {_T} group by all),
         found as (select doc_id, count(*) n, max(dice) dice, min(struct_pack(d := -dice, l := license)).l license from best group by doc_id)
         select documents.doc_id, license, dice, cast(coalesce(n, 0) as int) license_passages from documents left join found using (doc_id)""",
+    "op11_collocations": r"""
+        with docs as (select row_number() over () d, coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+        pieces as (select d, lang, unnest(p) p, unnest(range(1, len(p) + 1)) piece from (select d, lang, regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]') p from docs)),
+        words as (select d, lang, piece, unnest(w) w, unnest(range(1, len(w) + 1)) i from (select d, lang, piece, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda x: x <> '') w from pieces)),
+        totals as (select lang, count(*) n from words group by all),
+        runs as (select lang, w a, lead(w, 1) over x b, lead(w, 2) over x c, lead(w, 3) over x e from words window x as (partition by d, piece order by i)),
+        phrases as (select lang, a phrase, 1 k from runs union all select lang, a || ' ' || b, 2 from runs where b is not null
+            union all select lang, a || ' ' || b || ' ' || c, 3 from runs where c is not null union all select lang, a || ' ' || b || ' ' || c || ' ' || e, 4 from runs where e is not null),
+        counts as materialized (select lang, phrase, k, count(*) f from phrases group by all),
+        candidates as (select lang, phrase, k, f a, string_split(phrase, ' ') w from counts where k > 1 and f >= 30),
+        held as (select lang, array_to_string(w[i : i + m - 1], ' ') phrase, a from (select *, unnest(range(1, k - m + 2)) i from (select *, unnest(range(2, k)) m from candidates))),
+        gone as (select distinct c.lang, c.phrase from candidates c join held h on c.lang = h.lang and c.phrase = h.phrase and 100 * h.a::hugeint >= 80 * c.a::hugeint),
+        halves as materialized (select lang, phrase, a, j, array_to_string(w[1:j], ' ') x, array_to_string(w[j + 1:], ' ') y from (select *, unnest(range(1, k)) j from candidates)),
+        lefts as materialized (select h.*, f l from halves h join counts c on c.lang = h.lang and c.phrase = h.x),
+        cuts as (select h.lang, h.phrase, a, j, l, f r, cast(2000000::hugeint * a // (l + f) as bigint) score from lefts h join counts c on c.lang = h.lang and c.phrase = h.y),
+        worst as (select lang, phrase, a, min(struct_pack(s := score, j := j, l := l, r := r)) m from cuts anti join gone using (lang, phrase) group by all),
+        ranked as (select *, row_number() over (partition by lang order by m.s desc, a desc, encode(phrase)) rank from worst)
+        select lang, rank, phrase, a, m.l l, m.r r, n, m.s score from ranked join totals using (lang) where rank <= 2000""",
 }
