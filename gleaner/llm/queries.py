@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import collision_search, collocations, language, licenses, mixing, piece_codec, prefix_trie, rabitq, simhash, suffixes, token_files, url_lists
+from gleaner.llm import byte_repeats, collision_search, collocations, language, licenses, mixing, piece_codec, prefix_trie, rabitq, simhash, suffixes, token_files, url_lists
 from gleaner.llm.common import read
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -71,9 +71,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(read(spark, sf_dir, "conversations"))
 
 
+def op13_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = byte_repeats.remove_byte_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit(b"")), 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_mixing, op3_token_files, op4_url_list, op5_licenses, op6_language, op7_nearest, op8_simhash, op9_pieces, op10_substring_dedup,
-    op11_collocations, op12_prefix_trie,
+    op11_collocations, op12_prefix_trie, op13_byte_dedup,
 )}
 
 _LIST = ", ".join(f"('{d}', '{a}', date '{t}')" for d, a, t in url_lists.LIST)

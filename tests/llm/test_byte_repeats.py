@@ -1,0 +1,69 @@
+"""Byte dedup against a count of all windows."""
+
+import random
+from collections import Counter
+
+import pytest
+
+from gleaner.llm import byte_repeats
+
+SCHEMA = "doc_id long, text string"
+
+
+def brute(rows, depth):
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    count = Counter(t[k : k + depth] for _, t in texts for k in range(len(t) - depth + 1))
+    out = []
+    for i, t in texts:
+        gone = bytearray(len(t))
+        for k in range(len(t) - depth + 1):
+            if count[t[k : k + depth]] > 1:
+                gone[k : k + depth] = b"\1" * depth
+        runs = len([1 for k in range(len(t)) if gone[k] and (k == 0 or not gone[k - 1])])
+        out.append((i, len(t), sum(gone), runs, bytes(b for b, g in zip(t, gone) if not g)))
+    return sorted(out, key=str)
+
+
+def made(seed, depth, n=150):
+    draw = random.Random(seed)
+    word = lambda k: "".join(draw.choices("abcdefghij é", k=k))
+    passages = [word(draw.randint(depth // 2, 3 * depth)) for _ in range(8)]
+    hot = word(2 * depth)
+    rows = []
+    for i in range(n):
+        parts = [word(draw.choice([0, 1, depth, 4 * depth]))]
+        for _ in range(draw.randint(0, 3)):
+            p = draw.choice(passages)
+            parts += [p[draw.randint(0, 5) : len(p) - draw.randint(0, 5)], word(draw.randint(0, depth))]
+        if i % 3 == 0:
+            parts += [hot, word(draw.randint(0, 2 * depth))]
+        rows.append((i, "".join(parts)))
+    rows += [(n, rows[0][1]), (n + 1, rows[1][1] + "x"), (n + 2, rows[1][1]), (n, None), (None, ""), (n + 3, "a" * (depth - 1)), (n + 4, "b" * (depth + 1)), (n + 5, "c" * depth), (n + 6, "xy" * 3 * depth), (n + 7, "é" * 40 * depth)]
+    return rows
+
+
+@pytest.mark.parametrize("seed,depth,load,shards", [(1, 12, 4 << 20, 96), (2, 400, 4 << 20, 96), (3, 24, 400, 5), (4, 1, 4 << 20, 3), (5, 100, 2000, 4)])
+def test_bytes_equal_brute_force(spark, monkeypatch, seed, depth, load, shards):
+    rows = made(seed, depth, 150 if depth < 400 else 60)
+    monkeypatch.setattr("gleaner.llm.suffixes.CHUNK_BYTES", 3000 if seed % 2 else 4 << 20)
+    monkeypatch.setattr(byte_repeats, "_STEP", 500 * seed)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = byte_repeats.remove_byte_repeats(df, depth, load, shards).collect()
+    assert sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["text"] or b"")) for r in got], key=str) == brute(rows, depth)
+
+
+def test_sets_of_chunks_are_merged(spark, monkeypatch):
+    rows = made(6, 30)
+    monkeypatch.setattr("gleaner.llm.suffixes.CHUNK_BYTES", 1500)
+    got = byte_repeats.remove_byte_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), 30, fan_in=4).collect()
+    assert sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["text"] or b"")) for r in got], key=str) == brute(rows, 30)
+
+
+def test_spans_columns_and_nothing(spark):
+    assert byte_repeats.remove_byte_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+    df = spark.createDataFrame([(1, "abcdefgh-12", 5, "x", 2), (2, "zabcdefgh", 6, None, 3)], "doc_id long, text string, N_Bytes int, Text string, spans int")
+    got = byte_repeats.remove_byte_repeats(df, 8, spans=True)
+    assert got.columns == ["doc_id", "text", "Text", "n_bytes", "n_removed", "n_spans", "spans"]
+    rows = {r[0]: r for r in got.collect()}
+    assert bytes(rows[1][1]) == b"-12" and rows[1][2] == "x" and [tuple(s) for s in rows[2][6]] == [(1, 8)] and rows[2][4] == 8
+    assert byte_repeats.remove_byte_repeats(spark.createDataFrame([(1, None)], SCHEMA)).collect()[0]["text"] is None

@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables
 
 def test_every_operator_is_registered():
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in contract.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in contract.queries()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
