@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.sources.scratch import drop, materialize, shared_dir
 
-__all__ = ["WORD", "drop", "materialize", "partitions", "pick", "read", "set_aside", "shared_dir", "small_batches", "text_bytes", "without"]
+__all__ = ["WORD", "apart", "drop", "materialize", "partitions", "pick", "read", "set_aside", "shared_dir", "small_batches", "text_bytes", "without"]
 
 #: A word of every operator here: a run of bytes other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,5 +60,22 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return plain.select([F.col(f"__gleaner_at_{i}").alias(df.columns[i]) for i in kept])
 
 
+def apart(df: DataFrame, needed: tuple[str, ...], replaced: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """df with the needed columns by their names and all others under names of no one else, and what makes a result of it: the kept columns
+    by their own names, in their order, then new ones. Columns of replaced names, in any case, are not kept. A needed column is the one
+    of that very name, else one that differs in case only."""
+    at = {n: df.columns.index(n) if n in df.columns else next(i for i, c in enumerate(df.columns) if c.lower() == n.lower()) for n in needed}
+    names = [f"__gleaner_at_{i}" for i in range(len(df.columns))]
+    for n, i in at.items():
+        names[i] = n
+    gone = {r.lower() for r in replaced}
+    kept = [i for i, c in enumerate(df.columns) if c.lower() not in gone]
+
+    def back(out: DataFrame, *new: str) -> DataFrame:
+        return out.select(*[names[i] for i in kept], *new).toDF(*[df.columns[i] for i in kept], *[n.rsplit(".", 1)[-1] for n in new])
+
+    return df.toDF(*names), back
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import apart
+
 #: Public licence texts, paragraph by paragraph, and notices in their usual wording. A key names a licence; with "#" and a
 #: number, one of its passages.
 TEMPLATES = {
@@ -40,16 +42,34 @@ TEMPLATES = {
     "MPL-2.0#2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: What parts a text into paragraphs (lines without a letter or digit) and into sentences.
-PARAGRAPHS = r"\n(?:[^A-Za-z0-9\n]*\n)+"
+#: What parts a text into paragraphs (lines without a letter or digit) and into sentences. scan tells the same places from the run of other
+#: characters between two words, as these patterns may look at a long run again and again.
+PARAGRAPHS = r"\n[^A-Za-z0-9]*\n"
 SENTENCES = rf"[.!?;][^A-Za-z0-9]*[ \t\n\r]|{PARAGRAPHS}"
 THRESHOLD = 0.9
 
 
-def normal(text: Column) -> Column:
-    """ASCII letters lower-cased, and each run of other characters than a-z and 0-9 as one space, none at the ends."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " "))
+#: Of a run of other characters: two line ends; one, and the end of a sentence; the latter only; one line end. Each is tried where a run starts,
+#: and gives nothing back, so a run is looked at a fixed number of times, however long, and nothing is matched by recursion.
+_START, _OTHER = "(?<![^A-Za-z0-9])", "[^A-Za-z0-9]*+"
+_STOP = rf"[^A-Za-z0-9.!?;]*+[.!?;][^A-Za-z0-9 \t\n\r]*+[ \t\n\r]{_OTHER}"
+_ENDS = (
+    ("P", rf"{_START}[^A-Za-z0-9\n]*+\n[^A-Za-z0-9\n]*+\n{_OTHER}"),
+    ("B", rf"{_START}(?=[^A-Za-z0-9\n]*+\n){_STOP}"),
+    ("S", rf"{_START}{_STOP}"),
+    ("L", rf"{_START}[^A-Za-z0-9\n]*+\n{_OTHER}"),
+    (" ", "[^A-Za-z0-9]++"),
+)
+
+
+def passages_of(text: Column) -> Column:
+    """The lines, sentences and paragraphs of a text, each in normal form: words apart by one space. The text is normalised once, with a capital letter
+    for what parts it, as no others are left then."""
+    marked = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for mark, pattern in _ENDS:
+        marked = F.regexp_replace(marked, pattern, mark)
+    parts = [F.split(F.translate(marked, inside, " " * len(inside)), f"[{ends}]") for ends, inside in (("PBL", "S"), ("PBS", "L"), ("P", "BSL"))]
+    return F.transform(F.concat(*parts), lambda x: F.trim(x))
 
 
 def bigrams(text: str) -> list[str]:
@@ -82,20 +102,24 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     Passages are the lines, the sentences and the paragraphs of a text, so a notice may be wrapped over lines, marked as a comment, or
     stand among others. All word bigrams of a passage, repeats included, are compared with the different ones of a template only if their
     numbers are within t / (2 - t) and its inverse of each other; outside that the coefficient cannot reach t. So most passages are dropped on
-    the number of their words, before anything is made of them, and most texts before that, as they have none of the needles. Ties go to the
-    licence that sorts first. A null or empty text, or one in which nothing reaches the threshold, has null, null and 0. Columns of those
-    three names are replaced. All work is within a row: nothing is shuffled.
+    the number of their words, or as they have none of the needles, and most texts before they are cut at all. Ties go to the
+    licence that sorts first. A null or empty text, or one in which nothing reaches the threshold, has null, null and 0; an empty table has no
+    rows, and each row is told for itself, whether it repeats or not. Texts of any length are taken whole, in time that follows
+    their length, whatever they are made of. Columns of those three names, in any case, are replaced. Nothing is shuffled.
     """
-    kept = [c for c in docs.columns if c not in ("license", "dice", "license_passages")]
+    own_docs, back = apart(docs, (text,), ("license", "dice", "license_passages"))
     own = [(k, b) for k, v in sorted(templates.items()) if (b := bigrams(v))]
     if not own:
-        return docs.select(*kept, F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("dice"), F.lit(0).alias("license_passages"))
+        nothing = {"license": F.lit(None).cast("string"), "dice": F.lit(None).cast("double"), "license_passages": F.lit(0)}
+        return back(own_docs.withColumns(nothing), *nothing)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     fewest, most = min(len(b) for _, b in own) * low, max(len(b) for _, b in own) * high
     whole = F.coalesce(F.col(text), F.lit(""))
-    fits = lambda x: (F.regexp_count(x, F.lit("[A-Za-z0-9]+")) - 1).between(fewest, most)
-    passages = F.concat(*[F.filter(F.split(whole, p), fits) for p in ("\n", SENTENCES, PARAGRAPHS)])
-    words = F.transform(F.array_distinct(F.transform(passages, normal)), lambda x: F.split(x, " "))
+    hints = needles([b for _, b in own], threshold)
+    gaps = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    fits = lambda x: gaps(x).between(fewest, most) & F.exists(F.array(*map(F.lit, hints)), lambda n: F.contains(x, n))
+    passages = F.filter(passages_of(whole), fits)
+    words = F.transform(F.array_distinct(passages), lambda x: F.split(x, " "))
     grams = F.transform(words, lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
     name = lambda k: k.split("#")[0]
 
@@ -108,10 +132,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     hits = F.filter(F.transform(grams, score), lambda s: s["dice"] >= threshold)
     lower = F.lower(whole)
     may = F.lit(False)
-    for needle in needles([b for _, b in own], threshold):
+    for needle in hints:
         may |= F.contains(lower, F.lit(needle))
     hits = F.when(may, hits).otherwise(F.array().cast("array<struct<dice: double, license: string>>"))
-    found = docs.select(*kept, hits.alias("__gleaner_hits"))
+    found = own_docs.withColumn("__gleaner_hits", hits)
     best = F.array_max(F.transform("__gleaner_hits", lambda s: s["dice"]))
     label = F.array_min(F.transform(F.filter("__gleaner_hits", lambda s: s["dice"] >= best), lambda s: s["license"]))
-    return found.select(*kept, label.alias("license"), best.alias("dice"), F.size("__gleaner_hits").alias("license_passages"))
+    told = found.withColumns({"license": label, "dice": best, "license_passages": F.size("__gleaner_hits")})
+    return back(told, "license", "dice", "license_passages")

@@ -82,9 +82,8 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _LIST = ", ".join(f"('{d}', '{a}', date '{t}')" for d, a, t in url_lists.LIST)
-_TEMPLATES = ", ".join(
-    f"('{k.split('#')[0]}', {len(b)}, [{', '.join(repr(g) for g in b)}])" for k, v in sorted(licenses.TEMPLATES.items()) for b in [licenses.bigrams(v)]
-)
+_TEMPLATES = ", ".join(f"""('{k.split("#")[0]}', '{v.replace("'", "''")}')""" for k, v in sorted(licenses.TEMPLATES.items()))
+_PLAIN = "trim(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
 _T = licenses.THRESHOLD
 
 ORACLES = {
@@ -104,10 +103,12 @@ ORACLES = {
         select c.page_id, host, cast(cast(fetched as date) as varchar) fetched, h.page_id is not null listed, domain list_domain, cast(valid_from as varchar) listed_since
         from captures c left join hits h on c.page_id = h.page_id and n = 1""",
     "op5_licenses": f"""
-        with templates(license, n, grams) as (values {_TEMPLATES}),
-        passages as (select doc_id, unnest(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '{licenses.SENTENCES}'), regexp_split_to_array(t, '{licenses.PARAGRAPHS}'))) p
+        with notices(license, t) as (values {_TEMPLATES}),
+        notice_words as (select license, string_split({_PLAIN.format(x="t")}, ' ') w from notices),
+        templates as (select license, grams, len(grams) n from (select license, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) grams from notice_words)),
+        passages as (select doc_id, unnest(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '[.!?;][^A-Za-z0-9]*[ \t\n\r]|\n[^A-Za-z0-9]*\n'), regexp_split_to_array(t, '\n[^A-Za-z0-9]*\n'))) p
                      from (select doc_id, coalesce(text, '') t from documents)),
-        normal as (select distinct doc_id, trim(regexp_replace(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) p from passages),
+        normal as (select distinct doc_id, {_PLAIN.format(x="p")} p from passages),
         words as (select doc_id, p, string_split(p, ' ') w from normal where length(p) < 4000),
         grams as (select doc_id, p, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] g from words where len(w) between 2 and 400),
         scores as (select doc_id, p, license, 2.0::double * len(list_intersect(list_distinct(g), t.grams)) / (len(g) + n) dice

@@ -110,6 +110,39 @@ def test_wrapped_and_embedded_licences_are_found(spark):
         assert got[i]["license"] == name and got[i]["license_passages"] >= least, (text, got[i])
 
 
+def test_long_runs_take_linear_time_and_no_stack(spark):
+    import time
+
+    notice = licenses.TEMPLATES["MIT#2"] if "MIT#2" in licenses.TEMPLATES else licenses.TEMPLATES["MIT"]
+    runs = ["\n" * 1_000_000, "." * 1_000_000, " " * 1_000_000, ". \n" * 300_000, "\n \t" * 300_000, "!?" * 500_000 + " ", "é" * 500_000 + "\n"]
+    rows = [(i, f"software license warranty x{r}{notice}{r}y") for i, r in enumerate(runs)]
+    began = time.time()
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 30
+    for i in (0, 3, 4):
+        assert got[i] == "MIT", i
+
+
+def test_passages_are_cut_where_the_patterns_say(spark):
+    import random
+
+    draw = random.Random(2)
+    texts = ["".join(draw.choices(["a", "B1", " ", ".", "!", "\n", "\t", "\r", "é", "-", ";"], k=draw.randint(0, 40))) for _ in range(400)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", licenses.passages_of(F.col("text")).alias("p")).collect()
+    for r in got:
+        assert set(r["p"]) - {""} == passages(texts[r["i"]]) - {""}, repr(texts[r["i"]])
+
+
+def test_columns_that_differ_in_case(spark):
+    docs = spark.createDataFrame([(1, f"x\n{licenses.TEMPLATES['MIT']}\ny", "own", 1, 2)], "doc_id long, text string, License string, Text int, DICE int")
+    got = licenses.scan(docs)
+    assert got.columns == ["doc_id", "text", "Text", "license", "dice", "license_passages"]
+    assert tuple(got.first())[2:4] == (1, "MIT")
+    captures = spark.createDataFrame([(1, "http://a.b/", D("2023-01-01"), "own", "x")], "id int, url string, fetched date, HOST string, Url string")
+    got = url_lists.filter_captures(captures, entries(spark, LIST))
+    assert got.columns == ["id", "url", "fetched", "Url", "host", "listed", "list_domain", "listed_since"] and tuple(got.first())[3:5] == ("x", "a.b")
+
+
 def test_needles_are_in_every_passage_that_reaches_the_threshold():
     import random
 
