@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize
+from gleaner.llm.common import apart, materialize
 
 #: A production list: domain, what happened, when. A domain covers its subdomains.
 LIST = (
@@ -58,15 +58,16 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (url, fetched, and any others) with host, listed, list_domain and listed_since.
 
     An interval holds from its first day until the day before its last. Of several domains the longest counts. A URL without a host, a
-    null time or an empty list is not listed. Every capture is kept as it is; columns of those four names are replaced. The list is
+    null time or an empty list is not listed. Every capture is kept as it is, and rows that repeat stay; columns of those four names, in any case, are replaced. URLs of any length are taken whole; no captures give no rows. The list is
     matched with distinct hosts, so captures of a common host meet only in the last join, on one small row for each host.
     """
-    kept = [c for c in captures.columns if c not in ("host", "listed", "list_domain", "listed_since")]
-    rows = captures.select(*kept, host_of(F.col("url")).alias("host"))
+    own, back = apart(captures, ("url", "fetched"), ("host", "listed", "list_domain", "listed_since"))
+    rows = own.withColumn("host", host_of(F.col("url")))
     names = rows.where("host is not null").select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("domain"))
     spans = F.sort_array(F.collect_list(F.struct(F.length("domain").alias("n"), "domain", "valid_from", "valid_to")), asc=False)
     by_host = names.join(intervals(entries), "domain").groupBy("host").agg(spans.alias("__gleaner_spans"))
     by_host = materialize(by_host, "listed-hosts")  # read anew, so that Spark can split a common host's captures in the join
     active = lambda s: (s["valid_from"] <= F.col("fetched")) & (s["valid_to"].isNull() | (F.col("fetched") < s["valid_to"]))
     joined = rows.join(by_host, "host", "left").withColumn("__gleaner_hit", F.get(F.filter("__gleaner_spans", active), F.lit(0)))
-    return joined.select(*kept, "host", F.col("__gleaner_hit").isNotNull().alias("listed"), F.col("__gleaner_hit.domain").alias("list_domain"), F.col("__gleaner_hit.valid_from").alias("listed_since"))
+    told = joined.withColumns({"listed": F.col("__gleaner_hit").isNotNull(), "list_domain": F.col("__gleaner_hit.domain"), "listed_since": F.col("__gleaner_hit.valid_from")})
+    return back(told, "host", "listed", "list_domain", "listed_since")
