@@ -8,21 +8,24 @@ import numpy as np
 
 from gleaner.llm.words import Words, ragged
 
-#: Distinct units that a worker keeps; beyond that it starts anew.
-MOST_UNITS = 2_000_000
+#: Distinct units that a worker keeps, and bytes of them; beyond that it starts anew.
+MOST_UNITS = 500_000
+MOST_BYTES = 32 << 20
 #: Units encoded at once: what a tokenizer returns for each is large until its ids are taken.
 AT_ONCE = 16_384
 
 
 class UnitCoder:
-    """encode takes units as str and gives the ids of each. The ids of a text must be those of its units, in order."""
+    """encode takes units as str and gives the ids of each. The ids of a text must be those of its units, in order. Units are known by
+    their bytes, whole, so that the ids of a unit never depend on what a worker saw before."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = MOST_UNITS):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
+        self.number: dict[bytes, int] = {}
+        self.bytes = 0
         self.starts = np.zeros(0, dtype=np.int64)
         self.lengths = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
@@ -34,24 +37,20 @@ class UnitCoder:
 
     def __call__(self, units: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        keys, one, back = np.unique(units.hashes(), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.most:
+        distinct, back = units.distinct()
+        if len(self.number) + len(distinct) > self.most or self.bytes > MOST_BYTES:
             self.clear()
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), dtype=bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-        if not known.all():
-            fresh = [units.word(i).decode("utf-8", "replace") for i in one[~known]]
-            parts = [self._encoded(fresh[i : i + AT_ONCE]) for i in range(0, len(fresh), AT_ONCE)]
+        fresh = [u for u in distinct if u not in self.number]
+        if fresh:
+            texts = [u.decode("utf-8", "replace") for u in fresh]
+            parts = [self._encoded(texts[i : i + AT_ONCE]) for i in range(0, len(texts), AT_ONCE)]
             lengths, ids = (np.concatenate(x) for x in zip(*parts))
-            starts = len(self.ids) + np.r_[0, np.cumsum(lengths)[:-1]]
-            self.keys = np.insert(self.keys, at[~known], keys[~known])
-            self.starts = np.insert(self.starts, at[~known], starts)
-            self.lengths = np.insert(self.lengths, at[~known], lengths)
+            self.number.update(zip(fresh, range(len(self.lengths), len(self.lengths) + len(fresh))))
+            self.bytes += sum(map(len, fresh))
+            self.starts = np.r_[self.starts, len(self.ids) + np.r_[0, np.cumsum(lengths)[:-1]]]
+            self.lengths = np.r_[self.lengths, lengths]
             self.ids = np.r_[self.ids, ids]
-            at = np.searchsorted(self.keys, keys)
-        at = at[back] if len(keys) else at
+        at = np.array([self.number[u] for u in distinct], dtype=np.int64)[back] if distinct else back
         lengths = self.lengths[at]
         sums = np.r_[0, np.cumsum(lengths)]
         return self.ids[ragged(lengths, self.starts[at])], sums[units.first[1:]] - sums[units.first[:-1]]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.coder import UnitCoder
-from gleaner.llm.common import materialize, partitions, text_bytes
+from gleaner.llm.common import materialize, partitions, pick, text_bytes
 from gleaner.llm.held import held, release
 from gleaner.llm.words import slices, words_of
 
@@ -151,8 +151,8 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Data
     """Encodes whole texts and writes them as shards in ascending doc_id order (null first, equal ids by their text's hash).
 
     Returns the written table, read back: part, shard, part_start (ids before the shard in its part), n_tokens, payload. Parts
-    follow each other in doc_id order. A null or empty text has the end id alone; an empty table has no shards; other columns of
-    docs are not read.
+    follow each other in doc_id order. A null or empty text has the end id alone; an empty table has no shards; texts are encoded whole,
+    however long, and rows that repeat are documents of their own; other columns of docs are not read, whatever their names.
     """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,7 +181,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Data
             yield close()
         release()
 
-    rows = docs.select("doc_id", text_bytes().alias("text"))
+    rows = pick(docs, "doc_id", "text").select("doc_id", text_bytes().alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(2 * partitions(docs.sparkSession), F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
     return materialize(ordered.mapInPandas(encode, "part int, shard int, part_start long, n_tokens long, payload binary"), "tokens")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -65,6 +66,20 @@ class Words:
                 out[a:b] += value
             return mix(out + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def array(self) -> pa.Array:
+        """All words by their bytes, one after the other."""
+        edge = np.zeros(len(self.buffer) + 1, dtype=np.int8)
+        edge[self.start] += 1
+        edge[self.end] -= 1
+        inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+        offsets = np.r_[0, np.cumsum(self.end - self.start)].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(self.start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(self.buffer[inside].tobytes())])
+
+    def distinct(self) -> tuple[list[bytes], np.ndarray]:
+        """The distinct words, told apart by their bytes, and the number of each word's."""
+        coded = self.array().dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+
     def word(self, i: int) -> bytes:
         return self.buffer[self.start[i] : self.end[i]].tobytes()
 

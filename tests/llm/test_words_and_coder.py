@@ -73,3 +73,64 @@ def test_local_roots():
             for x, y in zip(a, b):
                 root[x] = root[y] = min(root[x], root[y])
         assert local_roots(n, a, b).tolist() == root
+
+
+def thue_morse(a, b, n=1024):
+    """A word of which the polynomial hash, modulo 2**64, equals that of the same with a and b swapped."""
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n)).encode()
+
+
+def test_words_are_told_apart_by_their_bytes():
+    x, y = thue_morse("a", "b"), thue_morse("b", "a")
+    found = w.words_of([x, y, x])
+    assert len(set(found.hashes().tolist())) == 1  # what makes the case
+    assert found.distinct()[0] == [x, y] and found.distinct()[1].tolist() == [0, 1, 0]
+    coder = UnitCoder(lambda units: [[ord(u[0]), len(u)] for u in units])
+    ids, n = coder(found)
+    assert ids.tolist() == [97, 1024, 98, 1024, 97, 1024] and n.tolist() == [2, 2, 2]
+    coder.clear()
+    assert coder(w.words_of([y]))[0].tolist() == [98, 1024] and coder(w.words_of([x]))[0].tolist() == [97, 1024]
+
+
+def test_colliding_words_in_each_operator(spark):
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from gleaner.llm import language, piece_codec, queries, token_files
+
+    x, y = thue_morse("a", "b").decode(), thue_morse("b", "a").decode()
+    ids = lambda t: Tokenizer.from_file(queries.WORD_BPE).encode(t, add_special_tokens=False).ids
+    assert ids(x) != ids(y)
+    flat, n = token_files.encode_texts([x.encode(), y.encode()], queries.WORD_BPE)
+    assert flat.tolist() == ids(x) + ids(y)
+    flat, _ = token_files.encode_texts([y.encode()], queries.WORD_BPE)
+    assert flat.tolist() == ids(y)
+    pieces = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    for parts in (1, 2):
+        rows = spark.createDataFrame([(1, x), (2, y), (3, f"{y} {x}")], "doc_id long, text string").coalesce(1).repartition(parts)
+        for r in piece_codec.encode(rows, queries.PIECES).collect():
+            text = {1: x, 2: y, 3: f"{y} {x}"}[r["doc_id"]]
+            assert r["piece_ids"] == pieces.encode(text) and r["round_trip"] and r["parity"]
+    own = language._pieces(queries.PIECES)
+    train = spark.createDataFrame([(i, "a " * 50, "aa") for i in range(20)] + [(i + 100, "b " * 50, "bb") for i in range(20)], "doc_id long, text string, lang string")
+    languages, table = language.train(train, queries.PIECES)
+    for texts in ([x, y], [y, x]):
+        got = {r["text"]: r["score"] for r in language.predict(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), languages, table, queries.PIECES).collect()}
+        for t in texts:
+            alone = language.predict(spark.createDataFrame([(t,)], "text string"), languages, table, queries.PIECES).first()["score"]
+            assert got[t] == pytest.approx(alone)
+    assert own.longest > 1 and public_tokenizers
+
+
+def test_columns_that_differ_in_case(spark):
+    from gleaner.llm import language, piece_codec, queries, suffixes, token_files
+
+    docs = spark.createDataFrame([(1, "one two three", "en", 5, 6, 7, 8, "x", None)], "doc_id long, text string, lang string, Score int, Parity int, N_WORDS int, Held_Out int, Text string, Lang string")
+    got = language.identify(docs, queries.PIECES)
+    assert got.columns == ["doc_id", "text", "lang", "Parity", "N_WORDS", "Text", "Lang", "held_out", "lang_pred", "score"] and got.first()[5] == "x"
+    got = piece_codec.encode(docs, queries.PIECES)
+    assert got.columns == ["doc_id", "lang", "Score", "N_WORDS", "Held_Out", "Text", "Lang", "piece_ids", "n_pieces", "round_trip", "parity"] and got.first()[-1] is True and got.first()[5] == "x"
+    got = suffixes.remove_repeats(docs)
+    assert got.columns == ["doc_id", "text", "lang", "Score", "Parity", "Held_Out", "Text", "Lang", "n_words", "n_removed"] and tuple(got.first())[-2:] == (3, 0)
+    assert token_files.read_shards(token_files.write_shards(docs, queries.WORD_BPE)).count() == 1
