@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import drop, materialize, small_batches, text_bytes
+from gleaner.llm.common import apart, drop, materialize, small_batches, text_bytes
 from gleaner.llm.held import held, release
 from gleaner.llm.piece_model import NORMAL, SPACE, load
 from gleaner.llm.words import slices, words_of
@@ -31,6 +31,9 @@ UNKNOWN = 1e-7
 SAMPLE_PER_LANGUAGE = 1500
 ROUNDS = 2
 MOST_LANGUAGES = 1000
+#: Distinct words that a worker keeps, and bytes of them; beyond that it starts anew.
+MOST_WORDS = 500_000
+MOST_BYTES = 32 << 20
 UNDETERMINED = "und"
 _BITS = 18
 _BASE = np.uint64(0x100000001B3)
@@ -234,8 +237,9 @@ def train(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE_PER_LANGUAG
                 texts = texts.tolist()
                 for s in slices(texts):
                     w = words_of(texts[s])
-                    _, one, times = np.unique(w.hashes(), return_index=True, return_counts=True)
-                    flat = [(u, t) for i, t in zip(one, times) for u in units(w.word(i).decode("utf-8", "replace"))]
+                    distinct, number = w.distinct()
+                    times = np.bincount(number, minlength=len(distinct))
+                    flat = [(u, t) for d, t in zip(distinct, times) for u in units(d.decode("utf-8", "replace"))]
                     yield pd.DataFrame(flat, columns=["word", "n"]).assign(lang=lang)
         release()
 
@@ -266,7 +270,7 @@ def train(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE_PER_LANGUAG
 
 
 def predict(docs: DataFrame, languages: list[str], table: np.ndarray, vocabulary: str) -> DataFrame:
-    """docs with lang_pred and score, both replaced where docs has them.
+    """docs with lang_pred and score, both replaced where docs has them, in any case.
 
     A null text, one without a letter, or a model without languages gives und and 0. Bytes that are no UTF-8 are no letters. Ties go to the language that sorts first. The
     score is the winner's share of the likelihoods after each is raised to one over the root of the number of words, so that long
@@ -275,23 +279,24 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, vocabulary
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(np.vstack([table, np.full((1, len(languages)), UNKNOWN)]))
-    most = 4_000_000 // max(1, len(languages))
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    most = min(MOST_WORDS, 4_000_000 // max(1, len(languages)))
+    rest, back_to = apart(docs, ("text",), ("lang_pred", "score"))
 
     def score(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = _pieces(vocabulary)
-        known, values = np.zeros(0, dtype=np.uint64), np.zeros((0, len(languages) + 1))
+        # Words are known by their bytes, whole.
+        known: dict[bytes, int] = {}
+        values, held_bytes = np.zeros((0, len(languages) + 1)), 0
         for series in column:
             texts, parts = series.tolist(), []
             for s in slices(texts):
                 w = words_of(texts[s])
-                keys, one, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
-                if len(known) + len(keys) > most:
-                    known, values = known[:0], values[:0]
-                at = np.searchsorted(known, keys)
-                has = known[np.minimum(at, len(known) - 1)] == keys if len(known) else np.zeros(len(keys), dtype=bool)
-                if not has.all():
-                    split = [units(w.word(i).decode("utf-8", "replace")) for i in one[~has]]
+                distinct, back = w.distinct()
+                if len(known) + len(distinct) > most or held_bytes > MOST_BYTES:
+                    known, values, held_bytes = {}, values[:0], 0
+                fresh = [d for d in distinct if d not in known]
+                if fresh:
+                    split = [units(d.decode("utf-8", "replace")) for d in fresh]
                     flat = [u for us in split for u in us]
                     new = np.zeros((len(split), len(languages) + 1))
                     if flat:
@@ -300,9 +305,11 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, vocabulary
                         for k in range(len(languages)):
                             new[:, k] = np.bincount(owner, weights=each[:, k], minlength=len(split))
                         new[:, -1] = np.bincount(owner, minlength=len(split))
-                    known, values = np.insert(known, at[~has], keys[~has]), np.insert(values, at[~has], new, axis=0)
-                    at = np.searchsorted(known, keys)
-                sums = np.vstack([np.zeros((1, len(languages) + 1)), np.cumsum(values[at[back]], axis=0)]) if len(keys) else np.zeros((1, len(languages) + 1))
+                    known.update(zip(fresh, range(len(values), len(values) + len(fresh))))
+                    values = np.r_[values, new]
+                    held_bytes += sum(map(len, fresh))
+                at = np.array([known[d] for d in distinct], dtype=np.int64)
+                sums = np.vstack([np.zeros((1, len(languages) + 1)), np.cumsum(values[at[back]], axis=0)]) if len(distinct) else np.zeros((1, len(languages) + 1))
                 parts.append(sums[w.first[1:]] - sums[w.first[:-1]])
             total = np.vstack(parts) if parts else np.zeros((0, len(languages) + 1))
             count = np.rint(total[:, -1])
@@ -319,8 +326,8 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, vocabulary
         release()
 
     run = F.pandas_udf(score, "lang_pred string, score double")
-    with_model = docs.select(*rest, run(text_bytes()).alias("__gleaner_language"))
-    return with_model.select(*rest, "__gleaner_language.lang_pred", "__gleaner_language.score")
+    told = rest.withColumn("__gleaner_language", run(text_bytes()))
+    return back_to(told, "__gleaner_language.lang_pred", "__gleaner_language.score")
 
 
 def held_out() -> Column:
@@ -329,7 +336,9 @@ def held_out() -> Column:
 
 
 def identify(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """docs with held_out, lang_pred and score (replaced where docs has them); learns from the rows that are not held out. No columns but
-    doc_id, text and lang are read."""
-    languages, table = train(docs.where(~held_out()).select("doc_id", "text", "lang"), vocabulary)
-    return predict(docs.withColumn("held_out", held_out()), languages, table, vocabulary)
+    """docs with held_out, lang_pred and score (replaced where docs has them, in any case); learns from the rows that are not held out. No
+    columns but doc_id, text and lang are read. Each row is told for itself and by its whole text, however long, so rows that repeat are
+    told alike; for null and empty texts and ties see predict, for null languages train. An empty table gives no rows."""
+    own, back = apart(docs, ("doc_id", "text", "lang"), ("held_out", "lang_pred", "score"))
+    languages, table = train(own.where(~held_out()).select("doc_id", "text", "lang"), vocabulary)
+    return back(predict(own.withColumn("held_out", held_out()), languages, table, vocabulary), "held_out", "lang_pred", "score")
