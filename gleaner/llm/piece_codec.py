@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm.coder import UnitCoder
-from gleaner.llm.common import small_batches, text_bytes
+from gleaner.llm.common import apart, small_batches, text_bytes
 from gleaner.llm.held import held, release
 from gleaner.llm.piece_model import BPE, NORMAL, SPACE, UNIGRAM, UNKNOWN, USER_DEFINED, PieceModel, load
 from gleaner.llm.words import Words, slices
@@ -167,14 +167,16 @@ def encode(docs: DataFrame, path: str, verify: str | None = "units", strict: boo
     those of the sentencepiece library; see Codec for verify).
 
     A null or empty text has no ids, and decodes to the empty text. Bytes that are no UTF-8 are encoded as U+FFFD, a literal word mark as
-    a space: such texts have no round trip. Columns of those four names are replaced; all others and all rows stay. strict: a text
-    without parity fails the task.
+    a space: such texts have no round trip. Texts are encoded whole, however long, and rows that repeat alike; an empty table gives no
+    rows. Columns of those four names, in any case, are replaced; all others and all rows stay. strict: a text without parity fails the task.
     """
     small_batches(docs.sparkSession)
     coded = [f.name for f in _CODED]
-    kept = [c for c in docs.columns if c != "text" and c not in coded]
-    rows = docs.select(*kept, text_bytes().alias("text"))
-    schema = T.StructType([*docs.select(*kept).schema.fields, *_CODED])
+    own_docs, _ = apart(docs, ("text",))
+    at = [i for i, (c, n) in enumerate(zip(docs.columns, own_docs.columns)) if n != "text" and c.lower() not in coded]
+    kept = [own_docs.columns[i] for i in at]
+    rows = own_docs.select(*kept, text_bytes().alias("text"))
+    schema = T.StructType([*own_docs.select(*kept).schema.fields, *_CODED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, verify)
@@ -190,7 +192,7 @@ def encode(docs: DataFrame, path: str, verify: str | None = "units", strict: boo
                 yield pa.RecordBatch.from_arrays([*own_rows, ids, pa.array(n, pa.int64()), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())], schema.fieldNames())
         release()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*[docs.columns[i] for i in at], *coded)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
