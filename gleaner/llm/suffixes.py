@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import drop, materialize, small_batches
+from gleaner.llm.common import apart, drop, materialize, small_batches
 from gleaner.llm.held import forget, release, trim
 from gleaner.llm.words import Words, mix, ragged, windows, words_of
 
@@ -372,13 +372,15 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, group_suffixes: int = GR
     A word goes if a window of depth words over it also starts in a document with a smaller doc_id; windows are judged on the whole
     input. With a word goes the white space after it; other white space stays. Words are bytes, whether these are UTF-8 or not. Rows with
     equal doc_ids do not touch each other, and a null doc_id counts as the largest. Null texts stay null and have no words. All rows and
-    other columns stay as they are, but for columns named n_words, n_removed and, with spans, spans, which are replaced. spans: also
+    other columns stay as they are, but for columns named n_words, n_removed and, with spans, spans, in any case, which are replaced. spans: also
     the passages that went, each as its first word (from 0) and its number of words. An empty table has no rows. A row larger than a
     chunk is a chunk of its own. Each chunk sends a row to each group: for inputs of many terabytes take larger chunks and groups.
     """
     small_batches(docs.sparkSession)
     new = ["n_words", "n_removed", *(["spans"] if spans else [])]
-    kept = docs.select([F.col(c).cast("binary").alias(c) if c == "text" else c for c in docs.columns if c not in new])
+    own, _ = apart(docs, ("doc_id", "text"))
+    at = [i for i, c in enumerate(docs.columns) if c.lower() not in new]
+    kept = own.select([own.columns[i] for i in at]).withColumn("text", F.col("text").cast("binary"))
     chunks = _pack(kept)
     n_chunks, size = chunks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     sets = max(1, -(-n_chunks // fan_in))
@@ -439,7 +441,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, group_suffixes: int = GR
     if spans:
         schema = schema.add("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("words", T.LongType())])))
     out = chunks.select("chunk", "data").groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(cut, schema)
-    return out.withColumn("text", F.col("text").cast("string")) if docs.schema["text"].dataType == T.StringType() else out
+    out = out.withColumn("text", F.col("text").cast("string")) if own.schema["text"].dataType == T.StringType() else out
+    return out.toDF(*[docs.columns[i] for i in at], *new)
 
 
 def _set(chunk: int, sets: int) -> int:
