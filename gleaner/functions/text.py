@@ -1,10 +1,11 @@
-"""Text functions on Columns, with ECMAScript's notion of white space where it differs from the JVM's.
+"""Text functions on Columns, with ECMAScript's notions of white space and of length where they differ from the JVM's and Spark's.
 
-Lengths count code points, where ECMAScript counts UTF-16 units; they differ for characters beyond the basic plane only.
+Patterns that look for the end of a text start where a run starts and give nothing back, so long runs inside a text cost no more than others.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -22,12 +23,27 @@ def plain_spaces(x: Column) -> Column:
 
 
 def js_trim(x: Column) -> Column:
-    return F.regexp_replace(x, rf"\A{S}+|{S}+\z", "")
+    return F.regexp_replace(x, rf"\A{S}++|(?<!{S}){S}++\z", "")
+
+
+def units(x: Column) -> Column:
+    """The length in UTF-16 units: characters beyond the basic plane are two."""
+    plain = F.octet_length(x) == F.length(x)
+    return F.when(plain, F.length(x)).otherwise((F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("int"))
+
+
+def first_units(x: Column, most: int) -> Column:
+    """The first so many UTF-16 units; half a character is left out."""
+    code = F.encode(x, "UTF-16BE")
+    # The last unit's first byte tells whether it is the first half of a character.
+    half = F.hex(F.substring(code, 2 * most - 1, 1)).between("D8", "DB")
+    cut = F.substring(code, 1, F.when(half, 2 * most - 2).otherwise(2 * most)) if most else F.substring(code, 1, 0)
+    return F.when(F.octet_length(x) <= most, x).when(F.octet_length(x) == F.length(x), F.substring(x, 1, most)).otherwise(F.decode(cut, "UTF-16BE"))
 
 
 def clean_phrase(x: Column) -> Column:
     """Trims, drops closing punctuation and opening quotes or brackets, and makes each run of white space one space."""
-    x = F.regexp_replace(js_trim(x), r"[.,!?;:()\"']+\z", "")
+    x = F.regexp_replace(js_trim(x), r"(?<![.,!?;:()\"'])[.,!?;:()\"']++\z", "")
     x = F.regexp_replace(x, r"\A['\"(]+", "")
     return js_trim(F.regexp_replace(x, f"{S}+", " "))
 
@@ -44,9 +60,9 @@ def contains_either(a: Column, b: Column) -> Column:
 
 
 def answer_text(raw: Column, most: int = 80) -> Column:
-    """A model's answer: its first line, cut and trimmed; null if that is empty or says null."""
+    """A model's answer: its first line, cut after so many UTF-16 units and trimmed; null if that is empty or says null."""
     line = F.substring_index(js_trim(F.coalesce(raw, F.lit(""))), "\n", 1)
-    text = js_trim(F.substring(line, 1, most))
+    text = js_trim(first_units(line, most))
     return F.when((text != "") & (F.lower(text) != "null"), text)
 
 
@@ -55,6 +71,26 @@ def mime_type(content_type: Column, default: str = "image/jpeg") -> Column:
     return F.coalesce(F.nullif(kind, F.lit("")), F.lit(default))
 
 
+def one_of(words: Sequence[str]) -> str:
+    """A pattern for any of some words, the longest at a place: they share their beginnings, so a place that none starts at costs one look."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for c in word:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        parts = [re.escape(c) + pattern(below) for c, below in sorted(at.items()) if c]
+        if not parts:
+            return ""
+        whole = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+        return f"(?:{whole})?" if "" in at else whole
+
+    first = "".join(re.escape(c) for c in sorted(tree) if c)
+    return f"(?=[{first}]){pattern(tree)}"
+
+
 def numbered(items: Column) -> Column:
     """The items as lines "1. item"."""
     return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
@@ -91,8 +127,8 @@ CAPTION_PATTERNS = (
 
 def caption_name(text: Column, patterns: Sequence[str] = CAPTION_PATTERNS) -> Column:
     """The name in a caption or sentence: a short text without a period is one itself, less its article; else the first pattern whose capture, trimmed, has 3 to 39 characters."""
-    fits = lambda x: F.length(x).between(3, 39)
+    fits = lambda x: units(x).between(3, 39)
     short = F.regexp_replace(js_trim(text), rf"(?i)\A(the|a|an){S}+", "")
-    own = F.when((F.length(text) < 50) & ~F.contains(text, F.lit(".")) & fits(short), short)
+    own = F.when((units(text) < 50) & ~F.contains(text, F.lit(".")) & fits(short), short)
     found = [js_trim(F.regexp_extract(text, p, 1)) for p in patterns]
-    return F.when(F.length(text) >= 3, title_case(F.coalesce(own, *[F.when(fits(x), x) for x in found])))
+    return F.when(units(text) >= 3, title_case(F.coalesce(own, *[F.when(fits(x), x) for x in found])))

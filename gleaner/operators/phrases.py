@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import S, clean_phrase, js_trim, plain_spaces, title_case
+from gleaner.functions.text import S, clean_phrase, first_units, js_trim, one_of, plain_spaces, title_case, units
 from gleaner.operators.lexicon import FOOD, Lexicon
 from gleaner.sources.scratch import materialize
 
-#: Characters after a trigger that may hold a name; weights of the three ways to find one.
+#: UTF-16 units after a trigger that may hold a name; weights of the three ways to find one.
 AFTER_TRIGGER = 60
 TRIGGERED, QUOTED, PRAISED = 1, 3, 2
 MOST_NAMES = 8
@@ -30,14 +31,31 @@ def _is_valid(phrase: Column, words: Column, lexicon: Lexicon) -> Column:
     accepted = F.exists(F.array(*map(F.lit, lexicon.parts)), lambda p: F.contains(phrase, p)) if lexicon.parts else F.lit(False)
     if lexicon.known:
         accepted = phrase.isin(*lexicon.known) | accepted
-    out = F.size(words).between(1, 5) & F.length(phrase).between(3, 40) & ~phrase.rlike(r"\A[0-9]")
+    out = F.size(words).between(1, 5) & units(phrase).between(3, 40) & ~phrase.rlike(r"\A[0-9]")
     if lexicon.stops:
         out &= ~F.arrays_overlap(words, F.array(*map(F.lit, lexicon.stops)))
     return out & accepted
 
 
-def _found(matches: Column, way: int, order: int, weight: int, name=lambda m: m) -> Column:
-    return F.transform(matches, lambda m, i: F.struct(F.lit(way).alias("way"), F.lit(order).alias("trigger"), i.alias("occurrence"), F.lit(weight).alias("weight"), clean_phrase(name(m)).alias("phrase")))
+def _mention(way: int, order: Column, occurrence: Column, weight: int, phrase: Column) -> Column:
+    return F.struct(F.lit(way).alias("way"), order.alias("trigger"), occurrence.alias("occurrence"), F.lit(weight).alias("weight"), clean_phrase(phrase).alias("phrase"))
+
+
+def _found(matches: Column, way: int, weight: int) -> Column:
+    return F.transform(matches, lambda m, i: _mention(way, F.lit(0), i, weight, m))
+
+
+def _triggered(triggers: Sequence[str]) -> Column:
+    """What follows each trigger, from one pass over the text: the look-ahead takes a place's longest trigger and all that may follow, and
+    uses up nothing, so the next trigger may lie within. A trigger that starts another one is found where that is."""
+    kinds = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(t).alias("text")) for i, t in enumerate(triggers)])
+    places = F.regexp_extract_all("_text", F.lit(rf"(?s)(?=({one_of(triggers)}.{{0,{AFTER_TRIGGER}}}))"), F.lit(1))
+
+    def each(m: Column, i: Column) -> Column:
+        after = lambda k: first_units(F.substring(m, F.length(k["text"]) + 1, F.lit(AFTER_TRIGGER)), AFTER_TRIGGER)
+        return F.transform(F.filter(kinds, lambda k: F.startswith(m, k["text"])), lambda k: _mention(1, k["order"], i, TRIGGERED, _after_trigger(after(k))))
+
+    return F.flatten(F.transform(places, each))
 
 
 #: A word never gives letters back: what must follow a word is no letter, so that would be in vain.
@@ -54,16 +72,14 @@ def _after_trigger(window: Column) -> Column:
 def mentions(reviews: DataFrame, lexicon: Lexicon = FOOD) -> DataFrame:
     """place, ord, way, trigger, occurrence, weight and phrase of every valid mention in reviews (place, ord, text)."""
     text = F.lower(F.coalesce("text", F.lit("")))
-    ways = [
-        # The look-ahead takes the window without using it up, so the next trigger may lie within it.
-        _found(F.regexp_extract_all("_text", F.lit(rf"(?s)\Q{t}\E(?=(.{{0,{AFTER_TRIGGER}}}))"), F.lit(1)), 1, i, TRIGGERED, _after_trigger)
-        for i, t in enumerate(lexicon.triggers)
-    ]
-    ways.append(_found(F.regexp_extract_all("_plain", F.lit(r"[\"']([a-z][a-z\s]{2,30})[\"']"), F.lit(1)), 2, 0, QUOTED))
+    ways = [_triggered(lexicon.triggers)] if lexicon.triggers else []
+    ways.append(_found(F.regexp_extract_all("_plain", F.lit(r"[\"']([a-z][a-z\s]{2,30})[\"']"), F.lit(1)), 2, QUOTED))
     if lexicon.praise:
         # Tried at the start of a word only, or where the last match ended: from within a word it finds no more.
         praise = rf"(?:\G|(?<![a-z]))({_WORD}(?:\s++{_WORD}){{0,3}})\s++(?:is|was|are|were)\s++(?:{'|'.join(map(re.escape, lexicon.praise))})"
-        ways.append(_found(F.regexp_extract_all("_plain", F.lit(praise), F.lit(1)), 3, 0, PRAISED))
+        # Most texts have none of the endings, which is seen at the white space before them, in one look.
+        some = F.rlike(F.col("_plain"), F.lit(rf"[a-z]\s++(?:is|was|are|were)\s++(?:{'|'.join(map(re.escape, lexicon.praise))})"))
+        ways.append(_found(F.when(some, F.regexp_extract_all("_plain", F.lit(praise), F.lit(1))).otherwise(F.array().cast("array<string>")), 3, PRAISED))
     rows = reviews.select("place", "ord", text.alias("_text")).select("place", "ord", "_text", plain_spaces(F.col("_text")).alias("_plain"))
     rows = rows.select("place", "ord", F.explode(F.concat(*ways)).alias("m"))
     return rows.select("place", "ord", "m.*").where(_is_valid(F.col("phrase"), F.split("phrase", " "), lexicon))  # cleaned: lower case, and no other white space

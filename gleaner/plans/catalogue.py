@@ -155,6 +155,27 @@ def place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.search(places.flatten(_places(spark, sf_dir)), "tion_1", "id").select("id", "name", "address")
 
 
+def place_search_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many searches at once: pieces of customers' names, some of one or two characters, over all suppliers."""
+    text = F.substring("c_name", F.lit(-1) - F.col("c_custkey") % 6, F.col("c_custkey") % 6 + 1)
+    asked = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request"), F.when(F.col("c_custkey") % 11 == 0, F.lit("nation_1")).when(F.col("c_custkey") % 13 == 0, "").otherwise(F.upper(text)).alias("text"))
+    return places.search_each(asked, places.flatten(_places(spark, sf_dir)), "id")
+
+
+def popular_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names against a table of each brand's popular phrases: some hold a name, some are held by one."""
+    part = _read(spark, sf_dir, "part")
+    phrase = F.when(F.col("p_size") % 3 == 0, F.split_part("p_name", F.lit(" "), F.lit(1))).when(F.col("p_size") % 3 == 1, F.concat(F.upper("p_name"), F.lit(" deluxe"))).otherwise(F.substring("p_name", 2, 2))
+    listed = part.where("p_partkey % 40 = 7").select("p_brand", phrase.alias("item"), F.col("p_partkey").alias("ord"))
+    return matching.first_containing(part.select("p_partkey", "p_brand", F.col("p_name").alias("text")), listed, "p_brand").select("p_partkey", F.col("idx").cast("long").alias("idx"))
+
+
+def utf16_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with characters of two units among them."""
+    name = F.concat(F.replace("p_name", F.lit("r"), F.lit("\U0001f35c")), F.when(F.col("p_size") % 2 == 0, "\u00e9").otherwise(""))
+    return _read(spark, sf_dir, "part").select("p_partkey", text.units(name).alias("units"), text.first_units(name, 5).alias("start"))
+
+
 def display_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
     urls = [ranking.display_url("https://media.example.com/photo", reference, w).alias(f"url_{w}") for w in (400, 800)]
@@ -306,8 +327,9 @@ def dishes_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda s: s["p_name"]), 1, 3)
-    rows = _read(spark, sf_dir, "part").groupBy("p_brand").agg(names.alias("names"))
+    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    first = _read(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", rank.alias("rank")).where("rank <= 3")
+    rows = first.groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda s: s["p_name"]).alias("names"))
     none = F.array().cast("array<string>")
     menu = F.when(F.substring("p_brand", -1, 1).isin("1", "3"), none).otherwise(F.col("names"))
     popular = F.when(F.endswith("p_brand", F.lit("3")), none).otherwise(F.slice("names", 1, 2))
@@ -359,6 +381,6 @@ QUERIES = {
         menu_first_match, popular_theta_match, caption_names, answer_parse, attribution_class, url_params, display_urls, json_extract, place_flatten, place_pins,
         nearest_place, nearest_each, within_radius, zoom_radius, bounding_box, lateral_top1, zip_positional, compact_counts, price_marks, clamp_prev_next, first_event,
         debounce_sessions, label_fail_open, place_search, business_by_name, details_children, menu_items, dishes_response, prompt_text, place_keys, display_labels, route_requests,
-        raw_phrases, fresh_events, names_with_parts,
+        raw_phrases, fresh_events, names_with_parts, place_search_each, popular_first_match, utf16_units,
     )
 }

@@ -202,4 +202,13 @@ ORACLES = {
         and not list_has_any(string_split(lower(p_name), ' '), ['red', 'large']) and (lower(replace(p_name, ' ', '   ')) = 'small gear' or regexp_matches(lower(p_name), 'blue|green|ring')) valid from part""",
     "fresh_events": "select event_id from events where ts >= timestamp '2024-01-01 12:00:00' - interval 3600 seconds",
     "names_with_parts": "select p_partkey, p_name from part where contains(p_name, 'gear') or contains(p_name, 'old')",
+    "place_search_each": f"""with {_PLACES}, asked as (select c_custkey request, case when c_custkey % 11 = 0 then 'nation_1' when c_custkey % 13 = 0 then null
+            else lower(right(c_name, cast(c_custkey % 6 + 1 as int))) end t from customer)
+        select request, place_id id from asked join places on contains(lower(name), t) or contains(lower(vicinity), t)""",
+    "popular_first_match": """with listed as (select p_brand, p_partkey ord, lower(case p_size % 3 when 0 then split_part(p_name, ' ', 1) when 1 then upper(p_name) || ' deluxe' else substr(p_name, 2, 2) end) item
+            from part where p_partkey % 40 = 7)
+        select p_partkey, coalesce(min(ord), -1) idx from part p left join listed l on p.p_brand = l.p_brand and (contains(item, lower(p_name)) or contains(lower(p_name), item)) group by all""",
+    "utf16_units": """with n as (select p_partkey, replace(p_name, 'r', chr(127836)) || case when p_size % 2 = 0 then 'é' else '' end t from part),
+        u as (select *, list_transform(range(1, length(t) + 1), lambda i: i + length(t[1:i]) - length(replace(t[1:i], chr(127836), ''))) u from n)
+        select p_partkey, cast(coalesce(u[len(u)], 0) as int) units, t[1:len(list_filter(u, lambda x: x <= 5))] as start from u""",
 }
