@@ -62,7 +62,7 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 def apart(df: DataFrame, needed: tuple[str, ...], replaced: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """df with the needed columns by their names and all others under names of no one else, and what makes a result of it: the kept columns
-    by their own names, in their order, then new ones. Columns of replaced names, in any case, are not kept. A needed column is the one
+    by their own names, in their order, then new ones, by name or as Columns. Columns of replaced names, in any case, are not kept. A needed column is the one
     of that very name, else one that differs in case only."""
     at = {n: df.columns.index(n) if n in df.columns else next(i for i, c in enumerate(df.columns) if c.lower() == n.lower()) for n in needed}
     names = [f"__gleaner_at_{i}" for i in range(len(df.columns))]
@@ -71,8 +71,9 @@ def apart(df: DataFrame, needed: tuple[str, ...], replaced: tuple[str, ...] = ()
     gone = {r.lower() for r in replaced}
     kept = [i for i, c in enumerate(df.columns) if c.lower() not in gone]
 
-    def back(out: DataFrame, *new: str) -> DataFrame:
-        return out.select(*[names[i] for i in kept], *new).toDF(*[df.columns[i] for i in kept], *[n.rsplit(".", 1)[-1] for n in new])
+    def back(out: DataFrame, *new: str, **made: Column) -> DataFrame:
+        own = [F.col(names[i]).alias(df.columns[i]) for i in kept]
+        return out.select(*own, *[F.col(n).alias(n.rsplit(".", 1)[-1]) for n in new], *[c.alias(n) for n, c in made.items()])
 
     return df.toDF(*names), back
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import one_of
 from gleaner.llm.common import apart
 
 #: Public licence texts, paragraph by paragraph, and notices in their usual wording. A key names a licence; with "#" and a
@@ -68,8 +70,9 @@ def passages_of(text: Column) -> Column:
     marked = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for mark, pattern in _ENDS:
         marked = F.regexp_replace(marked, pattern, mark)
-    parts = [F.split(F.translate(marked, inside, " " * len(inside)), f"[{ends}]") for ends, inside in (("PBL", "S"), ("PBS", "L"), ("P", "BSL"))]
-    return F.transform(F.concat(*parts), lambda x: F.trim(x))
+    cut = lambda m: F.concat(*[F.split(F.translate(m, inside, " " * len(inside)), f"[{ends}]") for ends, inside in (("PBL", "S"), ("PBS", "L"), ("P", "BSL"))])
+    # Within a lambda the marked text is made once, for all three.
+    return F.transform(F.flatten(F.transform(F.array(marked), cut)), lambda x: F.trim(x))
 
 
 def bigrams(text: str) -> list[str]:
@@ -108,35 +111,28 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     their length, whatever they are made of. Columns of those three names, in any case, are replaced. Nothing is shuffled.
     """
     own_docs, back = apart(docs, (text,), ("license", "dice", "license_passages"))
-    own = [(k, b) for k, v in sorted(templates.items()) if (b := bigrams(v))]
+    own = [(k.split("#")[0], b) for k, v in sorted(templates.items()) if (b := bigrams(v))]
     if not own:
-        nothing = {"license": F.lit(None).cast("string"), "dice": F.lit(None).cast("double"), "license_passages": F.lit(0)}
-        return back(own_docs.withColumns(nothing), *nothing)
+        return back(own_docs, license=F.lit(None).cast("string"), dice=F.lit(None).cast("double"), license_passages=F.lit(0))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     fewest, most = min(len(b) for _, b in own) * low, max(len(b) for _, b in own) * high
+    # One literal, so that plans stay small however many templates there are.
+    known = json.dumps([{"license": k, "n": len(b), "grams": b} for k, b in own])
+    known = F.from_json(F.lit(known), "array<struct<license: string, n: int, grams: array<string>>>")
+    hint = one_of(needles([b for _, b in own], threshold))
     whole = F.coalesce(F.col(text), F.lit(""))
-    hints = needles([b for _, b in own], threshold)
     gaps = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-    fits = lambda x: gaps(x).between(fewest, most) & F.exists(F.array(*map(F.lit, hints)), lambda n: F.contains(x, n))
-    passages = F.filter(passages_of(whole), fits)
+    passages = F.filter(passages_of(whole), lambda x: gaps(x).between(fewest, most) & x.rlike(hint))
     words = F.transform(F.array_distinct(passages), lambda x: F.split(x, " "))
     grams = F.transform(words, lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    name = lambda k: k.split("#")[0]
-
-    def score(g: Column) -> Column:
-        each = [F.when(F.size(g).between(len(b) * low, len(b) * high), 2.0 * F.size(F.array_intersect(g, F.array(*map(F.lit, b)))) / (F.size(g) + len(b))) for _, b in own]
-        best = F.greatest(*each, F.lit(0.0))
-        label = F.coalesce(*[F.when(e >= best, F.lit(name(k))) for (k, _), e in zip(own, each)])
-        return F.struct(best.alias("dice"), label.alias("license"))
-
-    hits = F.filter(F.transform(grams, score), lambda s: s["dice"] >= threshold)
-    lower = F.lower(whole)
-    may = F.lit(False)
-    for needle in hints:
-        may |= F.contains(lower, F.lit(needle))
-    hits = F.when(may, hits).otherwise(F.array().cast("array<struct<dice: double, license: string>>"))
+
+    def best_of(g: Column) -> Column:
+        near = F.filter(known, lambda t: F.size(g).between(t["n"] * low, t["n"] * high))
+        # The least of these is the highest coefficient, and of equal ones the licence that sorts first.
+        return F.array_min(F.transform(near, lambda t: F.struct((-2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + t["n"])).alias("less"), t["license"].alias("license"))))
+
+    hits = F.filter(F.transform(grams, best_of), lambda s: s["less"] <= -threshold)
+    hits = F.when(F.lower(whole).rlike(hint), hits).otherwise(F.array().cast("array<struct<less: double, license: string>>"))
+    best = F.array_min("__gleaner_hits")
     found = own_docs.withColumn("__gleaner_hits", hits)
-    best = F.array_max(F.transform("__gleaner_hits", lambda s: s["dice"]))
-    label = F.array_min(F.transform(F.filter("__gleaner_hits", lambda s: s["dice"] >= best), lambda s: s["license"]))
-    told = found.withColumns({"license": label, "dice": best, "license_passages": F.size("__gleaner_hits")})
-    return back(told, "license", "dice", "license_passages")
+    return back(found, license=best["license"], dice=-best["less"], license_passages=F.size("__gleaner_hits"))
