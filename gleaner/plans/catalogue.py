@@ -229,6 +229,14 @@ def within_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.within(_points(spark, sf_dir), 10.0, 20.0, 1_000_000.0, "vec_id").select("vec_id", F.round("distance", 3).alias("distance"))
 
 
+def within_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point as the centre of a map, at zooms from 7 to 11, over the points whose number is no multiple of three."""
+    points = _points(spark, sf_dir)
+    views = points.select(F.col("vec_id").alias("request"), "lat", "lng", (F.col("vec_id") % 5 + 7).alias("zoom"))
+    stock = points.select("vec_id", "lat", "lng", F.when(F.col("vec_id") % 3 > 0, "restaurant").otherwise("bar").alias("kind"))
+    return places.within_each(views, stock, "vec_id", kind="restaurant").select("request", "rank", "vec_id", F.round("distance", 3).alias("distance"))
+
+
 def zoom_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     zoom = F.when(F.col("p_size") != 14, F.col("p_size") % 22)
     return _read(spark, sf_dir, "part").select("p_partkey", numbers.radius(zoom).alias("radius"))
@@ -381,6 +389,6 @@ QUERIES = {
         menu_first_match, popular_theta_match, caption_names, answer_parse, attribution_class, url_params, display_urls, json_extract, place_flatten, place_pins,
         nearest_place, nearest_each, within_radius, zoom_radius, bounding_box, lateral_top1, zip_positional, compact_counts, price_marks, clamp_prev_next, first_event,
         debounce_sessions, label_fail_open, place_search, business_by_name, details_children, menu_items, dishes_response, prompt_text, place_keys, display_labels, route_requests,
-        raw_phrases, fresh_events, names_with_parts, place_search_each, popular_first_match, utf16_units,
+        raw_phrases, fresh_events, names_with_parts, place_search_each, popular_first_match, utf16_units, within_each,
     )
 }

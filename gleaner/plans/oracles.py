@@ -211,4 +211,8 @@ ORACLES = {
     "utf16_units": """with n as (select p_partkey, replace(p_name, 'r', chr(127836)) || case when p_size % 2 = 0 then 'é' else '' end t from part),
         u as (select *, list_transform(range(1, length(t) + 1), lambda i: i + length(t[1:i]) - length(replace(t[1:i], chr(127836), ''))) u from n)
         select p_partkey, cast(coalesce(u[len(u)], 0) as int) units, t[1:len(list_filter(u, lambda x: x <= 5))] as start from u""",
+    "within_each": f"""with {_POINTS}, views as (select vec_id request, lat a, lng b, greatest(300, least(50000, floor(40000 / pow(2.0, vec_id % 5 + 7 - 10) + 0.5))) reach from points),
+        met as (select request, vec_id, {_DISTANCE.format(lat="lat", lng="lng", a="a", b="b")} d, reach from views join points on vec_id % 3 > 0 and abs(lat - a) < 1),
+        ranked as (select request, vec_id, d, cast(row_number() over (partition by request order by d, vec_id) as int) rank from met where d <= reach)
+        select request, rank, vec_id, round(d, 3) distance from ranked where rank <= 20""",
 }

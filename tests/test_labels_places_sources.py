@@ -115,7 +115,7 @@ def test_nearest_each_in_crowds(spark):
     spread = lambda i: (i, draw.uniform(-80, 80), draw.uniform(-170, 170)) if i % 3 == 0 else (i, 10 + draw.uniform(0, 1e-4), 20.0) if i % 3 == 1 else (i, 10.0, 20.0)
     spots, asked = [spread(i) for i in range(900)], [spread(i) for i in range(300)]
     table = lambda rows, first: spark.createDataFrame([(*r, "Shared ") for r in rows], f"{first} int, lat double, lng double, name string")
-    got = {r["request"]: r["id"] for r in places.nearest_each(table(asked, "request"), table(spots, "id"), "id", fullest=20).collect()}
+    got = {r["request"]: r["id"] for r in places.nearest_each(table(asked, "request"), table(spots, "id"), "id", leaf=20).collect()}
     far = lambda a, b: math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
     near = {a[0]: min((far(a, p), p[0]) for p in spots) for a in asked}
     assert all(got[r] == i or far(asked[r], spots[got[r]]) == pytest.approx(d, rel=1e-6, abs=1e-18) for r, (d, i) in near.items())
