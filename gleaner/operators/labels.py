@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import threading
+import time
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 
 from gleaner.functions.text import answer_text, numbered
 from gleaner.operators.matching import first_equal
+from gleaner.sources.scratch import materialize
 
 #: Takes frames of requests, returns for each row the raw answers of all models in order: {"status": ..., "text": ...}, null status for none.
 LabelFunction = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -52,3 +55,67 @@ def label(requests: DataFrame, model: LabelFunction, schema: T.StructType, paral
     if parallel:
         requests = requests.repartition(parallel)
     return interpret(requests.mapInPandas(model, schema))
+
+
+#: Asks one model about one request, a dict of its columns: a status and a text.
+Ask = Callable[[dict], tuple[int | None, str | None]]
+
+
+def ask_all(ask: Ask, rows: Sequence[dict], at_once: int, seconds: float) -> list[tuple[int | None, str | None]]:
+    """Answers in order, at most at_once calls at a time. A call that raises, or takes longer, counts as none: (None, None)."""
+    out: list[tuple[int | None, str | None]] = []
+    for k in range(0, len(rows), at_once):
+        own = list(rows[k : k + at_once])
+        got: list = [(None, None)] * len(own)
+
+        def call(i: int, row: dict, got: list = got) -> None:
+            try:
+                got[i] = ask(row)
+            except Exception:  # noqa: BLE001  a model that fails is passed over, whatever its failure
+                got[i] = (None, None)
+
+        threads = [threading.Thread(target=call, args=(i, row), daemon=True) for i, row in enumerate(own)]
+        ends = time.monotonic() + seconds
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join(max(0.0, ends - time.monotonic()))
+        out += list(got)  # a copy: what comes late is not heard
+    return out
+
+
+def label_staged(requests: DataFrame, models: Sequence[Ask], parallel: int | None = None, at_once: int = 4, seconds: float = 20.0) -> DataFrame:
+    """requests (with items and fetched) with name, is_match and is_food, by a cascade in which each model is asked only about what the
+    models before it failed at: one that was answered, or blocked, goes no further, and one that could not be fetched is never asked.
+
+    Every stage is written once, so no call is made again for what a later stage or a lost task needs. Calls are bounded by `parallel` tasks, of
+    at_once calls each, and by seconds. All columns of requests go to the model, but those that a stage adds.
+    """
+    todo = requests.withColumn("answers", F.array().cast(ANSWERS))
+    parts = [todo.where(~F.coalesce(F.col("fetched"), F.lit(False)))]
+    todo = todo.where("fetched")
+    schema = T.StructType([*todo.drop("answers").schema.fields, T.StructField("answers", ANSWERS)])
+    names = requests.columns
+
+    def stage(ask: Ask) -> LabelFunction:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                found = ask_all(ask, pdf[names].to_dict("records"), at_once, seconds)
+                before = pdf["answers"].tolist()
+                pdf["answers"] = [[*([] if b is None else list(b)), {"status": s, "text": t}] for b, (s, t) in zip(before, found)]
+                yield pdf
+
+        return run
+
+    for model in models:
+        if parallel:
+            todo = todo.repartition(parallel)
+        told = materialize(todo.mapInPandas(stage(model), schema), "answers")
+        ended = outcome(F.col("answers")).isNotNull()
+        parts.append(told.where(ended))
+        todo = told.where(~ended)
+    parts.append(todo)
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return interpret(every).select(*names, "name", "is_match", "is_food")

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import display, numbers, text
-from gleaner.operators import labels, matching, phrases, places, ranking
+from gleaner.operators import asof, labels, matching, phrases, places, ranking
+from gleaner.operators.positions import zip_tables
 from gleaner.operators.lexicon import Lexicon
-from gleaner.sources import readers, schemas
+from gleaner.sources import readers, recorded, schemas
 from gleaner.streaming import sessions
 
 #: Words that the documents do have, in the roles of the food lexicon.
@@ -382,6 +383,88 @@ def names_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").where(matching.holds_any(F.col("p_name"), ("gear", "old"))).select("p_partkey", "p_name")
 
 
+def label_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As label_fail_open, but each model is asked by a call, the second only where the first failed."""
+    status = lambda k: F.element_at(F.array(*map(F.lit, (200, 429, 403, 500))), (F.floor(F.col("p_partkey") / k) % 4 + 1).cast("int"))
+    rows = _read(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("shown"), status(1).alias("first"), status(4).alias("second"), F.array(F.col("p_name"), F.lit("Other")).alias("items"), (F.col("p_partkey") % 13 != 0).alias("fetched"))
+    models = [lambda r: (r["first"], "null" if r["p_partkey"] % 3 == 0 else r["shown"]), lambda r: (r["second"], "null" if r["p_partkey"] % 6 == 0 else r["shown"])]
+    return labels.label_staged(rows, models).select("p_partkey", "name", "is_match", "is_food")
+
+
+def asof_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each purchase or view the last click of any user of its tenth of users, an hour old at most."""
+    rows = _read(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", (F.col("user_id") % 10).alias("team"))
+    asked, given = rows.where("event_type in ('purchase', 'view')").select("event_id", "ts", "team"), rows.where("event_type = 'click'")
+    found = asof.last_before(asked, given, "team", "ts", 3600, "event_id", ["value"])
+    return found.select("event_id", F.unix_micros(F.col("fix_at").cast("timestamp")).alias("fix_at"), "value")
+
+
+def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's suppliers, in order, with its customers by their balance, place by place."""
+    left = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey")
+    right = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_acctbal", "c_custkey")
+    return zip_tables(left, right, ["s_suppkey"], [F.desc("c_acctbal"), "c_custkey"], ["nation"]).select("nation", F.col("pos").cast("long").alias("pos"), "s_suppkey", "c_custkey")
+
+
+def recorded_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as recorded answers, read back for a few ids by the data source, which opens their buckets alone."""
+    flat = _places(spark, sf_dir)
+    whole = flat.select("place_id", F.to_json(F.struct(*[c for c in flat.columns if c != "place_id"])).alias("result"))
+    path = recorded.record(whole)
+    wanted = [str(10 * k) for k in range(10)]
+    lines = recorded.read(spark, path).where(F.col("place_id").isin(*wanted))
+    answers = lines.select("place_id", F.from_json(F.get_json_object(F.concat(F.lit('{"r":'), "result", F.lit("}")), "$.r"), schemas.PLACE_DETAILS).alias("r"))
+    return answers.select("place_id", "r.name", F.col("r.formatted_address").alias("address"), F.col("r.rating").alias("rating"))
+
+
+def details_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Details as they are recorded, under result, every fifth without one, as flat places with the long address."""
+    rows = _places(spark, sf_dir).withColumn("k", F.col("place_id").cast("int"))
+    result = F.struct("name", "formatted_address", "geometry", "rating", "user_ratings_total", "price_level", "opening_hours")
+    texts = rows.select(F.to_json(F.struct("place_id", F.lit("OK").alias("status"), F.when(F.col("k") % 5 > 0, result).alias("result"))).alias("json"))
+    flat = places.flatten(readers.details_of(readers.parsed(texts, "json", schemas.PLACE_RESPONSE)), "formatted_address")
+    return flat.withColumn("isOpen", F.col("isOpen").cast("string"))
+
+
+def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for suppliers by id, some bad, some for what is not there, some that failed."""
+    rows = _read(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 > 0, (F.col("c_custkey") % 130).cast("string")).alias("id"))
+    asked = rows.select(F.col("c_custkey").alias("request"), readers.routed(F.col("id"), F.lit(None).cast("string"), F.lit("1")).alias("route"), "id")
+    stock = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"))
+    found = asked.join(stock, "id").select("request", "name")
+    return readers.answers(asked, found, asked.where("request % 10 = 3").select("request"))
+
+
+def business_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Businesses by name, of the categories that a restaurant's search asks for."""
+    nation = _read(spark, sf_dir, "nation")
+    rows = _read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = rows.select("s_suppkey", F.col("n_name").alias("name"), (F.col("s_suppkey") % 90).cast("double").alias("lat"), (F.col("s_nationkey") * 7).cast("double").alias("lng"))
+    kinds = F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.array(F.lit("bars"), F.lit("food"))).when(F.col("c_mktsegment") == "MACHINERY", F.array(F.lit("restaurants"))).otherwise(F.array(F.lit("shops")))
+    near = _read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    near = near.select("c_custkey", F.col("n_name").alias("name"), (F.col("c_custkey") % 80).cast("double").alias("lat"), (F.col("c_acctbal") / 60).alias("lng"), kinds.alias("categories"))
+    return places.business_by_name(rows, near, "s_suppkey", "c_custkey", places.FOOD_CATEGORIES).select("s_suppkey", "business_id")
+
+
+def business_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as businesses, their orders as reviews, of which the first twenty give names to 25 photos."""
+    said = F.when(F.col("o_orderkey") % 4 == 0, F.lit("ok")).otherwise(F.concat(F.lit("The "), F.lower("o_orderpriority")))
+    reviews = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("business_id"), F.col("o_orderkey").alias("ord"), said.alias("text"))
+    urls = F.transform(F.sequence(F.lit(1), F.lit(25)), lambda i: F.concat(F.lit("u"), i.cast("string")))
+    details = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("business_id"), urls.alias("photos"))
+    return readers.business_photos(details, reviews).select("business_id", "pos", "url", "name", "attribution")
+
+
+def json_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deep paths of records that differ in shape: numbers as texts, lists for values, and texts that are no JSON."""
+    k = F.get_json_object("props", "$.k")
+    shape = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"a":[{"b":'), k, F.lit('},{"b":7}]}'))).when(F.col("event_id") % 5 == 1, F.concat(F.lit('{"a":[{"b":"x'), k, F.lit('"}]}')))
+    shape = shape.when(F.col("event_id") % 5 == 2, F.lit('{"a":{"b":1},"c":"t"}')).when(F.col("event_id") % 5 == 3, F.lit("{no json")).otherwise(F.concat(F.lit('{"a":[],"c":"v'), k, F.lit('"}')))
+    found = readers.at_paths(shape, {"$.a[0].b": "int", "$.a[1].b": "int", "$.c": "string"})
+    first, second, c = found.values()
+    return _read(spark, sf_dir, "events").select("event_id", first.alias("first"), second.alias("second"), c.alias("c"), F.coalesce(first, F.lit(0)).alias("or_zero"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -390,5 +473,6 @@ QUERIES = {
         nearest_place, nearest_each, within_radius, zoom_radius, bounding_box, lateral_top1, zip_positional, compact_counts, price_marks, clamp_prev_next, first_event,
         debounce_sessions, label_fail_open, place_search, business_by_name, details_children, menu_items, dishes_response, prompt_text, place_keys, display_labels, route_requests,
         raw_phrases, fresh_events, names_with_parts, place_search_each, popular_first_match, utf16_units, within_each,
+        label_cascade, asof_fix, positional_join, recorded_details, details_answers, request_answers, business_category, business_photos, json_variant,
     )
 }

@@ -8,10 +8,11 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import js_trim, mime_type
+from gleaner.functions.text import caption_name, js_trim, mime_type
+from gleaner.operators.ranking import zip_names
 from gleaner.sources import schemas
 
 
@@ -31,10 +32,17 @@ def nearby(spark: SparkSession, path: str) -> DataFrame:
 
 
 def details(spark: SparkSession, path: str, place_id: str | None = None) -> DataFrame:
-    rows = _json(spark, path, schemas.PLACE_DETAILS)
+    """The nested places of recorded answers, each under `result` (or flat); an answer without one has no place."""
+    rows = details_of(_json(spark, path, schemas.PLACE_RESPONSE))
     return rows if place_id is None else rows.where(F.col("place_id") == place_id)
 
 
+def details_of(responses: DataFrame) -> DataFrame:
+    """The places of answers of schemas.PLACE_RESPONSE, under result or flat. The id is the answer's own, else the one that it was asked for."""
+    fields = [c for c in responses.columns if c != "result"]
+    return responses.select(*[F.coalesce(f"result.{c}", c).alias(c) for c in fields]).where("name is not null or formatted_address is not null or geometry is not null")
+
+
 def photos(spark: SparkSession, path: str) -> DataFrame:
     rows = _json(spark, path, schemas.DETAILS_RESPONSE).select("place_id", F.posexplode("result.photos").alias("ord", "photo"))
     return rows.select("place_id", "ord", "photo.*")
@@ -87,6 +95,25 @@ def business_details(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, path, schemas.BUSINESS_DETAIL)
 
 
+#: Reviews of a business that are asked for, and used.
+MOST_REVIEWS = 20
+
+
+def first_reviews(reviews: DataFrame, key: str = "business_id", order: str = "ord", most: int = MOST_REVIEWS) -> DataFrame:
+    """The first reviews of each business in the order they were sorted in; the limit works before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return reviews.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def business_photos(details: DataFrame, reviews: DataFrame, place: str = "business_id") -> DataFrame:
+    """pos, url, name and attribution of each business's photos: the n-th with the name that its n-th review with one gives, of the first reviews."""
+    told = first_reviews(reviews, place).withColumn("name", caption_name(F.col("text")))
+    names = told.groupBy(place).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda s: F.coalesce(s["name"], F.lit(""))).alias("names"))
+    rows = details.select(place, "photos").join(names, place, "left")
+    zipped = zip_names(F.col("photos"), F.coalesce("names", F.array().cast("array<string>")))
+    return rows.select(place, F.explode(zipped).alias("z")).select(place, "z.*")
+
+
 def business_reviews(spark: SparkSession, path: str) -> DataFrame:
     rows = _json(spark, path, schemas.BUSINESS_REVIEWS).select("business_id", F.posexplode("reviews").alias("ord", "review"))
     return rows.select("business_id", "ord", F.col("review.text").alias("text"))
@@ -115,6 +142,32 @@ def routed(place_id: Column, lat: Column, lng: Column) -> Column:
     return F.when(given(place_id), "details").when(given(lat) & given(lng), "nearby").otherwise("bad")
 
 
+#: What is answered besides 200.
+ERRORS = {400: "bad request", 404: "not found", 500: "failed"}
+
+
+def answers(requests: DataFrame, found: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """request, status and body (JSON) of each request (request, and route as of routed): 400 for a bad one, 500 for one of `failed` (request),
+    404 where `found` has no row of it, else 200 with that row's other columns. Requests repeat in the result as they do in the input."""
+    columns = [c for c in found.columns if c != "request"]
+    bodies = found.groupBy("request").agg(F.min(F.to_json(F.struct(*columns))).alias("_body"))
+    out = requests.select("request", "route").join(bodies, "request", "left")
+    broke = F.lit(False)
+    if failed is not None:
+        out = out.join(failed.select("request", F.lit(True).alias("_failed")).distinct(), "request", "left")
+        broke = F.coalesce("_failed", F.lit(False))
+    status = F.when(F.col("route") == "bad", 400).when(broke, 500).when(F.col("_body").isNull(), 404).otherwise(200)
+    error = F.coalesce(*[F.when(F.col("status") == s, F.to_json(F.struct(F.lit(m).alias("error")))) for s, m in ERRORS.items()])
+    return out.withColumn("status", status).select("request", "status", F.coalesce(error, "_body").alias("body"))
+
+
+def at_paths(text: Column, paths: Mapping[str, str]) -> dict[str, Column]:
+    """Values at deep paths of JSON texts, as VARIANT: path to type. A text that is no JSON, a path that is not there, and a value that is
+    no such type are null, each for itself, so records may differ in shape."""
+    parsed_ = F.try_parse_json(text)
+    return {path: F.try_variant_get(parsed_, path, kind) for path, kind in paths.items()}
+
+
 def response(dishes: DataFrame, phrases: DataFrame, key: str, most: int = 20) -> DataFrame:
     """One nested row for each key: dishes (by position, at most `most`) and popularDishes."""
     some = dishes.where(F.col("position") < most)

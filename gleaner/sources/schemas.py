@@ -19,3 +19,8 @@ MENU_RESPONSE = "place_id string, menuItems array<struct<displayName: struct<tex
 BUSINESS = "id string, name string, alias string"
 BUSINESS_REVIEWS = "business_id string, reviews array<struct<id: string, text: string, user: struct<name: string>>>"
 BUSINESS_DETAIL = "business_id string, photos array<string>, categories array<struct<alias: string, title: string>>"
+#: A recorded answer for one place: what was asked for, and the place, as it comes, under result; or a place that lies flat.
+PLACE_RESPONSE = (
+    f"{PLACE_DETAILS}, result struct<place_id: string, name: string, formatted_address: string, geometry: struct<location: struct<lat: double, lng: double>>, "
+    "rating: double, user_ratings_total: bigint, price_level: int, opening_hours: struct<open_now: boolean>>"
+)
