@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 
-from gleaner.llm.words import Words, ragged
+from gleaner.llm.words import Known, Words, ragged
 
 #: Distinct units that a worker keeps, and bytes of them; beyond that it starts anew.
-MOST_UNITS = 500_000
-MOST_BYTES = 32 << 20
+MOST_UNITS = 2_000_000
+MOST_BYTES = 64 << 20
 #: Units encoded at once: what a tokenizer returns for each is large until its ids are taken.
 AT_ONCE = 16_384
 
@@ -24,8 +24,7 @@ class UnitCoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.bytes = 0
+        self.known = Known()
         self.starts = np.zeros(0, dtype=np.int64)
         self.lengths = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
@@ -38,19 +37,20 @@ class UnitCoder:
     def __call__(self, units: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         distinct, back = units.distinct()
-        if len(self.number) + len(distinct) > self.most or self.bytes > MOST_BYTES:
+        if len(self.known) + len(distinct.start) > self.most or len(self.known.bytes) > MOST_BYTES:
             self.clear()
-        fresh = [u for u in distinct if u not in self.number]
-        if fresh:
-            texts = [u.decode("utf-8", "replace") for u in fresh]
+        at, hashes = self.known.find(distinct)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            texts = [distinct.word(i).decode("utf-8", "replace") for i in new.tolist()]
             parts = [self._encoded(texts[i : i + AT_ONCE]) for i in range(0, len(texts), AT_ONCE)]
             lengths, ids = (np.concatenate(x) for x in zip(*parts))
-            self.number.update(zip(fresh, range(len(self.lengths), len(self.lengths) + len(fresh))))
-            self.bytes += sum(map(len, fresh))
+            at[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.add(distinct, hashes, new)
             self.starts = np.r_[self.starts, len(self.ids) + np.r_[0, np.cumsum(lengths)[:-1]]]
             self.lengths = np.r_[self.lengths, lengths]
             self.ids = np.r_[self.ids, ids]
-        at = np.array([self.number[u] for u in distinct], dtype=np.int64)[back] if distinct else back
+        at = at[back]
         lengths = self.lengths[at]
         sums = np.r_[0, np.cumsum(lengths)]
         return self.ids[ragged(lengths, self.starts[at])], sums[units.first[1:]] - sums[units.first[:-1]]

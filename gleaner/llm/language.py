@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import apart, drop, materialize, small_batches, text_bytes
 from gleaner.llm.held import held, release
 from gleaner.llm.piece_model import NORMAL, SPACE, load
-from gleaner.llm.words import slices, words_of
+from gleaner.llm.words import Known, slices, words_of
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Longer words go one by one, in logarithms, as products of their probabilities may leave a double.
@@ -32,7 +32,7 @@ SAMPLE_PER_LANGUAGE = 1500
 ROUNDS = 2
 MOST_LANGUAGES = 1000
 #: Distinct words that a worker keeps, and bytes of them; beyond that it starts anew.
-MOST_WORDS = 500_000
+MOST_WORDS = 1_000_000
 MOST_BYTES = 32 << 20
 UNDETERMINED = "und"
 _BITS = 18
@@ -238,8 +238,8 @@ def train(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE_PER_LANGUAG
                 for s in slices(texts):
                     w = words_of(texts[s])
                     distinct, number = w.distinct()
-                    times = np.bincount(number, minlength=len(distinct))
-                    flat = [(u, t) for d, t in zip(distinct, times) for u in units(d.decode("utf-8", "replace"))]
+                    times = np.bincount(number, minlength=len(distinct.start))
+                    flat = [(u, t) for i, t in enumerate(times.tolist()) for u in units(distinct.word(i).decode("utf-8", "replace"))]
                     yield pd.DataFrame(flat, columns=["word", "n"]).assign(lang=lang)
         release()
 
@@ -285,18 +285,18 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, vocabulary
     def score(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = _pieces(vocabulary)
         # Words are known by their bytes, whole.
-        known: dict[bytes, int] = {}
-        values, held_bytes = np.zeros((0, len(languages) + 1)), 0
+        known, values = Known(), np.zeros((0, len(languages) + 1))
         for series in column:
             texts, parts = series.tolist(), []
             for s in slices(texts):
                 w = words_of(texts[s])
                 distinct, back = w.distinct()
-                if len(known) + len(distinct) > most or held_bytes > MOST_BYTES:
-                    known, values, held_bytes = {}, values[:0], 0
-                fresh = [d for d in distinct if d not in known]
-                if fresh:
-                    split = [units(d.decode("utf-8", "replace")) for d in fresh]
+                if len(known) + len(distinct.start) > most or len(known.bytes) > MOST_BYTES:
+                    known, values = Known(), values[:0]
+                at, hashes = known.find(distinct)
+                fresh = np.flatnonzero(at < 0)
+                if len(fresh):
+                    split = [units(distinct.word(i).decode("utf-8", "replace")) for i in fresh.tolist()]
                     flat = [u for us in split for u in us]
                     new = np.zeros((len(split), len(languages) + 1))
                     if flat:
@@ -305,11 +305,10 @@ def predict(docs: DataFrame, languages: list[str], table: np.ndarray, vocabulary
                         for k in range(len(languages)):
                             new[:, k] = np.bincount(owner, weights=each[:, k], minlength=len(split))
                         new[:, -1] = np.bincount(owner, minlength=len(split))
-                    known.update(zip(fresh, range(len(values), len(values) + len(fresh))))
+                    at[fresh] = np.arange(len(values), len(values) + len(fresh))
+                    known.add(distinct, hashes, fresh)
                     values = np.r_[values, new]
-                    held_bytes += sum(map(len, fresh))
-                at = np.array([known[d] for d in distinct], dtype=np.int64)
-                sums = np.vstack([np.zeros((1, len(languages) + 1)), np.cumsum(values[at[back]], axis=0)]) if len(distinct) else np.zeros((1, len(languages) + 1))
+                sums = np.vstack([np.zeros((1, len(languages) + 1)), np.cumsum(values[at[back]], axis=0)]) if len(at) else np.zeros((1, len(languages) + 1))
                 parts.append(sums[w.first[1:]] - sums[w.first[:-1]])
             total = np.vstack(parts) if parts else np.zeros((0, len(languages) + 1))
             count = np.rint(total[:, -1])

@@ -75,15 +75,57 @@ class Words:
         offsets = np.r_[0, np.cumsum(self.end - self.start)].astype(np.int32)
         return pa.Array.from_buffers(pa.binary(), len(self.start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(self.buffer[inside].tobytes())])
 
-    def distinct(self) -> tuple[list[bytes], np.ndarray]:
-        """The distinct words, told apart by their bytes, and the number of each word's."""
+    def distinct(self) -> tuple[Words, np.ndarray]:
+        """The distinct words, told apart by their bytes, as one text, and the number of each word's."""
         coded = self.array().dictionary_encode()
-        return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        kinds = coded.dictionary
+        ends = np.frombuffer(kinds.buffers()[1], dtype=np.int32)[kinds.offset : kinds.offset + len(kinds) + 1].astype(np.int64) if len(kinds) else np.zeros(1, np.int64)
+        buffer = np.frombuffer(kinds.buffers()[2], dtype=np.uint8) if len(kinds) else np.zeros(0, dtype=np.uint8)
+        return Words(buffer, ends[:-1], ends[1:], np.array([0, len(kinds)])), coded.indices.to_numpy().astype(np.int64)
 
     def word(self, i: int) -> bytes:
         return self.buffer[self.start[i] : self.end[i]].tobytes()
 
 
+class Known:
+    """Rows of words, found by a hash and held against the words' bytes: a word whose hash another one has is not kept, so never mistaken."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.rows = np.zeros(0, dtype=np.int64)
+        self.starts = np.zeros(0, dtype=np.int64)  # in bytes, of each row
+        self.lengths = np.zeros(0, dtype=np.int64)
+        self.bytes = np.zeros(0, dtype=np.uint8)
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    def find(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each word, or -1, and the words' hashes."""
+        hashes, length = words.hashes(), words.end - words.start
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        if len(self.keys) and len(hashes):
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            row = self.rows[at]
+            hit = np.flatnonzero((self.keys[at] == hashes) & (self.lengths[row] == length))
+            many = length[hit]
+            same = words.buffer[ragged(many, words.start[hit])] == self.bytes[ragged(many, self.starts[row[hit]])]
+            equal = np.logical_and.reduceat(same, np.cumsum(many) - many) if len(hit) else same
+            out[hit[equal]] = row[hit[equal]]
+        return out, hashes
+
+    def add(self, words: Words, hashes: np.ndarray, which: np.ndarray) -> None:
+        """Gives the words `which` the next rows, in order. Of words with one hash the first is found again."""
+        first, length = len(self), words.end[which] - words.start[which]
+        self.starts = np.r_[self.starts, len(self.bytes) + np.cumsum(length) - length]
+        self.lengths = np.r_[self.lengths, length]
+        self.bytes = np.r_[self.bytes, words.buffer[ragged(length, words.start[which])]]
+        keys, one = np.unique(hashes[which], return_index=True)
+        at = np.searchsorted(self.keys, keys)
+        new = self.keys[np.minimum(at, len(self.keys) - 1)] != keys if len(self.keys) else np.ones(len(keys), dtype=bool)
+        self.keys, self.rows = np.insert(self.keys, at[new], keys[new]), np.insert(self.rows, at[new], first + one[new])
+
+
 def words_of(texts: list[bytes]) -> Words:
     joined = b" ".join(texts) + b" "
     buffer = np.frombuffer(joined, dtype=np.uint8)

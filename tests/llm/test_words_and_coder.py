@@ -84,7 +84,8 @@ def test_words_are_told_apart_by_their_bytes():
     x, y = thue_morse("a", "b"), thue_morse("b", "a")
     found = w.words_of([x, y, x])
     assert len(set(found.hashes().tolist())) == 1  # what makes the case
-    assert found.distinct()[0] == [x, y] and found.distinct()[1].tolist() == [0, 1, 0]
+    kinds, number = found.distinct()
+    assert [kinds.word(0), kinds.word(1), len(kinds.start)] == [x, y, 2] and number.tolist() == [0, 1, 0]
     coder = UnitCoder(lambda units: [[ord(u[0]), len(u)] for u in units])
     ids, n = coder(found)
     assert ids.tolist() == [97, 1024, 98, 1024, 97, 1024] and n.tolist() == [2, 2, 2]
@@ -92,6 +93,22 @@ def test_words_are_told_apart_by_their_bytes():
     assert coder(w.words_of([y]))[0].tolist() == [98, 1024] and coder(w.words_of([x]))[0].tolist() == [97, 1024]
 
 
+def test_known_words_are_found_and_others_not():
+    draw = random.Random(4)
+    known, want = w.Known(), {}
+    for _ in range(30):
+        found, _ = w.words_of([b" ".join(bytes(draw.choices(b"abc", k=draw.randint(1, 5))) for _ in range(40)) + b" " + thue_morse("a", "b") + b" " + thue_morse("b", "a")]).distinct()
+        rows, hashes = known.find(found)
+        for i, r in enumerate(rows.tolist()):
+            assert (r < 0 and found.word(i) not in want) or want.get(found.word(i)) == r or (r < 0 and len(found.word(i)) == 1024)
+        fresh = np.flatnonzero(rows < 0)
+        for k, i in enumerate(fresh.tolist()):
+            if len(found.word(i)) != 1024 or found.word(i) not in want:
+                want[found.word(i)] = len(known) + k
+        known.add(found, hashes, fresh)
+    assert len(known.keys) < len(known)  # one of the two long words is never kept
+
+
 def test_colliding_words_in_each_operator(spark):
     import public_tokenizers
     import sentencepiece
