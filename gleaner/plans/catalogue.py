@@ -396,14 +396,14 @@ def asof_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", (F.col("user_id") % 10).alias("team"))
     asked, given = rows.where("event_type in ('purchase', 'view')").select("event_id", "ts", "team"), rows.where("event_type = 'click'")
     found = asof.last_before(asked, given, "team", "ts", 3600, "event_id", ["value"])
-    return found.select("event_id", F.unix_micros(F.col("fix_at").cast("timestamp")).alias("fix_at"), "value")
+    return found.select("event_id", F.coalesce(F.unix_micros(F.col("fix_at").cast("timestamp")), F.lit(-1)).alias("fix_at"), "value")
 
 
 def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each nation's suppliers, in order, with its customers by their balance, place by place."""
     left = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey")
     right = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_acctbal", "c_custkey")
-    return zip_tables(left, right, ["s_suppkey"], [F.desc("c_acctbal"), "c_custkey"], ["nation"]).select("nation", F.col("pos").cast("long").alias("pos"), "s_suppkey", "c_custkey")
+    return zip_tables(left, right, ["s_suppkey"], [F.desc("c_acctbal"), "c_custkey"], ["nation"]).select("nation", F.col("pos").cast("long").alias("pos"), "s_suppkey", F.coalesce("c_custkey", F.lit(-1)).alias("c_custkey"))
 
 
 def recorded_details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,7 +443,7 @@ def business_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.array(F.lit("bars"), F.lit("food"))).when(F.col("c_mktsegment") == "MACHINERY", F.array(F.lit("restaurants"))).otherwise(F.array(F.lit("shops")))
     near = _read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     near = near.select("c_custkey", F.col("n_name").alias("name"), (F.col("c_custkey") % 80).cast("double").alias("lat"), (F.col("c_acctbal") / 60).alias("lng"), kinds.alias("categories"))
-    return places.business_by_name(rows, near, "s_suppkey", "c_custkey", places.FOOD_CATEGORIES).select("s_suppkey", "business_id")
+    return places.business_by_name(rows, near, "s_suppkey", "c_custkey", places.FOOD_CATEGORIES).select("s_suppkey", F.coalesce("business_id", F.lit(-1)).alias("business_id"))
 
 
 def business_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -462,7 +462,7 @@ def json_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = shape.when(F.col("event_id") % 5 == 2, F.lit('{"a":{"b":1},"c":"t"}')).when(F.col("event_id") % 5 == 3, F.lit("{no json")).otherwise(F.concat(F.lit('{"a":[],"c":"v'), k, F.lit('"}')))
     found = readers.at_paths(shape, {"$.a[0].b": "int", "$.a[1].b": "int", "$.c": "string"})
     first, second, c = found.values()
-    return _read(spark, sf_dir, "events").select("event_id", first.alias("first"), second.alias("second"), c.alias("c"), F.coalesce(first, F.lit(0)).alias("or_zero"))
+    return _read(spark, sf_dir, "events").select("event_id", first.cast("string").alias("first"), second.cast("string").alias("second"), c.alias("c"), F.coalesce(first, F.lit(0)).alias("or_zero"))
 
 
 QUERIES = {

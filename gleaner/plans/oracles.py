@@ -217,11 +217,11 @@ ORACLES = {
         select request, rank, vec_id, round(d, 3) distance from ranked where rank <= 20""",
     "asof_fix": """with rows as (select event_id, ts, event_type, value, user_id % 10 team from events),
         asked as (select * from rows where event_type in ('purchase', 'view')), given as (select * from rows where event_type = 'click')
-        select a.event_id, case when a.ts - g.ts <= interval 1 hour then epoch_us(g.ts) end fix_at, case when a.ts - g.ts <= interval 1 hour then g.value end as value
+        select a.event_id, case when a.ts - g.ts <= interval 1 hour then epoch_us(g.ts) else -1 end fix_at, case when a.ts - g.ts <= interval 1 hour then g.value end as value
         from asked a asof left join given g on a.team = g.team and a.ts >= g.ts""",
     "positional_join": """with l as (select s_nationkey nation, s_suppkey, row_number() over (partition by s_nationkey order by s_suppkey) - 1 pos from supplier),
         r as (select c_nationkey nation, c_custkey, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) - 1 pos from customer)
-        select l.nation, l.pos, s_suppkey, c_custkey from l left join r on l.nation = r.nation and l.pos = r.pos""",
+        select l.nation, l.pos, s_suppkey, coalesce(c_custkey, -1) c_custkey from l left join r on l.nation = r.nation and l.pos = r.pos""",
     "recorded_details": f"""with {_PLACES} select place_id, name, n_name address, rating from places where k % 10 = 0 and k < 100""",
     "details_answers": f"""with {_PLACES} select place_id id, name, n_name address, case when located then lat end lat, case when located then lng end lng, place_id "placeId", rating, k "reviewCount",
         price "priceLevel", cast(open_now as varchar) "isOpen" from places where k % 5 > 0""",
@@ -231,12 +231,12 @@ ORACLES = {
         from asked left join supplier on id = s_suppkey""",
     "business_category": f"""with here as (select s_suppkey, n_name, (s_suppkey % 90)::double lat, (s_nationkey * 7)::double lng from supplier join nation on s_nationkey = n_nationkey),
         near as (select c_custkey, n_name, (c_custkey % 80)::double a, c_acctbal / 60 b from customer join nation on c_nationkey = n_nationkey where c_mktsegment in ('HOUSEHOLD', 'MACHINERY'))
-        select s_suppkey, arg_min(c_custkey, ({_DISTANCE.format(lat="lat", lng="lng", a="a", b="b")}, c_custkey)) business_id from here left join near on here.n_name = near.n_name group by all""",
+        select s_suppkey, coalesce(arg_min(c_custkey, ({_DISTANCE.format(lat="lat", lng="lng", a="a", b="b")}, c_custkey)), -1) business_id from here left join near on here.n_name = near.n_name group by all""",
     "business_photos": f"""with r as (select o_custkey c, o_orderkey, lower(o_orderpriority) p, row_number() over (partition by o_custkey order by o_orderkey) n from orders),
         named as (select c, row_number() over (partition by c order by o_orderkey) - 1 pos, {_TITLE.format(x="p")} t from r where n <= 20 and o_orderkey % 4 > 0)
         select c_custkey business_id, u.pos, 'u' || (u.pos + 1) url, t as name, case when u.pos = 0 then 'owner' else 'user' end attribution
         from (select c_custkey, cast(unnest(range(0, 25)) as int) pos from customer) u left join named n on n.c = u.c_custkey and n.pos = u.pos""",
-    "json_variant": """select event_id, case event_id % 5 when 0 then cast(props->>'$.k' as int) end as first, case event_id % 5 when 0 then 7 end as second,
+    "json_variant": """select event_id, case event_id % 5 when 0 then props->>'$.k' end as first, case event_id % 5 when 0 then '7' end as second,
         case event_id % 5 when 2 then 't' when 4 then 'v' || (props->>'$.k') end c, case event_id % 5 when 0 then coalesce(cast(props->>'$.k' as int), 0) else 0 end or_zero from events""",
 }
 ORACLES["label_cascade"] = ORACLES["label_fail_open"]
