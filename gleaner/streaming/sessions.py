@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def debounced(events: DataFrame, key: str, time: str, gap: str) -> DataFrame:
-    """key, first_at, fires_at (gap after the last event) and n of each run of events less than gap apart; a table or a stream with a watermark."""
+    """key, first_at, fires_at (gap after the last event) and n of each run of events at most gap apart, as session windows merge them; a table or a stream with a watermark."""
     runs = events.groupBy(key, F.session_window(F.col(time), gap).alias("run")).agg(F.count("*").alias("n"))
     return runs.select(key, F.col("run.start").alias("first_at"), F.col("run.end").alias("fires_at"), "n")
 

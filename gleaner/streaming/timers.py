@@ -33,7 +33,7 @@ class _Debounce(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ended, held = [], self.run.get() if self.run.exists() else None
         for at in sorted(t for pdf in rows for t in pdf["at"].tolist()):
-            if held and held[0] - self.gap < at < held[1] + self.gap:
+            if held and held[0] - self.gap <= at <= held[1] + self.gap:
                 held = (min(held[0], at), max(held[1], at), held[2] + 1)
             else:
                 if held:
