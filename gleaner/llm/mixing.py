@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import WORD, materialize
+from gleaner.llm.common import WORD, materialize, pick
 
 BLOCK = 64
 #: Least words of a shard, and about how many shards all sources have together at most (one more each), which bounds what the driver handles.
@@ -89,10 +89,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
 
     size: words in the text (null: 0). weights repeat over the sources in code point order, a null source last. A document without
     words takes none. Rows that repeat a doc_id are taken one by one; equal rows may swap places, which changes no result. An empty
-    table gives no rows. Other columns are not read. The driver handles a row for each source (MOST_SOURCES, else ValueError) and for
+    table gives no rows. Texts are counted whole, however long. Other columns are not read, whatever their names. The driver handles a row for each source (MOST_SOURCES, else ValueError) and for
     each shard: shards have shard_words, or more where MOST_SHARDS of that size would not hold all words.
     """
     spark = docs.sparkSession
+    docs = pick(docs, "doc_id", "text", "source")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     # The order within a stream: by the seed and the row's own contents, so reruns agree.
     sized = materialize(docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw")), "sizes")

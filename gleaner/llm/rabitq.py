@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import drop, materialize, partitions
+from gleaner.llm.common import drop, materialize, partitions, pick
 from gleaner.llm.components import components, forest
 from gleaner.llm.grouping import whole_groups
 from gleaner.llm.vectors import clean, matrix
@@ -187,6 +187,7 @@ def near_duplicates(vectors: DataFrame, threshold: float, miss: float = MISS, bl
     empty table gives no rows; other columns are not read. miss=0 leaves no link out, by estimating and computing all pairs of blocks:
     that grows with the square of the number of different vectors.
     """
+    vectors = pick(vectors, "vec_id", "embedding")
     rows, n = clean(vectors), partitions(vectors.sparkSession)
     spreads = spreads if miss else math.inf
     nodes = rows.groupBy("dim", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import drop, materialize, partitions, small_batches, text_bytes
+from gleaner.llm.common import drop, materialize, partitions, pick, small_batches, text_bytes
 from gleaner.llm.components import components, forest
 from gleaner.llm.grouping import whole_groups
 from gleaner.llm.held import forget, release
@@ -180,9 +180,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     Equal fingerprints link, those of empty and null texts too, which are zero. Rows that repeat a doc_id keep their own fingerprints
     and groups. A null doc_id gives way to any other in its group; a group of nulls has a null component. An
-    empty table gives no rows. Other columns are not read.
+    empty table gives no rows. Texts are taken whole, however long. Other columns are not read, whatever their names.
     """
 
+    docs = pick(docs, "doc_id", "text")
     small_batches(docs.sparkSession)
 
     def run(column: Iterator[pd.Series]) -> Iterator[pd.Series]:

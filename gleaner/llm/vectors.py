@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import pick
+
 
 def usable(vector: Column) -> Column:
     """Whether a vector is there, has a component other than zero, and none that is null or not finite."""
@@ -16,7 +18,7 @@ def usable(vector: Column) -> Column:
 
 def clean(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding (doubles) and dim of the usable vectors that have an id."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = pick(vectors, "vec_id", "embedding").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     return rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).withColumn("dim", F.size("embedding"))
 
 
