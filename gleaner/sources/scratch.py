@@ -4,11 +4,22 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class _UnderWay(threading.local):
+    def __init__(self) -> None:
+        self.tables: list[list[DataFrame]] = []
+
+
+#: Tables that each settled() under way in this thread has seen written, the innermost last.
+_UNDER_WAY = _UnderWay()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where that is unset and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -25,6 +36,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._gleaner_path = path
+    if _UNDER_WAY.tables:
+        _UNDER_WAY.tables[-1].append(out)
+    return out
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make gives, written as a table; all tables of materialize that make has had written go, once its own is there."""
+    _UNDER_WAY.tables.append([])
+    try:
+        made = make()
+    finally:
+        tables = _UNDER_WAY.tables.pop()
+    out = materialize(made, name)
+    drop(*tables)
     return out
 
 
