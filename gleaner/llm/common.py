@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.sources.scratch import drop, materialize, shared_dir
+from gleaner.sources.scratch import drop, materialize, settled, shared_dir
 
-__all__ = ["WORD", "apart", "drop", "materialize", "partitions", "pick", "read", "set_aside", "shared_dir", "small_batches", "text_bytes", "without"]
+__all__ = ["WORD", "apart", "drop", "materialize", "partitions", "pick", "read", "set_aside", "settled", "shared_dir", "small_batches", "text_bytes", "without"]
 
 #: A word of every operator here: a run of bytes other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"

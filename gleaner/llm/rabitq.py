@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import drop, materialize, partitions, pick
+from gleaner.llm.common import drop, materialize, partitions, pick, settled
 from gleaner.llm.components import components, forest
 from gleaner.llm.grouping import whole_groups
 from gleaner.llm.vectors import clean, matrix
@@ -190,28 +190,32 @@ def near_duplicates(vectors: DataFrame, threshold: float, miss: float = MISS, bl
     vectors = pick(vectors, "vec_id", "embedding")
     rows, n = clean(vectors), partitions(vectors.sparkSession)
     spreads = spreads if miss else math.inf
-    nodes = rows.groupBy("dim", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())
-    nodes = materialize(nodes, "vectors")  # which also settles the nodes' numbers
-    bits, tables = shape(nodes.count(), threshold, miss)
-    coded = materialize(nodes.select("node", "dim", "embedding").repartition(2 * n).mapInPandas(_code_rows(bits, tables), "node long, code binary, keys array<long>"), "codes")
-    keyed = coded.select("node", F.explode("keys").alias("key"))
-    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    full = coded.select("node", "code", F.explode("keys").alias("key")).join(shared, "key")
-    dealt = full.select("node", "code", _dealt(F.col("key"), block)).select("node", "code", F.col("deal.bucket").alias("bucket"))
-    trees = dealt.repartition(2 * n, "bucket").sortWithinPartitions("bucket").mapInPandas(_candidates(threshold, spreads), "a long, b long")
-    groups = materialize(components(trees), "candidates")
-    counts = groups.groupBy("component").agg(F.count("*").alias("n"))
-    sized = groups.join(counts, "component").select("node", F.col("component").alias("key"), "n")
-    members = nodes.join(sized, "node").select("node", "copies", "embedding", _dealt(F.xxhash64("key", "dim"), block)).select("node", "copies", "embedding", "deal.*")
-    exact = members.repartition(2 * n, "bucket").sortWithinPartitions("bucket").mapInPandas(_exact(threshold, spreads), "a long, b long, n long")
-    found = materialize(exact, "links")
-    drop(coded, shared, groups)
-    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
-    named = components(found.where("b is not null").select("a", "b"))
-    told = nodes.join(links, "node", "left").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    told = materialize(told.select("dim", "embedding", "vec_id", "component", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "linked-vectors")
-    smallest = told.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    told = materialize(told.drop("vec_id").join(smallest, "component").drop("component"), "linked-vectors")  # read anew, so that Spark can split what a common vector joins
+
+    def linked() -> DataFrame:
+        nodes = rows.groupBy("dim", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())
+        nodes = materialize(nodes, "vectors")  # which also settles the nodes' numbers
+        bits, tables = shape(nodes.count(), threshold, miss)
+        coded = materialize(nodes.select("node", "dim", "embedding").repartition(2 * n).mapInPandas(_code_rows(bits, tables), "node long, code binary, keys array<long>"), "codes")
+        keyed = coded.select("node", F.explode("keys").alias("key"))
+        shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+        full = coded.select("node", "code", F.explode("keys").alias("key")).join(shared, "key")
+        dealt = full.select("node", "code", _dealt(F.col("key"), block)).select("node", "code", F.col("deal.bucket").alias("bucket"))
+        trees = dealt.repartition(2 * n, "bucket").sortWithinPartitions("bucket").mapInPandas(_candidates(threshold, spreads), "a long, b long")
+        groups = settled(lambda: components(trees), "candidates")
+        counts = groups.groupBy("component").agg(F.count("*").alias("n"))
+        sized = groups.join(counts, "component").select("node", F.col("component").alias("key"), "n")
+        members = nodes.join(sized, "node").select("node", "copies", "embedding", _dealt(F.xxhash64("key", "dim"), block)).select("node", "copies", "embedding", "deal.*")
+        exact = members.repartition(2 * n, "bucket").sortWithinPartitions("bucket").mapInPandas(_exact(threshold, spreads), "a long, b long, n long")
+        found = materialize(exact, "links")
+        drop(coded, shared, groups)
+        links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+        named = components(found.where("b is not null").select("a", "b"))
+        told = nodes.join(links, "node", "left").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        told = materialize(told.select("dim", "embedding", "vec_id", "component", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "linked-vectors")
+        smallest = told.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+        return told.drop("vec_id").join(smallest, "component").drop("component")
+
+    told = settled(linked, "linked-vectors")  # read anew, so that Spark can split what a common vector joins
     usable = rows.join(told, ["dim", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = vectors.where(~(F.col("vec_id").isNotNull() & valid(F.col("embedding").cast("array<double>"))))
     out = usable.unionByName(rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))

@@ -20,10 +20,10 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import drop, materialize, partitions, pick, small_batches, text_bytes
+from gleaner.llm.common import drop, materialize, partitions, pick, settled, small_batches, text_bytes
 from gleaner.llm.components import components, forest
 from gleaner.llm.grouping import whole_groups
 from gleaner.llm.held import forget, release
@@ -48,6 +48,7 @@ DROPS, MOST_FEW = 2, 64
 PIVOTS = np.random.default_rng(7).integers(0, 2**64, 16, dtype=np.uint64)
 _STEP = 1 << 17
 _PAIRS = 1 << 20
+_OTHER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
@@ -60,7 +61,7 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
 
 
 def _shingles(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes of all shingles, how many each text has, and a hash of all words of each text."""
+    """The hashes of all shingles, how many each text has, and 128 bits for all words of each text, as two columns."""
     w = words_of(texts)
     sizes = w.end - w.start
     # The words with one space after each.
@@ -78,8 +79,9 @@ def _shingles(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray,
         a, b = at[first[k : k + _STEP]].tolist(), (at[last[k : k + _STEP] + 1] - 1).tolist()
         hashes[k : k + _STEP] = np.fromiter((digest(data[x:y], SEED) for x, y in zip(a, b)), dtype=np.uint64, count=len(a))
     ends = at[w.first]
-    whole = np.fromiter((digest(data[x:y], SEED + 1) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())), dtype=np.uint64, count=len(texts))
-    return hashes, shingles, whole
+    wide = xxhash.xxh3_128_digest
+    whole = b"".join(wide(data[x:y], SEED + 1) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist()))
+    return hashes, shingles, np.frombuffer(whole, dtype=np.uint64).reshape(-1, 2)
 
 
 def _fingerprints(hashes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
@@ -196,9 +198,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     # Each fingerprint stands for its rows; its node in the graph is the fingerprint itself.
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("id"))
     prints = materialize(prints, "distinct-fingerprints")
-    found = components(links(prints.select("fp", "id")))
-    named = prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
-    named = materialize(named, "named-fingerprints")
+
+    def name() -> DataFrame:
+        found = components(links(prints.select("fp", "id")))
+        return prints.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
+
+    named = settled(name, "named-fingerprints")
+    drop(prints)
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_print = named.join(smallest, "component").select("fp", "component_id")
     return rows.join(by_print, "fp").select("doc_id", "fp", "component_id")
@@ -273,25 +279,44 @@ def _alike(radius: int, similarity: float):
             sizes = np.array([len(x) for x in sets])
             a, b = pairs_wide(*_words(pdf), radius)
             may = (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])) & (node[a] != node[b]) & (~cross[a] | (block[a] != block[b]))
-            root = list(range(len(pdf)))
-            out = []
-            for x, y in zip(a[may].tolist(), b[may].tolist()):
-                p, q = x, y
-                while root[p] != p:
-                    root[p] = p = root[root[p]]
-                while root[q] != q:
-                    root[q] = q = root[root[q]]
-                if p == q:
-                    continue  # linked already, over others
-                shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if shared >= similarity * (sizes[x] + sizes[y] - shared):
-                    root[max(p, q)] = min(p, q)
-                    out.append((node[x], node[y]))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            a, b = a[may], b[may]
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            edges = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True]) if len(a) else np.zeros(1, np.int64)
+            root = np.arange(len(pdf))
+            out = [np.zeros((0, 2), dtype=np.int64)]
+            for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                x = int(a[start])
+                others = b[start:stop]
+                others = others[root[others] != root[x]]  # the rest are linked already, over others
+                near = others[_similar_to(sets[x], [sets[y] for y in others], similarity)]
+                # One link to each group that is not yet its own.
+                near = near[np.unique(root[near], return_index=True)[1]]
+                if len(near):
+                    out.append(np.stack([np.full(len(near), node[x]), node[near]], axis=1))
+                    root[np.isin(root, root[near])] = root[x]
+            out = np.concatenate(out)
+            yield pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
     return run
 
 
+def _similar_to(own: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Whether each of others' sets has that Jaccard similarity to own, all of them sorted; as many at once as bound the memory."""
+    sizes = np.array([len(x) for x in others], dtype=np.int64)
+    shared = np.zeros(len(others), dtype=np.int64)
+    if not len(own):
+        return sizes == 0
+    batches = np.cumsum(sizes) // _STEP
+    for batch in np.unique(batches):
+        which = np.flatnonzero((batches == batch) & (sizes > 0))
+        if len(which):
+            flat = np.concatenate([others[i] for i in which])
+            found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            shared[which] = np.add.reduceat(found, np.cumsum(sizes[which]) - sizes[which], dtype=np.int64)
+    return shared >= similarity * (len(own) + sizes - shared)
+
+
 def few_shingles(similarity: float) -> int:
     """The most distinct shingles of a text that is linked through its cores: a similar text lacks at most DROPS of them."""
     n = DROPS
@@ -301,7 +326,7 @@ def few_shingles(similarity: float) -> int:
 
 
 def _cores(similarity: float, few: int):
-    """key, core, level, node: the sum of each text's shingles, and for texts of few also without any choice of level of them, as long as the core that is left can be similar."""
+    """key, key2, core, level, node: two sums over each text's shingles, and for texts of few also without any choice of level of them, as long as the core that is left can be similar."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -309,13 +334,15 @@ def _cores(similarity: float, few: int):
             for n in np.unique(size).tolist():
                 own = np.flatnonzero(size == n)
                 parts = np.frombuffer(b"".join(pdf["few"].iloc[own]), dtype=np.uint64).reshape(len(own), -1)
-                total = parts.sum(axis=1, dtype=np.uint64)
+                # Texts of more come with their two sums alone.
+                both = (parts, mix(parts + _OTHER)) if n <= few else (parts[:, :1], parts[:, 1:])
+                total, total2 = (x.sum(axis=1, dtype=np.uint64) for x in both)
                 for level in range(n + 1 if n <= few else 1):
                     if n - level < similarity * n:
                         break
                     for out in combinations(range(n), level) if level else [()]:
-                        key = total - parts[:, list(out)].sum(axis=1, dtype=np.uint64)
-                        yield pd.DataFrame({"key": key.view(np.int64), "core": np.int32(n - level), "level": np.int32(level), "node": node[own]})
+                        key, key2 = (t - x[:, list(out)].sum(axis=1, dtype=np.uint64) for t, x in zip((total, total2), both))
+                        yield pd.DataFrame({"key": key.view(np.int64), "key2": key2.view(np.int64), "core": np.int32(n - level), "level": np.int32(level), "node": node[own]})
 
     return run
 
@@ -326,11 +353,19 @@ def links_of_few(prints: DataFrame, similarity: float) -> DataFrame:
     Two sets are similar if both have a core whose share in their union is large enough. Of the texts of a core the one that drops least
     is linked with each other one that is similar to it; two that are similar to each other both are, since it drops no more than either.
     """
-    cores = materialize(prints.select("node", "size", "few").mapInPandas(_cores(similarity, few_shingles(similarity)), "key long, core int, level int, node long"), "cores")
-    hubs = cores.groupBy("key", "core").agg(F.min(F.struct("level", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "core", "hub")
+    cores = materialize(prints.select("node", "size", "few").mapInPandas(_cores(similarity, few_shingles(similarity)), "key long, key2 long, core int, level int, node long"), "cores")
+    hubs = cores.groupBy("key", "key2", "core").agg(F.min(F.struct("level", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "key2", "core", "hub")
     hubs = materialize(hubs, "core-hubs")  # read anew, so that Spark can split a common core in the join
     near = F.col("core") >= F.lit(float(similarity)) * (F.col("core") + F.col("level") + F.col("hub.level"))
-    return cores.join(hubs, ["key", "core"]).where(near & (F.col("node") != F.col("hub.node"))).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+    return cores.join(hubs, ["key", "key2", "core"]).where(near & (F.col("node") != F.col("hub.node"))).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """A row for each text, which text1 and text2 tell apart, with its smallest doc_id, and node, its name in the graph: text1, but where
+    several texts share that, another hash for all of them but one."""
+    found = rows.groupBy("text1", "text2").agg(*[F.min(c).alias(c) for c in ("doc_id", "fp", "fp2", "size", "few")])
+    shared = F.min("text2").over(Window.partitionBy("text1")) < F.col("text2")
+    return found.select("*", F.when(shared, F.xxhash64("text1", "text2")).otherwise(F.col("text1")).alias("node"))
 
 
 def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, miss: float = MISS) -> DataFrame:
@@ -339,7 +374,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     Fingerprints, of the distinct shingles, only find candidates here, by keys of random bits and a wide radius: see wide_shape for what
     these may miss; miss can be made as small as is asked for (not 0), at the price of more keys: their number follows its logarithm.
     At this radius distances to pivots hardly discard a pair; only one is used, as a window. Candidates are then held against each other exactly, each component in blocks, so a link that is given is always one.
-    Texts with equal sets and those of few shingles, whose fingerprints say little, are linked exactly without: see links_of_few.
+    A text is known by 128 bits of its words, its set by two sums of 64. Texts with equal sets and those of few shingles, whose fingerprints say little, are linked exactly without: see links_of_few.
     """
     n = partitions(docs.sparkSession)
     small_batches(docs.sparkSession)
@@ -354,62 +389,71 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
                 own = _sets(hashes, many)
                 hashes, many = np.concatenate(own), np.array([len(x) for x in own])
                 with np.errstate(over="ignore"):
-                    other = mix(hashes + np.uint64(0x9E3779B97F4A7C15))
+                    other = mix(hashes + _OTHER)
                     sums = np.split(mix(other), np.cumsum(many)[:-1])
-                parts.append((_fingerprints(hashes, many), _fingerprints(other, many), whole))
+                parts.append((_fingerprints(hashes, many), _fingerprints(other, many), whole[:, 0], whole[:, 1]))
                 sizes += many.tolist()
-                left += [x.tobytes() if len(x) <= few else x.sum(dtype=np.uint64).tobytes() for x in sums]
-            columns = [np.concatenate(x).view(np.int64) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 3
-            yield pd.DataFrame(dict(zip(("fp", "fp2", "node"), columns)) | {"size": np.array(sizes, dtype=np.int32), "few": left})
+                left += [x.tobytes() if len(x) <= few else np.array([x.sum(), mix(x + _OTHER).sum()], dtype=np.uint64).tobytes() for x in sums]
+            columns = [np.concatenate(x).view(np.int64) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4
+            yield pd.DataFrame(dict(zip(("fp", "fp2", "text1", "text2"), columns)) | {"size": np.array(sizes, dtype=np.int32), "few": left})
         release()
 
     def sets(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         forget()
         for series in column:
-            texts, out, nodes = series.tolist(), [], []
+            texts, out, nodes = series.tolist(), [], [np.zeros((0, 2), dtype=np.uint64)]
             for s in slices(texts):
                 hashes, many, whole = _shingles(texts[s], shingle)
                 out += [x.tobytes() for x in _sets(hashes, many)]
-                nodes.append(whole.view(np.int64))
-            yield pd.DataFrame({"own": np.concatenate(nodes) if nodes else np.zeros(0, np.int64), "shingles": out})
+                nodes.append(whole)
+            own = np.concatenate(nodes).view(np.int64)
+            yield pd.DataFrame({"text1": own[:, 0], "text2": own[:, 1], "shingles": out})
         release()
 
-    rows = docs.select("doc_id", F.pandas_udf(run, "fp long, fp2 long, node long, size int, few binary")(text_bytes()).alias("v")).select("doc_id", "v.*")
+    rows = docs.select("doc_id", F.pandas_udf(run, "fp long, fp2 long, text1 long, text2 long, size int, few binary")(text_bytes()).alias("v")).select("doc_id", "v.*")
     rows = materialize(rows, "fingerprints")
-    prints = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("size").alias("size"), F.min("few").alias("few")), "distinct-texts")
-    radius, bits, tables = wide_shape(prints.count(), similarity, miss)
-    draw = np.random.default_rng(SEED)
-    wide = [sum(1 << int(b) for b in draw.choice(WIDE, bits, replace=False)) for _ in range(tables)]
-    halves = [[x - (x >> 63 << 64) for x in (m & (1 << 64) - 1, m >> 64)] for m in wide]
-    choices = F.posexplode(F.array(*[F.struct(F.lit(a).alias("m"), F.lit(b).alias("m2")) for a, b in halves])).alias("choice", "mask")
-    bits_of = F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask.m")), F.col("fp2").bitwiseAND(F.col("mask.m2")))
-    keyed = prints.select("node", "fp", "fp2", choices).select("node", "fp", "fp2", bits_of.alias("key"))
-    # Few buckets are crowded, which a sixteenth of the rows tells; only those are dealt out as pairs of blocks.
-    counts = keyed.where(F.pmod("node", F.lit(SAMPLE)) == 0).groupBy("key").agg((F.count("*") * SAMPLE).alias("n"))
-    crowded = materialize(counts.where(F.col("n") > CROWD), "crowded-buckets")
-    spread = F.when(F.col("n").isNull(), F.array("key")).otherwise(_blocks_of("key", F.col("n"), CROWD)["bucket"])
-    dealt = keyed.join(crowded, "key", "left").select("node", "fp", "fp2", F.explode(spread).alias("bucket"))
-    dealt = dealt.repartition(2 * n, "bucket").sortWithinPartitions("bucket")
-    found = materialize(components(dealt.mapInPandas(_near(radius), "a long, b long")), "candidates")
-    members = materialize(prints.join(found, "node").select("doc_id", "node", "fp", "fp2", "size", "component"), "members")
-    # As many blocks as bound both the rows and the bytes of a pair of them.
-    heavy = F.floor(F.sum(F.col("size").cast("long")) * 8 / BLOCK_BYTES) * BLOCK
-    members = members.join(members.groupBy("component").agg(F.greatest(F.count("*"), heavy).alias("n")), "component").drop("size")
-    own_sets = F.pandas_udf(sets, "own long, shingles binary")(text_bytes()).alias("s")
-    texts = docs.select("doc_id", "text").join(members.where("doc_id is not null"), "doc_id").select("node", "fp", "fp2", "component", "n", own_sets)
-    texts = texts.where("s.own = node").select("node", "fp", "fp2", "component", "n", "s.shingles")
-    # Texts that only rows without a doc_id have are found by their hash.
-    nameless = docs.where("doc_id is null").select(own_sets).select(F.col("s.own").alias("node"), "s.shingles").join(members.where("doc_id is null").drop("doc_id"), "node")
-    texts = texts.unionByName(nameless.dropDuplicates(["node"]).select(texts.columns))
-    texts = materialize(texts, "shingles")
-    blocks = texts.select("node", "fp", "fp2", "shingles", F.explode(_blocks_of("component", F.col("n"), BLOCK)).alias("d")).select("node", "fp", "fp2", "shingles", "d.*")
-    alike = blocks.repartition(2 * n, "bucket").sortWithinPartitions("bucket").mapInPandas(_alike(radius, similarity), "a long, b long")
-    named = components(alike.unionByName(links_of_few(prints, similarity))).withColumnRenamed("component", "group")
-    drop(crowded, found, texts)
-    groups = materialize(prints.join(named, "node", "left").select("node", "doc_id", F.coalesce("group", "node").alias("group")), "groups")
-    smallest = groups.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    by_node = materialize(groups.join(smallest, "group").select("node", "component_id"), "texts")
-    return rows.join(by_node, "node").select("doc_id", "component_id")
+
+    def near(prints: DataFrame, radius: int, bits: int, tables: int) -> DataFrame:
+        draw = np.random.default_rng(SEED)
+        wide = [sum(1 << int(b) for b in draw.choice(WIDE, bits, replace=False)) for _ in range(tables)]
+        halves = [[x - (x >> 63 << 64) for x in (m & (1 << 64) - 1, m >> 64)] for m in wide]
+        choices = F.posexplode(F.array(*[F.struct(F.lit(a).alias("m"), F.lit(b).alias("m2")) for a, b in halves])).alias("choice", "mask")
+        bits_of = F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask.m")), F.col("fp2").bitwiseAND(F.col("mask.m2")))
+        keyed = prints.select("node", "fp", "fp2", choices).select("node", "fp", "fp2", bits_of.alias("key"))
+        # Few buckets are crowded, which a sixteenth of the rows tells; only those are dealt out as pairs of blocks.
+        counts = keyed.where(F.pmod("node", F.lit(SAMPLE)) == 0).groupBy("key").agg((F.count("*") * SAMPLE).alias("n"))
+        crowded = materialize(counts.where(F.col("n") > CROWD), "crowded-buckets")
+        spread = F.when(F.col("n").isNull(), F.array("key")).otherwise(_blocks_of("key", F.col("n"), CROWD)["bucket"])
+        dealt = keyed.join(crowded, "key", "left").select("node", "fp", "fp2", F.explode(spread).alias("bucket"))
+        dealt = dealt.repartition(2 * n, "bucket").sortWithinPartitions("bucket")
+        return components(dealt.mapInPandas(_near(radius), "a long, b long"))
+
+    def linked() -> DataFrame:
+        prints = materialize(distinct_texts(rows), "distinct-texts")
+        radius, bits, tables = wide_shape(prints.count(), similarity, miss)
+        found = settled(lambda: near(prints, radius, bits, tables), "candidates")
+        members = materialize(prints.join(found, "node").drop("few"), "members")
+        # As many blocks as bound both the rows and the bytes of a pair of them.
+        heavy = F.floor(F.sum(F.col("size").cast("long")) * 8 / BLOCK_BYTES) * BLOCK
+        members = members.join(members.groupBy("component").agg(F.greatest(F.count("*"), heavy).alias("n")), "component").drop("size")
+        own_sets = F.pandas_udf(sets, "text1 long, text2 long, shingles binary")(text_bytes()).alias("s")
+        own = members.where("doc_id is not null").withColumnsRenamed({"text1": "own1", "text2": "own2"})
+        texts = docs.select("doc_id", "text").join(own, "doc_id").select("node", "fp", "fp2", "component", "n", "own1", "own2", own_sets)
+        texts = texts.where("s.text1 = own1 and s.text2 = own2").select("node", "fp", "fp2", "component", "n", "s.shingles")
+        # Texts that only rows without a doc_id have are found by their hash.
+        nameless = docs.where("doc_id is null").select(own_sets).select("s.*").join(members.where("doc_id is null").drop("doc_id"), ["text1", "text2"])
+        texts = texts.unionByName(nameless.dropDuplicates(["node"]).select(texts.columns))
+        texts = materialize(texts, "shingles")
+        blocks = texts.select("node", "fp", "fp2", "shingles", F.explode(_blocks_of("component", F.col("n"), BLOCK)).alias("d")).select("node", "fp", "fp2", "shingles", "d.*")
+        alike = blocks.repartition(2 * n, "bucket").sortWithinPartitions("bucket").mapInPandas(_alike(radius, similarity), "a long, b long")
+        named = components(alike.unionByName(links_of_few(prints, similarity))).withColumnRenamed("component", "group")
+        drop(found, texts)
+        groups = prints.join(named, "node", "left").select("text1", "text2", "doc_id", F.coalesce("group", "node").alias("group"))
+        groups = materialize(groups, "groups")
+        smallest = groups.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+        return groups.join(smallest, "group").select("text1", "text2", "component_id")
+
+    return rows.join(settled(linked, "texts"), ["text1", "text2"]).select("doc_id", "component_id")
 
 
 def _blocks_of(key: str, n: Column, block: int) -> Column:

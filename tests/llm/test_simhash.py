@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from gleaner.llm import simhash
+from gleaner.sources import scratch
 
 SCHEMA = "doc_id long, text string, fp string"
 
@@ -244,3 +245,28 @@ def test_texts_without_ids_link_and_link_others(spark):
 def test_a_small_miss_asks_for_more_keys():
     shapes = [simhash.wide_shape(100_000, 0.8, miss) for miss in (0.02, 1e-4, 1e-8)]
     assert [s[0] for s in shapes] == sorted(s[0] for s in shapes) and shapes[0][2] < shapes[1][2] < shapes[2][2] and shapes[0][0] == 28
+
+
+def test_texts_that_share_half_of_their_hash_are_two(spark):
+    rows = [(4, 7, 1), (3, 7, 2), (2, 7, 2), (1, 8, 2), (None, 8, 2)]
+    table = spark.createDataFrame([(*r, 5, 6, 9, b"") for r in rows], "doc_id long, text1 long, text2 long, fp long, fp2 long, size int, few binary")
+    got = sorted(simhash.distinct_texts(table).select("text1", "text2", "doc_id", "node").collect())
+    assert [tuple(r[:3]) for r in got] == [(7, 1, 4), (7, 2, 2), (8, 2, 1)]
+    assert got[0]["node"] == 7 and got[2]["node"] == 8 and got[1]["node"] not in (7, 8)
+
+
+def test_sets_held_against_many_others_equal_one_by_one():
+    draw = np.random.default_rng(5)
+    own = np.unique(draw.integers(0, 60, 40, dtype=np.uint64))
+    others = [np.unique(draw.integers(0, 60, n, dtype=np.uint64)) for n in (0, 1, 30, 60, 200)] + [own]
+    alike = [len(np.intersect1d(own, x)) >= 0.5 * len(np.union1d(own, x)) for x in others]
+    assert simhash._similar_to(own, others, 0.5).tolist() == alike
+    assert simhash._similar_to(own[:0], others, 0.5).tolist() == [True] + [False] * 5
+
+
+def test_tables_on_the_way_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(30)), None) for i in range(20)]
+    out = simhash.similar(spark.createDataFrame(rows, SCHEMA))
+    assert out.count() == 20
+    assert sorted(x.name.rsplit("-", 1)[0] for x in (tmp_path / "gleaner").iterdir() if not x.name.startswith(".")) == ["fingerprints", "texts"]
