@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import language, mixing, piece_codec, simhash, suffixes
-from gleaner.llm.common import drop, materialize, read, set_aside
+from gleaner.llm.common import drop, read, set_aside, settled
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: A document goes if its language cannot be told: no letters, or a score below this.
@@ -69,10 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again, and goes when the next one is written."""
+    """All stages over documents; each but the last is written to the shared folder and read again, and goes when the next one is written.
+    What a stage writes on its way goes with it."""
     docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settled(lambda: stage(spark, docs, sf_dir), name.replace(" ", "-"))
         if before is not None:
             drop(before)
         before = docs
