@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from gleaner.llm import byte_repeats
@@ -67,3 +68,27 @@ def test_spans_columns_and_nothing(spark):
     rows = {r[0]: r for r in got.collect()}
     assert bytes(rows[1][1]) == b"-12" and rows[1][2] == "x" and [tuple(s) for s in rows[2][6]] == [(1, 8)] and rows[2][4] == 8
     assert byte_repeats.remove_byte_repeats(spark.createDataFrame([(1, None)], SCHEMA)).collect()[0]["text"] is None
+
+
+def test_windows_that_an_end_of_a_stretch_imitates(spark):
+    """Where stretches repeat a byte or two, what runs over the end of one may read as a window and lie between two equal ones."""
+    draw = random.Random(8)
+    bits = ["a", "ab", "aab", "-", "é", "xy\n", " "]
+    rows = [(i, "".join((draw.choice(bits) * draw.randint(1, 90))[: draw.randint(1, 90)] for _ in range(draw.randint(1, 6)))) for i in range(60)]
+    for depth in (12, 40):
+        got = byte_repeats.remove_byte_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), depth).collect()
+        assert sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["text"] or b"")) for r in got], key=str) == brute(rows, depth)
+
+
+@pytest.mark.parametrize("depth", [3, 8])
+def test_a_shard_finds_all_equal_windows(depth):
+    for seed in range(150):
+        draw = random.Random(seed)
+        chunks = [sorted({bytes(draw.choices(b"aab", k=depth - 1 + draw.randint(1, 6))) for _ in range(draw.randint(1, 6))}) for _ in range(3)]
+        twice = [np.array([draw.random() < 0.1 for _ in own]) for own in chunks]
+        many = Counter()
+        for own, flags in zip(chunks, twice):
+            for s, t in zip(own, flags.tolist()):
+                many.update([s[k : k + depth] for k in range(len(s) - depth + 1)] * (1 + t))
+        _, _, bits, _ = byte_repeats._shard(depth)([byte_repeats._pack_stretches(own, flags) for own, flags in zip(chunks, twice)])
+        assert bits.tolist() == [many[s[k : k + depth]] > 1 for own in chunks for s in own for k in range(len(s) - depth + 1)], seed
