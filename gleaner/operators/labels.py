@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import queue
 import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
@@ -61,27 +62,68 @@ def label(requests: DataFrame, model: LabelFunction, schema: T.StructType, paral
 Ask = Callable[[dict], tuple[int | None, str | None]]
 
 
-def ask_all(ask: Ask, rows: Sequence[dict], at_once: int, seconds: float) -> list[tuple[int | None, str | None]]:
-    """Answers in order, at most at_once calls at a time. A call that raises, or takes longer, counts as none: (None, None)."""
-    out: list[tuple[int | None, str | None]] = []
-    for k in range(0, len(rows), at_once):
-        own = list(rows[k : k + at_once])
-        got: list = [(None, None)] * len(own)
+class _Caller:
+    """A thread that makes one call after the other. What it is given is an `ask`, a row, a list and the place in it for the answer."""
 
-        def call(i: int, row: dict, got: list = got) -> None:
+    def __init__(self, done: queue.SimpleQueue):
+        self.given: queue.SimpleQueue = queue.SimpleQueue()
+        self.done = done
+        threading.Thread(target=self.run, daemon=True).start()
+
+    def run(self) -> None:
+        while (job := self.given.get()) is not None:
+            ask, row, got, i = job
             try:
                 got[i] = ask(row)
-            except Exception:  # noqa: BLE001  a model that fails is passed over, whatever its failure
+            except BaseException:  # noqa: BLE001  a model that fails is passed over, whatever its failure
                 got[i] = (None, None)
+            self.done.put(self)
+
+
+class Callers:
+    """Up to at_once threads that are kept between calls; where a call takes longer than `seconds`, the next wave starts with new ones."""
+
+    def __init__(self, at_once: int, seconds: float):
+        self.at_once, self.seconds = at_once, seconds
+        self.done: queue.SimpleQueue = queue.SimpleQueue()
+        self.idle: list[_Caller] = []
+
+    def __enter__(self) -> Callers:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for caller in self.idle:
+            caller.given.put(None)
+        self.idle = []
+
+    def wave(self, ask: Ask, rows: Sequence[dict]) -> list[tuple[int | None, str | None]]:
+        """The answers to at most at_once rows, all asked at once."""
+        got: list = [(None, None)] * len(rows)
+        busy: set[_Caller] = set()
+        for i, row in enumerate(rows):
+            caller = self.idle.pop() if self.idle else _Caller(self.done)
+            busy.add(caller)
+            caller.given.put((ask, row, got, i))
+        ends = time.monotonic() + self.seconds
+        while busy:
+            try:
+                caller = self.done.get(timeout=max(0.0, ends - time.monotonic()))
+            except queue.Empty:
+                break
+            busy.discard(caller)
+            self.idle.append(caller)
+        if busy:
+            # Those end when their call does: what they say then is heard by nobody. Idle ones would answer to the old queue.
+            for caller in [*busy, *self.idle]:
+                caller.given.put(None)
+            self.done, self.idle = queue.SimpleQueue(), []
+        return list(got)  # a copy: what comes late is not heard
 
-        threads = [threading.Thread(target=call, args=(i, row), daemon=True) for i, row in enumerate(own)]
-        ends = time.monotonic() + seconds
-        for t in threads:
-            t.start()
-        for t in threads:
-            t.join(max(0.0, ends - time.monotonic()))
-        out += list(got)  # a copy: what comes late is not heard
-    return out
+
+def ask_all(ask: Ask, rows: Sequence[dict], at_once: int, seconds: float) -> list[tuple[int | None, str | None]]:
+    """Answers in order, at most at_once calls at a time. A call that raises, or takes longer, counts as none: (None, None)."""
+    with Callers(at_once, seconds) as callers:
+        return [answer for k in range(0, len(rows), at_once) for answer in callers.wave(ask, rows[k : k + at_once])]
 
 
 def label_staged(requests: DataFrame, models: Sequence[Ask], parallel: int | None = None, at_once: int = 4, seconds: float = 20.0) -> DataFrame:
@@ -89,7 +131,8 @@ def label_staged(requests: DataFrame, models: Sequence[Ask], parallel: int | Non
     models before it failed at: one that was answered, or blocked, goes no further, and one that could not be fetched is never asked.
 
     Every stage is written once, so no call is made again for what a later stage or a lost task needs. Calls are bounded by `parallel` tasks, of
-    at_once calls each, and by seconds. All columns of requests go to the model, but those that a stage adds.
+    at_once calls each, and by seconds; without `parallel` the tasks are twice Spark's cores, however few files the requests lie in. All columns
+    of requests go to the model, but those that a stage adds.
     """
     todo = requests.withColumn("answers", F.array().cast(ANSWERS))
     parts = [todo.where(~F.coalesce(F.col("fetched"), F.lit(False)))]
@@ -107,9 +150,9 @@ def label_staged(requests: DataFrame, models: Sequence[Ask], parallel: int | Non
 
         return run
 
+    tasks = parallel or 2 * requests.sparkSession.sparkContext.defaultParallelism
     for model in models:
-        if parallel:
-            todo = todo.repartition(parallel)
+        todo = todo.repartition(tasks)
         told = materialize(todo.mapInPandas(stage(model), schema), "answers")
         ended = outcome(F.col("answers")).isNotNull()
         parts.append(told.where(ended))

@@ -1,4 +1,6 @@
+import os
 import random
+import threading
 import time
 
 import pytest
@@ -107,3 +109,30 @@ def test_twenty_reviews_give_names(spark):
 def test_deep_paths(spark, text, want):
     row = spark.createDataFrame([(text,)], "t string").select(*[c.alias("v") for c in readers.at_paths(F.col("t"), {"$.a[0].b": "int"}).values()]).first()
     assert row["v"] == want
+
+
+def test_calls_share_threads_and_late_ones_are_left_behind():
+    seen = set()
+
+    def ask(row):
+        seen.add(threading.current_thread().name)
+        if row["k"] == 50:
+            time.sleep(1.0)
+        if row["k"] == 51:
+            raise SystemExit
+        return 200, str(row["k"])
+
+    got = labels.ask_all(ask, [{"k": k} for k in range(200)], 4, 0.3)
+    assert got == [(None, None) if k in (50, 51) else (200, str(k)) for k in range(200)]
+    assert len(seen) <= 8  # four, and four after the late one
+
+
+def test_requests_in_one_partition_are_asked_by_several_tasks(spark):
+    rows = spark.range(0, 200, 1, 1).select("id", F.array(F.lit("a")).alias("items"), F.lit(True).alias("fetched"))
+
+    def ask(row):
+        time.sleep(0.02)
+        return 200, f"worker {os.getpid()}"
+
+    got = labels.label_staged(rows, [ask]).collect()
+    assert sorted(r["id"] for r in got) == list(range(200)) and len({r["name"] for r in got}) > 1
