@@ -46,6 +46,18 @@ def test_many_searches(spark):
     assert got == [(1, "1"), (1, "2"), (1, "4"), (2, "1"), (2, "4"), (6, "3"), (7, "1"), (7, "2"), (7, "4")]
 
 
+def test_a_common_search_is_dealt_over_tasks(spark):
+    stock = [(i, f"place {i % 7}" if i % 5 else None, "lane 3" if i % 2 else "") for i in range(90)] + [(3, "place 3", "lane 3")]
+    asked = [(r, "PLACE" if r % 3 else "3") for r in range(120)] + [(1, "lane"), (1, "3"), (1, "place"), (None, "3"), (None, "lane"), (None, None), (500, "")]
+    rows, requests = spark.createDataFrame(stock, "id int, name string, address string"), spark.createDataFrame(asked, "request int, text string")
+    want = {(r, i) for r, t in asked if t for i, *texts in stock if any(t.lower() in (x or "").lower() for x in texts)}
+    for block in (7, 1000):
+        got = places.search_each(requests, rows, "id", block=block).withColumn("task", F.spark_partition_id()).collect()
+        pairs = [(r["request"], r["id"]) for r in got]
+        assert set(pairs) == want and len(pairs) == len(want)
+        assert block == 1000 or len({r["task"] for r in got if (r["request"] or 0) > 1 and r["request"] % 3}) > 1
+
+
 def test_utf16_units(spark):
     values = ["", "abc", "é", "\U0001f35c", "a\U0001f35cb", "\U0001f35c" * 50, None]
     rows = spark.createDataFrame([(v,) for v in values], "x string").select("x", text.units(F.col("x")).alias("n"), *[text.first_units(F.col("x"), k).alias(f"u{k}") for k in (1, 2, 3, 80)]).collect()
