@@ -2,7 +2,7 @@
 
 The model file is parsed here; from its settings a tokenizer is built again: normaliser, word mark, unigram scores or merges in the
 order of their scores, byte fallback, and the decoder. Where no piece has the mark after another character, a text is the sequence of its
-units (spaces and what follows up to the next one), and each distinct unit is encoded once for a worker, in batches over several threads.
+units (spaces and what follows up to the next one), and each distinct unit is encoded once for a worker, in batches on the task's own thread.
 A text that holds the mark itself is encoded whole, as the mark counts for a space there. Decoding is the library's, text by text.
 
 Parity: each new unit's ids, and those of each text that is encoded whole, are held against the sentencepiece library's; the texts that
@@ -11,6 +11,7 @@ differ are told by a column.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,6 +97,8 @@ class Codec:
 
         if verify not in ("units", "texts", None):
             raise ValueError(f"verify: {verify!r}")
+        # A task has one core, and each further thread of the library keeps memory of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model, self.verify = load(path), verify
         self.whole = build(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path) if verify else None
