@@ -92,3 +92,13 @@ def test_a_shard_finds_all_equal_windows(depth):
                 many.update([s[k : k + depth] for k in range(len(s) - depth + 1)] * (1 + t))
         _, _, bits, _ = byte_repeats._shard(depth)([byte_repeats._pack_stretches(own, flags) for own, flags in zip(chunks, twice)])
         assert bits.tolist() == [many[s[k : k + depth]] > 1 for own in chunks for s in own for k in range(len(s) - depth + 1)], seed
+
+
+def test_a_shard_compares_its_windows_alone(monkeypatch):
+    """Other suffixes, four in five at 400 bytes, are put in order but not held against their neighbours."""
+    compared = []
+    monkeypatch.setattr(byte_repeats, "common_prefixes", lambda text, order, room, f=byte_repeats.common_prefixes: compared.append(len(order)) or f(text, order, room))
+    own = [bytes(random.Random(k).choices(b"abc", k=450)) for k in range(3)]
+    own.append(b"x" * 20 + own[0][:440])
+    _, _, bits, _ = byte_repeats._shard(400)([byte_repeats._pack_stretches(own, np.zeros(4, dtype=bool))])
+    assert compared == [51 * 3 + 61] and bits.sum() == 41 * 2
