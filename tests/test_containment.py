@@ -58,6 +58,18 @@ def test_a_common_search_is_dealt_over_tasks(spark):
         assert block == 1000 or len({r["task"] for r in got if (r["request"] or 0) > 1 and r["request"] % 3}) > 1
 
 
+def test_nothing_that_grows_goes_through_the_driver(spark):
+    asked, stock = spark.createDataFrame([(1, "RED"), (1, "lane"), (2, "re")], "request int, text string"), spark.createDataFrame([("1", "Red Café", "Main St"), ("2", None, "red lane")], "id string, name string, address string")
+    runs = spark._jsparkSession.sharedState().statusStore()
+    before = runs.executionsCount()
+    for df, rows in ((containing(spark.createDataFrame(made(1), "k string, needle string"), spark.createDataFrame(made(2), "k string, hay string"), ["k"]), None), (places.search_each(asked, stock, "id"), [(1, "1"), (1, "2"), (2, "1"), (2, "2")])):
+        assert rows is None or sorted(map(tuple, df.collect())) == rows
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [p.physicalPlanDescription() for p in (runs.executionsList(before, 1000).apply(i) for i in range(runs.executionsList(before, 1000).size()))]
+    assert any("Join" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_utf16_units(spark):
     values = ["", "abc", "é", "\U0001f35c", "a\U0001f35cb", "\U0001f35c" * 50, None]
     rows = spark.createDataFrame([(v,) for v in values], "x string").select("x", text.units(F.col("x")).alias("n"), *[text.first_units(F.col("x"), k).alias(f"u{k}") for k in (1, 2, 3, 80)]).collect()
